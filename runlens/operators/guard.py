@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens import rules
 from runlens.functions import text as t
@@ -21,7 +22,7 @@ INVISIBLE = re.compile(
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_text(texts: pd.Series) -> pd.Series:
     """Compatibility-normalized text without invisible characters; there is no SQL function for it."""
     return texts.map(lambda s: None if s is None else INVISIBLE.sub("", unicodedata.normalize("NFKC", s)))
