@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["timeline"]
+FAMILIES = ["timeline", "session_align", "session_metrics"]
 
 
 def _modules():

@@ -60,12 +60,10 @@ def _flag_row() -> Column:
 def extract(episodes: DataFrame) -> DataFrame:
     """One row per distinct finding of a session; the first occurrence decides value and source."""
     text = F.coalesce("output_digest", F.lit(""))
-    parts = [
-        F.transform(
-            F.regexp_extract_all(text, F.lit(t.rx(pattern)), 0), lambda m, i, kind=kind: _row(kind, m, i)
-        )
-        for kind, pattern in DETECTORS
-    ]
+    def rows(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(t.rx(pattern)), 0), lambda m, i: _row(kind, m, i))
+
+    parts = [rows(kind, pattern) for kind, pattern in DETECTORS]
     flag = F.filter(F.array(_flag_row()), lambda f: f.isNotNull())
     hits = episodes.select(SESSION, "seq", F.explode(F.concat(*parts, flag)).alias("f")).select(
         SESSION, "f.id", F.struct("seq", "f.pos", "f.kind", "f.value", "f.tactic", "f.proven").alias("at")
