@@ -7,12 +7,15 @@ is computed independently by each.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import rules
-from runlens.operators import align, findings, golden, ordered, privesc, segment
+from runlens.operators import align, findings, ghost, golden, privesc, segment
 from runlens.schemas import SESSION
+from runlens.session import stage
 
 THINK_MS, IDLE_MS = 43_200_000, 172_800_000
 CONFIG = segment.SegmentConfig(idle_gap_ms=IDLE_MS, think_pause_ms=THINK_MS)
@@ -81,62 +84,66 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 class Run:
-    """The telemetry of one scale, built lazily and shared by the operators of one query."""
+    """The telemetry of one scale. Tables that several operators of a query read are staged once."""
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
-        self._made: dict[str, object] = {}
-
-    def _get(self, name, make):
-        if name not in self._made:
-            self._made[name] = make()
-        return self._made[name]
 
-    @property
+    @cached_property
     def segmented(self) -> DataFrame:
-        return self._get("segmented", lambda: episodes(self.spark, self.sf))
+        """Episodes as a lazy plan, for queries that read them once."""
+        return episodes(self.spark, self.sf)
 
-    @property
+    @cached_property
+    def staged(self) -> DataFrame:
+        return stage(self.segmented, "episodes")
+
+    @cached_property
     def golden(self) -> DataFrame:
-        return self._get("golden", lambda: golden.with_lineage(golden.ladders(self.spark)))
+        return golden.with_lineage(golden.ladders(self.spark))
 
-    @property
+    @cached_property
     def sessions(self) -> DataFrame:
         """One row per session, straight from the key column."""
-        users = table(self.spark, self.sf, "events").select(F.col("user_id").cast("string").alias(SESSION)).distinct()
-        return self._get("sessions", lambda: users)
+        return table(self.spark, self.sf, "events").select(F.col("user_id").cast("string").alias(SESSION)).distinct()
 
-    @property
+    @cached_property
     def objectives(self) -> DataFrame:
         pick = self.sessions.select(SESSION, F.lit("host").alias("golden_id"))
-        return self._get("objectives", lambda: align.session_objectives(pick, self.golden))
+        return align.session_objectives(pick, self.golden)
 
-    def _aligned(self):
-        return self._get("aligned", lambda: align.align(self.segmented, self.objectives, len(rules.HOST_LADDER) - 1))
+    @cached_property
+    def board(self) -> DataFrame:
+        claimed = align.claims(self.staged, self.objectives, len(rules.HOST_LADDER) - 1)
+        return stage(align.board(self.objectives, claimed), "board")
 
-    @property
+    @cached_property
     def aligned(self) -> DataFrame:
-        return self._aligned()[0]
+        return stage(align.mark(self.staged, self.board), "aligned")
 
-    @property
-    def board(self) -> DataFrame:
-        return self._aligned()[1]
-
-    @property
+    @cached_property
     def findings(self) -> DataFrame:
-        return self._get("findings", lambda: findings.extract(self.segmented))
+        return stage(findings.extract(self.staged), "findings")
 
-    @property
+    @cached_property
     def uses(self) -> DataFrame:
-        return self._get("uses", lambda: findings.link_uses(self.segmented, self.findings))
+        return stage(findings.link_uses(self.staged, self.findings), "uses")
 
-    @property
+    @cached_property
     def facts(self) -> DataFrame:
-        return self._get("facts", lambda: privesc.host_facts(self.segmented, self.findings))
+        return stage(privesc.host_facts(self.staged, self.findings), "facts")
 
-    @property
+    @cached_property
     def paths(self) -> DataFrame:
-        return self._get("paths", lambda: privesc.escalation_paths(self.segmented, self.findings, self.facts))
+        return stage(privesc.escalation_paths(self.staged, self.findings, self.facts), "paths")
+
+    @cached_property
+    def escalation(self) -> DataFrame:
+        return stage(privesc.escalation_summary(self.aligned, self.paths, self.facts), "escalation")
+
+    @cached_property
+    def ghost(self) -> DataFrame:
+        return stage(ghost.ghost_items(self.aligned, self.board, self.findings, self.escalation), "ghost")
 
 
 # --- the same reading in SQL ------------------------------------------------------------------------

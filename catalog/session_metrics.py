@@ -230,7 +230,7 @@ chk as (
 @query("methodology_checks", f"with {ALIGNED} {FINDINGS}, {CHECKS} select * from chk")
 def methodology_checks(spark, sf):
     run = Run(spark, sf)
-    df = analysis.methodology_checks(run.segmented, run.board, run.findings)
+    df = analysis.methodology_checks(run.staged, run.board, run.findings)
     return df.select(SESSION, "check_order", "check_id", "applicable", "done", "evidence_seq")
 
 
@@ -238,14 +238,14 @@ def methodology_checks(spark, sf):
 select session_uuid, round(count(*) filter (done) * 100.0 / count(*) filter (applicable), 6)::double methodology_coverage_pct from chk group by 1""")
 def methodology_coverage(spark, sf):
     run = Run(spark, sf)
-    return r6(analysis.methodology_coverage(analysis.methodology_checks(run.segmented, run.board, run.findings)), "methodology_coverage_pct")
+    return r6(analysis.methodology_coverage(analysis.methodology_checks(run.staged, run.board, run.findings)), "methodology_coverage_pct")
 
 
 @query("top_unmet_check", f"""with {ALIGNED} {FINDINGS}, {CHECKS} select session_uuid, arg_min(check_id, check_order) check_id, min(check_order) check_order
 from chk where applicable and not done group by 1""")
 def top_unmet(spark, sf):
     run = Run(spark, sf)
-    df = analysis.top_unmet_check(analysis.methodology_checks(run.segmented, run.board, run.findings))
+    df = analysis.top_unmet_check(analysis.methodology_checks(run.staged, run.board, run.findings))
     return df.select(SESSION, "check_id", "check_order")
 
 
@@ -319,8 +319,7 @@ slow as (select esc.*, coalesce(rooted_seq > first_confirmed_seq, false) and (se
 @query("escalation_summary", f"with {ALIGNED} {FINDINGS}, {ESCALATION}, {SLOW} select * from slow")
 def escalation_summary(spark, sf):
     run = Run(spark, sf)
-    df = privesc.escalation_summary(run.aligned, run.paths, run.facts)
-    return df.select(SESSION, "rooted_seq", "confirmed", "likely", "first_confirmed_seq", "slow_line")
+    return run.escalation.select(SESSION, "rooted_seq", "confirmed", "likely", "first_confirmed_seq", "slow_line")
 
 
 # --- counterfactual ---------------------------------------------------------------------------------
@@ -366,20 +365,15 @@ items as (select session_uuid, objective, verdict, unlock_seq, actual_seq, lag_m
 ITEMS = f"with {ALIGNED} {FINDINGS}, {ESCALATION}, {SLOW}, {GHOST}, {SIGNALS}"
 
 
-def _items(run):
-    summary = privesc.escalation_summary(run.aligned, run.paths, run.facts)
-    return ghost.ghost_items(run.aligned, run.board, run.findings, summary)
-
-
 @query("ghost_items", f"{ITEMS} select * from items")
 def ghost_items(spark, sf):
-    return _items(Run(spark, sf)).select(SESSION, "objective", "verdict", "unlock_seq", "actual_seq", "lag_ms")
+    return Run(spark, sf).ghost.select(SESSION, "objective", "verdict", "unlock_seq", "actual_seq", "lag_ms")
 
 
 @query("ghost_totals", f"""{ITEMS} select session_uuid, sum(case when verdict = 'late_pivot' then lag_ms else 0 end)::bigint ghost_time_lost_ms,
   count(*) filter (verdict in ('ahead', 'off_path_win')) ghost_human_wins from items group by 1""")
 def ghost_totals(spark, sf):
-    return ghost.totals(_items(Run(spark, sf)))
+    return ghost.totals(Run(spark, sf).ghost)
 
 
 @query("ghost_headline", f"""{ITEMS}, g as (select session_uuid, unlock_seq, count(*) n, max(coalesce(actual_seq, 0)) last_seq from items where verdict = 'late_pivot' and unlock_seq is not null group by 1, 2),
@@ -388,7 +382,7 @@ t as (select session_uuid, count(*) total, count(*) filter (verdict = 'ahead') a
   count(*) filter (verdict = 'late_pivot') late_pivot, count(*) filter (verdict = 'skipped') skipped from items group by 1)
 select t.*, b.n pivots, b.unlock_seq, b.last_seq, case when b.n is null then 'clean' else 'pivots' end headline from t left join b on b.session_uuid = t.session_uuid and r = 1""")
 def ghost_headline(spark, sf):
-    return ghost.headline(_items(Run(spark, sf)))
+    return ghost.headline(Run(spark, sf).ghost)
 
 
 @query("ghost_markers", f"""{ITEMS}, {TIMED} select i.session_uuid, i.objective, i.verdict, a.t0 unlock_ms, b.t0 actual_ms from items i
@@ -396,4 +390,4 @@ left join tl a on a.session_uuid = i.session_uuid and a.seq = i.unlock_seq left
 where a.t0 is not null or b.t0 is not null""")
 def ghost_markers(spark, sf):
     run = Run(spark, sf)
-    return ghost.markers(_items(run), timeline.timeline(run.segmented))
+    return ghost.markers(run.ghost, timeline.timeline(run.staged))

@@ -105,16 +105,23 @@ def early_satisfiers(objectives_board: DataFrame) -> DataFrame:
     return edges.join(needed, [SESSION, "objective"]).where(F.col("seq") < F.col("_dep")).select(SESSION, "seq").distinct()
 
 
+def mark(episodes: DataFrame, objectives_board: DataFrame) -> DataFrame:
+    """Episodes with ``alignment`` and ``loop_of_seq``, given the board of their claims."""
+    claimed = objectives_board.where("user_satisfied_by_seq is not null").select(
+        SESSION, F.col("user_satisfied_by_seq").alias("seq"), "method_idx"
+    )
+    early = early_satisfiers(objectives_board).withColumn("_early", F.lit(True))
+    marks = claimed.join(early, [SESSION, "seq"], "left")
+    df = ordered.with_slices(episodes, [SESSION], "seq").join(marks, [SESSION, "seq"], "left")
+    return _fill_alignment(df)
+
+
 def align(
     episodes: DataFrame, objectives: DataFrame, widest: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Episodes with ``alignment`` and ``loop_of_seq``, and the objective board."""
-    claimed = claims(episodes, objectives, widest)
-    objectives_board = board(objectives, claimed)
-    early = early_satisfiers(objectives_board).withColumn("_early", F.lit(True))
-    marks = claimed.select(SESSION, "seq", "method_idx").join(early, [SESSION, "seq"], "left")
-    df = ordered.with_slices(episodes, [SESSION], "seq").join(marks, [SESSION, "seq"], "left")
-    return _fill_alignment(df), objectives_board
+    """Aligned episodes and the objective board."""
+    objectives_board = board(objectives, claims(episodes, objectives, widest))
+    return mark(episodes, objectives_board), objectives_board
 
 
 def align_without_path(episodes: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from runlens.functions import display as d
 from runlens.operators import (
-    align, analysis, classify, coaching, findings as ledger, ghost, golden as paths_of, grade as grading, metrics, ordered, privesc,
+    align, analysis, classify, coaching, findings as ledger, ghost, golden as paths_of, grade as grading, metrics, privesc,
     segment, timeline,
 )
 from runlens.schemas import SESSION
+from runlens.session import stage
 
 
 @dataclass
@@ -68,30 +69,25 @@ def metric_row(
 def debrief(
     raw: DataFrame, session_golden: DataFrame, golden: DataFrame, config: segment.SegmentConfig = segment.SegmentConfig(),
     profile: str = "full", hints: DataFrame | None = None, baselines: DataFrame | None = None, session_start: DataFrame | None = None,
-    store: str | None = None,
+    staged: bool = True,
 ) -> Debrief:
-    """All tables of all sessions. With ``store``, episodes are written once and everything else reads them back,
+    """All tables of all sessions. Tables that many operators read are staged in the cluster's shared folder once,
     which keeps plans short and lets a lost executor recompute from files."""
-    spark = raw.sparkSession
+    keep = stage if staged else (lambda df, _name: df)
     if "lineage_tactics" not in golden.columns:
         golden = paths_of.with_lineage(golden)
     objectives = align.session_objectives(session_golden, golden)
     width = paths_of.ladder_width(golden)
-    segmented = segment.segment_episodes(raw, config)
-    episodes, board = align.align(segmented, objectives, width)
-    episodes = classify.with_frameworks(episodes)
-    if store:
-        episodes.drop(ordered.SLICE).write.mode("overwrite").parquet(f"{store}/episodes")
-        board.write.mode("overwrite").parquet(f"{store}/board")
-        episodes = ordered.with_slices(spark.read.parquet(f"{store}/episodes"), [SESSION], "seq")
-        board = spark.read.parquet(f"{store}/board")
-    found = ledger.extract(episodes)
-    uses = ledger.link_uses(episodes, found)
-    status = align.objective_status(episodes, board, found, uses)
-    facts = privesc.host_facts(episodes, found)
-    escalations = privesc.escalation_paths(episodes, found, facts)
-    summary = privesc.escalation_summary(episodes, escalations, facts)
-    items = ghost.ghost_items(episodes, status, found, summary)
+    segmented = keep(segment.segment_episodes(raw, config), "segmented")
+    board = keep(align.board(objectives, align.claims(segmented, objectives, width)), "board")
+    episodes = keep(classify.with_frameworks(align.mark(segmented, board)), "episodes")
+    found = keep(ledger.extract(episodes), "findings")
+    uses = keep(ledger.link_uses(episodes, found), "uses")
+    status = keep(align.objective_status(episodes, board, found, uses), "status")
+    facts = keep(privesc.host_facts(episodes, found), "facts")
+    escalations = keep(privesc.escalation_paths(episodes, found, facts), "escalations")
+    summary = keep(privesc.escalation_summary(episodes, escalations, facts), "summary")
+    items = keep(ghost.ghost_items(episodes, status, found, summary), "ghost")
     row = metric_row(episodes, board, ghost.totals(items), baselines)
     if session_start is None:
         session_start = episodes.groupBy(SESSION).agg(F.min("started_at_ms").alias("start_ms"))

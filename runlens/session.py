@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -38,9 +41,32 @@ def table_of(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(table, schema=struct)
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The shared folder the cluster names; the fallback is set only where none is configured."""
+_local_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints. Only a local session without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = fallback
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="run-")
+    return _local_folders[app]
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several operators read, and go on from the files.
+
+    The files keep columns apart, so every reader prunes to what it needs, and a lost executor recomputes from
+    them instead of from the source. Without a shared folder the plan simply stays lazy.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if folder is None:
+        return df
+    path = f"{folder}/staged/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
