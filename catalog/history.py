@@ -18,24 +18,36 @@ QUERIES, query = registry()
 
 # --- grades -----------------------------------------------------------------------------------------
 
-SCORES = """
-m as (select l_orderkey::varchar session_uuid, avg(l_discount) * 1000 coverage, count(distinct l_suppkey) breadth, avg(l_tax) * 1000 efficiency,
-  max(l_quantity) * 2 progression, min(l_quantity) * 2 stealth, case when l_orderkey % 3 <> 0 then avg(l_quantity) * 2 end methodology, 70.0 focus,
+RAWS = {"coverage": "r1", "breadth": "r2", "efficiency": "r3", "progression": "r4", "discipline": "r5", "independence": "r6", "methodology": "r7", "focus": "r8"}
+
+
+def _score(rubric) -> str:
+    """The weighted sum in rubric order, with and without independence."""
+    every, without = sum(w for _k, w in rubric), sum(w for k, w in rubric if k != "independence")
+    full, part = "0::double", "0::double"
+    for name, w in rubric:
+        full = f"({full} + {RAWS[name]} * '{w / every!r}'::double)"
+        part = f"({part} + {RAWS[name]} * '{(0.0 if name == 'independence' else w / without)!r}'::double)"
+    return f"case when meas then {full} else {part} end"
+
+
+SCORES = f"""
+m as (select l_orderkey::varchar session_uuid, max(l_discount) * 1000 coverage, count(distinct l_suppkey) breadth, max(l_tax) * 1000 efficiency,
+  max(l_quantity) * 2 progression, min(l_quantity) * 2 stealth, case when l_orderkey % 3 <> 0 then max(l_quantity) * 2 end methodology, 70.0 focus,
   case when l_orderkey % 4 = 0 then min(l_quantity) * 3 end independence, count(*) filter (l_returnflag = 'R') pulls,
   coalesce(sum(case l_linenumber % 3 + 1 when 1 then 3 when 2 then 6 else 10 end) filter (l_returnflag = 'R'), 0) penalty from lineitem group by l_orderkey),
 c as (select *, greatest(0, least(100, coverage)) r1, greatest(0, least(100, breadth / 12.0 * 100)) r2, greatest(0, least(100, efficiency)) r3, greatest(0, least(100, progression)) r4,
   greatest(0, least(100, stealth)) r5, independence is not null or pulls > 0 meas, case when independence is not null or pulls > 0 then greatest(0, least(100, coalesce(independence, 100) - penalty)) else 0 end r6,
   greatest(0, least(100, coalesce(methodology, 0))) r7, focus r8 from m),
-g as (select *, case when methodology is not null then (r1 * .22 + r2 * .1 + r3 * .11 + r4 * .09 + r5 * .08 + r7 * .15 + r8 * .1 + case when meas then r6 * .15 else 0 end) / case when meas then 1.0 else .85 end
-  else (r1 * .3 + r2 * .15 + r3 * .15 + r4 * .1 + r5 * .15 + case when meas then r6 * .15 else 0 end) / case when meas then 1.0 else .85 end end s from c)"""
+g as (select *, case when methodology is not null then {_score(rules.RUBRIC_V2)} else {_score(rules.RUBRIC_V1)} end s from c)"""
 
 
 def _order_metrics(spark, sf):
     li = table(spark, sf, "lineitem")
     rows = li.groupBy("l_orderkey").agg(
-        (F.avg("l_discount") * 1000).alias("objective_coverage_pct"), F.countDistinct("l_suppkey").alias("technique_breadth"),
-        (F.avg("l_tax") * 1000).alias("efficiency_pct"), (F.max("l_quantity") * 2).alias("ukc_progression"), (F.min("l_quantity") * 2).alias("stealth_score"),
-        (F.avg("l_quantity") * 2).alias("_m"), (F.min("l_quantity") * 3).alias("_i"))
+        (F.max("l_discount") * 1000).alias("objective_coverage_pct"), F.countDistinct("l_suppkey").alias("technique_breadth"),
+        (F.max("l_tax") * 1000).alias("efficiency_pct"), (F.max("l_quantity") * 2).alias("ukc_progression"), (F.min("l_quantity") * 2).alias("stealth_score"),
+        (F.max("l_quantity") * 2).alias("_m"), (F.min("l_quantity") * 3).alias("_i"))
     m = rows.select(
         F.col("l_orderkey").cast("string").alias(SESSION), "objective_coverage_pct", "technique_breadth", "efficiency_pct", "ukc_progression", "stealth_score",
         F.when(F.col("l_orderkey") % 3 != 0, F.col("_m")).alias("methodology_coverage_pct"), F.lit(70.0).alias("focus_discipline_pct"),

@@ -68,14 +68,11 @@ def grade(metrics: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     }
 
     def components(rubric: list) -> Column:
-        total = sum(w for k, w in rubric if k != "independence") + F.when(
-            measured, dict(rubric)["independence"]
-        ).otherwise(0.0)
+        every, without = sum(w for _k, w in rubric), sum(w for k, w in rubric if k != "independence")
         rows = []
         for name, w in rubric:
-            weight = F.lit(w) / total
-            if name == "independence":
-                weight = F.when(measured, weight).otherwise(0.0)
+            scaled = 0.0 if name == "independence" else w / without
+            weight = F.when(measured, w / every).otherwise(scaled)
             rows.append(F.struct(F.lit(name).alias("name"), raws[name].alias("raw"), weight.alias("weight")))
         return F.array(*rows)
 

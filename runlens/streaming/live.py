@@ -40,7 +40,7 @@ def live_status(
         F.transform(F.sort_array(F.collect_list(F.struct("_r", "kind", "value"))), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))).alias("recent"))
     hole = analysis.rabbit_holes(episodes).groupBy(SESSION).agg(F.max(F.struct("end_seq", "binary")).alias("_h"))
     df = sessions.join(last, SESSION, "left")
-    df = df.join(label, (df[SESSION] == label[SESSION]) & (F.col("_l.tactic") == F.col("_tactic")), "left").drop(label[SESSION])
+    df = df.withColumn("_tactic", F.col("_l.tactic")).join(label, [SESSION, "_tactic"], "left")
     for part in (counts, found_at, recent, hole, metric_row.select(SESSION, "stealth_score")):
         df = df.join(part, SESSION, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
