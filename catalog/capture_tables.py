@@ -1,0 +1,420 @@
+"""Sources, store, taps and live sessions on telemetry derived from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.bindings import CMD, OUTPUT, SQL_RAW, Run, raw_commands, table
+from catalog.kit import registry
+from catalog.text_tables import SQL_REDACT
+from runlens.functions import text as t
+from runlens.operators import golden, ordered
+from runlens.schemas import SESSION
+from runlens.session import stage, table_of
+from runlens.sources import captures, contracts, envelopes, sinks, store, taps
+from runlens.streaming import live, sessions
+
+QUERIES, query = registry()
+
+KIND = """case when event_type = 'click' then 'command' when event_type = 'view' then 'output' when event_type = 'error' then 'stdin_masked'
+ when event_type = 'purchase' then 'http_request' else 'http_response' end"""
+URL = "concat('http://10.10.10.5/p', k, '?q=', event_id % 7)"
+
+
+def json_lines(spark, sf):
+    """Each event as one telemetry line; every tenth line is cut short."""
+    e = table(spark, sf, "events").withColumn("k", F.regexp_extract("props", r'"k": (\d+)', 1).cast("int"))
+    payload = F.struct(
+        F.expr(CMD).alias("cmd"), F.expr(f"coalesce({OUTPUT}, '')").alias("text"), (F.col("k") * 2).alias("line_count"), F.lit("GET").alias("method"),
+        F.expr(URL).alias("url"), F.lit(200).alias("status"), (F.col("event_id") % 40).cast("string").alias("pair_id"))
+    body = F.struct(
+        F.concat(F.lit("host"), (F.col("user_id") % 3).cast("string")).alias("source"), F.col("user_id").cast("string").alias(SESSION),
+        (F.col("event_id") % 40).alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_utc_us"), F.expr(KIND).alias("kind"),
+        payload.alias("payload"))
+    line = F.to_json(body)
+    return e.select(F.when(F.col("event_id") % 10 == 0, F.substr(line, F.lit(1), F.lit(60))).otherwise(line).alias("value"))
+
+
+def telemetry(spark, sf):
+    return envelopes.parse_lines(json_lines(spark, sf))
+
+
+SQL_ENV = f"""
+ev as (select *, regexp_extract(props, '"k": ([0-9]+)', 1)::int k from events where event_id % 10 <> 0),
+env as (select 'host' || (user_id % 3) source, user_id::varchar session_uuid, event_id % 40 seq, epoch_us(ts) ts_utc_us, {KIND} kind, {CMD} cmd, coalesce({OUTPUT}, '') as "text", k * 2 line_count,
+  {URL} url, (event_id % 40)::varchar pair_id from ev)"""
+
+
+@query("parsed_envelopes", f"with {SQL_ENV} select source, session_uuid, seq, ts_utc_us, kind, cmd from env")
+def parsed_envelopes(spark, sf):
+    return telemetry(spark, sf).select("source", SESSION, "seq", "ts_utc_us", "kind", F.col("payload.cmd").alias("cmd"))
+
+
+LAST = """
+c as (select session_uuid, seq, max(ts_utc_us) ts, arg_max(cmd, ts_utc_us) cmd from env where kind = 'command' group by 1, 2),
+o as (select session_uuid, seq, max(ts_utc_us) ts, arg_max("text", ts_utc_us) as "text", arg_max(line_count, ts_utc_us) n from env where kind in ('output', 'stdin_masked') group by 1, 2)"""
+
+
+@query("joined_commands", f"""with {SQL_ENV}, {LAST} select c.session_uuid, c.seq ord, {SQL_REDACT.replace('X', 'c.cmd')} cmd, c.ts // 1000 started_at_ms, greatest(c.ts // 1000, coalesce(o.ts // 1000, c.ts // 1000)) ended_at_ms,
+  coalesce(n, 0) output_line_count, {SQL_REDACT.replace('X', 'o."text"')} output_digest from c left join o using (session_uuid, seq)""")
+def joined_commands(spark, sf):
+    df = envelopes.join_command_output(telemetry(spark, sf))
+    return df.select(SESSION, "ord", "cmd", "started_at_ms", "ended_at_ms", "output_line_count", "output_digest")
+
+
+WEB_LAST = """
+q as (select session_uuid, pair_id, max(ts_utc_us) ts, arg_max(url, ts_utc_us) url from env where kind = 'http_request' group by 1, 2),
+a as (select session_uuid, pair_id, max(ts_utc_us) ts from env where kind = 'http_response' group by 1, 2)"""
+
+
+@query("joined_exchanges", f"""with {SQL_ENV}, {WEB_LAST} select q.session_uuid, 'GET ' || regexp_extract(q.url, '//[^/]+(.*)$', 1) cmd, q.ts // 1000 started_at_ms, greatest(q.ts // 1000, coalesce(a.ts // 1000, q.ts // 1000)) ended_at_ms,
+  'web:burp' context_path, replace(q.url, '10.10.10.5', 'x.x.x.x') url, case when a.ts is not null then 200 end status from q left join a using (session_uuid, pair_id)""")
+def joined_exchanges(spark, sf):
+    df = envelopes.join_http_pairs(telemetry(spark, sf))
+    return df.select(SESSION, "cmd", "started_at_ms", "ended_at_ms", "context_path", F.col("web.url").alias("url"), F.col("web.status").alias("status"))
+
+
+@query("merged_streams", f"""with {SQL_ENV}, {LAST}, {WEB_LAST}, u as (select session_uuid, ts // 1000 at_ms, 0 r, ts, cmd from c union all select session_uuid, ts // 1000, 1, ts, 'GET ' || regexp_extract(url, '//[^/]+(.*)$', 1) from q)
+select session_uuid, row_number() over (partition by session_uuid order by at_ms, r, ts) as "position", {SQL_REDACT.replace('X', 'cmd')} cmd from u""")
+def merged_streams(spark, sf):
+    env = stage(telemetry(spark, sf), "envelopes")
+    df = envelopes.merge_raw(envelopes.join_command_output(env), envelopes.join_http_pairs(env))
+    df = ordered.scan(ordered.with_slices(df, [SESSION], "started_at_ms"), [SESSION], ["started_at_ms", "ord"], {"position": ordered.position()})
+    return df.select(SESSION, "position", "cmd")
+
+
+@query("filled_provenance", f"""with {SQL_ENV} select session_uuid, seq, ts_utc_us, case source when 'host0' then 'host' when 'host1' then 'web:x' end context_path, case source when 'host0' then 1.0 when 'host1' then 0.7 end::double confidence,
+  case source when 'host0' then 'shell' when 'host1' then 'proxy' end platform from env""")
+def filled_provenance(spark, sf):
+    rows = [("host0", "shell", "host", "exact"), ("host1", "proxy", "web:x", "inferred")]
+    hs = table_of(spark, rows, "source string, plugin string, context_template string, b string").withColumn(
+        "capabilities", F.struct(F.col("b").alias("boundary_confidence")))
+    df = envelopes.apply_handshake(telemetry(spark, sf), hs)
+    p = F.col("provenance")
+    return df.select(SESSION, "seq", "ts_utc_us", p["context_path"].alias("context_path"), p["boundary_confidence"].alias("confidence"), p["platform"].alias("platform"))
+
+
+@query("redacted_envelopes", f"""with {SQL_ENV} select source, kind, count(*) filter ({SQL_REDACT.replace('X', 'cmd')} <> cmd or {SQL_REDACT.replace('X', '"text"')} <> "text" or (kind like 'http%' and contains(url, '10.10'))) redacted, count(*) n from env group by 1, 2""")
+def redacted_envelopes(spark, sf):
+    return sessions.redact_envelopes(telemetry(spark, sf)).groupBy("source", "kind").agg(F.count(F.when(F.col("redacted"), 1)).alias("redacted"), F.count(F.lit(1)).alias("n"))
+
+
+@query("envelope_tally", f"""with {SQL_ENV} select source source_key, count(*) filter (kind = 'command') commands, count(*) filter (kind <> 'command') outputs,
+  count(*) filter ({SQL_REDACT.replace('X', 'cmd')} <> cmd or {SQL_REDACT.replace('X', '"text"')} <> "text" or (kind like 'http%' and contains(url, '10.10'))) redactions from env group by 1""")
+def envelope_tally(spark, sf):
+    return sessions.tally(telemetry(spark, sf))
+
+
+@query("stored_commands", f"""with {SQL_ENV}, f as (select session_uuid, seq, arg_min(cmd, ts_utc_us) raw_command, min(ts_utc_us) started_at from env where kind = 'command' group by 1, 2),
+e as (select session_uuid, seq, max(ts_utc_us) ended_at from env where kind in ('output', 'stdin_masked') group by 1, 2)
+select session_uuid, seq, raw_command, split_part(raw_command, ' ', 1) "binary", started_at, ended_at from f left join e using (session_uuid, seq)""")
+def stored_commands(spark, sf):
+    return store.normalize(stage(telemetry(spark, sf), "envelopes"))["commands"].select(SESSION, "seq", "raw_command", "binary", "started_at", "ended_at")
+
+
+@query("stored_blocks", f"""with {SQL_ENV} select session_uuid, seq, ts_utc_us started_at, "text" as "content", strlen("text") byte_count, case kind when 'stdin_masked' then 'masked' else 'clean' end fidelity from env e
+where kind in ('output', 'stdin_masked') and exists (select 1 from env x where x.session_uuid = e.session_uuid and x.seq = e.seq and x.kind = 'command')""")
+def stored_blocks(spark, sf):
+    df = store.normalize(stage(telemetry(spark, sf), "envelopes"))["output_blocks"]
+    return df.select(SESSION, "seq", "started_at", "content", F.col("byte_count").cast("bigint").alias("byte_count"), "fidelity")
+
+
+@query("exported_envelopes", f"""with {SQL_ENV}, s as (select arg_max(session_uuid, (t, session_uuid)) u from (select session_uuid, min(ts_utc_us) t from env group by 1)),
+w as (select session_uuid, pair_id, min(ts_utc_us) ts from env where kind = 'http_request' group by 1, 2), a as (select session_uuid, pair_id, max(ts_utc_us) ts from env where kind = 'http_response' group by 1, 2),
+x as (select session_uuid, seq, min(ts_utc_us) ts_utc_us, 'command' kind from env where kind = 'command' group by 1, 2
+  union all select session_uuid, seq, ts_utc_us, case kind when 'stdin_masked' then kind else 'output' end from env e where kind in ('output', 'stdin_masked') and exists (select 1 from env y where y.session_uuid = e.session_uuid and y.seq = e.seq and y.kind = 'command')
+  union all select session_uuid, 0, ts, 'http_request' from w union all select w.session_uuid, 0, coalesce(a.ts, w.ts), 'http_response' from w left join a using (session_uuid, pair_id))
+select x.* from x join s on s.u = x.session_uuid""")
+def exported_envelopes(spark, sf):
+    return store.export_envelopes(store.normalize(stage(telemetry(spark, sf), "envelopes"))).select(SESSION, "seq", "ts_utc_us", "kind")
+
+
+@query("store_listing", f"""with {SQL_ENV}, f as (select session_uuid, seq, arg_min(cmd, ts_utc_us) raw_command from env where kind = 'command' group by 1, 2), s as (select distinct session_uuid, source from env)
+select s.session_uuid, s.source, f.seq, split_part(raw_command, ' ', 1) "binary", case when raw_command is not null then '-' else '-' end "exit" from s left join f using (session_uuid)""")
+def store_listing(spark, sf):
+    return store.store_summary(store.normalize(stage(telemetry(spark, sf), "envelopes"))).select(SESSION, "source", "seq", "binary", "exit")
+
+
+@query("contract_violations", f"""with {SQL_ENV} select 'source:enum' "rule", count(*) n from env""")
+def contract_violations(spark, sf):
+    return contracts.validate(telemetry(spark, sf), contracts.ENVELOPE_CONTRACT, [SESSION, "seq"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("episode_contract", "select 0::bigint violations")
+def episode_contract(spark, sf):
+    broken = contracts.validate(Run(spark, sf).segmented, contracts.EPISODE_CONTRACT, [SESSION, "seq"])
+    return broken.agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query("bracketed_streams", f"""with {SQL_ENV} select session_uuid, 'session_start' kind, min(ts_utc_us) ts_utc_us from env group by 1 union all select session_uuid, 'session_end', max(ts_utc_us) from env group by 1
+union all select session_uuid, 'session_flag', min(ts_utc_us) from env where kind in ('output', 'stdin_masked') and regexp_matches("text", '(^|[^0-9a-fA-F])[0-9a-fA-F]{{32}}([^0-9a-fA-F]|$)') group by 1""")
+def bracketed_streams(spark, sf):
+    return sessions.bracket(telemetry(spark, sf), "run").where("kind like 'session%'").select(SESSION, "kind", "ts_utc_us")
+
+
+# --- other formats ----------------------------------------------------------------------------------
+
+
+def _har(spark, sf):
+    entry = F.struct(
+        F.concat(F.lit("2024-01-01T00:00:"), F.lpad((F.col("page_id") % 60).cast("string"), 2, "0"), F.lit(".250Z")).alias("startedDateTime"),
+        (F.col("page_id") * 1.5).alias("time"), F.struct(F.lit("GET").alias("method"), F.col("url")).alias("request"),
+        F.struct(F.lit(200).alias("status"), F.struct(F.base64(F.encode("html", "UTF-8")).alias("text"), F.lit("text/html").alias("mimeType"), F.lit("base64").alias("encoding")).alias("content")).alias("response"))
+    return table(spark, sf, "pages").select(F.concat(F.lit("/c/page-"), F.col("page_id").cast("string"), F.lit(".har")).alias("file"),
+                                           F.to_json(F.struct(F.struct(F.array(entry).alias("entries")).alias("log"))).alias("body"))
+
+
+@query("http_archives", f"""select 'page-' || page_id session_uuid, 1704067200250 + (page_id % 60) * 1000 started_at_ms, 1704067200250 + (page_id % 60) * 1000 + floor(page_id * 1.5 + 0.5)::bigint ended_at_ms,
+  md5(substr({SQL_REDACT.replace('X', 'html')}, 1, 2000)) body from pages""")
+def http_archives(spark, sf):
+    df = captures.parse_har(_har(spark, sf))
+    return df.select(SESSION, "started_at_ms", "ended_at_ms", F.md5(F.col("web.resp_body")).alias("body"))
+
+
+def _process_events(spark, sf):
+    at = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS")
+    flat = F.to_json(F.struct(F.when(F.col("o_orderkey") % 5 == 0, 3).otherwise(1).alias("EventID"), at.alias("UtcTime"),
+                              F.concat(F.lit("run.exe --order "), F.col("o_orderkey").cast("string")).alias("CommandLine"), F.col("o_orderpriority").alias("User")))
+    pair = lambda name, value: F.struct(F.lit(name).alias("@Name"), value.cast("string").alias("#text"))
+    nested = F.to_json(F.struct(F.struct(
+        F.struct(F.lit("1").alias("EventID")).alias("System"),
+        F.struct(F.array(pair("UtcTime", at), pair("Image", F.concat(F.lit("run.exe --order "), F.col("o_orderkey").cast("string"))), pair("ParentImage", F.col("o_orderstatus"))).alias("Data")).alias("EventData")).alias("Event")))
+    return table(spark, sf, "orders").select(
+        F.concat(F.lit("/c/log-"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("file"),
+        F.when(F.col("o_orderkey") % 2 == 0, flat).otherwise(F.concat(F.lit("["), nested, F.lit("]"))).alias("body"))
+
+
+@query("process_events", """select 'log-' || o_orderkey session_uuid, 'run.exe --order ' || o_orderkey cmd, epoch_us(o_orderdate) // 1000 started_at_ms,
+  case when o_orderkey % 2 = 0 then 'user ' || o_orderpriority else 'parent ' || o_orderstatus end output_digest from orders where o_orderkey % 10 <> 0""")
+def process_events(spark, sf):
+    return captures.parse_process_events(_process_events(spark, sf)).select(SESSION, "cmd", "started_at_ms", "output_digest")
+
+
+def _transcripts(spark, sf):
+    """Each conversation turn pair as a shell call and its result, one line each."""
+    talk = table(spark, sf, "conversations").where("role in ('user', 'assistant')")
+    call = F.struct(F.struct(F.array(F.struct(
+        F.lit("tool_use").alias("type"), F.lit("Bash").alias("name"), F.concat(F.lit("t"), F.floor(F.col("turn") / 2).cast("string")).alias("id"),
+        F.struct(F.concat(F.lit("run "), F.col("turn").cast("string")).alias("command")).alias("input"))).alias("content")).alias("message"),
+        F.concat(F.lit("2024-01-01T00:00:0"), (F.col("turn") % 10).cast("string"), F.lit("Z")).alias("timestamp"))
+    result = F.struct(F.struct(F.array(F.struct(
+        F.lit("tool_result").alias("type"), F.concat(F.lit("t"), F.floor(F.col("turn") / 2).cast("string")).alias("tool_use_id"),
+        (F.col("turn") % 4 == 3).alias("is_error"), F.col("text").alias("content"))).alias("content")).alias("message"),
+        F.concat(F.lit("2024-01-01T00:00:0"), (F.col("turn") % 10).cast("string"), F.lit("Z")).alias("timestamp"))
+    line = F.when(F.col("role") == "user", F.to_json(call)).otherwise(F.to_json(result))
+    # A conversation is one file by construction of the format.
+    return talk.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("body")).select(
+        F.concat(F.lit("/c/talk-"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), "body")
+
+
+@query("agent_transcripts", f"""with p as (select u.conv_id, u.turn, min(a.turn) r from conversations u join conversations a on a.conv_id = u.conv_id and a.role = 'assistant' and a.turn > u.turn and a.turn // 2 = u.turn // 2
+  where u.role = 'user' group by 1, 2)
+select 'talk-' || p.conv_id session_uuid, 'run ' || p.turn cmd, (p.r % 4 = 3)::int exit_code, len(string_split(a.text, chr(10))) output_line_count, md5(substr({SQL_REDACT.replace('X', 'a.text')}, 1, 4000)) digest
+from p join conversations a on a.conv_id = p.conv_id and a.turn = p.r""")
+def agent_transcripts(spark, sf):
+    df = captures.parse_agent_transcript(_transcripts(spark, sf))
+    return df.select(SESSION, "cmd", "exit_code", "output_line_count", F.md5("output_digest").alias("digest"))
+
+
+@query("routed_captures", """select 'http-proxy' capture_kind, count(*) commands, count(*) files from pages union all
+select 'sysmon', count(*), count(*) from orders where o_orderkey % 10 <> 0 union all
+select 'rejected', 0, count(*) from orders where o_orderkey % 10 = 0""")
+def routed_captures(spark, sf):
+    files = _har(spark, sf).unionByName(_process_events(spark, sf))
+    chosen, rejected = captures.route_captures(files)
+    counts = chosen.groupBy("capture_kind").agg(F.count(F.lit(1)).alias("commands"), F.countDistinct("file").alias("files"))
+    return counts.unionByName(rejected.agg(F.count(F.lit(1)).alias("files")).select(F.lit("rejected").alias("capture_kind"), F.lit(0).cast("bigint").alias("commands"), "files"))
+
+
+@query("imported_sessions", r"""select 'page-' || page_id session_uuid, 'HTTP proxy :: ' || regexp_extract(url, '://([^/?#]+)', 1) target_scope, 'web' golden_id from pages""")
+def imported_sessions(spark, sf):
+    chosen, _r = captures.route_captures(_har(spark, sf))
+    return captures.derive_sessions(chosen).select(SESSION, "target_scope", "golden_id")
+
+
+@query("unseen_exchanges", r"""select distinct (page_id % 10)::varchar session_uuid, regexp_extract(url, '://([^/:?#]+)', 1) pair_id from pages where regexp_extract(url, '://([^/:?#]+)', 1) like '%.com'""")
+def unseen_exchanges(spark, sf):
+    host = F.regexp_extract("url", r"://([^/:?#]+)", 1)
+    pages = table(spark, sf, "pages")
+    web = pages.select((F.col("page_id") % 10).cast("string").alias(SESSION), host.alias("pair_id"), "url", F.timestamp_seconds("page_id").alias("ts"))
+    scope = pages.select(host.alias("host")).where("host like '%.com'").distinct()
+    return envelopes.dedupe_web(web, scope).select(SESSION, "pair_id")
+
+
+@query("scripted_steps", """select l_orderkey::varchar session_uuid, l_linenumber::bigint ord, (1000 + sum(l_quantity::bigint + 5) over w - 5)::bigint started_at_ms, (1000 + sum(l_quantity::bigint + 5) over w)::bigint ended_at_ms
+from (select l_orderkey, l_linenumber, sum(l_quantity::bigint)::bigint l_quantity from lineitem group by 1, 2) window w as (partition by l_orderkey order by l_linenumber)""")
+def scripted_steps(spark, sf):
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("gap"))
+    steps = li.select(F.col("l_orderkey").cast("string").alias(SESSION), F.col("l_linenumber").cast("bigint").alias("ord"), F.lit("run").alias("cmd"), "gap",
+                      F.lit(5).cast("bigint").alias("dur"), F.lit("").alias("out"), F.lit(1).alias("lines"), F.lit(1).alias("volume"))
+    starts = steps.select(SESSION).distinct().withColumn("start_ms", F.lit(1000).cast("bigint"))
+    return envelopes.expand_steps(steps, starts).select(SESSION, "ord", "started_at_ms", "ended_at_ms")
+
+
+@query("attached_sidecars", """select o_orderkey::varchar session_uuid, case when o_orderkey % 3 = 0 then null else 1 end::int pulls from orders""")
+def attached_sidecars(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias(SESSION), "o_orderkey")
+    body = F.when(F.col("o_orderkey") % 3 == 0, "{broken").otherwise('[{"tier":1,"atMs":5,"phase":"x"}]')
+    out = envelopes.attach_sidecars(o.select(SESSION), o.select(SESSION, body.alias("body")))
+    return out.select(SESSION, F.when(F.col("hints").isNotNull(), F.size("hints")).alias("pulls"))
+
+
+@query("report_parts", f"""with {SQL_RAW} select session_uuid, 'commands' section, count(*) n, count(distinct ord // 100) parts from raw group by 1 union all select session_uuid, 'session', 1, 1 from raw group by 1""")
+def report_parts(spark, sf):
+    raw = raw_commands(spark, sf)
+    parts = sinks.report_parts({"commands": (raw, "ord")}, raw.select(SESSION).distinct(), part_rows=100)
+    return parts.groupBy(SESSION, "section").agg(F.sum(F.expr("json_array_length(rows)")).cast("bigint").alias("n"), F.count(F.lit(1)).alias("parts"))
+
+
+# --- taps -------------------------------------------------------------------------------------------
+
+
+@query("replayed_keystrokes", r"""select doc_id::varchar session_uuid, cmd from (select doc_id, regexp_replace(regexp_replace(unnest(string_split_regex(text, '\r\n|\r|\n')), '\t', ' ', 'g'), '^\s+|\s+$', '', 'g') cmd from documents) where cmd <> ''""")
+def replayed_keystrokes(spark, sf):
+    typed = F.regexp_replace(F.regexp_replace("text", "e", "q\x7fe"), "a", "\x1b[31ma")
+    logs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias(SESSION), typed.alias("input_log"))
+    return taps.parse_keystrokes(logs).select(SESSION, "cmd")
+
+
+@query("echoed_commands", r"""with l as (select doc_id, text, regexp_replace(regexp_replace(unnest(string_split_regex(text, '\r\n|\r|\n')), '\t', ' ', 'g'), '^\s+|\s+$', '', 'g') cmd from documents)
+select doc_id::varchar session_uuid, cmd from l where cmd <> '' and (length(cmd) < 3 or contains(left(text, (length(text) // 2)::int), cmd))""")
+def echoed_commands(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias(SESSION), F.col("text").alias("input_log"),
+                                                F.left("text", F.floor(F.length("text") / 2).cast("int")).alias("output_log"))
+    return taps.scrub_unechoed(taps.parse_keystrokes(docs), docs.select(SESSION, "output_log")).select(SESSION, "cmd")
+
+
+@query("tapped_commands", r"""select doc_id::varchar session_uuid, row_number() over (partition by doc_id order by n) - 1 ord, (row_number() over (partition by doc_id order by n) - 1) * 1000 + doc_id started_at_ms, 'host->ssh:' || source context_path
+from (select doc_id, source, regexp_replace(regexp_replace(unnest(ls), '\t', ' ', 'g'), '^\s+|\s+$', '', 'g') cmd, generate_subscripts(ls, 1) n from (select doc_id, source, string_split_regex(text, '\r\n|\r|\n') ls from documents)) where cmd <> ''""")
+def tapped_commands(spark, sf):
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias(SESSION), F.col("text").alias("input_log"), none.alias("output_log"), none.alias("timing_log"),
+        F.col("source").alias("target"), F.col("doc_id").alias("started_at_ms"))
+    return taps.tap_to_raw(rows).select(SESSION, "ord", "started_at_ms", "context_path")
+
+
+@query("ssh_targets", f"""with {SQL_RAW} select session_uuid, ord, nullif(regexp_extract(cmd, '^ssh \\S+@(\\S+)$', 1), '') target from raw""")
+def ssh_targets(spark, sf):
+    return raw_commands(spark, sf).select(SESSION, "ord", t.ssh_target(F.col("cmd")).alias("target"))
+
+
+# --- paths ------------------------------------------------------------------------------------------
+
+
+@query("path_order_breaks", """with p as (select p_brand g, p_partkey, p_name, row_number() over (partition by p_brand order by p_partkey) - 1 o from part), d as (select g, o, p_partkey, case when o % 5 = 4 then o + 1 else o - 1 end dep from p where o > 0)
+select d.g golden_id, d.p_partkey::varchar objective from d left join p on p.g = d.g and p.o = d.dep where p.o is null or p.o >= d.o""")
+def path_order_breaks(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    o = (F.row_number().over(w) - 1).cast("int")
+    df = table(spark, sf, "part").select(F.col("p_brand").alias("golden_id"), o.alias("ordinal"), F.col("p_partkey").cast("string").alias("objective"),
+                                         F.lag("p_partkey").over(w).cast("string").alias("_b"), F.lead("p_partkey").over(w).cast("string").alias("_n"))
+    dep = F.when(F.col("ordinal") == 0, F.array().cast("array<string>")).when(F.col("ordinal") % 5 == 4, F.array(F.coalesce("_n", F.lit("none")))).otherwise(F.array("_b"))
+    return golden.check_order(df.withColumn("depends_on", dep)).select("golden_id", "objective")
+
+
+@query("run_kinds", f"""with {SQL_RAW} select session_uuid, case when avg((ord % 3 <> 0 and session_uuid::int % 2 = 0)::int) > 0.5 then 'web' else 'host' end golden_id from raw group by 1""")
+def run_kinds(spark, sf):
+    odd = (F.col("ord") % 3 != 0) & (F.col(SESSION).cast("int") % 2 == 0)
+    return golden.is_web_run(raw_commands(spark, sf).withColumn("context_path", F.when(odd, "web:har").otherwise("host")))
+
+
+@query("reusable_paths", """select o_orderkey::varchar session_uuid from orders where o_orderkey % 2 = 0 and o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 and o_orderkey % 7 > 0""")
+def reusable_paths(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias(SESSION), F.col("o_orderkey").alias("n"))
+    own = o.select(SESSION, (F.col("n") % 2 == 1).alias("live"), (F.col("n") % 3 == 0).alias("has_path"))
+    cached = o.select(SESSION, F.lit("g").alias("golden_id"), F.when(F.col("n") % 5 == 0, "none").otherwise("ai").alias("source"), (F.col("n") % 7).alias("objectives"))
+    return golden.reusable(own, cached).select(SESSION)
+
+
+# --- live sessions ----------------------------------------------------------------------------------
+
+IDLE_US = 7_200_000_000
+LIVE_KIND = """case when event_type = 'click' then 'command' when event_type = 'view' then 'output' when event_type = 'error' then 'stdin_masked' when event_type = 'purchase' and k % 4 = 0 then 'session_start'
+ when event_type = 'purchase' then 'command' when k % 3 = 0 then 'session_end' else 'http_request' end"""
+
+
+def live_envelopes(spark, sf):
+    e = table(spark, sf, "events").withColumn("k", F.regexp_extract("props", r'"k": (\d+)', 1).cast("int"))
+    flag = F.when(F.col("k") % 11 == 0, "deadbeefdeadbeefdeadbeefdeadbeef").otherwise("x")
+    return e.select(
+        F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("source"), F.concat(F.lit("u"), F.col("event_id").cast("string")).alias(SESSION),
+        F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_utc_us"), F.expr(LIVE_KIND).alias("kind"),
+        F.struct(F.lit("ls").alias("cmd"), flag.alias("text")).alias("payload"), F.struct(F.lit("host").alias("context_path"), F.lit("p").alias("platform")).alias("provenance"))
+
+
+CONTROLLER = f"""
+le as (select 's' || (user_id % 10) source_key, 'u' || event_id session_uuid, event_id, epoch_us(ts) at_us, {LIVE_KIND} kind, k % 11 = 0 fl from (select *, regexp_extract(props, '"k": ([0-9]+)', 1)::int k from events)),
+dr as (select *, row_number() over (partition by source_key order by at_us, event_id) n from le where kind <> 'http_request'),
+st as (with recursive w(source_key, n, at_us, kind, before, uuid, started, was_uuid, was_last, flagged, flag_now, idle_end) as (
+  select source_key, n, at_us, kind, null::varchar, case when kind = 'session_start' then session_uuid when kind = 'command' then source_key || '-' || at_us end, case when kind in ('session_start', 'command') then at_us end,
+    null::varchar, null::bigint, false, false, null::bigint from dr where n = 1
+  union all select r.source_key, r.n, r.at_us, r.kind, w.uuid,
+    case when r.kind = 'session_start' then r.session_uuid when r.kind = 'session_end' then null
+      when w.uuid is not null and r.at_us - w.at_us <= {IDLE_US} then w.uuid when r.kind = 'command' then r.source_key || '-' || r.at_us end,
+    case when r.kind = 'session_start' then r.at_us when r.kind = 'session_end' then null when w.uuid is not null and r.at_us - w.at_us <= {IDLE_US} then w.started when r.kind = 'command' then r.at_us end,
+    w.uuid, w.at_us,
+    case when r.kind in ('session_start', 'session_end') then false when w.uuid is not null and r.at_us - w.at_us <= {IDLE_US} then w.flagged or (r.kind <> 'command' and r.fl) when r.kind = 'command' then false else false end,
+    r.kind in ('output', 'stdin_masked') and r.fl and w.uuid is not null and r.at_us - w.at_us <= {IDLE_US} and not w.flagged,
+    case when w.uuid is not null and r.kind not in ('session_start', 'session_end') and r.at_us - w.at_us > {IDLE_US} then w.at_us + {IDLE_US} end
+  from w join dr r on r.source_key = w.source_key and r.n = w.n + 1)
+  select * from w)"""
+
+
+@query("live_session_events", f"""with {CONTROLLER}
+select source_key, 'start' as "event", uuid session_uuid, at_us, null reason from st where uuid is not null and uuid is distinct from before
+union all select source_key, 'end', before, case when kind in ('session_start', 'session_end') then at_us else idle_end end, case when kind in ('session_start', 'session_end') then 'manual' else 'idle' end from st
+  where before is not null and (kind in ('session_start', 'session_end') or idle_end is not null)
+union all select source_key, 'flag', uuid, at_us, null from st where flag_now
+union all select source_key, 'end', uuid, at_us + {IDLE_US}, 'idle' from (select *, row_number() over (partition by source_key order by n desc) z from st) where z = 1 and uuid is not null""")
+def live_session_events(spark, sf):
+    return sessions.session_events_batch(live_envelopes(spark, sf), IDLE_US, True).select("source_key", "event", SESSION, "at_us", "reason")
+
+
+@query("stamped_envelopes", f"""with {CONTROLLER} select 'u' || event_id original, (select arg_max(uuid, st.n) from st where st.source_key = le.source_key and st.at_us <= le.at_us) session_uuid from le
+where kind not in ('session_start', 'session_end') and (select coalesce(arg_max(coalesce(uuid, ''), st.n), '') from st where st.source_key = le.source_key and st.at_us <= le.at_us) <> ''""")
+def stamped_envelopes(spark, sf):
+    env = live_envelopes(spark, sf).withColumn("original", F.col(SESSION))
+    return sessions.stamp(env, IDLE_US, True).select("original", SESSION)
+
+
+@query("live_event_tally", f"""with {CONTROLLER} select source_key, count(*) filter (uuid is not null and uuid is distinct from before) sessions, count(*) filter (flag_now) nudges from st group by 1""")
+def live_event_tally(spark, sf):
+    return sessions.tally_events(sessions.session_events_batch(live_envelopes(spark, sf), IDLE_US, True))
+
+
+@query("idle_sessions", """with g as (select user_id, epoch_us(ts) t, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) > 36000000000 b from events),
+i as (select *, sum(coalesce(b, true)::int) over (partition by user_id order by t) s from g)
+select user_id, min(t) started_us, max(t) + 36000000000 closes_us, count(*) events from i group by user_id, s""")
+def idle_sessions(spark, sf):
+    df = sessions.idle_sessions(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", gap="10 hours")
+    return df.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closes_at").alias("closes_us"), "events")
+
+
+@query("joined_live_commands", f"""with {SQL_ENV} select c.session_uuid, c.seq ord, c.ts_utc_us // 1000 started_at_ms, greatest(c.ts_utc_us // 1000, coalesce(o.ts_utc_us // 1000, c.ts_utc_us // 1000)) ended_at_ms, coalesce(o.line_count, 0) output_line_count
+from (select * from env where kind = 'command') c left join (select * from env where kind in ('output', 'stdin_masked')) o on o.session_uuid = c.session_uuid and o.seq = c.seq and abs(o.ts_utc_us - c.ts_utc_us) <= 864000000000""")
+def joined_live_commands(spark, sf):
+    return sessions.join_live(telemetry(spark, sf), wait="10 days").select(SESSION, "ord", "started_at_ms", "ended_at_ms", "output_line_count")
+
+
+@query("live_status")
+def live_status(spark, sf):
+    from runlens.operators import metrics, timeline
+
+    run = Run(spark, sf)
+    who = run.sessions.select(SESSION, SESSION, F.concat(F.lit("Box "), SESSION).alias("target_name"), F.lit("2024-01-01").cast("timestamp").alias("started_at"),
+                              F.lit("2024-01-31").cast("timestamp").alias("ended_at"), F.lit(False).alias("recording")).toDF(SESSION, "_x", "target_name", "started_at", "ended_at", "recording").drop("_x")
+    out = live.live_status(who, run.aligned, stage(timeline.phases(run.aligned), "phases"), run.findings, run.uses, metrics.stealth(run.aligned), F.lit("2024-02-01").cast("timestamp"))
+    return out.select(SESSION, "phase", "elapsed_ms", "stealth", "ports_found", "ports_engaged", "findings", F.array_join("threads", " ").alias("threads"), "nudge", "commands", "since_last_find_ms")
+
+
+@query("realigned_coverage", f"""with {SQL_RAW} select distinct session_uuid, 4::bigint objectives from raw""")
+def realigned_coverage(spark, sf):
+    from runlens.operators import align
+
+    run = Run(spark, sf)
+    objectives = align.session_objectives(run.sessions.select(SESSION, F.lit("web").alias("golden_id")), golden.ladders(spark))
+    board = align.board(objectives, align.claims(run.staged, objectives, 3))
+    return board.groupBy(SESSION).agg(F.count(F.lit(1)).alias("objectives"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["timeline", "session_align", "session_metrics", "text_tables", "history"]
+FAMILIES = ["timeline", "session_align", "session_metrics", "text_tables", "history", "capture_tables"]
 
 
 def _modules():

@@ -15,20 +15,26 @@ ALT_ENTER = r"\x1b\[\?(?:1049|1047|47)h"
 ALT_LEAVE = r"\x1b\[\?(?:1049|1047|47)l"
 
 
-def replay_line(line: Column) -> Column:
-    """The text left after escape sequences are removed and backspaces are applied."""
-    plain = F.regexp_replace(F.regexp_replace(line, CSI, ""), ESC, "")
-    chars = F.filter(F.split(plain, ""), lambda c: c != "")
+BACKSPACE = "[\x7f\x08]"
+PAIR_PASSES = 4
 
-    def press(held: Column, c: Column) -> Column:
-        erase = c.isin("\x7f", "\x08")
-        shorter = F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))
-        return F.when(erase, shorter).when(c == "\t", F.array_append(held, F.lit(" "))).when(
-            c >= " ", F.array_append(held, c)
-        ).otherwise(held)
 
-    kept = F.aggregate(chars, F.array().cast("array<string>"), press)
-    return t.trim(F.array_join(kept, ""))
+def replay_line(line: Column) -> Column:
+    """The text left after escape sequences are removed and backspaces are applied.
+
+    A character followed by a backspace cancels out, which a few pattern passes do for whole lines at once. Only
+    longer runs of backspaces, and backspaces on an empty line, are left to a fold over the remaining pieces.
+    """
+    plain = F.regexp_replace(F.regexp_replace(line, CSI, ""), ESC, "")
+    text = F.regexp_replace(F.replace(plain, F.lit("\t"), F.lit(" ")), "[\x00-\x07\x09-\x1f]", "")
+    for _ in range(PAIR_PASSES):
+        text = F.regexp_replace(text, f"[^\x7f\x08]{BACKSPACE}", "")
+    pieces = F.split(text, BACKSPACE)
+    folded = F.aggregate(
+        F.slice(pieces, F.lit(2), F.size(pieces)), F.get(pieces, 0),
+        lambda held, piece: F.concat(F.left(held, F.greatest(F.length(held) - 1, F.lit(0))), piece),
+    )
+    return t.trim(F.when(text.rlike(BACKSPACE), folded).otherwise(text))
 
 
 def parse_keystrokes(logs: DataFrame, column: str = "input_log") -> DataFrame:
