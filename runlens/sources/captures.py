@@ -76,8 +76,10 @@ def parse_process_events(files: DataFrame, context: str = "edr:sysmon") -> DataF
     """Process-create records, flat or nested, as an array, one object or one object per line."""
     body = t.trim(F.col("body"))
     whole = F.from_json(body, "array<string>")
-    single = F.when(F.try_parse_json(body).isNotNull(), F.array(body))
-    lines = F.split(body, "\n")
+    lines = F.filter(F.split(body, "\n"), lambda ln: F.trim(ln) != "")
+    # A parser may stop after the first of many records, so a first line that is complete by itself means one per line.
+    per_line = (F.size(lines) > 1) & F.try_parse_json(F.get(lines, 0)).isNotNull()
+    single = F.when(~per_line & F.try_parse_json(body).isNotNull(), F.array(body))
     docs = F.when(body.startswith("[") & F.try_parse_json(body).isNotNull(), whole).otherwise(F.coalesce(single, lines))
     rows = files.select("file", F.posexplode(docs).alias("ord", "doc"))
     nested = "struct<Event:struct<System:map<string,string>,EventData:struct<Data:array<struct<`@Name`:string,`#text`:string>>>>>"
