@@ -165,8 +165,8 @@ def default_runs(spark, sf):
 STOPS = ", ".join(f"'{w}'" for w in rules.INDICATOR_STOPWORDS)
 PHASES = " ".join(f"when '{k}' then {v}" for k, v in rules.ARTIFACT_PHASE_WEIGHTS.items())
 CASES = f"""
-cs as (select session_uuid || '-case' case_id, session_uuid inc, lead(session_uuid) over (order by session_uuid) run from (select distinct session_uuid from ep)),
-cases as (select * from cs where run is not null),
+us as (select distinct session_uuid from ep),
+cases as (select a.session_uuid || '-case' case_id, a.session_uuid inc, b.session_uuid run from us a join us b on b.session_uuid::int = a.session_uuid::int + 1),
 tk as (select ep.*, list_filter(string_split_regex(cmd || ' ' || coalesce(output_digest, ''), '[\\s''"();]+'), lambda w: length(w) >= 4 and not list_contains([{STOPS}], lower(w)) and (regexp_matches(w, '[/.]') or regexp_matches(w, '(?i)^CVE-\\d') or length(w) > 6)) ws,
   regexp_extract_all(cmd, '[\\w.-]+\\.(?:conf|sh|service|txt|php|py|exe)\\b') files, (select max(f."value") from found f where f.session_uuid = ep.session_uuid and f.kind = 'vuln' and f.source_seq = ep.seq) cve from ep),
 il as (select *, list_distinct(list_transform(ws, lambda w: regexp_replace(w, '^\\.*', ''))) d, list_transform(ws, lambda w: regexp_replace(w, '^\\.*', '')) o from tk),
@@ -179,11 +179,11 @@ arts as (select session_uuid, seq source_seq, 'art:seq' || seq artifact_id, inds
 
 
 def _cases(run):
+    """Each user's session investigated by the next user."""
     users = run.sessions
-    from pyspark.sql import Window
-
-    nxt = F.lead(SESSION).over(Window.orderBy(SESSION))
-    return users.select(F.concat(SESSION, F.lit("-case")).alias("case_id"), F.col(SESSION).alias("incident_session"), nxt.alias("run_session")).where("run_session is not null")
+    after = users.select(F.col(SESSION).alias("run_session"), (F.col(SESSION).cast("bigint") - 1).cast("string").alias("incident_session"))
+    pairs = users.select(F.concat(SESSION, F.lit("-case")).alias("case_id"), F.col(SESSION).alias("incident_session"))
+    return pairs.join(after, "incident_session").select("case_id", "incident_session", "run_session")
 
 
 def _artifacts(run):

@@ -171,7 +171,8 @@ def finding_links(findings: DataFrame, uses: DataFrame) -> DataFrame:
 def objective_status(episodes: DataFrame, objectives_board: DataFrame, findings: DataFrame, uses: DataFrame) -> DataFrame:
     """Status, finding references and proof of every objective."""
     facts = findings.select(SESSION, "id", "kind", "source_seq", F.coalesce("proven", F.lit(False)).alias("proven"))
-    links = finding_links(findings, uses).join(facts, [SESSION, "id"])
+    wanted = objectives_board.where("user_satisfied_by_seq is not null").select(SESSION, F.col("user_satisfied_by_seq").alias("seq"))
+    links = finding_links(findings, uses).join(wanted, [SESSION, "seq"], "left_semi").join(facts, [SESSION, "id"])
     flagged = F.when((F.col("kind") == "flag") & F.col("proven"), F.struct("source_seq", "id"))
     at_seq = links.groupBy(SESSION, F.col("seq").alias("user_satisfied_by_seq")).agg(
         F.sort_array(F.collect_list(F.struct("source_seq", "id"))).alias("_refs"), F.min(flagged).alias("_flag")

@@ -51,19 +51,20 @@ def strip_alt_screen(taps: DataFrame) -> DataFrame:
     ``taps(session_uuid, input_log, output_log, timing_log)``. The screen depth may not fall below zero, so it is
     the running sum minus its lowest value so far (when that is negative). A tap is one file per session, read whole.
     """
-    lines = taps.where("output_log is not null and output_log <> '' and timing_log is not null and timing_log <> ''").select(
-        SESSION, "input_log", "output_log", F.posexplode(F.split("timing_log", r"\r?\n")).alias("n", "line")
-    )
+    timed_taps = taps.where("output_log is not null and output_log <> '' and timing_log is not null and timing_log <> ''")
+    lines = timed_taps.select(SESSION, F.posexplode(F.split("timing_log", r"\r?\n")).alias("n", "line"))
     pattern = r"^([IO])\s+[\d.]+\s+(\d+)"
     steps = lines.where(F.col("line").rlike(pattern)).select(
-        SESSION, "n", "input_log", "output_log", F.regexp_extract("line", pattern, 1).alias("side"),
-        F.regexp_extract("line", pattern, 2).cast("int").alias("size"),
+        SESSION, "n", F.regexp_extract("line", pattern, 1).alias("side"), F.regexp_extract("line", pattern, 2).cast("int").alias("size"),
     )
     w = Window.partitionBy(SESSION).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_side = Window.partitionBy(SESSION, "side").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = (F.sum("size").over(by_side) - F.col("size") + 1).cast("int")
-    chunk = F.substr(F.when(F.col("side") == "O", F.col("output_log")).otherwise(F.col("input_log")), at, F.col("size"))
-    steps = steps.withColumn("chunk", chunk).drop("input_log", "output_log")
+    steps = steps.withColumn("_at", (F.sum("size").over(by_side) - F.col("size") + 1).cast("int"))
+    # Positions come from the small timing rows alone; the logs are joined last and cut at once.
+    log = F.when(F.col("side") == "O", F.col("output_log")).otherwise(F.col("input_log"))
+    steps = steps.join(timed_taps.select(SESSION, "input_log", "output_log"), SESSION).select(
+        SESSION, "n", "side", F.substr(log, F.col("_at"), F.col("size")).alias("chunk")
+    )
     # Enter and leave marks of one chunk are counted first and clamped once, as one step.
     step = F.when(
         F.col("side") == "O",

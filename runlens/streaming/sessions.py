@@ -101,7 +101,7 @@ class SessionProcessor(StatefulProcessor):
         active = tuple(self.state.get()) if self.state.exists() else None
         return Controller(self.idle_us, self.auto_start, active)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         controller, source = self._load(), key[0]
         for batch in rows:
             events = []
@@ -111,11 +111,11 @@ class SessionProcessor(StatefulProcessor):
                 yield self._emit(source, events)
         self._save(controller)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         controller = self._load()
         if controller.active is not None:
             due = controller.active[2] + self.idle_us
-            if expired_timer_info.get_expiry_time_in_ms() * 1000 > due:
+            if expiredTimerInfo.getExpiryTimeInMs() * 1000 > due:
                 yield self._emit(key[0], controller.close(due, "idle"))
                 self.state.clear()
 
