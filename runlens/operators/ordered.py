@@ -116,6 +116,12 @@ def with_slices(
     )
 
 
+def colocate(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shuffle once on what the scans partition by, so that costly row expressions after it run spread out
+    and the scans themselves need no further shuffle."""
+    return df.repartition(*(keys if is_whole(df) else [*keys, SLICE]))
+
+
 def scan(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: dict[str, Step]
 ) -> DataFrame:

@@ -30,7 +30,7 @@ def segment_episodes(
     noise: DataFrame | None = None,
 ) -> DataFrame:
     """Episodes numbered from 1 per session; a long gap becomes its own pause row before the command."""
-    raw = ordered.with_slices(raw, [SESSION], "started_at_ms")
+    raw = ordered.colocate(ordered.with_slices(raw, [SESSION], "started_at_ms"), [SESSION])
     df = classify.with_noise_weight(classify.classify_commands(raw, priors), noise)
     df = df.withColumn("lane", F.when(t.on_target(F.col("context_path")), "target").otherwise("host"))
     ended = F.col("ended_at_ms")
