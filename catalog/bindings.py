@@ -109,7 +109,8 @@ class Run:
 
     @cached_property
     def objectives(self) -> DataFrame:
-        pick = self.sessions.select(SESSION, F.lit("host").alias("golden_id"))
+        """Objectives of the ladder that fits each session's own commands."""
+        pick = golden.is_web_run(raw_commands(self.spark, self.sf).select(SESSION, "context_path"))
         return align.session_objectives(pick, self.golden)
 
     @cached_property
