@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import mixing, packing, tokens
+from runlens.llm import mixing, packing, simhash, tokens
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder))
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(documents(spark, folder))
 
@@ -23,5 +27,5 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_token_counts, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_token_counts, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
