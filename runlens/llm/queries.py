@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.llm import mixing, packing, simhash, tokens
+from runlens.llm import mixing, packing, pii, simhash, tokens
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,9 +24,16 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(documents(spark, folder))
 
 
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.spans(documents(spark, folder), ["doc_id"])
+    counts = [pii.count(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE]
+    base = F.sha2(pii.listed(F.col("spans"), pii.BASE), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.listed(F.col("spans")).alias("spans"))
+
+
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_token_counts, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op10_source_mix)}
 ORACLE_SQL: dict[str, str] = {}
