@@ -36,7 +36,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """Maximal runs of characters that are no separators, in order; null text has none."""
     plain = F.translate(F.coalesce(text, F.lit("")), SEPARATORS[1:], " " * (len(SEPARATORS) - 1))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.array_remove(F.split(plain, " "), "")
 
 
 _is_word_byte = np.ones(256, dtype=bool)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import mixing, packing, pii, simhash, tokens
+from runlens.llm import mixing, packing, pii, quality, simhash, tokens
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(documents(spark, folder)).drop("source", "identity", "removed")
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder))
 
@@ -35,5 +39,32 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op10_source_mix)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op10_source_mix)}
+
+SEP = r"\x20\x09-\x0D"
+
+#: Words and lines of documents, the counts within a document, and the lines above the limit. `docs` is to be defined before.
+QUALITY_SQL = rf"""
+w as (select doc_id, source, coalesce(text, '') body, regexp_extract_all(coalesce(text, ''), '[^{SEP}]+') w from docs),
+grams as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select doc_id, w, unnest(range(1, len(w) - 1)) i from w)),
+twice as (select doc_id, g from grams group by all having count(*) > 1),
+rep as (select doc_id, count(distinct i + k) n from grams join twice using (doc_id, g) cross join (values (0), (1), (2)) t(k) group by 1),
+lines as (select doc_id, source, line, len(regexp_extract_all(line, '[^{SEP}]+')) words,
+    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789' || chr(9) || chr(11) || chr(12) || chr(13),
+      'abcdefghijklmnopqrstuvwxyz0000000000    '), '  +', ' ', 'g'), ' ') norm
+  from (select doc_id, source, unnest(string_split(body, chr(10))) line from w)),
+filled as (select * from lines where words > 0),
+dup as (select doc_id, count(*) - count(distinct line) n from filled group by 1),
+frequent as (select source, norm from filled join (select source, count(*) docs from w group by 1) h using (source)
+  group by source, norm, docs having count(distinct doc_id) > 20 and count(distinct doc_id) > 0.01 * docs),
+lost as (select doc_id, sum(words) n from filled join frequent using (source, norm) group by 1),
+base as (select w.doc_id, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
+    (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
+    coalesce(dup.n, 0)::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words, coalesce(lost.n, 0)::bigint removed_words
+  from w left join rep using (doc_id) left join dup using (doc_id) left join lost using (doc_id)),
+judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+    not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words <= 0.5 * n_words kept from base)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": f"with docs as (select * from documents), {QUALITY_SQL} select * from judged",
+}
