@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import mixing, packing, pii, quality, simhash, tokens
+from runlens.llm import lm, mixing, packing, pii, quality, simhash, tokens
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,11 +35,16 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.listed(F.col("spans")).alias("spans"))
 
 
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    return lm.scored(documents(spark, folder), held_out)
+
+
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op9_language_model, op10_source_mix)}
 
 SEP = r"\x20\x09-\x0D"
 
