@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import lm, mixing, packing, pii, quality, simhash, tokens, vectors
+from runlens.llm import lm, mixing, packing, pii, quality, simhash, tokens, vectors, wrapper
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.extracted(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     return lm.scored(documents(spark, folder), held_out)
@@ -48,7 +52,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op7_embedding_duplicates, op9_language_model, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op7_embedding_duplicates, op8_html_extraction, op9_language_model, op10_source_mix)}
 
 SEP = r"\x20\x09-\x0D"
 
