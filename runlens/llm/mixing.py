@@ -94,13 +94,16 @@ def head(texts: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([cut(t, k) for t, k in zip(texts, n)], dtype=object)
 
 
-def repeated(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents as the mix takes them: whole copies, then the first words of the text for a part. `decided` has one
-    row per document (key, size, taken), keys without repeats."""
-    takes = decided.select(F.col(key).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).where("_taken > 0")
-    rows = docs.join(takes, F.col(key).eqNullSafe(F.col("_id")))
-    copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    part = (F.col("_taken") % F.col("_size")).cast("int")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies + F.when(part > 0, 0).otherwise(-1))))
-    rows = rows.withColumn(text, F.when(F.col("_copy") == copies, head(F.col(text), part)).otherwise(F.col(text)))
-    return rows.select(*docs.columns)
+def repeated(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The documents as the mix takes them: whole copies, then the first words of the text for a part; all columns.
+
+    Rows with equal text and source that are repeated share evenly what they take, whole words each.
+    """
+    identity = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
+    rows = docs.withColumn("_id", identity)
+    decided = mixed(rows, "_id", source, text, **options)
+    takes = decided.groupBy(F.col("_id").alias("_i")).agg(F.max("size").alias("_size"), F.expr("sum(taken) div count(*)").alias("_taken")).where("_taken > 0")
+    rows = rows.join(takes, F.col("_id") == F.col("_i"))
+    copies, part = F.expr("cast(_taken div _size as int)"), (F.col("_taken") % F.col("_size")).cast("int")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies + F.when(part > 0, 1).otherwise(0))))
+    return rows.withColumn(text, F.when(F.col("_copy") > copies, head(F.col(text), part)).otherwise(F.col(text))).select(*docs.columns)

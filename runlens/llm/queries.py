@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import lm, mixing, packing, pii, quality, simhash, tokens, vectors, wrapper
+import corpus_pipeline
+from runlens.llm import licences, lm, mixing, packing, pii, quality, simhash, tokens, vectors, wrapper
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +36,13 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.listed(F.col("spans")).alias("spans"))
 
 
+def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as files: a folder per source, language and hundred of documents."""
+    docs = documents(spark, folder)
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scanned(docs.withColumn("path", path), "doc_id")
+
+
 def op7_embedding_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
@@ -52,7 +60,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op7_embedding_duplicates, op8_html_extraction, op9_language_model, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op6_licence_scan, op7_embedding_duplicates, op8_html_extraction, op9_language_model, op10_source_mix)} | {"pipeline": corpus_pipeline.run}
 
 SEP = r"\x20\x09-\x0D"
 
@@ -78,6 +86,36 @@ base as (select w.doc_id, len(w)::bigint n_words, coalesce(list_sum(list_transfo
 judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
     not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words <= 0.5 * n_words kept from base)"""
 
+TEMPLATE_ROWS = ", ".join(f"('{a}', '{b.lower()}')" for a, b in licences.TEMPLATES)
+LICENCE_SQL = f"""
+with tmpl as (select row_number() over (order by body) t, licence, body from (values {TEMPLATE_ROWS}) v(licence, body)),
+tterm as (select t, licence, unnest(regexp_extract_all(body, '[a-z0-9]+(?:[.][0-9]+)?')) term from tmpl),
+idf as (select term, ln((1.0 + {len(licences.TEMPLATES)}) / (1 + count(distinct t))) + 1 idf from tterm group by 1),
+tw as (select t, licence, term, (1 + ln(count(*))) * any_value(idf) w from tterm join idf using (term) group by 1, 2, 3),
+tn as (select t, licence, term, w / sqrt(sum(w * w) over (partition by t)) v from tw),
+files as (select doc_id, source || '/' || lang || '/' || (doc_id // 100) || '/' || doc_id || '.txt' path,
+  source || '/' || lang || '/' || (doc_id // 100) dir, coalesce(text, '') body from documents),
+sent as (select distinct doc_id, s from (select doc_id,
+    unnest(string_split(regexp_replace(lower(body), '([.;!?])[ \t\r]+', '\\1' || chr(10), 'g'), chr(10))) s from files)
+  where regexp_matches(s, '{licences.NOTICE}')),
+sw as (select s, term, (1 + ln(count(*))) * any_value(coalesce(idf, ln(1.0 + {len(licences.TEMPLATES)}) + 1)) w
+  from (select s, unnest(regexp_extract_all(s, '[a-z0-9]+(?:[.][0-9]+)?')) term from (select distinct s from sent)) left join idf using (term) group by 1, 2),
+sn as (select s, term, w / sqrt(sum(w * w) over (partition by s)) w from sw),
+best as (select s, licence, score from (select s, licence, round(sum(w * v), 6) score from sn join tn using (term) group by s, t, licence)
+  where score >= {licences.LEAST} qualify row_number() over (partition by s order by score desc, licence) = 1),
+own as (select doc_id, licence own_licence, score own_score,
+    len(regexp_extract_all(s, '[^{SEP}]+')) / len(regexp_extract_all(body, '[^{SEP}]+')) share
+  from sent join best using (s) join files using (doc_id)
+  qualify row_number() over (partition by doc_id order by score desc, licence, share desc) = 1),
+holder as (select dir holder, own_licence from own join files using (doc_id) where share >= {licences.FILE_SHARE}
+  qualify row_number() over (partition by dir order by own_score desc, own_licence) = 1),
+up as (select dir, holder, own_licence inherited from (select distinct dir from files) join holder on starts_with(dir || '/', holder || '/')
+  qualify row_number() over (partition by dir order by length(holder) desc) = 1)
+select doc_id, path, own_licence, own_score, coalesce(own_licence, inherited) licence,
+  case when own_licence is null then holder end from_directory
+from files left join own using (doc_id) left join up using (dir)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": f"with docs as (select * from documents), {QUALITY_SQL} select * from judged",
+    "op6_licence_scan": LICENCE_SQL,
 }
