@@ -247,7 +247,7 @@ def model(sequences: DataFrame) -> DataFrame:
     def upward(batches):
         for key, n in _whole_groups(batches):
             code, zeros, ones, below = local_levels(key, n)[0].shorter()
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(zeros), pa.array(ones), pa.array(below)], names=["code", "zeros", "ones", "below"])
+            yield pa.RecordBatch.from_arrays([pa.array(code), *(pa.array(x, pa.float64()) for x in (zeros, ones, below))], names=["code", "zeros", "ones", "below"])
 
     sums = grouped(sequences).mapInArrow(upward, "code long, zeros double, ones double, below double")
     sums = sums.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()  # at most 2^16 contexts of 255 decisions
@@ -259,7 +259,7 @@ def model(sequences: DataFrame) -> DataFrame:
         for key, n in _whole_groups(batches):
             upper = upper or top_levels(*shared.value)
             logp = log_probability(key, upper + local_levels(key, n))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(logp)], names=["key", "n", "logp"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(logp, pa.float64())], names=["key", "n", "logp"])
 
     return grouped(sequences).mapInArrow(downward, "key long, n long, logp double")
 
@@ -326,7 +326,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
                         batch.column(2).slice(start, n) if own else pa.nulls(len(of), pa.bool_()),
                         pa.array(lines.n_words + 1, pa.int64()) if own else pa.nulls(len(of), pa.int64()),
                         pa.array(known, pa.int64()) if own else pa.nulls(len(of), pa.int64()),
-                        pa.array(base) if own else none, pa.array(points) if own else none,
+                        pa.array(base, pa.float64()) if own else none, pa.array(points, pa.float64()) if own else none,
                         pa.array(lines.sizes(), pa.int64()) if own else pa.nulls(len(of), pa.int64())],
                         names=["kind", "row", "key", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
