@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from runlens.llm import common, graph
 
 TILE, STRIP = 4096, 1024  # vectors that are shuffled as one, and compared as one
-STEPS = (8, 24)  # leading axes after which pairs are given up
-SLACK = 1e-9  # of rounding; what passes is compared exactly
+SHARES = (0.2, 0.6)  # of the variance that the leading axes hold when pairs may be given up
+SLACK = 1e-4  # more than single precision loses; what passes is computed in double precision
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -38,8 +38,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def principal_axes(vectors: DataFrame, size: int) -> np.ndarray:
-    """Axes as columns, largest variance first. Each task gives the sums of its products; they are added by cell, so the
+def principal_axes(vectors: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axes as columns, largest variance first, and the mean square of the vectors along each. Each task gives the sums of its products; they are added by cell, so the
     driver gets size * size numbers."""
     def products(batches):
         total = np.zeros((size + 1, size))
@@ -54,53 +54,64 @@ def principal_axes(vectors: DataFrame, size: int) -> np.ndarray:
     total[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
     total, n = total.reshape(size + 1, size), vectors.count()
     mean = total[size] / max(1, n)
-    return np.linalg.eigh(total[:size] / max(1, n) - np.outer(mean, mean))[1][:, ::-1]
-
-
-def _near(x: np.ndarray, y: np.ndarray, unit_x: np.ndarray, unit_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two strips whose cosine reaches `least`; x and y are the unit vectors on the principal axes."""
-    steps = [s for s in STEPS if s < x.shape[1]] or [x.shape[1]]
-    k = steps[0]
-    rest = lambda z, k: np.sqrt(np.maximum(0.0, 1.0 - (z[:, :k] * z[:, :k]).sum(axis=1)))
-    bound = x[:, :k] @ y[:, :k].T
-    i, j = np.nonzero(bound + np.outer(rest(x, k), rest(y, k)) >= least - SLACK)
-    so_far = bound[i, j]
-    for lo, hi in zip(steps, steps[1:]):
-        rx, ry = rest(x, hi), rest(y, hi)
-        keep = []
-        for s in range(0, len(i), 1 << 18):
-            a, b = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-            sums = so_far[s : s + (1 << 18)] + (x[a, lo:hi] * y[b, lo:hi]).sum(axis=1)
-            so_far[s : s + (1 << 18)] = sums
-            keep.append(sums + rx[a] * ry[b] >= least - SLACK)
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-        i, j, so_far = i[keep], j[keep], so_far[keep]
+    variance, axes = np.linalg.eigh(total[:size] / max(1, n) - np.outer(mean, mean))
+    # Bounds are on products, not on differences from the mean: what an axis holds is its second moment.
+    return axes[:, ::-1], variance[::-1] + (mean @ axes[:, ::-1]) ** 2
+
+
+class Turned:
+    """Unit vectors on the principal axes in single precision, with what is left of their norms after each step."""
+
+    def __init__(self, unit: np.ndarray, axes: np.ndarray, steps: list[int]):
+        exact = unit @ axes
+        self.x, self.first = exact.astype(np.float32), exact[:, 0]
+        squares = np.cumsum(exact * exact, axis=1)
+        self.left = {k: np.sqrt(np.maximum(0.0, 1.0 - squares[:, k - 1])).astype(np.float32) for k in steps}
+
+
+def steps_of(variance: np.ndarray) -> list[int]:
+    """Numbers of leading axes that hold the SHARES of the variance."""
+    held = np.cumsum(np.maximum(variance, 0.0))
+    return sorted({min(len(held), int(np.searchsorted(held, s * held[-1])) + 1) for s in SHARES})
+
+
+def _near(x: Turned, a: np.ndarray, b: np.ndarray, unit: np.ndarray, steps: list[int], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a and b whose cosine reaches `least`. Products of the axes are added up step by step; after each one
+    the strip is given up if no pair can still reach it. The pairs that can after the last step are computed exactly."""
+    total, done = np.float32(0), 0
+    for k in steps:
+        total = total + x.x[a, done:k] @ x.x[b, done:k].T
+        open_ = total + np.outer(x.left[k][a], x.left[k][b]) >= least - SLACK
+        done = k
+        if not open_.any():
+            return a[:0], b[:0]
+    i, j = np.nonzero(open_)
+    i, j = a[i], b[j]
     exact = np.zeros(len(i), bool)
     for s in range(0, len(i), 1 << 18):
-        a, b = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-        exact[s : s + (1 << 18)] = (unit_x[a] * unit_y[b]).sum(axis=1) >= least
+        part = slice(s, s + (1 << 18))
+        exact[part] = (unit[i[part]] * unit[j[part]]).sum(axis=1) >= least
     return i[exact], j[exact]
 
 
-def compared(table: pa.Table, axes: np.ndarray, least: float) -> pa.Table:
+def compared(table: pa.Table, axes: np.ndarray, steps: list[int], least: float) -> pa.Table:
     """Of one pair of tiles: node, n (weighted links of it) and other (a node of its group here, or null)."""
     left = table.column("left").to_numpy()
     node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
     unit = _unit(_matrix(table.column("vector").combine_chunks(), len(axes)))
-    turned = unit @ axes
+    turned = Turned(unit, axes, steps)
     alone = left.all()
     sides = [np.flatnonzero(left)] * 2 if alone else [np.flatnonzero(left), np.flatnonzero(~left)]
-    sides = [s[np.argsort(turned[s, 0], kind="stable")] for s in sides]
+    sides = [s[np.argsort(turned.first[s], kind="stable")] for s in sides]
     apart = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
     n, froms, tos = np.zeros(len(node), np.int64), [], []
     for p in range(0, len(sides[0]), STRIP):
         a = sides[0][p : p + STRIP]
         for q in range(p if alone else 0, len(sides[1]), STRIP):
             b = sides[1][q : q + STRIP]
-            if turned[b[0], 0] - turned[a[-1], 0] > apart or turned[a[0], 0] - turned[b[-1], 0] > apart:
+            if turned.first[b[0]] - turned.first[a[-1]] > apart or turned.first[a[0]] - turned.first[b[-1]] > apart:
                 continue
-            i, j = _near(turned[a], turned[b], unit[a], unit[b], least)
-            i, j = a[i], b[j]
+            i, j = _near(turned, a, b, unit, steps, least)
             if alone:  # a strip with itself gives each pair twice, and each vector with itself
                 once = i < j if p == q else np.ones(len(i), bool)
                 i, j = i[once], j[once]
@@ -135,7 +146,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     kind = rows.schema[key].dataType.simpleString()
     if not total:
         return own.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.col(key).isNotNull().alias("kept"))
-    axes = principal_axes(distinct, size)
+    axes, variance = principal_axes(distinct, size)
+    steps = steps_of(variance)
 
     def first_axis(batches):
         for batch in batches:
@@ -177,7 +189,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
                                                  names=["a", "b", "left", "node", "copies", "vector"])
 
     pairs = placed.mapInArrow(replicate, "a long, b long, left boolean, node long, copies long, vector array<double>")
-    found = pairs.groupBy("a", "b").applyInArrow(lambda t: compared(t, axes, least), "node long, n long, other long")
+    found = pairs.groupBy("a", "b").applyInArrow(lambda t: compared(t, axes, steps, least), "node long, n long, other long")
     found = common.saved(found, "found")
     linked = found.groupBy("node").agg(F.sum("n").alias("n")).select(F.col("node").alias("_n"), "n")
     root = graph.components(found.where("other is not null").select("node", "other"), "node", "other").withColumnRenamed("node", "_m")
