@@ -9,10 +9,11 @@ of the group's pages is template; what varies is a slot. A page's text is what s
 from __future__ import annotations
 
 import html
-import json
 import re
+from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,9 @@ from runlens.llm import common
 
 #: Pages a group needs for a template, and the share of them that has to have the same text in the same place.
 LEAST_PAGES, SHARE = 5, 0.5
-SALTS = 32  # tasks that a group's pages are dealt to at least
+#: Bytes of references that tasks hold; pages of further groups are joined to theirs, in SALTS parts of each group.
+MOST_BYTES, SALTS = 64 << 20, 32
+KEPT_TREES = 256  # parsed references that a task keeps
 MOST_DEPTH = 200  # deeper elements become siblings, so that recursion is bounded
 
 # Fixed values of HTML.
@@ -117,43 +120,47 @@ def _elements(nodes: list[list]) -> tuple[list[list[int]], list[str], list[str]]
     return children, labels, [" ".join(t.split()) for t in texts]
 
 
-def align(nodes: list[list], reference: list[list]) -> list[int]:
-    """For each node the element of the reference that simple tree matching pairs it with, or -1."""
-    kids, labels, _ = _elements(nodes)
-    ref_kids, ref_labels, _ = _elements(reference)
+class Tree:
+    """A page's elements: children, labels and own texts by node."""
+
+    def __init__(self, nodes: list[list]):
+        self.kids, self.labels, self.texts = _elements(nodes)
+
+
+def _weight(x: Tree, y: Tree, a: int, b: int, tables: dict) -> int:
+    """Nodes of the largest match of two subtrees whose roots have the same label; keeps the tables by pair of roots."""
+    own, other = x.kids[a], y.kids[b]
+    if not own or not other:
+        return 1
+    before = [0] * (len(other) + 1)
+    rows = [before]
+    for i in own:
+        row, label, leaf = [0], x.labels[i], not x.kids[i]
+        for k, j in enumerate(other):
+            best = row[k] if row[k] > before[k + 1] else before[k + 1]
+            if y.labels[j] == label:
+                both = before[k] + (1 if leaf or not y.kids[j] else _weight(x, y, i, j, tables))
+                if both > best:
+                    best = both
+            row.append(best)
+        rows.append(row)
+        before = row
+    tables[a, b] = rows
+    return 1 + before[-1]
+
+
+def align(x: Tree, y: Tree) -> list[int]:
+    """For each node of a page the element of the reference that simple tree matching pairs it with, or -1."""
     tables: dict[tuple[int, int], list[list[int]]] = {}
-
-    def weight(a: int, b: int) -> int:
-        """Nodes of the largest match of two trees with the same label."""
-        x, y = kids[a], ref_kids[b]
-        if not x or not y:
-            return 1
-        before = [0] * (len(y) + 1)
-        rows = [before]
-        for i in x:
-            row, label, leaf = [0], labels[i], not kids[i]
-            for k, j in enumerate(y):
-                best = row[k] if row[k] > before[k + 1] else before[k + 1]
-                if ref_labels[j] == label:
-                    both = before[k] + (1 if leaf or not ref_kids[j] else weight(i, j))
-                    if both > best:
-                        best = both
-                row.append(best)
-            rows.append(row)
-            before = row
-        tables[a, b] = rows
-        return 1 + before[-1]
-
-    match = [-1] * len(nodes)
-    weight(0, 0)
-    todo = [(0, 0)]
+    _weight(x, y, 0, 0, tables)
+    match, todo = [-1] * len(x.kids), [(0, 0)]
     while todo:
         a, b = todo.pop()
         match[a] = b
-        rows, x, y = tables.get((a, b)), kids[a], ref_kids[b]
+        rows, own, other = tables.get((a, b)), x.kids[a], y.kids[b]
         if rows is None:
             continue
-        i, j = len(x), len(y)
+        i, j = len(own), len(other)
         while i and j:
             if rows[i][j] == rows[i - 1][j]:
                 i -= 1
@@ -161,7 +168,7 @@ def align(nodes: list[list], reference: list[list]) -> list[int]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((x[i], y[j]))
+                todo.append((own[i], other[j]))
     return match
 
 
@@ -232,28 +239,28 @@ def layout(nodes: list[list]) -> str:
     return "|".join(seen)
 
 
-def _mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """fn gives a row for each row, both as tuples."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def _group(host: str, nodes: list[list]) -> int:
+    return _hash(f"{host} {layout(nodes)}")
 
-    def run(batches):
-        for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                rows = [fn(*r) for r in zip(*(c.to_pylist() for c in part.columns))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], target[i]) for i in range(len(names))], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    target = [to_arrow_type(f.dataType) for f in _parse_datatype_string(schema).fields]
-    return df.mapInArrow(run, schema)
 
+def _slots(nodes: list[list], reference: Tree) -> list[tuple[int, int]]:
+    """Nodes with text that are paired with an element of the reference, and the hash of that element and the text."""
+    tree = Tree(nodes)
+    return [(i, _hash(f"{j} {tree.texts[i]}")) for i, j in enumerate(align(tree, reference)) if j >= 0 and tree.texts[i]]
 
-def _hash(text: str) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def _frequent(groups: DataFrame) -> DataFrame:
+    """The groups with most pages whose references have MOST_BYTES together at most: all from a power of two of pages on."""
+    level = F.length(F.bin("pages")) - 1
+    sizes = {r["l"]: r["b"] for r in groups.groupBy(level.alias("l")).agg(F.sum(F.length("reference")).alias("b")).collect()}  # at most 64 rows
+    least = 64
+    while least > 0 and sum(b for lev, b in sizes.items() if lev >= least - 1) <= MOST_BYTES:
+        least -= 1
+    return groups.where(level >= least)
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -262,46 +269,114 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     Null and empty pages have no text. Pages without url form groups of their own by layout; a null key and repeated rows
     are kept. Groups of fewer than LEAST_PAGES pages have no template. Where a template would leave nothing (a group of
     copies), it is not applied. An empty table gives an empty result.
+
+    Pages are read three times (groups, template, text) and are not moved, except those of groups beyond the bound on what
+    is broadcast, which are joined to their reference, each group dealt to SALTS tasks.
     """
-    kind = pages.schema[key].dataType.simpleString()
+    spark, kind = pages.sparkSession, pages.schema[key].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
-
-    def read(id_, url_, host_, html_):
-        nodes = parse(html_)
-        return id_, url_, _hash(f"{host_} {layout(nodes)}"), sum(n[1] != "#" for n in nodes), json.dumps(nodes, ensure_ascii=True)
-
-    trees = _mapped(rows, read, f"id {kind}, url string, grp long, size int, nodes string")
-    trees = common.saved(trees.withColumn("row", F.monotonically_increasing_id()), "trees")
-    best = trees.groupBy("grp").agg(F.min(F.struct("size", F.xxhash64("nodes").alias("h"), "row")).alias("b"), F.count("*").alias("pages"))
-    best = best.where(F.col("pages") >= LEAST_PAGES).select(F.col("grp").alias("g"), F.col("b.row").alias("r"), "pages")
-    reference = trees.join(best, F.col("row") == F.col("r")).select("g", F.col("nodes").alias("reference"))
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    own = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
-
-    def match(row, grp, nodes, reference):
-        if reference is None:
-            return row, grp, [], []
-        nodes = json.loads(nodes)
-        texts = _elements(nodes)[2]
-        pairs = [(i, j) for i, j in enumerate(align(nodes, json.loads(reference))) if j >= 0 and texts[i]]
-        return row, grp, [i for i, _ in pairs], [_hash(f"{j} {texts[i]}") for i, j in pairs]
-
-    sent = reference.withColumn("s", salt)
-    matched = trees.withColumn("_s", own).join(sent, (F.col("grp") == F.col("g")) & (F.col("_s") == F.col("s")), "left").select("row", "grp", "nodes", "reference")
-    matched = common.saved(_mapped(matched, match, "row long, grp long, at array<int>, slots array<long>"), "matched")
-    same = matched.select("grp", F.explode("slots").alias("slot")).groupBy("grp", "slot").agg(F.count("*").alias("n"))
-    fixed = same.join(best, F.col("grp") == F.col("g")).where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= SHARE * F.col("pages")))
-    # At most two texts of each element of the reference can stand on half of the pages.
-    fixed = fixed.groupBy("grp").agg(F.collect_list("slot").alias("fixed")).withColumnRenamed("grp", "g").withColumn("s", salt)
-    matched = matched.withColumn("_s", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(fixed, (F.col("grp") == F.col("g")) & (F.col("_s") == F.col("s")))
-    constant = F.transform(F.filter(F.arrays_zip("at", "slots"), lambda x: F.array_contains(F.col("fixed"), x["slots"])), lambda x: x["at"])
-    matched = matched.select(F.col("row").alias("r"), constant.alias("template"))
+    body = F.coalesce(F.col(page).cast("string"), F.lit(""))
+    rows = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), host.alias("host"), body.alias("html"))
+    of_page = F.xxhash64("host", "html")  # equal pages are interchangeable as references
 
-    def write(id_, url_, nodes, template):
-        text = main_text(json.loads(nodes), frozenset(template or ()))
-        return id_, url_, text, len(text)
+    def head(batches):
+        for batch in batches:
+            nodes = [parse(h) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([_group(h, n) for h, n in zip(batch.column(1).to_pylist(), nodes)], pa.int64()),
+                pa.array([sum(x[1] != "#" for x in n) for n in nodes], pa.int32())], names=["page", "grp", "size"])
+
+    heads = common.saved(rows.select(of_page.alias("page"), "host", "html").mapInArrow(head, "page long, grp long, size int"), "heads")
+    best = heads.groupBy("grp").agg(F.min(F.struct("size", "page")).alias("b"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    best = common.saved(best.select("grp", F.col("b.page").alias("page"), "pages"), "best")
+    chosen = rows.select(of_page.alias("_page"), "html").join(best, F.col("_page") == F.col("page")).groupBy("grp", "pages").agg(F.min("html").alias("reference"))
+    groups = common.saved(chosen, "references")
+    near = _frequent(groups)
+    direct = {r["grp"]: r["reference"] for r in near.select("grp", "reference").toLocalIterator()}  # MOST_BYTES at most
+    far = groups.join(near.select(F.col("grp").alias("_g")), F.col("grp") == F.col("_g"), "left_anti")
+    shared, some_far = spark.sparkContext.broadcast(direct), not far.isEmpty()
+
+    def placed(df: DataFrame) -> DataFrame:
+        """Pages of groups that are not broadcast, with what df has for their group (grp, ...)."""
+        def place(batches):
+            for batch in batches:
+                hosts, htmls = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                grp = [_group(h, parse(x)) for h, x in zip(hosts, htmls)]
+                keep = pa.array([g not in shared.value for g in grp])
+                yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns), pa.array(grp, pa.int64()).filter(keep)], names=[*batch.schema.names, "grp"])
+
+        own = rows.mapInArrow(place, f"id {kind}, url string, host string, html string, grp long").withColumn("s", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+        side = df.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("grp", "_g")
+        return own.join(side, (F.col("grp") == F.col("_g")) & (F.col("s") == F.col("_s")), "left")
+
+    def count(batches, of):
+        """Slots of a batch with their number; `of` gives group and reference of each row."""
+        cache: dict[int, Tree] = {}
+        for batch in batches:
+            found: Counter = Counter()
+            for grp, nodes, reference in of(batch):
+                if reference is not None:
+                    if grp not in cache:
+                        if len(cache) >= KEPT_TREES:
+                            cache.clear()
+                        cache[grp] = Tree(parse(reference))
+                    found.update((grp, slot) for _, slot in _slots(nodes, cache[grp]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([g for g, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["grp", "slot", "n"])
+
+    def direct_rows(batch):
+        for host_, html_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            nodes = parse(html_)
+            grp = _group(host_, nodes)
+            yield grp, nodes, shared.value.get(grp)
+
+    def far_rows(batch):
+        for grp, html_, reference in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            yield grp, parse(html_), reference
+
+    same = rows.select("host", "html").mapInArrow(lambda b: count(b, direct_rows), "grp long, slot long, n long")
+    if some_far:
+        same = same.unionByName(placed(far).select("grp", "html", "reference").mapInArrow(lambda b: count(b, far_rows), "grp long, slot long, n long"))
+    same = same.groupBy("grp", "slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    fixed = same.join(groups.select(F.col("grp").alias("_g"), "pages", "reference"), F.col("grp") == F.col("_g")).where(F.col("n") >= SHARE * F.col("pages"))
+    # At most two texts of each element of the reference can stand on half of the pages.
+    fixed = common.saved(fixed.groupBy("grp", "reference").agg(F.collect_list("slot").alias("fixed")), "fixed")
+    known = fixed.join(near.select(F.col("grp").alias("_g")), F.col("grp") == F.col("_g"), "left_semi")
+    templates = spark.sparkContext.broadcast({r["grp"]: frozenset(r["fixed"]) for r in known.select("grp", "fixed").toLocalIterator()})
+
+    def text_of(grp, nodes, reference, slots, cache):
+        if not slots:
+            return main_text(nodes)
+        if grp not in cache:
+            if len(cache) >= KEPT_TREES:
+                cache.clear()
+            cache[grp] = Tree(parse(reference))
+        return main_text(nodes, frozenset(i for i, slot in _slots(nodes, cache[grp]) if slot in slots))
+
+    def written(id_, url_, texts):
+        return pa.RecordBatch.from_arrays([id_, url_, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+
+    def write(batches):
+        cache: dict[int, Tree] = {}
+        for batch in batches:
+            keep, texts = [], []
+            for i, (host_, html_) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                nodes = parse(html_)
+                grp = _group(host_, nodes)
+                if grp in shared.value or not some_far:
+                    keep.append(i)
+                    texts.append(text_of(grp, nodes, shared.value.get(grp), templates.value.get(grp), cache))
+            at = pa.array(keep, pa.int64())
+            yield written(batch.column(0).take(at), batch.column(1).take(at), texts)
+
+    def write_far(batches):
+        cache: dict[int, Tree] = {}
+        for batch in batches:
+            texts = [text_of(g, parse(h), r, frozenset(f or ()), cache) for g, h, r, f in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield written(batch.column(0), batch.column(1), texts)
 
-    out = trees.join(matched, F.col("row") == F.col("r"), "left").select("id", "url", "nodes", "template")
-    out = _mapped(out, write, f"id {kind}, url string, text string, n_chars long")
+    schema = f"id {kind}, url string, text string, n_chars long"
+    out = rows.mapInArrow(write, schema)
+    if some_far:
+        out = out.unionByName(placed(fixed).select("id", "url", "grp", "html", "reference", "fixed").mapInArrow(write_far, schema))
     return out.select(F.col("id").alias(key), F.col("url").alias(url), "text", "n_chars")
