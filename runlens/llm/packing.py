@@ -1,10 +1,11 @@
 """Packing of token pieces into sequences of fixed length by exact-complement hashing, then best fit.
 
 A plan needs only how many pieces there are of each length, so at most `capacity` numbers reach the driver, whatever the
-input. Counts by length are the index: a gap is looked up as one length, as a pair and as a triple that sums to it. Each
-combination is taken as often as its scarcest length allows, so every step uses up a length and the plan has about as
-many entries as lengths. What finds no exact complement is placed by best fit, longest first. Pieces then get their place
-from their rank within their length.
+input. Counts by length are the index: a gap is looked up as one length, as a pair and as a triple that sums to it. Where
+there is none, the longest piece that goes in is taken (best fit) and the rest of the gap is looked up again. Lengths are
+taken from the longest on, so that no long piece finds the short ones used up. Each combination is taken as often as its
+scarcest length allows, so steps use up lengths and the plan has few entries. Pieces then get their place from their rank
+within their length.
 """
 
 from __future__ import annotations
@@ -68,63 +69,43 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     taken = np.zeros(capacity + 1, dtype=np.int64)
     groups: list[tuple[tuple[int, ...], int]] = []
 
-    def take(combination: tuple[int, ...]) -> bool:
-        need = np.bincount(combination, minlength=capacity + 1)
+    def take(combination: tuple[int, ...]) -> None:
+        """As often as its scarcest length allows."""
+        need = np.bincount(combination)
         used = np.flatnonzero(need)
         times = int((left[used] // need[used]).min())
-        if times > 0:
-            left[used] -= times * need[used]
-            groups.append((combination, times))
-        return times > 0
-
-    def pair(total: int, least: int):
-        """Two available lengths from `least` on that sum to `total`; the longer first."""
-        short = np.arange(max(1, least), total // 2 + 1)
-        if len(short):
-            fits = (left[short] > 0) & (left[total - short] > np.where(short == total - short, 1, 0))
-            if fits.any():
-                a = int(short[np.flatnonzero(fits)[-1]])
-                return total - a, a
+        left[used] -= times * need[used]
+        groups.append((combination, times))
+
+    def exactly(gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to the gap; the longest first."""
+        if left[gap]:
+            return (gap,)
+        for third in (0, *np.flatnonzero(left[: gap // 3 + 1])):
+            total, least = gap - third, max(1, third)
+            short = np.arange(least, total // 2 + 1)
+            need_short, need_long = 1 + (short == third), 1 + (short == total - short) + (total - short == third)
+            fits = np.flatnonzero((left[short] >= need_short) & (left[total - short] >= need_long))
+            if len(fits):
+                a = int(short[fits[0]])
+                return tuple(x for x in (total - a, a, int(third)) if x)
         return None
 
-    if left[capacity]:
-        take((capacity,))
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity, 0, -1):
         while left[length]:
-            gap = capacity - length
-            left[length] -= 1  # the piece whose gap is filled
-            found = (gap,) if left[gap] else pair(gap, 1)
-            if found is None:
-                for a in range(1, gap // 3 + 1):
-                    if left[a]:
-                        left[a] -= 1
-                        two = pair(gap - a, a)
-                        left[a] += 1
-                        if two:
-                            found = (*two, a)
-                            break
-            left[length] += 1
-            if found is None or not take((length, *found)):
-                break
-    open_by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for length in range(capacity - 1, 0, -1):
-        n = int(left[length])
-        while n:
-            gap = next((g for g in range(length, capacity) if open_by_gap.get(g)), None)
-            if gap is None:
-                each = capacity // length
-                parts = [((length,) * each, n // each), ((length,) * (n % each), 1 if n % each else 0)]
-                for combination, times in parts:
-                    if times:
-                        open_by_gap.setdefault(capacity - sum(combination), []).append((combination, times))
-                break
-            combination, times = open_by_gap[gap].pop()
-            fit = min(times, n)
-            if times > fit:
-                open_by_gap[gap].append((combination, times - fit))
-            open_by_gap.setdefault(gap - length, []).append(((*combination, length), fit))
-            n -= fit
-    groups += [g for held in open_by_gap.values() for g in held]
+            combination, gap = (length,), capacity - length
+            left[length] -= 1
+            while gap:
+                found = exactly(gap)
+                if found is None:  # best fit: the longest piece that goes in, then the rest of the gap again
+                    fitting = np.flatnonzero(left[: gap + 1])
+                    found = (int(fitting[-1]),) if len(fitting) else ()
+                if not found:
+                    break
+                left[list(set(found))] -= np.bincount(found)[list(set(found))]
+                combination, gap = (*combination, *found), gap - sum(found)
+            np.add.at(left, list(combination), 1)
+            take(combination)
     out, sequence = [], 0
     for combination, times in groups:
         offset = 0
