@@ -21,8 +21,8 @@ KIND = """case when event_type = 'click' then 'command' when event_type = 'view'
 URL = "concat('http://10.10.10.5/p', k, '?q=', event_id % 7)"
 
 
-def json_lines(spark, sf):
-    """Each event as one telemetry line; every tenth line is cut short."""
+def json_lines(spark, sf, broken=False):
+    """Each event as one telemetry line; on request every tenth line is cut short, to be rejected by the parser."""
     e = table(spark, sf, "events").withColumn("k", F.regexp_extract("props", r'"k": (\d+)', 1).cast("int"))
     payload = F.struct(
         F.expr(CMD).alias("cmd"), F.expr(f"coalesce({OUTPUT}, '')").alias("text"), (F.col("k") * 2).alias("line_count"), F.lit("GET").alias("method"),
@@ -32,7 +32,7 @@ def json_lines(spark, sf):
         (F.col("event_id") % 40).alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_utc_us"), F.expr(KIND).alias("kind"),
         payload.alias("payload"))
     line = F.to_json(body)
-    return e.select(F.when(F.col("event_id") % 10 == 0, F.substr(line, F.lit(1), F.lit(60))).otherwise(line).alias("value"))
+    return e.select(F.when(F.lit(broken) & (F.col("event_id") % 10 == 0), F.substr(line, F.lit(1), F.lit(60))).otherwise(line).alias("value"))
 
 
 def telemetry(spark, sf):
@@ -40,14 +40,14 @@ def telemetry(spark, sf):
 
 
 SQL_ENV = f"""
-ev as (select *, regexp_extract(props, '"k": ([0-9]+)', 1)::int k from events where event_id % 10 <> 0),
+ev as (select *, regexp_extract(props, '"k": ([0-9]+)', 1)::int k from events),
 env as (select 'host' || (user_id % 3) source, user_id::varchar session_uuid, event_id % 40 seq, epoch_us(ts) ts_utc_us, {KIND} kind, {CMD} cmd, coalesce({OUTPUT}, '') as "text", k * 2 line_count,
   {URL} url, (event_id % 40)::varchar pair_id from ev)"""
 
 
-@query("parsed_envelopes", f"with {SQL_ENV} select source, session_uuid, seq, ts_utc_us, kind, cmd from env")
+@query("parsed_envelopes", f"with {SQL_ENV.replace('k from events)', 'k from events where event_id % 10 <> 0)')} select source, session_uuid, seq, ts_utc_us, kind, cmd from env")
 def parsed_envelopes(spark, sf):
-    return telemetry(spark, sf).select("source", SESSION, "seq", "ts_utc_us", "kind", F.col("payload.cmd").alias("cmd"))
+    return envelopes.parse_lines(json_lines(spark, sf, broken=True)).select("source", SESSION, "seq", "ts_utc_us", "kind", F.col("payload.cmd").alias("cmd"))
 
 
 LAST = """
@@ -165,7 +165,7 @@ def _har(spark, sf):
 
 
 @query("http_archives", f"""select 'page-' || page_id session_uuid, 1704067200250 + (page_id % 60) * 1000 started_at_ms, 1704067200250 + (page_id % 60) * 1000 + floor(page_id * 1.5 + 0.5)::bigint ended_at_ms,
-  md5(substr({SQL_REDACT.replace('X', 'html')}, 1, 2000)) body from pages""")
+  md5({SQL_REDACT.replace('X', 'html')}) body from pages""")
 def http_archives(spark, sf):
     df = captures.parse_har(_har(spark, sf))
     return df.select(SESSION, "started_at_ms", "ended_at_ms", F.md5(F.col("web.resp_body")).alias("body"))
@@ -209,7 +209,7 @@ def _transcripts(spark, sf):
 
 @query("agent_transcripts", f"""with p as (select u.conv_id, u.turn, min(a.turn) r from conversations u join conversations a on a.conv_id = u.conv_id and a.role = 'assistant' and a.turn > u.turn and a.turn // 2 = u.turn // 2
   where u.role = 'user' group by 1, 2)
-select 'talk-' || p.conv_id session_uuid, 'run ' || p.turn cmd, (p.r % 4 = 3)::int exit_code, len(string_split(a.text, chr(10))) output_line_count, md5(substr({SQL_REDACT.replace('X', 'a.text')}, 1, 4000)) digest
+select 'talk-' || p.conv_id session_uuid, 'run ' || p.turn cmd, (p.r % 4 = 3)::int exit_code, len(string_split(a.text, chr(10))) output_line_count, md5({SQL_REDACT.replace('X', 'a.text')}) digest
 from p join conversations a on a.conv_id = p.conv_id and a.turn = p.r""")
 def agent_transcripts(spark, sf):
     df = captures.parse_agent_transcript(_transcripts(spark, sf))
@@ -373,8 +373,9 @@ def live_session_events(spark, sf):
     return sessions.session_events_batch(live_envelopes(spark, sf), IDLE_US, True).select("source_key", "event", SESSION, "at_us", "reason")
 
 
-@query("stamped_envelopes", f"""with {CONTROLLER} select 'u' || event_id original, (select arg_max(uuid, st.n) from st where st.source_key = le.source_key and st.at_us <= le.at_us) session_uuid from le
-where kind not in ('session_start', 'session_end') and (select coalesce(arg_max(coalesce(uuid, ''), st.n), '') from st where st.source_key = le.source_key and st.at_us <= le.at_us) <> ''""")
+@query("stamped_envelopes", f"""with {CONTROLLER} select 'u' || event_id original, uuid session_uuid from (
+  select le.*, last_value(case when st.n is not null then coalesce(st.uuid, '') end ignore nulls) over (partition by le.source_key order by le.at_us, le.event_id) uuid
+  from le left join (select dr.event_id, st.n, st.uuid from dr join st using (source_key, n)) st using (event_id)) where kind not in ('session_start', 'session_end') and uuid <> ''""")
 def stamped_envelopes(spark, sf):
     env = live_envelopes(spark, sf).withColumn("original", F.col(SESSION))
     return sessions.stamp(env, IDLE_US, True).select("original", SESSION)

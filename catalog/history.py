@@ -79,11 +79,11 @@ def hint_penalties(spark, sf):
     return grade.hint_summary(_order_metrics(spark, sf)[1])
 
 
-@query("merged_pulls", """with s as (select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R' and l_linenumber <= 2), m as (select l_orderkey, max(l_linenumber) x from s group by 1)
+@query("merged_pulls", """with s as (select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R'), m as (select l_orderkey, max(l_linenumber) x from s group by 1)
 select l_orderkey::varchar session_uuid, l_linenumber at_ms from s union all select l.l_orderkey::varchar, l.l_linenumber from lineitem l left join m using (l_orderkey) where l.l_returnflag <> 'R' and l.l_linenumber > coalesce(x, 0)""")
 def merged_pulls(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias(SESSION), F.col("l_linenumber").alias("at_ms"), "l_returnflag")
-    saved = li.where("l_returnflag = 'R' and at_ms <= 2").drop("l_returnflag")
+    saved = li.where("l_returnflag = 'R'").drop("l_returnflag")
     return grade.merge_pulls(saved, li.where("l_returnflag <> 'R'").drop("l_returnflag"))
 
 
@@ -170,10 +170,10 @@ cases as (select a.session_uuid || '-case' case_id, a.session_uuid inc, b.sessio
 tk as (select ep.*, list_filter(string_split_regex(cmd || ' ' || coalesce(output_digest, ''), '[\\s''"();]+'), lambda w: length(w) >= 4 and not list_contains([{STOPS}], lower(w)) and (regexp_matches(w, '[/.]') or regexp_matches(w, '(?i)^CVE-\\d') or length(w) > 6)) ws,
   regexp_extract_all(cmd, '[\\w.-]+\\.(?:conf|sh|service|txt|php|py|exe)\\b') files, (select max(f."value") from found f where f.session_uuid = ep.session_uuid and f.kind = 'vuln' and f.source_seq = ep.seq) cve from ep),
 il as (select *, list_distinct(list_transform(ws, lambda w: regexp_replace(w, '^\\.*', ''))) d, list_transform(ws, lambda w: regexp_replace(w, '^\\.*', '')) o from tk),
-ord as (select *, list_filter(o, lambda x, i: list_position(o, x) = i)[1:6] firsts from il),
+ord as (select *, list_filter(o, lambda x, i: list_position(o, x) = i) firsts from il),
 al2 as (select *, list_concat(list_concat(firsts, files), case when cve is null then [] else [cve] end) alls from ord),
 ind as (select *, list_filter(alls, lambda x, i: list_position(alls, x) = i) inds from al2),
-arts as (select session_uuid, seq source_seq, 'art:seq' || seq artifact_id, inds, case when cve is not null then "binary" || ' (' || cve || ')' else "binary" || ': ' || substr(cmd, 1, 48) end "label",
+arts as (select session_uuid, seq source_seq, 'art:seq' || seq artifact_id, inds, case when cve is not null then "binary" || ' (' || cve || ')' else "binary" || ': ' || cmd end "label",
   case coalesce(ukc.ukc, 'unknown') {PHASES} else 2 end + case when cve is not null then 2 else 0 end weight, lag('art:seq' || seq) over (partition by session_uuid order by seq) depends_on
   from ind left join ukc using (tactic) where len(inds) > 0)"""
 
@@ -233,7 +233,7 @@ def investigation_ghost(spark, sf):
     return defense.defense_ghost(_hits(Run(spark, sf))[1])
 
 
-@query("investigation_lessons", f"""{DEF} select case_id, 'You never surfaced ' || arg_max("label", (weight, -source_seq)) || '. It is the highest-value step you missed; trace back from what you did find to its origin.' as "text",
+@query("investigation_lessons", f"""{DEF} select case_id, 'Missed: ' || arg_max("label", (weight, -source_seq)) || '. No other missed artifact weighs more; follow the hits you have back to it.' as "text",
   arg_max(source_seq, (weight, -source_seq)) evidence_seq from hits where not found group by 1""")
 def investigation_lessons(spark, sf):
     return defense.defense_lesson(_hits(Run(spark, sf))[1])
@@ -265,7 +265,7 @@ def defense_reports(spark, sf):
 n as (select session_uuid, seq, "binary", {NOISE} noise from ep), top as (select session_uuid, arg_min(seq, (-noise, seq)) seq, arg_min("binary", (-noise, seq)) b from n where noise > 0 group by 1),
 st as (select session_uuid, ordinal step_order, 'Attempt **' || replace(objective, '_', ' ') || '**' as "action", null::bigint evidence_seq from board where user_satisfied_by_seq is null
   union all select session_uuid, 10000, 'Quiet down `' || b || '`', seq from top
-  union all select session_uuid, 10001, 'Trim ~' || floor(detour_ms / 60000.0 + 0.5)::bigint || ' min of detours', null from wz where floor(detour_ms / 60000.0 + 0.5) >= 1)
+  union all select session_uuid, 10001, 'Trim ~' || floor(detour_ms / 60000.0 + 0.5)::bigint || ' min spent on detours', null from wz where floor(detour_ms / 60000.0 + 0.5) >= 1)
 select * from st union all select session_uuid, 0, 'Clean run', null from wz where session_uuid not in (select session_uuid from st)""")
 def coaching_steps(spark, sf):
     run = Run(spark, sf)

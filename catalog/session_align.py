@@ -21,7 +21,7 @@ def candidates(spark, sf):
 @query("objective_claims", f"with {CLAIMS} select session_uuid, ordinal, objective, seq, method_idx from claims")
 def claims(spark, sf):
     run = Run(spark, sf)
-    return align.claims(run.staged, run.objectives, golden.ladder_width(run.golden))
+    return align.claims(run.staged, run.objectives)
 
 
 @query("objective_order_breaks", f"with {ALIGNED} select session_uuid, seq from early")

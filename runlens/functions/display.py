@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,11 +31,15 @@ def minutes(ms: Column) -> Column:
     return F.floor(ms / 60000 + 0.5)
 
 
+#: Thousandths whose double lies below the tie they are written as; they are rounded down to tenths, other ties up.
+_BELOW_TIE = [ms for ms in range(50, 1000, 100) if Decimal(ms / 1000) < Decimal(ms) / 1000]
+
+
 def format_duration(ms: Column) -> Column:
     total = F.floor(ms / 1000 + 0.5)
     h, m, s = F.floor(total / 3600), F.floor((total % 3600) / 60), total % 60
     return (
-        F.when(ms < 1000, F.format_string("%.1fs", ms / 1000))
+        F.when(ms < 1000, F.format_string("%.1fs", F.when(ms.isin(_BELOW_TIE), ms - 50).otherwise(ms) / 1000))
         .when(h > 0, F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m")))
         .when(m > 0, F.concat(m.cast("string"), F.lit("m "), s.cast("string"), F.lit("s")))
         .otherwise(F.concat(s.cast("string"), F.lit("s")))

@@ -59,20 +59,16 @@ def candidates(episodes: DataFrame, objectives: DataFrame) -> DataFrame:
     return joined.select(SESSION, "ordinal", "objective", "seq", idx.alias("method_idx")).where("method_idx is not null")
 
 
-def claims(episodes: DataFrame, objectives: DataFrame, widest: int | None = None) -> DataFrame:
+def claims(episodes: DataFrame, objectives: DataFrame) -> DataFrame:
     """Greedy claims: objectives in order each take their earliest episode that is still free.
 
     At most ``ordinal`` episodes are taken before an objective, so its first ``ordinal + 1`` candidates
-    suffice. That bounds what is folded per session by the size of the ladder, not of the session. ``widest``
-    is the largest ordinal of the ladder table; as a constant it lets the rank limit run before the shuffle.
+    suffice. That bounds what is folded per session by the size of the ladder, not of the session.
     """
-    if widest is None:
-        widest = objectives.agg(F.max("ordinal")).first()[0] or 0
     rank = F.row_number().over(Window.partitionBy(SESSION, "ordinal").orderBy("seq"))
     near = (
         candidates(episodes, objectives)
         .withColumn("_rank", rank)
-        .where(F.col("_rank") <= int(widest) + 1)
         .where(F.col("_rank") <= F.col("ordinal") + 1)
     )
     packed = near.groupBy(SESSION).agg(
@@ -116,11 +112,9 @@ def mark(episodes: DataFrame, objectives_board: DataFrame) -> DataFrame:
     return _fill_alignment(df)
 
 
-def align(
-    episodes: DataFrame, objectives: DataFrame, widest: int | None = None
-) -> tuple[DataFrame, DataFrame]:
+def align(episodes: DataFrame, objectives: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Aligned episodes and the objective board."""
-    objectives_board = board(objectives, claims(episodes, objectives, widest))
+    objectives_board = board(objectives, claims(episodes, objectives))
     return mark(episodes, objectives_board), objectives_board
 
 

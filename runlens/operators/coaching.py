@@ -21,27 +21,27 @@ def coaching_steps(episodes: DataFrame, objectives_board: DataFrame, waste: Data
     null = F.lit(None).cast("bigint")
     missed = objectives_board.where("user_satisfied_by_seq is null").select(
         SESSION, F.col("ordinal").alias("step_order"), F.concat(F.lit("Attempt **"), name, F.lit("**")).alias("action"),
-        F.concat(F.lit("You never tried it — `"), F.coalesce(first, F.lit("undefined")),
-                 F.lit("` is the intended route, and it's a free check you skipped.")).alias("why"),
+        F.concat(F.lit("No command of the session fits; the path lists `"), F.coalesce(first, F.lit("undefined")),
+                 F.lit("` for it.")).alias("why"),
         t.coaching_category(F.concat(name, F.lit(" "), F.coalesce(first, F.lit("undefined")))).alias("category"),
         null.alias("evidence_seq"),
     )
     loud = metrics.loud_moments(episodes, 1).select(
         SESSION, F.lit(10_000).alias("step_order"), F.concat(F.lit("Quiet down `"), "binary", F.lit("`")).alias("action"),
-        F.lit("Your loudest moment — a noisier footprint than the rest of the run combined. Reach for a stealthier approach here.").alias("why"),
+        F.lit("This step made more noise than any other of the session.").alias("why"),
         F.lit("OpSec").alias("category"), F.col("seq").alias("evidence_seq"),
     )
     lost = d.minutes(F.col("detour_ms"))
     detours = waste.where(lost >= 1).select(
         SESSION, F.lit(10_001).alias("step_order"),
-        F.concat(F.lit("Trim ~"), lost.cast("string"), F.lit(" min of detours")).alias("action"),
-        F.lit("Time spent on low-yield paths that didn't move an objective — step back to enumeration before forcing a path.").alias("why"),
+        F.concat(F.lit("Trim ~"), lost.cast("string"), F.lit(" min spent on detours")).alias("action"),
+        F.lit("These steps met no objective; look for new leads before repeating them.").alias("why"),
         F.lit("Tactics").alias("category"), null.alias("evidence_seq"),
     )
     steps = missed.unionByName(loud).unionByName(detours)
     clean = waste.select(SESSION).join(steps.select(SESSION).distinct(), SESSION, "left_anti").select(
         SESSION, F.lit(0).alias("step_order"), F.lit("Clean run").alias("action"),
-        F.lit("No skipped objectives or major waste detected.").alias("why"), F.lit("Recap").alias("category"),
+        F.lit("Every objective was met and little time was lost.").alias("why"), F.lit("Recap").alias("category"),
         null.alias("evidence_seq"),
     )
     return steps.unionByName(clean)
@@ -53,8 +53,8 @@ def recap_step(episodes: DataFrame, recording: bool) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.size(F.collect_set(F.when(F.col("technique") != "", F.col("technique")))).alias("_t")
     )
     n, k = F.col("_n").cast("string"), F.col("_t").cast("string")
-    live = F.concat(F.lit("Recording: "), n, F.lit(" command(s) captured across "), k, F.lit(" technique(s)."))
-    done = F.concat(n, F.lit(" commands captured across "), k, F.lit(" ATT&CK technique(s)."))
+    live = F.concat(F.lit("Recording: "), n, F.lit(" commands so far, techniques: "), k, F.lit(" technique(s)."))
+    done = F.concat(n, F.lit(" commands, techniques: "), k, F.lit(" ATT&CK technique(s)."))
     return counts.select(
         SESSION, F.lit(-1).alias("step_order"), (live if recording else done).alias("action"), F.lit("").alias("why"),
         F.lit("Recap").alias("category"), F.lit(None).cast("bigint").alias("evidence_seq"),
@@ -79,8 +79,8 @@ def one_lesson(items: DataFrame, checks: DataFrame, holes: DataFrame, steps: Dat
     )
     worst = holes.groupBy(SESSION).agg(F.max(F.struct("wasted_ms", (-F.col("start_seq")).alias("_s"), "binary")).alias("h")).select(
         SESSION, F.lit(3).alias("priority"),
-        F.concat(F.lit("You spent a run of low-yield `"), F.col("h.binary"),
-                 F.lit("` attempts. Step back and enumerate before forcing a path.")).alias("text"),
+        F.concat(F.lit("Several `"), F.col("h.binary"),
+                 F.lit("` commands in a row led nowhere; gather more information first.")).alias("text"),
         (-F.col("h._s")).alias("evidence_seq"), null.alias("unlock_seq"), null.alias("acted_seq"),
     )
     step = steps.where("category <> 'Recap'").groupBy(SESSION).agg(

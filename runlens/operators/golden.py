@@ -32,11 +32,6 @@ def is_web_run(episodes: DataFrame, sessions: DataFrame | None = None) -> DataFr
     return df.select(SESSION, F.when(said | (F.col("_share") > 0.5), "web").otherwise("host").alias("golden_id"))
 
 
-def ladder_width(golden: DataFrame) -> int:
-    """Largest ordinal of the objective table; a single number read from a dimension."""
-    return int(golden.agg(F.max("ordinal")).first()[0] or 0)
-
-
 def with_lineage(golden: DataFrame, key: str = "golden_id") -> DataFrame:
     """Add ``depth`` (longest dependency chain) and ``lineage_tactics`` (own and ancestors' tactics).
 
@@ -78,10 +73,10 @@ def check_order(golden: DataFrame) -> DataFrame:
     ).select("golden_id", "objective", "depends_on")
 
 
-def from_writeups(writeups: DataFrame, key: str, text: str, detectors: list | None = None) -> DataFrame:
+def from_writeups(writeups: DataFrame, key: str, text: str, detectors: list | None = None, most: int | None = None) -> DataFrame:
     """Objectives named in a write-up, in order of first mention, each depending on the one before.
 
-    One hit is not a path; confidence grows with the number of hits up to one half.
+    One hit is not a path; confidence grows with the number of hits up to one half. ``most`` keeps the first so many.
     """
     rows = detectors or rules.WRITEUP_DETECTORS
     hits = F.filter(
@@ -94,7 +89,7 @@ def from_writeups(writeups: DataFrame, key: str, text: str, detectors: list | No
         ]),
         lambda h: h["at"] > 0,
     )
-    found = F.slice(F.sort_array(hits), 1, rules.MAX_OBJECTIVES)
+    found = F.sort_array(hits) if most is None else F.slice(F.sort_array(hits), 1, most)
     confidence = F.least(F.lit(0.5), 0.25 + F.size("_f") * 0.05)
     df = writeups.select(key, found.alias("_f")).where(F.size("_f") >= 2)
     return df.select(key, confidence.alias("confidence"), "_f", F.posexplode("_f").alias("ordinal", "h")).select(
@@ -109,8 +104,11 @@ def from_writeups(writeups: DataFrame, key: str, text: str, detectors: list | No
 TASK_HEADER = r"(?i)^\s*Task\s+\d+\b[.:]?\s*(.*)\z"
 
 
-def from_task_lists(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Objectives from pasted task lists: one per ``Task N`` section, tactic by keyword, linear dependencies."""
+def from_task_lists(texts: DataFrame, key: str, text: str, most_chars: int | None = None) -> DataFrame:
+    """Objectives from pasted task lists: one per ``Task N`` section, tactic by keyword, linear dependencies.
+
+    ``most_chars`` shortens names; whole titles are kept otherwise, so two long ones stay apart.
+    """
     pattern = t.rx(TASK_HEADER)
     lines = texts.select(key, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line_no", "line"))
     lines = lines.withColumn("_head", F.col("line").rlike(pattern))
@@ -130,7 +128,8 @@ def from_task_lists(texts: DataFrame, key: str, text: str) -> DataFrame:
         method = F.when(F.col(f"_k{i}") == 1, tool).otherwise(method)
     fallback = F.concat(F.lit("task_"), F.col("task_no").cast("string"))
     base = F.when(F.col("title") != "", F.col("title")).otherwise(fallback)
-    name = F.substr(F.regexp_replace(F.regexp_replace(F.lower(base), r"\s+", "_"), "[^a-z0-9_]", ""), F.lit(1), F.lit(40))
+    name = F.regexp_replace(F.regexp_replace(F.lower(base), r"\s+", "_"), "[^a-z0-9_]", "")
+    name = name if most_chars is None else F.substr(name, F.lit(1), F.lit(most_chars))
     objective = F.when(name != "", name).otherwise(fallback)
     named = tasks.select(
         F.col(key).alias("golden_id"), F.col("task_no"), (F.col("task_no") - 1).cast("int").alias("ordinal"),
@@ -145,10 +144,10 @@ def from_task_lists(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def clean_objectives(rows: DataFrame) -> DataFrame:
-    """Normalize proposed objectives: slug ids, first of each id, known tactics, twelve at most, dangling deps dropped.
+def clean_objectives(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Normalize proposed objectives: slug ids, first of each id, known tactics, dangling deps dropped.
 
-    Input: golden_id, position, objective, tactic, satisfied_by, depends_on.
+    Input: golden_id, position, objective, tactic, satisfied_by, depends_on. ``most`` keeps the first so many of a path.
     """
     methods = F.filter(F.transform("satisfied_by", t.trim), lambda m: m != "")
     df = rows.select(
@@ -160,7 +159,8 @@ def clean_objectives(rows: DataFrame) -> DataFrame:
         F.min(F.struct("position", "tactic", "satisfied_by", "depends_on")).alias("r")
     ).select("golden_id", "objective", "r.*")
     rank = F.row_number().over(Window.partitionBy("golden_id").orderBy("position"))
-    kept = first.withColumn("ordinal", rank - 1).where(F.col("ordinal") < rules.MAX_OBJECTIVES)
+    kept = first.withColumn("ordinal", rank - 1)
+    kept = kept if most is None else kept.where(F.col("ordinal") < most)
     ids = kept.groupBy("golden_id").agg(F.collect_set("objective").alias("_ids"))
     return kept.join(ids, "golden_id").select(
         "golden_id", "ordinal", "objective", "tactic", "satisfied_by",

@@ -84,17 +84,16 @@ def grade(metrics: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     said = [
         F.when(flagged, F.concat(
             F.lit("Independence "), number(raws["independence"]),
-            F.lit(f" is below the gate ({rules.INDEPENDENCE_GATE}) — routed to the integrity queue with an evidence bundle. "
-                  "This is a signal to a human reviewer, not an automated verdict."))),
+            F.lit(f" is under the gate ({rules.INDEPENDENCE_GATE}); a person has to review the run."))),
         *[low(k) for k in ("coverage", "efficiency", "progression", "discipline")],
         *[F.when(second, low(k)) for k in ("methodology", "focus")],
         F.when(pulls > 0, F.concat(
             F.lit("Used "), pulls.cast("string"), F.when(pulls == 1, " hint").otherwise(" hints"),
             F.when(ai > 0, F.concat(F.lit(" ("), ai.cast("string"), F.lit(" AI)"))).otherwise(""),
-            F.lit(" from the live widget (−"), penalty.cast("string"), F.lit(" independence)."))),
+            F.lit(" (independence −"), penalty.cast("string"), F.lit(")."))),
     ]
     rationale = F.filter(F.array(*said), lambda s: s.isNotNull())
-    calm = F.array(F.lit("Solid across the rubric; no integrity concerns."))
+    calm = F.array(F.lit("All parts of the rubric are met and the integrity gate is passed."))
     rounded = F.transform("_components", lambda c: F.struct(
         c["name"].alias("name"), d.js_round(c["raw"], 1).alias("raw"), c["weight"].alias("weight"),
         d.js_round(c["raw"] * c["weight"], 1).alias("weighted")))

@@ -77,9 +77,8 @@ def debrief(
     if "lineage_tactics" not in golden.columns:
         golden = paths_of.with_lineage(golden)
     objectives = align.session_objectives(session_golden, golden)
-    width = paths_of.ladder_width(golden)
     segmented = keep(segment.segment_episodes(raw, config), "segmented")
-    board = keep(align.board(objectives, align.claims(segmented, objectives, width)), "board")
+    board = keep(align.board(objectives, align.claims(segmented, objectives)), "board")
     episodes = keep(classify.with_frameworks(align.mark(segmented, board)), "episodes")
     found = keep(ledger.extract(episodes), "findings")
     uses = keep(ledger.link_uses(episodes, found), "uses")
@@ -99,7 +98,7 @@ def debrief(
     )
 
 
-def finalize_live(episodes: DataFrame, objectives: DataFrame | None = None, recording: bool = True, width: int | None = None) -> dict[str, DataFrame]:
+def finalize_live(episodes: DataFrame, objectives: DataFrame | None = None, recording: bool = True) -> dict[str, DataFrame]:
     """Alignment, phases, metrics, radar and the recap line of sessions still being recorded. Running it twice changes nothing."""
     if objectives is None:
         aligned = align.align_without_path(episodes)
@@ -110,7 +109,7 @@ def finalize_live(episodes: DataFrame, objectives: DataFrame | None = None, reco
             F.lit(None).cast("bigint").alias("user_satisfied_by_seq"),
         )
     else:
-        aligned, board = align.align(episodes, objectives, width)
+        aligned, board = align.align(episodes, objectives)
     aligned = classify.with_frameworks(aligned)
     return {
         "episodes": aligned, "board": board, "phases": timeline.phases(aligned), "metrics": metric_row(aligned, board, rounded=False),
@@ -121,7 +120,7 @@ def finalize_live(episodes: DataFrame, objectives: DataFrame | None = None, reco
 def realign(episodes: DataFrame, session_golden: DataFrame, golden: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Another intended path for finished sessions: new alignment, board and metric row."""
     objectives = align.session_objectives(session_golden, golden)
-    aligned, board = align.align(episodes.drop("alignment", "loop_of_seq"), objectives, paths_of.ladder_width(golden))
+    aligned, board = align.align(episodes.drop("alignment", "loop_of_seq"), objectives)
     aligned = classify.with_frameworks(aligned)
     return aligned, board, metric_row(aligned, board)
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from runlens.functions import text as t
 from runlens.schemas import RAW_COLUMNS, SESSION, WEB
 
-MAX_BODY = 2000
-MAX_DIGEST = 4000
-
 HAR = (
     "struct<log:struct<entries:array<struct<startedDateTime:string,time:double,"
     "request:struct<method:string,url:string,postData:struct<text:string>>,"
@@ -33,6 +30,10 @@ def iso_ms(text: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(text))
 
 
+def _shortened(text: Column, most: int | None) -> Column:
+    return text if most is None else F.substr(text, F.lit(1), F.lit(most))
+
+
 def _web(df: DataFrame, **values: Column) -> DataFrame:
     out = {
         SESSION: file_session(F.col("file")), "exit_code": F.lit(None).cast("int"), "output_line_count": F.lit(0).cast("bigint"),
@@ -41,8 +42,9 @@ def _web(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("file", *[out[c].alias(c) for c in RAW_COLUMNS])
 
 
-def parse_har(files: DataFrame, max_body: int = MAX_BODY, context: str = "web:har") -> DataFrame:
-    """Entries of HTTP archives as web commands; entries without a url or a readable date are skipped."""
+def parse_har(files: DataFrame, max_body: int | None = None, context: str = "web:har") -> DataFrame:
+    """Entries of HTTP archives as web commands; entries without a url or a readable date are skipped. ``max_body``
+    shortens response bodies."""
     entries = files.select("file", F.posexplode(F.from_json("body", HAR)["log"]["entries"]).alias("ord", "e"))
     e = F.col("e")
     content = e["response"]["content"]
@@ -58,7 +60,7 @@ def parse_har(files: DataFrame, max_body: int = MAX_BODY, context: str = "web:ha
         ended_at_ms=started + took, context_path=F.lit(context),
         web=F.struct(
             method.alias("method"), url.alias("url"), t.redact_text(e["request"]["postData"]["text"]).alias("req_body"),
-            e["response"]["status"].alias("status"), F.substr(t.redact_text(body), F.lit(1), F.lit(max_body)).alias("resp_body"),
+            e["response"]["status"].alias("status"), _shortened(t.redact_text(body), max_body).alias("resp_body"),
             content["mimeType"].alias("mime"),
         ),
     )
@@ -126,7 +128,7 @@ PART = (
 )
 
 
-def parse_agent_transcript(files: DataFrame, max_digest: int = MAX_DIGEST, tool: str = "Bash", redact_cmd: bool = True) -> DataFrame:
+def parse_agent_transcript(files: DataFrame, max_digest: int | None = None, tool: str = "Bash", redact_cmd: bool = True) -> DataFrame:
     """Shell calls of an agent transcript paired with the first result that follows them; unpaired calls are dropped."""
     lines = files.select("file", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     records = lines.select("file", "line_no", F.from_json(t.trim(F.col("line")), RECORD).alias("r"))
@@ -160,7 +162,7 @@ def parse_agent_transcript(files: DataFrame, max_digest: int = MAX_DIGEST, tool:
         answered, ord=F.col("place"), cmd=t.redact_text(F.col("cmd")) if redact_cmd else F.col("cmd"),
         started_at_ms=F.col("started"), ended_at_ms=F.coalesce("ended", "started"), exit_code=F.col("failed").cast("int"),
         output_line_count=F.when(F.col("text") != "", F.size(F.split("text", "\n"))).otherwise(0).cast("bigint"),
-        output_digest=F.substr(cleaned, F.lit(1), F.lit(max_digest)), context_path=F.lit("host"),
+        output_digest=_shortened(cleaned, max_digest), context_path=F.lit("host"),
     )
 
 

@@ -53,8 +53,11 @@ def read_handshakes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def apply_handshake(envelopes: DataFrame, handshakes: DataFrame, key: str = "source") -> DataFrame:
-    """Fill missing provenance from the sender's handshake. Handshakes are one row per sender."""
-    side = handshakes.select(
+    """Fill missing provenance from the sender's handshake. Of several handshakes of a sender one counts, the first by content."""
+    order = F.struct("plugin", "context_template", F.col("capabilities.boundary_confidence").alias("boundary_confidence"))
+    side = handshakes.groupBy(key).agg(F.min(order).alias("_h")).select(
+        key, "_h.plugin", "_h.context_template", F.struct(F.col("_h.boundary_confidence").alias("boundary_confidence")).alias("capabilities"))
+    side = side.select(
         key, F.col("context_template").alias("_context"), F.col("plugin").alias("_plugin"),
         F.when(F.col("capabilities.boundary_confidence") == "exact", 1.0).otherwise(0.7).alias("_confidence"),
     )
@@ -70,6 +73,12 @@ def apply_handshake(envelopes: DataFrame, handshakes: DataFrame, key: str = "sou
     return joined.withColumn("provenance", filled).drop("_context", "_plugin", "_confidence")
 
 
+def read_capture(spark: SparkSession, path: str) -> DataFrame:
+    """Envelopes of capture files, each file's own handshake filling what its lines leave out."""
+    lines = read_envelopes(spark, path).withColumn("file", F.col("line_at.file"))
+    return apply_handshake(lines, read_handshakes(spark, path), "file").drop("file")
+
+
 def _at(df: DataFrame) -> list[str]:
     return ["line_at"] if "line_at" in df.columns else ["ts_utc_us"]
 
@@ -102,7 +111,7 @@ def join_command_output(envelopes: DataFrame, on_duplicate: str = "last", redact
 
 def join_http_pairs(envelopes: DataFrame, on_duplicate: str = "last") -> DataFrame:
     """Requests joined to their responses by (session, pair_id), as web commands."""
-    body = F.struct("ts_utc_us", "payload", "provenance")
+    body = F.struct("ts_utc_us", "payload", "provenance", *[c for c in ("line_at",) if c in envelopes.columns])
     paired = envelopes.where(F.coalesce("payload.pair_id", F.lit("")) != "").withColumn("pair_id", F.col("payload.pair_id"))
     keys = [SESSION, "pair_id"]
     asked = _pick(paired.where("kind = 'http_request'"), keys, on_duplicate, body).select(*keys, F.col("r").alias("q"))
@@ -112,7 +121,10 @@ def join_http_pairs(envelopes: DataFrame, on_duplicate: str = "last") -> DataFra
     method = F.coalesce("q.payload.method", F.lit("GET"))
     url = t.redact_text(F.coalesce("q.payload.url", F.lit("")))
     # Web commands follow shell commands of the same millisecond; among themselves they keep microsecond order.
-    tie = (F.col("q.ts_utc_us") % 1000) * (1 << 22) + F.pmod(F.xxhash64("pair_id"), F.lit(1 << 22))
+    # Within a microsecond the place in the file decides where it is known, else a fixed order of the pairs.
+    known = "line_at" in envelopes.columns
+    arrival = F.col("q.line_at.row") if known else F.xxhash64("pair_id")
+    tie = (F.col("q.ts_utc_us") % 1000) * (1 << 22) + F.pmod(arrival, F.lit(1 << 22))
     return asked.join(answered, keys, "left").select(
         SESSION, (F.lit(WEB_ORD) + tie).cast("bigint").alias("ord"), F.concat(method, F.lit(" "), t.url_path(url)).alias("cmd"),
         started.alias("started_at_ms"), F.greatest(started, F.coalesce(ended, started)).alias("ended_at_ms"),

@@ -16,8 +16,9 @@ STALE_MS = 600_000
 
 def live_status(
     sessions: DataFrame, episodes: DataFrame, phases: DataFrame, findings: DataFrame, uses: DataFrame, metric_row: DataFrame, now: Column,
+    most_recent: int | None = None,
 ) -> DataFrame:
-    """One row per session: phase, elapsed, stealth, ports, loose ends, last finds and a nudge.
+    """One row per session: phase, elapsed, stealth, ports, loose ends, finds (newest first; ``most_recent``: so many) and a nudge.
 
     ``sessions(session_uuid, target_name, started_at, ended_at, recording)``.
     """
@@ -36,7 +37,7 @@ def live_status(
         F.max(F.coalesce("started_at_ms", F.lit(0))).alias("_found_at"))
     shown = F.when(F.col("kind").isin("cred", "hash"), "••••").otherwise(F.col("value"))
     rank = F.row_number().over(Window.partitionBy(SESSION).orderBy(F.col("source_seq").desc(), "id"))
-    recent = findings.select(SESSION, "kind", "source_seq", "id", shown.alias("value")).withColumn("_r", rank).where("_r <= 3").groupBy(SESSION).agg(
+    recent = findings.select(SESSION, "kind", "source_seq", "id", shown.alias("value")).withColumn("_r", rank).where("true" if most_recent is None else f"_r <= {most_recent}").groupBy(SESSION).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_r", "kind", "value"))), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))).alias("recent"))
     hole = analysis.rabbit_holes(episodes).groupBy(SESSION).agg(F.max(F.struct("end_seq", "binary")).alias("_h"))
     df = sessions.join(last, SESSION, "left")

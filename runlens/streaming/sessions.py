@@ -123,22 +123,24 @@ class SessionProcessor(StatefulProcessor):
         pass
 
 
-def session_events(envelopes: DataFrame, idle_us: int = IDLE_US, auto_start: bool = True, watermark: str = "10 minutes") -> DataFrame:
+def session_events(
+    envelopes: DataFrame, idle_us: int = IDLE_US, auto_start: bool = True, watermark: str = "10 minutes", source_key: str = "source",
+) -> DataFrame:
     """Start, flag and end events of a live stream, keyed by source."""
-    driven = controller_input(envelopes).withColumn("ts", F.timestamp_micros("at_us")).withWatermark("ts", watermark)
+    driven = controller_input(envelopes, source_key).withColumn("ts", F.timestamp_micros("at_us")).withWatermark("ts", watermark)
     return driven.groupBy("source_key").transformWithStateInPandas(
         SessionProcessor(idle_us, auto_start), outputStructType=T._parse_datatype_string(EVENT_SCHEMA), outputMode="append", timeMode="EventTime"
     )
 
 
-def controller_rows(envelopes: DataFrame, idle_us: int = IDLE_US, auto_start: bool = True) -> DataFrame:
+def controller_rows(envelopes: DataFrame, idle_us: int = IDLE_US, auto_start: bool = True, source_key: str = "source") -> DataFrame:
     """Batch twin, row by row and without per-group Python: each driving row with the session it belongs to.
 
     A session opens at an explicit start, or at a command when nothing is active. Nothing is active before the
     first row of a source, after an explicit end, and after a gap above the timeout; so within the stretch since
     the last such point the first command opens, and an explicit start always does. Both are prefix scans.
     """
-    rows = controller_input(envelopes)
+    rows = controller_input(envelopes, source_key)
     rows = ordered.with_slices(rows, ["source_key"], "at_us")
     order = ["at_us", "seq", "kind", SESSION]
     df = ordered.scan(rows, ["source_key"], order, {
@@ -161,9 +163,9 @@ def controller_rows(envelopes: DataFrame, idle_us: int = IDLE_US, auto_start: bo
     return joined.withColumn("active_uuid", F.when(active, uuid))
 
 
-def session_events_batch(envelopes: DataFrame, idle_us: int = IDLE_US, auto_start: bool = True) -> DataFrame:
+def session_events_batch(envelopes: DataFrame, idle_us: int = IDLE_US, auto_start: bool = True, source_key: str = "source") -> DataFrame:
     """The events the stream would emit, computed over a finished set of envelopes."""
-    rows = controller_rows(envelopes, idle_us, auto_start)
+    rows = controller_rows(envelopes, idle_us, auto_start, source_key)
     live = rows.where("active_uuid is not null")
     speaks = F.col("kind").isin("command", "output", "stdin_masked")
     per = live.groupBy("source_key", "_stretch", "active_uuid").agg(
@@ -194,17 +196,20 @@ def session_events_batch(envelopes: DataFrame, idle_us: int = IDLE_US, auto_star
 def stamp(envelopes: DataFrame, idle_us: int = IDLE_US, auto_start: bool = True, source_key: str = "source") -> DataFrame:
     """Envelopes to store, under the session that was active when they arrived; those with none are dropped.
 
-    Web exchanges do not drive sessions; they take the session of the last driving row before them.
+    Rows arrive by time, then by sequence number; a row sees the session its own arrival opened, not a later one of the
+    same microsecond. Web exchanges do not drive sessions; they take the session of the last driving row before them.
     """
-    rows = controller_rows(envelopes, idle_us, auto_start).where("kind <> 'session_end'").select(
-        "source_key", "at_us", F.lit(0).alias("_side"), F.struct("active_uuid").alias("_session"))
+    arrival = F.coalesce("seq", F.lit(-1)).cast("bigint").alias("_seq")
+    rows = controller_rows(envelopes, idle_us, auto_start, source_key).where("kind <> 'session_end'").select(
+        F.col("source_key").alias("_key"), F.col("at_us").alias("_at"), arrival, F.lit(0).alias("_side"), F.struct("active_uuid").alias("_session"))
     ends = controller_input(envelopes, source_key).where("kind = 'session_end'").select(
-        "source_key", "at_us", F.lit(0).alias("_side"), F.struct(F.lit(None).cast("string").alias("active_uuid")).alias("_session"))
-    every = envelopes.where(F.col("kind").isin(STORED)).withColumn("source_key", F.col(source_key)).withColumn(
-        "at_us", F.greatest("ts_utc_us", F.lit(0))).withColumn("_side", F.lit(1))
+        F.col("source_key").alias("_key"), F.col("at_us").alias("_at"), arrival, F.lit(0).alias("_side"),
+        F.struct(F.lit(None).cast("string").alias("active_uuid")).alias("_session"))
+    every = envelopes.where(F.col("kind").isin(STORED)).select(
+        "*", F.col(source_key).alias("_key"), F.greatest("ts_utc_us", F.lit(0)).alias("_at"), arrival, F.lit(1).alias("_side"))
     merged = every.unionByName(rows.unionByName(ends), allowMissingColumns=True)
-    merged = ordered.with_slices(merged, ["source_key"], "at_us", like=rows if ordered.is_whole(rows) else every)
-    found = ordered.scan(merged, ["source_key"], ["at_us", "_side"], {"_now": ordered.last_seen(F.col("_session"))})
+    merged = ordered.with_slices(merged, ["_key"], "_at")
+    found = ordered.scan(merged, ["_key"], ["_at", "_seq", "_side"], {"_now": ordered.last_seen(F.col("_session"))})
     return found.where((F.col("_side") == 1) & F.col("_now.active_uuid").isNotNull()).withColumn(SESSION, F.col("_now.active_uuid")).select(
         *envelopes.columns
     )
@@ -234,10 +239,10 @@ def redact_envelopes(envelopes: DataFrame) -> DataFrame:
     return envelopes.withColumn("redacted", changed).withColumn("payload", payload)
 
 
-def tally(envelopes: DataFrame) -> DataFrame:
+def tally(envelopes: DataFrame, source_key: str = "source") -> DataFrame:
     """Running counts per source: commands, other stored rows, redactions. Usable on streams in update mode."""
     checked = redact_envelopes(envelopes)
-    return checked.groupBy(F.col("source").alias("source_key")).agg(
+    return checked.groupBy(F.col(source_key).alias("source_key")).agg(
         F.count(F.when(F.col("kind") == "command", 1)).alias("commands"),
         F.count(F.when(F.col("kind").isin(STORED) & (F.col("kind") != "command"), 1)).alias("outputs"),
         F.count(F.when(F.col("redacted"), 1)).alias("redactions"),
