@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from runlens.llm import common, simhash
 
 DEPTH, LOCAL = 5, 3  # bytes of context; the depth from which a group of contexts is worked out in one task
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: Entries that tasks look up directly; all others are joined. They bound what is broadcast, not what is counted.
 MOST_WORDS, MOST_SEQUENCES = 1 << 19, 1 << 21
 WORD, SEQUENCE, DOCUMENT = 0, 1, 2
@@ -134,9 +134,12 @@ class Lines:
         inner = np.ones(len(length), bool)
         inner[first[1:][self.n_words > 0] - 1] = False
         self.data[self.ends[inner]] = 32
-        shift = np.cumsum(length) - length
-        flow = np.arange(int(length.sum()))
-        self.data[np.repeat(self.starts - shift, length) + flow] = simhash._lower[raw[np.repeat(starts - shift, length) + flow]]
+        in_word = np.ones(len(self.data), bool)
+        for k in range(DEPTH):
+            in_word[self.begin + k] = False
+        in_word[self.end - 1] = False
+        in_word[self.ends] = False
+        self.data[in_word] = simhash._lower[raw[common._is_word_byte[raw]]]
 
     def words(self) -> np.ndarray:
         return simhash.hashes(self.data, self.starts, self.ends).view(np.int64)
