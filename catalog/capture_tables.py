@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from catalog.bindings import CMD, OUTPUT, SQL_RAW, Run, raw_commands, table
-from catalog.kit import registry
+from catalog.bindings import CMD, OUTPUT, SQL_EPISODES, SQL_RAW, Run, raw_commands, table
+from catalog.kit import WEB_CLAIMS, registry
 from catalog.text_tables import SQL_REDACT
 from runlens.functions import text as t
-from runlens.operators import golden, ordered
+from runlens.operators import golden, grade, ordered, progress, segment
+from runlens.plans import debrief
 from runlens.schemas import SESSION
-from runlens.session import stage, table_of
+from runlens.session import shared_folder, stage, table_of
 from runlens.sources import captures, contracts, envelopes, sinks, store, taps
 from runlens.streaming import live, sessions
 
@@ -411,11 +414,104 @@ def live_status(spark, sf):
     return out.select(SESSION, "phase", "elapsed_ms", "stealth", "ports_found", "ports_engaged", "findings", F.array_join("threads", " ").alias("threads"), "nudge", "commands", "since_last_find_ms")
 
 
-@query("realigned_coverage", f"""with {SQL_RAW} select distinct session_uuid, 4::bigint objectives from raw""")
-def realigned_coverage(spark, sf):
-    from runlens.operators import align
+# --- store in batches and refresh -------------------------------------------------------------------
+
+
+def _in_batches(spark, sf, use):
+    """Hands the telemetry to use(batch, number) in three batches, as a stream would."""
+    rows = telemetry(spark, sf).withColumn("_b", (F.col("payload.line_count") / 2).cast("int") % 3)
+    for number in range(3):
+        use(rows.where(F.col("_b") == number).drop("_b"), number)
+
+
+@query("stored_in_batches", f"""with {SQL_ENV}, b as (select *, line_count // 2 % 3 n from env),
+f as (select session_uuid, seq, arg_min(cmd, (n, ts_utc_us)) raw_command, arg_min(ts_utc_us, (n, ts_utc_us)) started_at, min(n) first_n from b where kind = 'command' group by 1, 2),
+o as (select session_uuid, seq, arg_max(ts_utc_us, (n, ts_utc_us)) ended_at, count(*) blocks from b join f using (session_uuid, seq) where kind in ('output', 'stdin_masked') and n >= first_n group by 1, 2)
+select session_uuid, seq, raw_command, started_at, ended_at, coalesce(blocks, 0) blocks from f left join o using (session_uuid, seq)""")
+def stored_in_batches(spark, sf):
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    _in_batches(spark, sf, store.batch_writer(folder))
+    tables = store.normalize(store.read_batches(spark, folder))
+    blocks = tables["output_blocks"].groupBy(SESSION, "seq").agg(F.count(F.lit(1)).alias("blocks"))
+    return tables["commands"].join(blocks, [SESSION, "seq"], "left").select(
+        SESSION, "seq", "raw_command", "started_at", "ended_at", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+
+
+@query("stored_exchanges_in_batches", f"""with {SQL_ENV}, b as (select *, line_count // 2 % 3 n from env),
+q as (select session_uuid, pair_id, arg_min(url, (n, ts_utc_us)) url, arg_min(n, (n, ts_utc_us)) n from b where kind = 'http_request' group by 1, 2),
+a as (select session_uuid, pair_id, arg_max(ts_utc_us, (n, ts_utc_us)) ended_at, max(n) n from b where kind = 'http_response' group by 1, 2)
+select session_uuid, pair_id, url, case when a.n >= q.n then ended_at end ended_at from q left join a using (session_uuid, pair_id)""")
+def stored_exchanges_in_batches(spark, sf):
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    _in_batches(spark, sf, store.batch_writer(folder))
+    return store.normalize(store.read_batches(spark, folder))["http_exchanges"].select(SESSION, "pair_id", "url", "ended_at")
 
+
+@query("refreshed_sessions", f"""with {SQL_ENV}, t as (select * from env where session_uuid::int % 2 = 1)
+select session_uuid, count(distinct seq) filter (kind = 'command') + count(distinct pair_id) filter (kind = 'http_request') commands from t group by 1""")
+def refreshed_sessions(spark, sf):
+    """Batch 0 holds even sessions, batch 1 odd ones; what batch 1 writes holds the odd ones only."""
+    folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    refresh = debrief.live_refresh(spark, folder, lambda name, df, number: df.write.mode("overwrite").parquet(f"{folder}/{name}/{number}") if name in ("episodes", "metrics") else None)
+    rows = telemetry(spark, sf)
+    for number in range(2):
+        refresh(rows.where(F.col(SESSION).cast("int") % 2 == number), number)
+    metrics = spark.read.parquet(f"{folder}/metrics/1").select(SESSION)
+    return spark.read.parquet(f"{folder}/episodes/1").where("cmd <> ''").join(metrics, SESSION).groupBy(SESSION).agg(F.count(F.lit(1)).alias("commands"))
+
+
+@query("appended_episodes", f"""with {SQL_EPISODES}, m as (select session_uuid, max(seq) n from ep group by 1)
+select session_uuid, seq, cmd from ep union all select ep.session_uuid, ep.seq + m.n, cmd from ep join m using (session_uuid) where ep.seq <= 3""")
+def appended_episodes(spark, sf):
+    run = Run(spark, sf)
+    return segment.append_episodes(run.staged, run.staged.where("seq <= 3")).select(SESSION, "seq", "cmd")
+
+
+@query("canonical_contents", """select o_orderkey, '{"a":' || o_orderkey || ',"inner":{"b":null,"y":"' || o_orderstatus || '"},"list":[{"k":1,"z":"' || o_orderpriority || '"}],"n":null,"z":"' || o_orderstatus || '"}' body from orders""")
+def canonical_contents(spark, sf):
+    null = F.lit(None).cast("string")
+    body = F.struct(
+        F.col("o_orderstatus").alias("z"), F.array(F.struct(F.col("o_orderpriority").alias("z"), F.lit(1).alias("k"))).alias("list"),
+        F.struct(F.col("o_orderstatus").alias("y"), null.alias("b")).alias("inner"), null.alias("n"), F.col("o_orderkey").alias("a"))
+    df = table(spark, sf, "orders").select("o_orderkey", body.alias("content"))
+    return df.select("o_orderkey", grade.canonical_json(df, "content").alias("body"))
+
+
+CARD_ROWS = """select c_custkey::varchar session_uuid, timestamp '2024-01-01' + to_days((c_custkey * 7 % 100)::int) started_at,
+  timestamp '2024-01-01' + to_days((c_custkey * 7 % 100)::int) + to_hours((c_custkey % 5)::int) ended_at, false recording, c_nationkey % 3 = 0 rooted, c_acctbal coverage from customer"""
+
+
+@query("session_cards", f"""with s as ({CARD_ROWS}) select session_uuid, coverage, coverage / 2 efficiency, session_uuid::int % 9 breadth, coverage / 3 methodology, coverage / 4 grade, 'B' letter, rooted,
+  1 + session_uuid::int % 2 episodes, session_uuid = (select arg_max(session_uuid, (ended_at, session_uuid)) from s) is_latest from s""")
+def session_cards(spark, sf):
+    c = table(spark, sf, "customer")
+    key = F.col("c_custkey").cast("string").alias(SESSION)
+    began = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") * 7 % 100).cast("int")).cast("timestamp")
+    who = c.select(key, began.alias("started_at"), F.timestamp_seconds(F.unix_seconds(began) + F.col("c_custkey") % 5 * 3600).alias("ended_at"), F.lit(False).alias("recording"))
+    rows = c.select(key, F.col("c_acctbal").alias("objective_coverage_pct"), (F.col("c_acctbal") / 2).alias("efficiency_pct"),
+                    (F.col("c_custkey") % 9).cast("int").alias("technique_breadth"), (F.col("c_acctbal") / 3).alias("methodology_coverage_pct"))
+    grades = c.select(key, (F.col("c_acctbal") / 4).alias("score"), F.lit("B").alias("letter"))
+    board = c.select(key, F.lit("escalate_to_root").alias("objective"), F.when(F.col("c_nationkey") % 3 == 0, F.lit(1).cast("bigint")).alias("user_satisfied_by_seq"))
+    steps = c.select(key, F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 2).cast("int"))).alias("seq"))
+    out = progress.session_cards(who, rows, grades, board, steps, F.lit("2024-12-01").cast("timestamp"))
+    return out.select(SESSION, "coverage", "efficiency", "breadth", "methodology", "grade", "letter", "rooted", "episodes", "is_latest")
+
+
+@query("defense_cards", """select s_suppkey::varchar session_uuid, 'case-' || s_suppkey case_id, s_acctbal grade, floor(case when s_suppkey % 7 > 0 then (s_suppkey % 3) / (s_suppkey % 7)::double * 100 else 0 end + 0.5) coverage,
+  s_suppkey % 7 episodes, false rooted, 'defense' mode from supplier""")
+def defense_cards(spark, sf):
+    s = table(spark, sf, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    reports = s.select(key.alias("run_session"), F.concat(F.lit("case-"), key).alias("case_id"), F.col("s_acctbal").alias("score"), F.lit("A").alias("letter"),
+                       (F.col("s_suppkey") % 7).alias("artifacts"), (F.col("s_suppkey") % 3).alias("found"))
+    out = progress.defense_cards(s.select(key.alias(SESSION)), reports.select("case_id"), reports)
+    return out.select(SESSION, "case_id", "grade", "coverage", "episodes", "rooted", "mode")
+
+
+@query("realigned_coverage", f"""with {WEB_CLAIMS} select session_uuid, count(*) objectives, count(seq)::double / count(*) * 100 coverage_pct from wboard group by 1""")
+def realigned_coverage(spark, sf):
+    """All sessions under the web ladder instead of their own."""
     run = Run(spark, sf)
-    objectives = align.session_objectives(run.sessions.select(SESSION, F.lit("web").alias("golden_id")), golden.ladders(spark))
-    board = align.board(objectives, align.claims(run.staged, objectives, 3))
-    return board.groupBy(SESSION).agg(F.count(F.lit(1)).alias("objectives"))
+    web = run.sessions.select(SESSION, F.lit("web").alias("golden_id"))
+    _aligned, board, _row = debrief.realign(run.staged, web, run.golden, run.findings, run.uses)
+    return board.groupBy(SESSION).agg(F.count(F.lit(1)).alias("objectives"), (F.count("user_satisfied_by_seq") / F.count(F.lit(1)) * 100).alias("coverage_pct"))

@@ -66,6 +66,20 @@ claims as (select t.session_uuid, t.ordinal, c.objective, t.seq, c.method_idx fr
 board as (select s.session_uuid, g.*, c.seq user_satisfied_by_seq, c.method_idx from (select distinct session_uuid from ep) s
   cross join gold g left join claims c on c.session_uuid = s.session_uuid and c.ordinal = g.ordinal)"""
 
+WEB_ROWS = ", ".join(f"({i}, '{o}', '{tac}', {sql_list(tech)})" for i, (o, tac, _m, tech, _d) in enumerate(rules.WEB_LADDER))
+WEB_CLAIMS = SQL_EPISODES + f""",
+wgold(ordinal, objective, tactic, techniques) as (values {WEB_ROWS}),
+wcand as (select ep.session_uuid, g.ordinal, ep.seq from ep join wgold g using (tactic) where ep.cmd <> '' and list_contains(g.techniques, upper(ep.technique))),
+wtaking as (with recursive cl(session_uuid, ordinal, seq, used) as (
+  select session_uuid, -1, null::bigint, []::bigint[] from (select distinct session_uuid from ep)
+  union all
+  select session_uuid, ordinal + 1, s, case when s is null then used else list_append(used, s) end from (
+    select c.session_uuid, c.ordinal, c.used, min(case when not list_contains(c.used, d.seq) then d.seq end) s
+    from cl c left join wcand d on d.session_uuid = c.session_uuid and d.ordinal = c.ordinal + 1
+    where c.ordinal < {len(rules.WEB_LADDER) - 1} group by 1, 2, 3))
+  select session_uuid, ordinal, seq from cl where ordinal >= 0),
+wboard as (select * from wtaking)"""
+
 ALIGNED = CLAIMS + f""",
 early as (select distinct b.session_uuid, b.user_satisfied_by_seq seq from (
     select session_uuid, user_satisfied_by_seq, unnest(depends_on) dep from board) b

@@ -343,10 +343,15 @@ gi1 as (select *, case when actual_seq is not null and alignment = 'alternative'
 gi as (select session_uuid, ordinal, objective, tactic, verdict, unlock_seq, actual_seq, case when verdict = 'late_pivot' then lag else 0 end::bigint lag_ms from gi1)"""
 
 
-@query("ghost_path_items", f"with {ALIGNED} {FINDINGS}, {GHOST} select session_uuid, objective, verdict, unlock_seq, actual_seq, lag_ms from gi")
+NOTE = """case verdict when 'late_pivot' then 'Unlocked at step ' || unlock_seq || ', met at step ' || actual_seq || '.' when 'skipped' then 'Unlocked at step ' || unlock_seq || ', never met.'
+  when 'ahead' then replace(objective, '_', ' ') || ' was met before anything unlocked it.' when 'off_path_win' then replace(objective, '_', ' ') || ' was met by another method.'
+  else 'In time: ' || replace(objective, '_', ' ') || '.' end"""
+
+
+@query("ghost_path_items", f"with {ALIGNED} {FINDINGS}, {GHOST} select session_uuid, objective, verdict, unlock_seq, actual_seq, lag_ms, {NOTE} note from gi")
 def path_items(spark, sf):
     run = Run(spark, sf)
-    return ghost.path_items(run.aligned, run.board, run.findings).select(SESSION, "objective", "verdict", "unlock_seq", "actual_seq", "lag_ms")
+    return ghost.path_items(run.aligned, run.board, run.findings).select(SESSION, "objective", "verdict", "unlock_seq", "actual_seq", "lag_ms", "note")
 
 
 SIGNALS = """
@@ -385,9 +390,11 @@ def ghost_headline(spark, sf):
     return ghost.headline(Run(spark, sf).ghost)
 
 
-@query("ghost_markers", f"""{ITEMS}, {TIMED} select i.session_uuid, i.objective, i.verdict, a.t0 unlock_ms, b.t0 actual_ms from items i
-left join tl a on a.session_uuid = i.session_uuid and a.seq = i.unlock_seq left join tl b on b.session_uuid = i.session_uuid and b.seq = i.actual_seq
-where a.t0 is not null or b.t0 is not null""")
+@query("ghost_markers", f"""{ITEMS.replace("items as (", "items as materialized (")}, {TIMED.replace("tl as (", "tl as materialized (")},
+place as materialized (select session_uuid, seq, any_value(t0) t0 from tl group by 1, 2)
+select session_uuid, objective, verdict, max(case when w = 'u' then t0 end) unlock_ms, max(case when w = 'a' then t0 end) actual_ms from (
+  select session_uuid, objective, verdict, unlock_seq seq, 'u' w from items union all select session_uuid, objective, verdict, actual_seq, 'a' from items)
+join place using (session_uuid, seq) group by all""")
 def ghost_markers(spark, sf):
     run = Run(spark, sf)
     return ghost.markers(run.ghost, timeline.timeline(run.staged))

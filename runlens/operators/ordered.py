@@ -22,7 +22,8 @@ from runlens.session import slice_rows
 
 SLICE = "slice"
 WHOLE = "whole"
-SLICES_PER_TARGET = 16
+#: Ranks of a large group's order key that are looked up, and how exactly (relative to the group's rows).
+CUTS, ACCURACY = 1024, 10_000
 
 
 @dataclass(frozen=True)
@@ -80,14 +81,14 @@ def _whole(df: DataFrame) -> DataFrame:
 def with_slices(
     df: DataFrame, keys: Sequence[str], order_key: str, target: int | None = None, like: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``slice``: null for ordinary groups, the ordinal of an equal-width range for large ones.
+    """Add ``slice``: null for ordinary groups, the ordinal of a range of about half the target for large ones.
 
     Sizes are checked once, where the data enters: one aggregate over the keys tells whether any group exceeds
     the target. If none does, the frame is marked whole and every later scan is a plain window. ``like`` names a
     frame this one was derived from with no more rows per key; its mark is inherited without another check.
 
-    The table of large groups holds at most (all rows / target) rows of a few numbers each, which is the
-    bound that makes its broadcast safe.
+    Large groups are cut by rank: approximate quantiles of the order key are the bounds, so a few rows far away from
+    the others don't empty the slices between. Only rows that tie in the order key stay together beyond the target.
     """
     if SLICE in df.columns:
         return df
@@ -97,23 +98,19 @@ def with_slices(
     key = F.col(order_key)
     large = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.percentile_approx(key, [i / CUTS for i in range(1, CUTS)], ACCURACY).alias("_at"),
+        )
         .where(F.col("_n") > target)
     )
     if like is None and not df.isStreaming and large.isEmpty():
         return _whole(df)
-    large = (
-        large.withColumn("_pieces", F.ceil(F.col("_n") / F.lit(target)) * SLICES_PER_TARGET)
-        .withColumn(
-            "_width", F.greatest(F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces")), F.lit(1))
-        )
-        .select(*keys, "_lo", "_width")
-    )
-    return (
-        df.join(F.broadcast(large), list(keys), "left")
-        .withColumn(SLICE, F.floor((key - F.col("_lo")) / F.col("_width")).cast("bigint"))
-        .drop("_lo", "_width")
-    )
+    every = F.greatest(F.floor(CUTS * target / (2 * F.col("_n"))), F.lit(1))
+    cuts = F.array_distinct(F.filter("_at", lambda _c, i: (i + 1) % every == 0))
+    large = large.select(*keys, cuts.alias("_cuts"))
+    place = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < key)))
+    return df.join(large, list(keys), "left").withColumn(SLICE, place.cast("bigint")).drop("_cuts")
 
 
 def colocate(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import display as d
@@ -14,6 +15,8 @@ from runlens.operators import (
 )
 from runlens.schemas import SESSION
 from runlens.session import stage
+from runlens.sources import envelopes, store
+from runlens.streaming import live
 
 
 @dataclass
@@ -98,8 +101,13 @@ def debrief(
     )
 
 
-def finalize_live(episodes: DataFrame, objectives: DataFrame | None = None, recording: bool = True) -> dict[str, DataFrame]:
-    """Alignment, phases, metrics, radar and the recap line of sessions still being recorded. Running it twice changes nothing."""
+def finalize_live(
+    episodes: DataFrame, objectives: DataFrame | None = None, recording: bool = True, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _name: df,
+) -> dict[str, DataFrame]:
+    """Alignment, phases, metrics, radar and the recap line of sessions still being recorded. Running it twice changes nothing.
+
+    ``keep`` may write the aligned episodes, which everything else reads, and give them back from there.
+    """
     if objectives is None:
         aligned = align.align_without_path(episodes)
         empty = episodes.select(SESSION).where("false")
@@ -110,19 +118,61 @@ def finalize_live(episodes: DataFrame, objectives: DataFrame | None = None, reco
         )
     else:
         aligned, board = align.align(episodes, objectives)
-    aligned = classify.with_frameworks(aligned)
+    aligned = keep(classify.with_frameworks(aligned), "episodes")
     return {
         "episodes": aligned, "board": board, "phases": timeline.phases(aligned), "metrics": metric_row(aligned, board, rounded=False),
         "radar": metrics.radar_from_counts(aligned), "recap": coaching.recap_step(aligned, recording),
     }
 
 
-def realign(episodes: DataFrame, session_golden: DataFrame, golden: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Another intended path for finished sessions: new alignment, board and metric row."""
+def live_refresh(
+    spark: SparkSession, folder: str, write: Callable[[str, DataFrame, int], None], objectives: DataFrame | None = None,
+    tapped: DataFrame | None = None, config: segment.SegmentConfig = segment.SegmentConfig(), recording: bool = True,
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function from envelopes to finished tables: the batch joins the store in ``folder``, and every
+    session it touched is segmented, given its tapped episodes, finalized and written under its batch number."""
+    def run(batch: DataFrame, number: int) -> None:
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{folder}/work/{name}/{number}")
+            return spark.read.schema(df.schema).parquet(f"{folder}/work/{name}/{number}")
+
+        def recompute(raw: DataFrame) -> dict[str, DataFrame]:
+            episodes = segment.segment_episodes(raw, config)
+            if tapped is not None:
+                own = tapped.join(raw.select(SESSION).distinct(), SESSION, "left_semi")
+                episodes = segment.append_episodes(episodes, own)
+            return finalize_live(keep(episodes, "segmented"), objectives, recording, keep)
+
+        store.write_batch(batch, folder, number)
+        live.refresh_touched(lambda: envelopes.raw_commands(store.read_batches(spark, folder), "first"), recompute, write)(batch, number)
+
+    return run
+
+
+#: Metrics that depend on the intended path; the others of a session stay as they were.
+PATH_METRICS = ["objective_coverage_pct", "ukc_coverage_pct", "methodology_coverage_pct", "recovery_median_ms"]
+
+
+def realign(
+    episodes: DataFrame, session_golden: DataFrame, golden: DataFrame, findings: DataFrame | None = None, uses: DataFrame | None = None,
+    metrics_before: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Another intended path for finished sessions: new alignment, board and metric row.
+
+    With the ledger (``findings``, ``uses``) the board carries status, references and proofs. With the row computed before,
+    only the time split and what depends on the path is replaced.
+    """
     objectives = align.session_objectives(session_golden, golden)
     aligned, board = align.align(episodes.drop("alignment", "loop_of_seq"), objectives)
     aligned = classify.with_frameworks(aligned)
-    return aligned, board, metric_row(aligned, board)
+    if findings is not None and uses is not None:
+        board = align.objective_status(aligned, board, findings, uses)
+    row = metric_row(aligned, board)
+    if metrics_before is not None:
+        split = [c for c in metrics.waste(aligned).columns if c != SESSION]
+        new = [c for c in dict.fromkeys(split + PATH_METRICS) if c in row.columns]
+        row = metrics_before.drop(*new).join(row.select(SESSION, *new), SESSION, "left")
+    return aligned, board, row
 
 
 def trimmed(episodes: DataFrame, board: DataFrame, ranges: DataFrame) -> dict[str, DataFrame]:

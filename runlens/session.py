@@ -44,13 +44,14 @@ def table_of(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 _local_folders: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for checkpoints. Only a local session without one gets a folder of its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints. Only a local session without one gets a folder of its own; a cluster
+    has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
-        return None
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="run-")
@@ -61,12 +62,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several operators read, and go on from the files.
 
     The files keep columns apart, so every reader prunes to what it needs, and a lost executor recomputes from
-    them instead of from the source. Without a shared folder the plan simply stays lazy.
+    them instead of from the source.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
-    if folder is None:
-        return df
     path = f"{folder}/staged/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

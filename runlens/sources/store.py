@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.schemas import ENVELOPE, SESSION
 from runlens.sources.envelopes import _at, _pick
@@ -12,17 +15,25 @@ TABLES = ["sessions", "commands", "output_blocks", "http_exchanges"]
 
 
 def normalize(envelopes: DataFrame) -> dict[str, DataFrame]:
-    """Store tables with first-wins keys; output is kept only for known commands, a response only for a known request."""
+    """Store tables with first-wins keys; output is kept only for known commands, a response only for a known request.
+
+    With a ``batch`` column (see ``read_batches``) known means by that batch: output or a response that came in an earlier
+    batch than its command or request is dropped, and a response of a later batch completes the exchange.
+    """
+    if "batch" not in envelopes.columns:
+        envelopes = envelopes.withColumn("batch", F.lit(0))
     place = F.struct(F.col(_at(envelopes)[0]), F.col("ts_utc_us"))
     sessions = envelopes.groupBy(SESSION).agg(
         F.min_by(F.struct(F.col("ts_utc_us").alias("started_at"), "source", F.col("provenance.platform").alias("platform")), place).alias("s")
     ).select(SESSION, "s.*")
-    body = F.struct("ts_utc_us", "payload", "provenance")
+    body = F.struct("ts_utc_us", "payload", "provenance", "batch")
     keys = [SESSION, "seq"]
     first = _pick(envelopes.where("kind = 'command'"), keys, "first", body)
     outputs = envelopes.where("kind in ('output', 'stdin_masked')")
     text = F.coalesce("payload.text", F.lit(""))
-    blocks = outputs.join(first.select(*keys), keys, "left_semi").select(
+    known = first.select(*keys, F.col("r.batch").alias("_known"))
+    outputs = outputs.join(known, keys).where(F.col("batch") >= F.col("_known"))
+    blocks = outputs.select(
         *keys, F.col("ts_utc_us").alias("started_at"), text.alias("content"), F.col("payload.line_count").alias("line_count"),
         F.octet_length(text).alias("byte_count"), F.when(F.col("kind") == "stdin_masked", "masked").otherwise("clean").alias("fidelity"),
         *([c for c in ("line_at",) if c in envelopes.columns]),
@@ -38,7 +49,8 @@ def normalize(envelopes: DataFrame) -> dict[str, DataFrame]:
     pkeys = [SESSION, "pair_id"]
     asked = _pick(paired.where("kind = 'http_request'"), pkeys, "first", body).withColumnRenamed("r", "q")
     answered = _pick(paired.where("kind = 'http_response'"), pkeys, "last", body).withColumnRenamed("r", "a")
-    exchanges = asked.join(answered, pkeys, "left").select(
+    in_time = F.when(F.col("a.batch") >= F.col("q.batch"), F.col("a"))
+    exchanges = asked.join(answered, pkeys, "left").withColumn("a", in_time).select(
         *pkeys, "q.payload.method", "q.payload.url", "q.payload.req_headers", "q.payload.req_body", "a.payload.status",
         "a.payload.resp_headers", "a.payload.resp_body", "a.payload.mime", F.col("q.ts_utc_us").alias("started_at"),
         F.col("a.ts_utc_us").alias("ended_at"), "q.provenance.context_path",
@@ -56,6 +68,24 @@ def write_store(envelopes: DataFrame, folder: str, mode: str = "overwrite") -> N
         clustered.write.mode(mode).partitionBy("session_date").parquet(f"{folder}/{name}")
 
 
+def write_batch(envelopes: DataFrame, folder: str, number: int) -> None:
+    """Keeps the envelopes of one micro-batch. A batch that is replayed overwrites itself, and no earlier one is touched."""
+    names = [f.name for f in T._parse_datatype_string(ENVELOPE).fields]
+    envelopes.select(*names).write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+
+
+def batch_writer(folder: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that fills the store."""
+    return lambda batch, number: write_batch(batch, folder, number)
+
+
+def read_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """All envelopes kept so far, with the batch they came in and their place of arrival."""
+    schema = T._parse_datatype_string(ENVELOPE).add("batch", T.LongType())
+    rows = spark.read.schema(schema).option("basePath", f"{folder}/batches").parquet(f"{folder}/batches")
+    return rows.withColumn("line_at", F.struct("batch", "ts_utc_us", F.xxhash64("kind", "payload").alias("row")))
+
+
 def read_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
 
