@@ -203,10 +203,13 @@ def resolve_platform(scope: Column, context: Column, hint: Column, rule_rows: li
 
 
 def identify_target(
-    sessions: DataFrame, scope: str = "target_scope", context: str = "context_path", hint: str | None = None
+    sessions: DataFrame, scope: str = "target_scope", context: str = "context_path", hint: str | None = None,
+    platforms: list | DataFrame | None = None, levels: dict | None = None,
 ) -> DataFrame:
     """Add ``target`` (platform, kind, name, slug, difficulty, hue, url) parsed from the scope text.
 
+    ``platforms`` replaces the rule rows (order, id, kind, context pattern, scope pattern, ranges); a table of them is small.
+
     Optional columns ``machine_name``, ``machine_slug`` and ``machine_difficulty`` override the parse.
     """
     none = F.lit(None).cast("string")
@@ -216,7 +219,8 @@ def identify_target(
     machine_level = F.col("machine_difficulty") if "machine_difficulty" in columns else none
     hint_col = F.col(hint) if hint else F.when(machine.isNotNull(), "htb")
     text = F.col(scope)
-    df = sessions.withColumn("_p", resolve_platform(text, F.col(context), hint_col))
+    rows = [tuple(r) for r in platforms.collect()] if isinstance(platforms, DataFrame) else platforms or rules.PLATFORM_RULES
+    df = sessions.withColumn("_p", resolve_platform(text, F.col(context), hint_col, rows))
     p = F.col("_p")
     default = F.when(p == "htb", "session").when(p == "thm", "room").when(p == "local", "session").otherwise("lab")
     ts = F.coalesce(text, default)
@@ -235,12 +239,12 @@ def identify_target(
     )
     label = F.coalesce(machine_level, F.when(p == "htb", word))
     level = F.lit(None).cast("int")
-    for platform, levels in rules.DIFFICULTY_LEVELS.items():
+    for platform, levels in (levels or rules.DIFFICULTY_LEVELS).items():
         for key, value in levels.items():
             level = F.when((p == platform) & (label == key), value).otherwise(level)
     made = F.regexp_replace(F.lower("_name"), "[^a-z0-9]", "")
     slug = F.when(p == "htb", F.coalesce(machine_slug, made)).when(p == "thm", made)
-    kinds = {r[1]: r[2] for r in rules.PLATFORM_RULES}
+    kinds = {r[1]: r[2] for r in rows}
     kind = F.lit(None).cast("string")
     for platform, noun in kinds.items():
         kind = F.when(p == platform, noun).otherwise(kind)
