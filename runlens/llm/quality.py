@@ -49,13 +49,13 @@ def repeated_words(tokens: Column, width: int = 3) -> Column:
     the positions of repeated windows, and each position adds the words that the one before it doesn't cover.
     """
     def covered(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def repeats(s: Column) -> Column:
             same = lambda x, other: F.coalesce(x["h"] == F.get(s, other)["h"], F.lit(False))
             return F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
 
-        at = F.array_sort(F.transform(bound(placed, repeats), lambda x: x["i"]))
+        at = F.sort_array(F.transform(bound(placed, repeats), lambda x: x["i"]))
         start = F.struct(F.lit(-width).alias("last"), F.lit(0).alias("n"))
         step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(width), p - acc["last"])).alias("n"))
         return F.aggregate(at, start, step, lambda acc: acc["n"])
@@ -75,10 +75,13 @@ def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every row."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     tokens = common.words(body)
-    out = docs.select(
-        *keep, F.size(tokens).cast("long").alias("n_words"), F.length(F.translate(body, common.SEPARATORS, "")).cast("long").alias("word_chars"),
+    counts = bound(tokens, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated")))
+    out = docs.select(*keep, body.alias("_body"), counts.alias("_counts"))
+    body = F.col("_body")
+    out = out.select(
+        *keep, F.col("_counts.n").alias("n_words"), F.length(F.translate(body, common.SEPARATORS, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        duplicate_lines(body).alias("n_dup_lines"), repeated_words(tokens).alias("n_repeat_words"),
+        duplicate_lines(body).alias("n_dup_lines"), F.col("_counts.repeated").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed)
