@@ -414,6 +414,28 @@ def live_status(spark, sf):
     return out.select(SESSION, "phase", "elapsed_ms", "stealth", "ports_found", "ports_engaged", "findings", F.array_join("threads", " ").alias("threads"), "nudge", "commands", "since_last_find_ms")
 
 
+@query("masked_keystrokes", """select 'd' || doc_id session_uuid, case when doc_id % 3 = 2 then substr(text, 1, 12) when doc_id % 3 = 1 then substr(text, 1, 12) else substr(text, 6, 7) end kept from documents where length(text) >= 12""")
+def masked_keystrokes(spark, sf):
+    """The first five keys of every third document are typed inside a full-screen program; every third has no timing."""
+    d = table(spark, sf, "documents").where(F.length("text") >= 12)
+    mark = F.when(F.col("doc_id") % 3 == 0, F.lit("\x1b[?1049h")).otherwise(F.lit("screen..")), F.when(F.col("doc_id") % 3 == 0, F.lit("\x1b[?1049l")).otherwise(F.lit("screen.."))
+    rows = d.select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias(SESSION), F.substr("text", F.lit(1), F.lit(12)).alias("input_log"),
+        F.concat(mark[0], mark[1]).alias("output_log"), F.when(F.col("doc_id") % 3 != 2, F.lit("O 0.1 8\nI 0.2 5\nO 0.3 8\nI 0.4 7\n")).alias("timing_log"))
+    return taps.strip_alt_screen(rows).select(SESSION, F.col("input_log").alias("kept"))
+
+
+@query("paired_taps", """select 'd' || doc_id session_uuid, 'host' || doc_id % 5 target, doc_id * 1000 started_at_ms, md5(text) input, case when doc_id % 2 = 0 then 'out' end as "output" from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def paired_taps(spark, sf):
+    """Up to four files per tap: every document is the typed log of one, every second tap has an output log."""
+    d = table(spark, sf, "documents")
+    name = lambda part: F.concat(F.lit("/taps/d"), F.col("doc_id").cast("string"), F.lit(f".{part}"))
+    meta = F.to_json(F.struct(F.concat(F.lit("host"), (F.col("doc_id") % 5).cast("string")).alias("target"), (F.col("doc_id") * 1000).alias("startedAtMs")))
+    files = d.select(name("in").alias("file"), F.col("text").alias("body")).unionByName(d.select(name("meta").alias("file"), meta.alias("body")))
+    files = files.unionByName(d.where("doc_id % 2 = 0").select(name("out").alias("file"), F.lit("out").alias("body")))
+    return taps.pair_tap_files(files).select(SESSION, "target", "started_at_ms", F.md5("input_log").alias("input"), F.col("output_log").alias("output"))
+
+
 # --- store in batches and refresh -------------------------------------------------------------------
 
 

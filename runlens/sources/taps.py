@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import text as t
+from runlens.operators import ordered
 from runlens.schemas import SESSION, WEB
 
 # fixed values: terminal control sequences
@@ -60,11 +61,14 @@ def strip_alt_screen(taps: DataFrame) -> DataFrame:
     w = Window.partitionBy(SESSION).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_side = Window.partitionBy(SESSION, "side").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = steps.withColumn("_at", (F.sum("size").over(by_side) - F.col("size") + 1).cast("int"))
-    # Positions come from the small timing rows alone; the logs are joined last and cut at once.
-    log = F.when(F.col("side") == "O", F.col("output_log")).otherwise(F.col("input_log"))
-    steps = steps.join(timed_taps.select(SESSION, "input_log", "output_log"), SESSION).select(
-        SESSION, "n", "side", F.substr(log, F.col("_at"), F.col("size")).alias("chunk")
-    )
+    # Positions come from the small timing rows alone. The places of a tap meet its logs in one row and cut them there, so
+    # only the pieces go on.
+    places = steps.groupBy(SESSION).agg(F.sort_array(F.collect_list(F.struct("n", "side", "_at", "size"))).alias("_places"))
+    cut = lambda x: F.struct(
+        x["n"].alias("n"), x["side"].alias("side"),
+        F.substr(F.when(x["side"] == "O", F.col("output_log")).otherwise(F.col("input_log")), x["_at"], x["size"]).alias("chunk"))
+    pieces = timed_taps.join(places, SESSION).select(SESSION, F.explode(F.transform("_places", cut)).alias("x"))
+    steps = pieces.select(SESSION, "x.*")
     # Enter and leave marks of one chunk are counted first and clamped once, as one step.
     step = F.when(
         F.col("side") == "O",
@@ -87,9 +91,11 @@ def scrub_unechoed(commands: DataFrame, outputs: DataFrame) -> DataFrame:
     echoed = outputs.where("output_log is not null and output_log <> ''").select(
         SESSION, F.regexp_replace("output_log", f"{CSI}|{ESC}", "").alias("_echo")
     )
-    df = commands.join(echoed, SESSION, "left")
-    needle = t.trim(F.col("cmd"))
-    return df.where(F.col("_echo").isNull() | (F.length(needle) < 3) | F.col("_echo").contains(needle)).drop("_echo")
+    # The commands of a session were one input log; they meet the output log in one row instead of a copy of it each.
+    held = commands.groupBy(SESSION).agg(F.collect_list(F.struct(*commands.columns)).alias("_c")).join(echoed, SESSION, "left")
+    needle = lambda x: t.trim(x["cmd"])
+    kept = F.filter("_c", lambda x: F.col("_echo").isNull() | (F.length(needle(x)) < 3) | F.col("_echo").contains(needle(x)))
+    return held.select(F.explode(kept).alias("x")).select("x.*")
 
 
 def pair_tap_files(files: DataFrame) -> DataFrame:
@@ -119,8 +125,8 @@ def tap_to_raw(taps: DataFrame, step_ms: int = 1000) -> DataFrame:
     """Commands of tapped shells; a plain log has no timing, so they are spaced by a fixed step."""
     shell = strip_alt_screen(taps)
     commands = scrub_unechoed(parse_keystrokes(shell), taps.select(SESSION, "output_log"))
-    i = F.row_number().over(Window.partitionBy(SESSION).orderBy("line_no")) - 1
-    df = commands.withColumn("i", i).join(taps.select(SESSION, "target", F.col("started_at_ms").alias("_t0")), SESSION)
+    placed = ordered.scan(ordered.with_slices(commands, [SESSION], "line_no"), [SESSION], ["line_no"], {"i": ordered.position()})
+    df = placed.withColumn("i", F.col("i") - 1).join(taps.select(SESSION, "target", F.col("started_at_ms").alias("_t0")), SESSION)
     at = F.col("_t0") + F.col("i") * step_ms
     return df.select(
         SESSION, F.col("i").cast("bigint").alias("ord"), t.redact_text(F.col("cmd")).alias("cmd"), at.alias("started_at_ms"),
