@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from runlens.llm import common, simhash
 
 DEPTH, LOCAL = 5, 3  # bytes of context; the depth from which a group of contexts is worked out in one task
-BATCH_BYTES = 4 << 20
+#: Bytes of text that are handled at once: when counting (larger batches give fewer rows) and when scoring (beside the tables).
+COUNT_BYTES, SCORE_BYTES = 3 << 20, 1 << 20
 #: Entries that tasks look up directly; all others are joined. They bound what is broadcast, not what is counted.
 MOST_WORDS, MOST_SEQUENCES = 1 << 19, 1 << 21
 WORD, SEQUENCE, DOCUMENT = 0, 1, 2
@@ -191,13 +192,13 @@ class Lookup:
         return out
 
 
-def _parts(texts: pa.Array):
-    """First row and texts of about BATCH_BYTES each."""
-    texts = texts.fill_null("")
+def _parts(texts: pa.Array, size: int):
+    """First row and texts of about `size` bytes each."""
+    texts = texts.fill_null("") if texts.null_count else texts
     upto = np.cumsum(pc.binary_length(texts).to_numpy())
     start = 0
     while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + BATCH_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + size, side="right")))
         yield start, texts.slice(start, stop - start)
         start = stop
 
@@ -208,7 +209,7 @@ def counts(rows: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             training = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, texts in _parts(batch.column(1)):
+            for start, texts in _parts(batch.column(1), COUNT_BYTES):
                 lines = Lines(texts)
                 own = training[start : start + len(texts)]
                 found = [(WORD, lines.words()[np.repeat(own, lines.n_words)], 1)]
@@ -306,7 +307,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
             if words is None:
                 words, chains = (Lookup(*x) for x in shared.value)
                 word_score = np.log10((words.values + 0.5) / whole)
-            for start, texts in _parts(batch.column(3)):
+            for start, texts in _parts(batch.column(3), SCORE_BYTES):
                 lines = Lines(texts)
                 row = batch.column(0).slice(start, len(texts))
                 n = len(texts)
@@ -316,7 +317,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
                 known = np.bincount(owner[hit], minlength=n) + (ends > 0)
                 base = np.bincount(owner[hit], word_score[at[hit]], n) + end_score
                 seq = lines.sequences()
-                where, text_of = chains.find(seq), np.repeat(np.arange(n), lines.sizes())
+                where, text_of = chains.find(seq), np.repeat(np.arange(n, dtype=np.int32), lines.sizes())
                 met = where >= 0
                 points = np.bincount(text_of[met], chains.values[where[met]], n)
                 out = [(DOCUMENT, np.arange(n), np.zeros(n, np.int64)), (WORD, owner[~hit], hashed[~hit]), (SEQUENCE, text_of[~met], seq[~met])]
