@@ -138,15 +138,67 @@ def store_listing(spark, sf):
     return store.store_summary(store.normalize(stage(telemetry(spark, sf), "envelopes"))).select(SESSION, "source", "seq", "binary", "exit")
 
 
-@query("contract_violations", f"""with {SQL_ENV} select 'source:enum' "rule", count(*) n from env""")
-def contract_violations(spark, sf):
-    return contracts.validate(telemetry(spark, sf), contracts.ENVELOPE_CONTRACT, [SESSION, "seq"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+BROKEN = """select 'source:enum' rule, seq from env where seq % 5 <> 0 union all select 'source:required', seq from env where seq % 7 = 0 and false
+union all select 'ts_utc_us:range', seq from env where seq % 11 = 0 union all select 'ts_utc_us:required', seq from env where seq % 13 = 0 and seq % 11 <> 0
+union all select 'kind:enum', seq from env where seq % 17 = 0 union all select 'provenance.boundary_confidence:range', seq from env where seq % 19 = 0"""
 
 
-@query("episode_contract", "select 0::bigint violations")
+@query("contract_violations", f"""with {SQL_ENV} select rule, count(*) n from ({BROKEN}) group by 1""")
+def contract_violations(spark, sf):
+    """Telemetry with broken rows of each kind."""
+    every = lambda n: F.col("seq") % n == 0
+    bad = telemetry(spark, sf).withColumn("source", F.when(every(5), "plugin").otherwise(F.col("source")))
+    bad = bad.withColumn("ts_utc_us", F.when(every(11), -1).when(~every(13), F.col("ts_utc_us"))).withColumn("kind", F.when(every(17), "other").otherwise(F.col("kind")))
+    bad = bad.withColumn("provenance", F.struct(F.when(every(19), 1.5).otherwise(0.5).alias("boundary_confidence")))
+    return contracts.validate(bad, contracts.ENVELOPE_CONTRACT, [SESSION, "seq"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("episode_contract", f"""with {SQL_EPISODES} select 'seq:range' "rule", count(*) filter (seq % 10 = 3) n from ep union all select 'actor:enum', count(*) filter (seq % 10 = 4) from ep
+union all select 'tactic:pattern', count(*) filter (seq % 10 = 5) from ep union all select 'technique:pattern', count(*) filter (seq % 10 = 6) from ep
+union all select 'confidence:range', count(*) filter (seq % 10 = 7) from ep union all select 'cmd:required', count(*) filter (seq % 10 = 8) from ep
+union all select 'cwe:each', count(*) filter (seq % 10 = 9) from ep union all select 'ukc:enum', count(*) filter (seq % 10 = 0) from ep""")
 def episode_contract(spark, sf):
-    broken = contracts.validate(Run(spark, sf).segmented, contracts.EPISODE_CONTRACT, [SESSION, "seq"])
-    return broken.agg(F.count(F.lit(1)).alias("violations"))
+    """Segmented episodes, eight kinds of rows broken on purpose; the others break nothing."""
+    at = lambda n: F.col("_n") == n
+    ep = Run(spark, sf).segmented.withColumn("_n", F.col("seq") % 10)
+    put = lambda df, c, n, v: df.withColumn(c, F.when(at(n), F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c)))
+    for column, n, value in (("seq", 3, -1), ("actor", 4, "nobody"), ("tactic", 5, "TA7"), ("technique", 6, "T10"), ("confidence", 7, 2.0), ("cmd", 8, None)):
+        ep = put(ep, column, n, value)
+    ep = ep.withColumn("cwe", F.when(at(9), F.array(F.lit("CWE-1"), F.lit("cwe 2")))).withColumn("ukc", F.when(at(0), "nowhere"))
+    return contracts.validate(ep, contracts.EPISODE_CONTRACT, [SESSION]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+REPORT_PARTS = """select 'findings' part, 'kind:enum' "rule", count(*) filter (o_orderkey % 11 = 10) n from orders union all select 'findings', 'source_seq:range', count(*) filter (o_orderkey % 7 = 0) from orders
+union all select 'findings', 'tactic:pattern', count(*) filter (o_orderkey % 20 >= 10) from orders union all select 'findings', 'used_by_seq:each_range', count(*) filter (o_orderkey % 3 = 0) from orders
+union all select 'phases', 'efficiency_pct:range', count(*) filter (o_totalprice > 100000) from orders union all select 'phases', 'label:required', count(*) filter (o_orderkey % 4 = 0) from orders
+union all select 'objectives', 'status:enum', count(*) filter (o_orderstatus = 'P') from orders union all select 'objectives', 'satisfied_by:required', count(*) filter (o_orderkey % 9 = 0) from orders
+union all select 'hints', 'tier:enum', count(*) filter (o_orderkey % 5 in (0, 4)) from orders union all select 'ghost', 'verdict:enum', count(*) filter (o_orderkey % 6 = 5) from orders
+union all select 'metrics', 'stealth_score:range', count(*) filter (o_totalprice > 200000) from orders union all select 'metrics', 'loop_ms:required', count(*) filter (o_orderkey % 8 = 0) from orders
+union all select 'coaching', 'category:enum', count(*) filter (o_orderpriority = '5-LOW') from orders"""
+
+
+@query("report_contract", f"select * from ({REPORT_PARTS}) where n > 0")
+def report_contract(spark, sf):
+    """Parts of reports made from orders, each with rows that break its contract."""
+    o = table(spark, sf, "orders").withColumn(SESSION, F.col("o_orderkey").cast("string"))
+    k, text = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (k % n).cast("int"))
+    kinds = ["port", "service", "version", "cred", "url", "path", "host", "hash", "vuln", "flag", "other"]
+    parts = {
+        "findings": o.select(SESSION, text("o_orderkey").alias("id"), pick(kinds, 11).alias("kind"), text("o_comment" if "o_comment" in o.columns else "o_orderstatus").alias("value"),
+                             (k % 7 - 1).alias("source_seq"), F.concat(F.lit("TA000"), (k % 20).cast("string")).alias("tactic"), F.lit(0.5).alias("confidence"),
+                             F.array(F.lit(3), F.when(k % 3 == 0, -1).otherwise(1)).alias("used_by_seq")),
+        "phases": o.select(SESSION, F.lit("TA0001").alias("mitre_tactic"), F.when(k % 4 != 0, "x").alias("label"), F.col("o_orderdate").alias("started_at"),
+                           F.col("o_orderdate").alias("ended_at"), (F.col("o_totalprice") / 1000).alias("efficiency_pct")),
+        "objectives": o.select(SESSION, F.lit("o").alias("objective"), F.lit("TA0001").alias("tactic"), F.when(k % 9 != 0, F.array(F.lit("nmap"))).alias("satisfied_by"),
+                               F.when(F.col("o_orderstatus") == "P", "partly").otherwise("reached").alias("status")),
+        "hints": o.select(SESSION, (k % 5).cast("int").alias("tier"), F.lit(0).alias("at_ms"), F.lit("x").alias("phase")),
+        "ghost": o.select(SESSION, F.lit("o").alias("objective"), pick(["on_time", "late_pivot", "skipped", "ahead", "off_path_win", "never"], 6).alias("verdict"), F.lit(0).alias("lag_ms")),
+        "metrics": o.select(SESSION, (F.col("o_totalprice") / 2000).alias("stealth_score"), F.when(k % 8 != 0, F.lit(1)).alias("loop_ms"), F.lit(50.0).alias("efficiency_pct"),
+                            F.lit(1.0).alias("objective_coverage_pct"), *[F.lit(1).alias(c) for c in ("technique_breadth", "productive_ms", "detour_ms", "stuck_ms", "active_ms")]),
+        "coaching": o.select(SESSION, F.lit("a").alias("action"), F.lit("w").alias("why"), F.when(F.col("o_orderpriority") == "5-LOW", "Low").otherwise("Recon").alias("category")),
+    }
+    return contracts.validate_report(parts, [SESSION]).groupBy("part", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("bracketed_streams", f"""with {SQL_ENV} select session_uuid, 'session_start' kind, min(ts_utc_us) ts_utc_us from env group by 1 union all select session_uuid, 'session_end', max(ts_utc_us) from env group by 1
