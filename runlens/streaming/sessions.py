@@ -70,9 +70,11 @@ class Controller:
 
 
 class SessionProcessor(StatefulProcessor):
-    """The controller as keyed streaming state; an event-time timer closes a silent session.
+    """The controller as keyed streaming state, fed in event order.
 
-    Rows of a source are walked in event order within a batch, one at a time; the state is one small row.
+    Rows wait in the state until the watermark has passed them, so what arrives out of order within the watermark is fed
+    in order, whatever the chunks and batches it came in. A timer wakes a source for its earliest waiting row and for the
+    end of a silent session. A source's waiting rows are those of one watermark's span; its session is one small row.
     """
 
     def __init__(self, idle_us: int = IDLE_US, auto_start: bool = True):
@@ -81,43 +83,52 @@ class SessionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("active", "uuid string, started bigint, last bigint, flagged boolean")
+        self.waiting = handle.getListState("waiting", "at_us bigint, seq bigint, kind string, uuid string, has_flag boolean, label string")
 
-    def _emit(self, key, events) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(key, *e) for e in events], columns=["source_key", "event", "session_uuid", "label", "at_us", "reason"]
-        ).astype({"at_us": "int64"})
-
-    def _save(self, controller: Controller) -> None:
+    def _wake(self, earliest: int | None, active: tuple | None) -> None:
+        """One timer: when the watermark passes the earliest waiting row or the timeout of the session."""
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if controller.active is None:
-            self.state.clear()
-        else:
-            self.state.update(tuple(controller.active))
-            # One millisecond past the timeout, so that a row exactly at it still belongs to the session.
-            self.handle.registerTimer((controller.active[2] + self.idle_us) // 1000 + 1)
+        due = [earliest // 1000 + 1] if earliest is not None else []
+        # One millisecond past the timeout, so that a row exactly at it still belongs to the session.
+        due += [(active[2] + self.idle_us) // 1000 + 1] if active is not None else []
+        if due:
+            self.handle.registerTimer(min(due))
 
-    def _load(self) -> Controller:
-        active = tuple(self.state.get()) if self.state.exists() else None
-        return Controller(self.idle_us, self.auto_start, active)
+    def _active(self) -> tuple | None:
+        return tuple(self.state.get()) if self.state.exists() else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        controller, source = self._load(), key[0]
-        for batch in rows:
-            events = []
-            for r in batch.sort_values(["at_us", "seq"], kind="stable").itertuples(index=False):
-                events += controller.feed(source, r.kind, r.session_uuid, int(r.at_us), bool(r.has_flag), r.label)
-            if events:
-                yield self._emit(source, events)
-        self._save(controller)
+        new = [
+            (int(r.at_us), int(r.seq), r.kind, r.session_uuid, bool(r.has_flag), r.label)
+            for batch in rows for r in batch.itertuples(index=False)
+        ]
+        self.waiting.appendList(new)
+        earliest = min([r[0] for r in self.waiting.get()], default=None)
+        self._wake(earliest, self._active())
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        controller = self._load()
-        if controller.active is not None:
-            due = controller.active[2] + self.idle_us
-            if expiredTimerInfo.getExpiryTimeInMs() * 1000 > due:
-                yield self._emit(key[0], controller.close(due, "idle"))
-                self.state.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000  # rows from here on may still come
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ready, rest = [r for r in rows if r[0] < passed], [r for r in rows if r[0] >= passed]
+        controller, events = Controller(self.idle_us, self.auto_start, self._active()), []
+        for at, _seq, kind, uuid, has_flag, label in ready:
+            events += controller.feed(key[0], kind, uuid, at, has_flag, label)
+        # With a row waiting, that row tells how the session ends; only a source that fell silent is closed by the clock.
+        if not rest and controller.active is not None and controller.active[2] + self.idle_us < passed:
+            events += controller.close(controller.active[2] + self.idle_us, "idle")
+        if controller.active is None:
+            self.state.clear()
+        else:
+            self.state.update(tuple(controller.active))
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        self._wake(rest[0][0] if rest else None, controller.active)
+        if events:
+            yield pd.DataFrame(
+                [(key[0], *e) for e in events], columns=["source_key", "event", "session_uuid", "label", "at_us", "reason"]
+            ).astype({"at_us": "int64"})
 
     def close(self) -> None:
         pass

@@ -55,6 +55,34 @@ def test_controller_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
 
 
+def test_controller_takes_shuffled_arrival(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(6)
+    rows = []
+    for s in range(3):
+        t = 1_000_000_000
+        for i in range(50):
+            t += rng.choice([0, 10, 100, 500, 1200]) * 1_000_000  # equal times are told apart by seq
+            rows.append((f"k{s}", f"u{s}-{i}", i, t, rng.choice(["command", "output", "session_start", "session_end"]), rng.choice(["x", "0" * 32]), None))
+    rng.shuffle(rows)
+    df = _envelopes(spark, rows).withColumn("n", F.monotonically_increasing_id())
+    tail = _envelopes(spark, [("tail", "z", 0, 10**13, "command", "x", None), ("tail", "z", 1, 2 * 10**13, "command", "x", None)]).withColumn("n", F.lit(1 << 60) + F.col("seq"))
+    stream = _replay(spark, df.unionByName(tail), tmp_path, "shuffled", "n", files=6)
+    got = _drain(sessions.session_events(stream, 600_000_000, True, "100 hours"), "shuffled_out", tmp_path).where("source_key <> 'tail'")
+    want = sessions.session_events_batch(df.drop("n"), 600_000_000, True)
+    cols = ["source_key", "event", "session_uuid", "at_us", "reason"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
+def test_stamp_keeps_arrival_order(spark):
+    rows = [("s", "A", 1, 1_000, "session_start", "", None), ("s", "x", 2, 5_000, "command", "ls", None), ("s", "B", 3, 5_000, "session_start", "", None),
+            ("s", "y", 4, 5_000, "output", "o", None), ("s", "w", 0, 6_000, "http_request", "u", "p")]
+    rows += [("s", "w", i, 6_000 + i, "http_request", "u", f"p{i}") for i in range(1, 400)]  # one source, few commands, many exchanges
+    env = _envelopes(spark, rows).withColumnRenamed("source", "sender")
+    got = {(r.seq, r.kind): r.session_uuid for r in sessions.stamp(env, 10**9, True, "sender").collect()}
+    assert got[2, "command"] == "A" and got[4, "output"] == "B" and got[0, "http_request"] == "B" and len(got) == 402
+
+
 def test_live_join_and_tally(spark, tmp_path):
     rows = [("a", "s", i, 1_000_000_000 + i * 1_000_000, "command", f"cmd {i} 10.0.0.{i}", None) for i in range(20)]
     rows += [("a", "s", i, 1_000_500_000 + i * 1_000_000, "output", "password=x", None) for i in range(0, 20, 2)]
