@@ -239,18 +239,26 @@ def investigation_lessons(spark, sf):
     return defense.defense_lesson(_hits(Run(spark, sf))[1])
 
 
-@query("investigation_grades", f"""{DEF}, st as (select c.case_id, count(*) n, max(t.seq) mx, count(*) filter (exists (select 1 from hits h where h.case_id = c.case_id and h.found_by_seq = t.seq)) adv from cases c join txt t on t.session_uuid = c.run group by 1),
+GRADES = f"""{DEF}, st as (select c.case_id, count(*) n, max(t.seq) mx, count(*) filter (exists (select 1 from hits h where h.case_id = c.case_id and h.found_by_seq = t.seq)) adv from cases c join txt t on t.session_uuid = c.run group by 1),
 ln as (select h.*, d.found df, d.found_by_seq ds from hits h left join hits d on d.case_id = h.case_id and d.artifact_id = h.depends_on),
 pt as (select case_id, sum(weight) filter (found) * 100.0 / sum(weight) cov, count(*) filter (found and depends_on is not null) ch, count(*) filter (found and depends_on is not null and df and ds <= found_by_seq) io, count(*) filter (found) f, sum(found_by_seq) sq from ln group by 1),
 p2 as (select case_id, floor(coalesce(cov, 0) * 10 + 0.5) / 10 a, floor(case when ch > 0 then io * 100.0 / ch else 100 end * 10 + 0.5) / 10 b, floor(case when f > 0 then greatest(0, (1 - sq / mx::double / f) * 100) else 0 end * 10 + 0.5) / 10 c, 100.0 d,
-  floor(adv * 100.0 / n * 10 + 0.5) / 10 e from pt join st using (case_id))
-select case_id, floor((floor(a * 0.34 * 10 + 0.5) / 10 + floor(b * 0.2 * 10 + 0.5) / 10 + floor(c * 0.16 * 10 + 0.5) / 10 + floor(d * 0.16 * 10 + 0.5) / 10 + floor(e * 0.14 * 10 + 0.5) / 10) * 10 + 0.5) / 10 score from p2""".replace("100.0 d,", "100.0::double d,"))
+  floor(adv * 100.0 / n * 10 + 0.5) / 10 e from pt join st using (case_id)),
+sc as (select case_id, floor((floor(a * 0.34 * 10 + 0.5) / 10 + floor(b * 0.2 * 10 + 0.5) / 10 + floor(c * 0.16 * 10 + 0.5) / 10 + floor(d * 0.16 * 10 + 0.5) / 10 + floor(e * 0.14 * 10 + 0.5) / 10) * 10 + 0.5) / 10 score from p2)""".replace("100.0 d,", "100.0::double d,")
+
+
+@query("investigation_grades", f"{GRADES} select case_id, score from sc")
 def investigation_grades(spark, sf):
     _c, found, steps = _hits(Run(spark, sf))
     return defense.defense_grade(found, defense.step_roles(found, steps)).select("case_id", "score")
 
 
-@query("defense_reports")
+@query("defense_reports", f"""{GRADES}, tot as (select case_id, count(*) artifacts, count(*) filter (found) found,
+  count(*) filter (found and not (depends_on is not null and (ds is null or ds > found_by_seq))) human_wins from ln group by 1),
+les as (select case_id, 'Missed: ' || arg_max("label", (weight, -source_seq)) || '. No other missed artifact weighs more; follow the hits you have back to it.' lesson,
+  arg_max(source_seq, (weight, -source_seq)) lesson_seq from hits where not found group by 1)
+select case_id, score, case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end letter, artifacts, found, human_wins, lesson, lesson_seq
+from sc join tot using (case_id) left join les using (case_id)""")
 def defense_reports(spark, sf):
     run = Run(spark, sf)
     cases = stage(_cases(run), "cases")
