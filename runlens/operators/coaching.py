@@ -50,7 +50,7 @@ def coaching_steps(episodes: DataFrame, objectives_board: DataFrame, waste: Data
 def recap_step(episodes: DataFrame, recording: bool) -> DataFrame:
     """The lead line of a live session."""
     counts = episodes.groupBy(SESSION).agg(
-        F.count(F.lit(1)).alias("_n"), F.size(F.collect_set(F.when(F.col("technique") != "", F.col("technique")))).alias("_t")
+        F.count(F.lit(1)).alias("_n"), F.count_distinct(F.when(F.col("technique") != "", F.col("technique"))).alias("_t")
     )
     n, k = F.col("_n").cast("string"), F.col("_t").cast("string")
     live = F.concat(F.lit("Recording: "), n, F.lit(" commands so far, techniques: "), k, F.lit(" technique(s)."))

@@ -109,7 +109,7 @@ def loud_moments(episodes: DataFrame, top: int = 3) -> DataFrame:
 
 def technique_breadth(episodes: DataFrame) -> DataFrame:
     named = F.when(F.col("technique") != "", F.col("technique"))
-    return episodes.groupBy(SESSION).agg(F.size(F.collect_set(named)).cast("bigint").alias("technique_breadth"))
+    return episodes.groupBy(SESSION).agg(F.count_distinct(named).alias("technique_breadth"))
 
 
 def technique_sequences(episodes: DataFrame) -> DataFrame:

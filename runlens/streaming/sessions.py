@@ -227,7 +227,18 @@ def stamp(envelopes: DataFrame, idle_us: int = IDLE_US, auto_start: bool = True,
 
 
 def idle_sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "10 minutes", watermark: str | None = None) -> DataFrame:
-    """Sessions cut only by silence; a gap of exactly the timeout stays inside."""
+    """Sessions cut only by silence; a gap of exactly the timeout stays inside. A finished table is scanned in slices, so
+    that a key with very many events is not one task."""
+    if not events.isStreaming:
+        span = F.expr(f"interval {gap}")
+        rows = events.where(F.col(ts).isNotNull()).select(key, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("_us"))
+        rows = ordered.scan(ordered.with_slices(rows, [key], "_us"), [key], ["_us"], {"_prev": ordered.previous(F.col("_ts"))})
+        opens = F.coalesce(F.col("_ts") > F.col("_prev._ts") + span, F.lit(True)).cast("int")
+        # Of the rows of one instant the one that opens comes first, so that they share its session.
+        rows = rows.withColumn("_opens", opens).withColumn("_later", 1 - opens)
+        rows = ordered.scan(rows, [key], ["_us", "_later"], {"_session": ordered.running_sum(F.col("_opens"))})
+        out = rows.groupBy(key, "_session").agg(F.min("_ts").alias("started_at"), (F.max("_ts") + span).alias("closes_at"), F.count(F.lit(1)).alias("events"))
+        return out.drop("_session")
     df = events.withWatermark(ts, watermark) if watermark else events
     out = df.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
     return out.select(key, F.col("w.start").alias("started_at"), F.col("w.end").alias("closes_at"), "events")
