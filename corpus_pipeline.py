@@ -21,11 +21,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays: that with the smallest id (then hash of its text)."""
     identity = F.struct(F.col("doc_id"), F.xxhash64(F.col("text").isNull(), "text").alias("h"))
-    rows = docs.withColumn("_id", identity)
-    groups = simhash.near_duplicates(rows, "_id").where("_id = component_id")
-    chosen = common.saved(groups.groupBy(F.col("_id").alias("_chosen")).agg(F.count("*").alias("_rows")), "chosen")
-    once = rows.join(chosen.where("_rows = 1"), F.col("_id").eqNullSafe(F.col("_chosen"))).select(*docs.columns)
-    several = rows.join(chosen.where("_rows > 1"), F.col("_id").eqNullSafe(F.col("_chosen"))).dropDuplicates(["_id"]).select(*docs.columns)
+    own, same, n = common.free_names(docs, "own", "same", "n")
+    rows = docs.withColumn(own, identity)
+    groups = simhash.near_duplicates(rows, own).where(F.col(own) == F.col("component_id"))
+    chosen = common.saved(groups.groupBy(F.col(own).alias(same)).agg(F.count("*").alias(n)), "chosen")
+    once = rows.join(chosen.where(F.col(n) == 1), F.col(own).eqNullSafe(F.col(same))).select(*docs.columns)
+    several = rows.join(chosen.where(F.col(n) > 1), F.col(own).eqNullSafe(F.col(same))).dropDuplicates([own]).select(*docs.columns)
     return once.unionByName(several)
 
 

@@ -33,6 +33,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that the table doesn't have, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while f"_{name}" in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters that are no separators, in order; null text has none."""
     plain = F.translate(F.coalesce(text, F.lit("")), SEPARATORS[1:], " " * (len(SEPARATORS) - 1))

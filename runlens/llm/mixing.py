@@ -100,10 +100,11 @@ def repeated(docs: DataFrame, text: str = "text", source: str = "source", **opti
     Rows with equal text and source that are repeated share evenly what they take, whole words each.
     """
     identity = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
-    rows = docs.withColumn("_id", identity)
-    decided = mixed(rows, "_id", source, text, **options)
-    takes = decided.groupBy(F.col("_id").alias("_i")).agg(F.max("size").alias("_size"), F.expr("sum(taken) div count(*)").alias("_taken")).where("_taken > 0")
-    rows = rows.join(takes, F.col("_id") == F.col("_i"))
-    copies, part = F.expr("cast(_taken div _size as int)"), (F.col("_taken") % F.col("_size")).cast("int")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies + F.when(part > 0, 1).otherwise(0))))
-    return rows.withColumn(text, F.when(F.col("_copy") > copies, head(F.col(text), part)).otherwise(F.col(text))).select(*docs.columns)
+    own, same, size, taken, copy = common.free_names(docs, "own", "same", "size", "taken", "copy")
+    rows = docs.withColumn(own, identity)
+    decided = mixed(rows, own, source, text, **options)
+    takes = decided.groupBy(F.col(own).alias(same)).agg(F.max("size").alias(size), F.expr("sum(taken) div count(*)").alias(taken)).where(F.col(taken) > 0)
+    rows = rows.join(takes, F.col(own) == F.col(same))
+    copies, part = F.floor(F.col(taken) / F.col(size)).cast("int"), (F.col(taken) % F.col(size)).cast("int")
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), copies + F.when(part > 0, 1).otherwise(0))))
+    return rows.withColumn(text, F.when(F.col(copy) > copies, head(F.col(text), part)).otherwise(F.col(text))).select(*docs.columns)

@@ -131,7 +131,9 @@ def judged(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 
 def cleaned(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
     """The rows that are kept, all columns, without the lines above the limit."""
-    verdict = judged(docs, key, host, text, **limits).where("kept").select("identity", "removed").dropDuplicates(["identity"])
-    rows = docs.withColumn("_identity", _identity(key, host, text)).join(verdict, F.col("_identity") == F.col("identity"))
-    left = F.filter(lines(F.col(text)), lambda x: ~F.array_contains(F.col("removed"), F.xxhash64(normalised(x))) | (F.size(common.words(x)) == 0))
-    return rows.withColumn(text, F.when(F.size("removed") > 0, F.array_join(left, "\n")).otherwise(F.col(text))).select(*docs.columns)
+    own, same, gone = common.free_names(docs, "own", "same", "gone")
+    verdict = judged(docs, key, host, text, **limits).where("kept").dropDuplicates(["identity"])
+    verdict = verdict.select(F.col("identity").alias(same), F.col("removed").alias(gone))
+    rows = docs.withColumn(own, _identity(key, host, text)).join(verdict, F.col(own) == F.col(same))
+    left = F.filter(lines(F.col(text)), lambda x: ~F.array_contains(F.col(gone), F.xxhash64(normalised(x))) | (F.size(common.words(x)) == 0))
+    return rows.withColumn(text, F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(F.col(text))).select(*docs.columns)

@@ -233,5 +233,11 @@ def test_pipeline(spark, tmp_path):
     # Repeated rows go, rows of one id with different texts stay, and an empty table passes through.
     twice = spark.createDataFrame([rows[0], rows[0], (0, *rows[5][1:])], SCHEMA)
     assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, twice, "").collect()) == sorted([rows[0][1], rows[5][1]])
+    odd = spark.createDataFrame(rows[:20], SCHEMA)
+    for name in ("_own", "_same", "removed", "identity", "size", "taken", "fp", "spans", "_n", "lines", "component_id"):
+        odd = odd.withColumn(name, F.lit(name))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept_rows = stage(spark, odd, "").collect()
+        assert len(kept_rows) >= 20 and all(r[n] == n for r in kept_rows for n in odd.columns[5:])
     empty = docs.limit(0)
     assert all(stage(spark, empty, "").count() == 0 for _, stage in corpus_pipeline.STAGES)
