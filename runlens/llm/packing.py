@@ -11,6 +11,7 @@ within their length.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -61,56 +62,82 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, key: str = "d
     return rows.mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Entries (length, first rank, how many, first sequence, offset): piece rank + i goes to sequence first + i."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    taken = np.zeros(capacity + 1, dtype=np.int64)
-    groups: list[tuple[tuple[int, ...], int]] = []
+class Stock:
+    """Pieces left of each length. Two bit sets, by length and by capacity - length, say which lengths are left; shifting one
+    against the other gives all pairs with a sum at once."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity, self.left, self.up, self.down = capacity, [0] * (capacity + 1), 0, 0
+        for length, n in counts.items():
+            self.add(length, n)
+
+    def add(self, length: int, n: int) -> None:
+        self.left[length] += n
+        bit, mirrored = 1 << length, 1 << (self.capacity - length)
+        if self.left[length]:
+            self.up, self.down = self.up | bit, self.down | mirrored
+        else:
+            self.up, self.down = self.up & ~bit, self.down & ~mirrored
+
+    def longest(self, most: int) -> int:
+        """The longest length up to `most`, 0 if there is none."""
+        return max(0, (self.up & ((2 << most) - 1)).bit_length() - 1)
+
+    def pair(self, total: int, least: int) -> tuple[int, int] | None:
+        """Two lengths from `least` on with this sum, the longer one as long as can be."""
+        found = self.up & (self.down >> (self.capacity - total)) & ((2 << (total // 2)) - 1) >> least << least
+        while found:
+            short = (found & -found).bit_length() - 1
+            if 2 * short < total or self.left[short] > 1:
+                return total - short, short
+            found &= found - 1
+        return None
 
-    def take(combination: tuple[int, ...]) -> None:
-        """As often as its scarcest length allows."""
-        need = np.bincount(combination)
-        used = np.flatnonzero(need)
-        times = int((left[used] // need[used]).min())
-        left[used] -= times * need[used]
-        groups.append((combination, times))
-
-    def exactly(gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that sum to the gap; the longest first."""
-        if left[gap]:
+    def exactly(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that sum to the gap."""
+        if self.left[gap]:
             return (gap,)
-        for third in (0, *np.flatnonzero(left[: gap // 3 + 1])):
-            total, least = gap - third, max(1, third)
-            short = np.arange(least, total // 2 + 1)
-            need_short, need_long = 1 + (short == third), 1 + (short == total - short) + (total - short == third)
-            fits = np.flatnonzero((left[short] >= need_short) & (left[total - short] >= need_long))
-            if len(fits):
-                a = int(short[fits[0]])
-                return tuple(x for x in (total - a, a, int(third)) if x)
+        if two := self.pair(gap, 1):
+            return two
+        thirds = self.up & ((2 << (gap // 3)) - 1)
+        while thirds:
+            third = (thirds & -thirds).bit_length() - 1
+            self.add(third, -1)
+            two = self.pair(gap - third, third)
+            self.add(third, 1)
+            if two:
+                return (*two, third)
+            thirds &= thirds - 1
         return None
 
-    for length in range(capacity, 0, -1):
-        while left[length]:
-            combination, gap = (length,), capacity - length
-            left[length] -= 1
-            while gap:
-                found = exactly(gap)
-                if found is None:  # best fit: the longest piece that goes in, then the rest of the gap again
-                    fitting = np.flatnonzero(left[: gap + 1])
-                    found = (int(fitting[-1]),) if len(fitting) else ()
-                if not found:
-                    break
-                left[list(set(found))] -= np.bincount(found)[list(set(found))]
-                combination, gap = (*combination, *found), gap - sum(found)
-            np.add.at(left, list(combination), 1)
-            take(combination)
+
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Entries (length, first rank, how many, first sequence, offset): piece rank + i goes to sequence first + i."""
+    stock = Stock(counts, capacity)
+    taken = [0] * (capacity + 1)
+    groups: list[tuple[tuple[int, ...], int]] = []
+    while length := stock.longest(capacity):
+        stock.add(length, -1)
+        combination, gap = [length], capacity - length
+        while gap:
+            found = stock.exactly(gap) or (stock.longest(gap),)  # else best fit, and the rest of the gap again
+            if not found[0]:
+                break
+            for piece in found:
+                stock.add(piece, -1)
+            combination += found
+            gap -= sum(found)
+        need = Counter(combination)
+        # As often as the scarcest length allows, this once included.
+        times = 1 + min(stock.left[piece] // n for piece, n in need.items())
+        for piece, n in need.items():
+            stock.add(piece, -n * (times - 1))
+        groups.append((tuple(combination), times))
     out, sequence = [], 0
     for combination, times in groups:
         offset = 0
         for length in combination:
-            out.append((length, int(taken[length]), times, sequence, offset))
+            out.append((length, taken[length], times, sequence, offset))
             taken[length] += times
             offset += length
         sequence += times
