@@ -466,14 +466,15 @@ def live_status(spark, sf):
     return out.select(SESSION, "phase", "elapsed_ms", "stealth", "ports_found", "ports_engaged", "findings", F.array_join("threads", " ").alias("threads"), "nudge", "commands", "since_last_find_ms")
 
 
-@query("masked_keystrokes", """select 'd' || doc_id session_uuid, case when doc_id % 3 = 2 then substr(text, 1, 12) when doc_id % 3 = 1 then substr(text, 1, 12) else substr(text, 6, 7) end kept from documents where length(text) >= 12""")
+@query("masked_keystrokes", """select 'd' || doc_id session_uuid, case when doc_id % 3 > 0 then text else substr(text, 6) end kept from documents""")
 def masked_keystrokes(spark, sf):
     """The first five keys of every third document are typed inside a full-screen program; every third has no timing."""
-    d = table(spark, sf, "documents").where(F.length("text") >= 12)
+    d = table(spark, sf, "documents")
+    rest = F.greatest(F.length("text") - 5, F.lit(0)).cast("string")
     mark = F.when(F.col("doc_id") % 3 == 0, F.lit("\x1b[?1049h")).otherwise(F.lit("screen..")), F.when(F.col("doc_id") % 3 == 0, F.lit("\x1b[?1049l")).otherwise(F.lit("screen.."))
     rows = d.select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias(SESSION), F.substr("text", F.lit(1), F.lit(12)).alias("input_log"),
-        F.concat(mark[0], mark[1]).alias("output_log"), F.when(F.col("doc_id") % 3 != 2, F.lit("O 0.1 8\nI 0.2 5\nO 0.3 8\nI 0.4 7\n")).alias("timing_log"))
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias(SESSION), F.col("text").alias("input_log"),
+        F.concat(mark[0], mark[1]).alias("output_log"), F.when(F.col("doc_id") % 3 != 2, F.concat(F.lit("O 0.1 8\nI 0.2 5\nO 0.3 8\nI 0.4 "), rest, F.lit("\n"))).alias("timing_log"))
     return taps.strip_alt_screen(rows).select(SESSION, F.col("input_log").alias("kept"))
 
 
@@ -521,17 +522,21 @@ def stored_exchanges_in_batches(spark, sf):
     return store.normalize(store.read_batches(spark, folder))["http_exchanges"].select(SESSION, "pair_id", "url", "ended_at")
 
 
-@query("refreshed_sessions", f"""with {SQL_ENV}, t as (select * from env where session_uuid::int % 2 = 1)
-select session_uuid, count(distinct seq) filter (kind = 'command') + count(distinct pair_id) filter (kind = 'http_request') commands from t group by 1""")
+@query("refreshed_sessions", f"""with {SQL_ENV}, t as (select session_uuid, session_uuid::int % 2 batch, count(distinct seq) filter (kind = 'command') + count(distinct pair_id) filter (kind = 'http_request') commands from env group by 1)
+select * from t where commands > 0""")
 def refreshed_sessions(spark, sf):
-    """Batch 0 holds even sessions, batch 1 odd ones; what batch 1 writes holds the odd ones only."""
+    """Batch 0 holds even sessions, batch 1 odd ones; what a batch writes holds the sessions that it touched only."""
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     refresh = debrief.live_refresh(spark, folder, lambda name, df, number: df.write.mode("overwrite").parquet(f"{folder}/{name}/{number}") if name in ("episodes", "metrics") else None)
     rows = telemetry(spark, sf)
     for number in range(2):
         refresh(rows.where(F.col(SESSION).cast("int") % 2 == number), number)
-    metrics = spark.read.parquet(f"{folder}/metrics/1").select(SESSION)
-    return spark.read.parquet(f"{folder}/episodes/1").where("cmd <> ''").join(metrics, SESSION).groupBy(SESSION).agg(F.count(F.lit(1)).alias("commands"))
+    def written(number):
+        metrics = spark.read.parquet(f"{folder}/metrics/{number}").select(SESSION)
+        steps = spark.read.parquet(f"{folder}/episodes/{number}").where("cmd <> ''").join(metrics, SESSION)
+        return steps.groupBy(SESSION, F.lit(number).alias("batch")).agg(F.count(F.lit(1)).alias("commands"))
+
+    return written(0).unionByName(written(1))
 
 
 @query("appended_episodes", f"""with {SQL_EPISODES}, m as (select session_uuid, max(seq) n from ep group by 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.bindings import Run
 from catalog.kit import ALIGNED, CLAIMS, FINDINGS, SQL_EPISODES, STATUS, registry
-from runlens.operators import align, findings, golden
+from runlens.operators import align, findings
 from runlens.schemas import SESSION
 
 QUERIES, query = registry()
