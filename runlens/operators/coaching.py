@@ -53,8 +53,8 @@ def recap_step(episodes: DataFrame, recording: bool) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.count_distinct(F.when(F.col("technique") != "", F.col("technique"))).alias("_t")
     )
     n, k = F.col("_n").cast("string"), F.col("_t").cast("string")
-    live = F.concat(F.lit("Recording: "), n, F.lit(" commands so far, techniques: "), k, F.lit(" technique(s)."))
-    done = F.concat(n, F.lit(" commands, techniques: "), k, F.lit(" ATT&CK technique(s)."))
+    live = F.concat(F.lit("Recording: "), n, F.lit(" commands so far, techniques: "), k, F.lit("."))
+    done = F.concat(n, F.lit(" commands, techniques: "), k, F.lit("."))
     return counts.select(
         SESSION, F.lit(-1).alias("step_order"), (live if recording else done).alias("action"), F.lit("").alias("why"),
         F.lit("Recap").alias("category"), F.lit(None).cast("bigint").alias("evidence_seq"),

@@ -101,7 +101,7 @@ def test_finalize_is_idempotent(spark):
     twice = debrief.finalize_live(once["episodes"])
     keys = ["seq", "alignment", "loop_of_seq", "ukc"]
     assert sorted(map(str, once["episodes"].select(keys).collect())) == sorted(map(str, twice["episodes"].select(keys).collect()))
-    assert twice["recap"].first().action.startswith("Recording: 3 command(s)")
+    assert twice["recap"].first().action.startswith("Recording: 3 commands")
 
 
 def test_controller_batch_equals_walk(spark):
