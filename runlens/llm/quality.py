@@ -2,7 +2,8 @@
 
 Only DataFrame functions. A line is normalised (A-Z to lower case, digits to 0, white space to single spaces) and hashed.
 A line that stands in more documents of a host than the limit is boilerplate there and is removed; a document that loses
-more than `most_lost` of its words is depleted and rejected.
+more than `most_lost` of its words is depleted and rejected. Documents vote by their id (`judged`, the contract of the
+query's SQL) or by their normalised text (`cleaned`), so that copies of a text are one vote.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def _line_rows(text: Column) -> Column:
 
 
 def frequent_lines(rows: DataFrame, host: str, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """host, line: lines above the limit. `rows` has the host, _doc (a document's hash) and lines."""
+    """host, line: lines above the limit. `rows` has the host, _doc (the hash of what has one vote) and lines."""
     docs = rows.groupBy(host).agg(F.count_distinct("_doc").alias("_docs"))
     each = rows.select(host, "_doc", F.explode("lines").alias("x")).select(host, "_doc", "x.line")
     held = each.groupBy(host, "line").agg(F.count_distinct("_doc").alias("_held")).where(F.col("_held") > least_docs)
@@ -107,16 +108,18 @@ def frequent_lines(rows: DataFrame, host: str, least_docs: int = LEAST_DOCS, sha
     return held.join(docs, F.col(host).eqNullSafe(F.col("_host"))).where(F.col("_held") > share * F.col("_docs")).select("_host", "line")
 
 
-def judged(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", most_lost: float = MOST_LOST, **limits) -> DataFrame:
+def judged(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", most_lost: float = MOST_LOST, per_text: bool = False, **limits) -> DataFrame:
     """Key, host, the features, removed_words, kept, and identity with removed (hashes of the lines to remove), of every row.
 
     Null and empty texts have no words and fail. A null host is a host of its own, a null key one document of its own;
-    repeated rows count as one document and are all returned. The features and line hashes of a document are written to
+    repeated rows count as one document and are all returned. With `per_text`, documents whose lines are the same after
+    normalising count as one, whatever their keys, for lines as for the host's number of documents. The features and line hashes of a document are written to
     the shared folder once; texts are read once. An empty table gives an empty result.
     """
     base = features(docs.withColumn("_identity", _identity(key, host, text)).withColumn("lines", _line_rows(F.col(text).cast("string"))),
                     [key, host, "_identity", "lines"], text)
-    base = base.withColumn("_doc", F.xxhash64(F.col(key).isNull(), F.col(key))).withColumn("_row", F.monotonically_increasing_id())
+    vote = F.xxhash64("lines.line") if per_text else F.xxhash64(F.col(key).isNull(), F.col(key))
+    base = base.withColumn("_doc", vote).withColumn("_row", F.monotonically_increasing_id())
     base = common.saved(base, "features")
     frequent = frequent_lines(base, host, **limits)
     each = base.select("_row", F.col(host).alias("_h"), F.explode("lines").alias("x")).select("_row", "_h", F.col("x.line").alias("_line"), "x.words")
@@ -130,9 +133,9 @@ def judged(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """The rows that are kept, all columns, without the lines above the limit."""
+    """The rows that are kept, all columns, without the lines above the limit. Copies of a text are one vote."""
     own, same, gone = common.free_names(docs, "own", "same", "gone")
-    verdict = judged(docs, key, host, text, **limits).where("kept").dropDuplicates(["identity"])
+    verdict = judged(docs, key, host, text, per_text=True, **limits).where("kept").dropDuplicates(["identity"])
     verdict = verdict.select(F.col("identity").alias(same), F.col("removed").alias(gone))
     rows = docs.withColumn(own, _identity(key, host, text)).join(verdict, F.col(own) == F.col(same))
     left = F.filter(lines(F.col(text)), lambda x: ~F.array_contains(F.col(gone), F.xxhash64(normalised(x))) | (F.size(common.words(x)) == 0))

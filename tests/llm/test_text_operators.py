@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from runlens.llm import licences, mixing, packing, pii, quality, tokens, wrapper
 
 VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
@@ -171,6 +172,19 @@ def test_line_frequency(spark):
     assert quality.judged(docs.limit(0)).count() == 0
 
 
+def test_copies_are_one_vote(spark):
+    name = lambda k: chr(97 + k // 26 % 26) + chr(97 + k % 26)
+    body = lambda i, n: "\n".join(" ".join(f"w{name(i)}x{name(k)}y{name(j)}" for j in range(10)) for k in range(n))
+    footer = "The same footer stands below every page of this site"
+    rows = [(i, f"{body(700, 8)}\nCopy {i % 3} of 12", "a") for i in range(300)] + [(1000 + i, f"{body(i, 8)}\n{footer}", "a") for i in range(30)]
+    docs = table(spark, rows)
+    left = {r.doc_id: r.text for r in quality.cleaned(docs).collect()}
+    assert len(left) == len(rows) and left[0] == rows[0][1] and left[1005] == body(5, 8)  # one vote of the copies, 30 of the others
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality_rules(spark, docs, ""), "").collect()
+    assert sum(body(700, 8) in r.text for r in kept) == 1
+    assert not any(r.kept for r in quality.judged(docs).collect() if r.doc_id < 300)  # by ids, as the query's SQL counts
+
+
 def test_licences(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
     filler = "plain words of a file " * 20
