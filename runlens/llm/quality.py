@@ -100,20 +100,23 @@ def _line_rows(text: Column) -> Column:
 
 
 def frequent_lines(rows: DataFrame, host: str, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """host, line: lines above the limit. `rows` has the host, _doc (the hash of what has one vote) and lines."""
+    """host, line, _wide: lines in more than `least_docs` documents of a host, and whether they are above its share too.
+    `rows` has the host, _doc (the hash of what has one vote) and lines."""
     docs = rows.groupBy(host).agg(F.count_distinct("_doc").alias("_docs"))
     each = rows.select(host, "_doc", F.explode("lines").alias("x")).select(host, "_doc", "x.line")
     held = each.groupBy(host, "line").agg(F.count_distinct("_doc").alias("_held")).where(F.col("_held") > least_docs)
     docs = docs.withColumnRenamed(host, "_host")
-    return held.join(docs, F.col(host).eqNullSafe(F.col("_host"))).where(F.col("_held") > share * F.col("_docs")).select("_host", "line")
+    return held.join(docs, F.col(host).eqNullSafe(F.col("_host"))).select("_host", "line", (F.col("_held") > share * F.col("_docs")).alias("_wide"))
 
 
-def judged(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", most_lost: float = MOST_LOST, per_text: bool = False, **limits) -> DataFrame:
+def judged(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", most_lost: float = MOST_LOST, per_text: bool = False, any_size: bool = False, **limits) -> DataFrame:
     """Key, host, the features, removed_words, kept, and identity with removed (hashes of the lines to remove), of every row.
 
     Null and empty texts have no words and fail. A null host is a host of its own, a null key one document of its own;
     repeated rows count as one document and are all returned. With `per_text`, documents whose lines are the same after
-    normalising count as one, whatever their keys, for lines as for the host's number of documents. The features and line hashes of a document are written to
+    normalising count as one, whatever their keys, for lines as for the host's number of documents. With `any_size`, a line
+    in more than `least_docs` documents is removed however large the host is, but only lines above the share too can make a
+    document depleted: one that would be by the others (a group of near copies in a large host) keeps those. The features and line hashes of a document are written to
     the shared folder once; texts are read once. An empty table gives an empty result.
     """
     base = features(docs.withColumn("_identity", _identity(key, host, text)).withColumn("lines", _line_rows(F.col(text).cast("string"))),
@@ -122,10 +125,16 @@ def judged(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
     base = base.withColumn("_doc", vote).withColumn("_row", F.monotonically_increasing_id())
     base = common.saved(base, "features")
     frequent = frequent_lines(base, host, **limits)
+    frequent = frequent if any_size else frequent.where("_wide")
     each = base.select("_row", F.col(host).alias("_h"), F.explode("lines").alias("x")).select("_row", "_h", F.col("x.line").alias("_line"), "x.words")
     hits = each.join(frequent, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_line") == F.col("line")))
-    lost = hits.groupBy("_row").agg(F.sum("words").alias("_lost"), F.collect_set("line").alias("removed")).withColumnRenamed("_row", "_r")
-    out = base.join(lost, F.col("_row") == F.col("_r"), "left").withColumn("removed_words", F.coalesce("_lost", F.lit(0)).cast("long"))
+    wide = lambda x: F.when(F.col("_wide"), F.col(x))
+    lost = hits.groupBy("_row").agg(
+        F.sum("words").alias("_lost"), F.collect_set("line").alias("_lines"), F.sum(wide("words")).alias("_wide_lost"), F.collect_set(wide("line")).alias("_wide_lines"))
+    out = base.join(lost.withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left")
+    every = F.col("_lost") <= most_lost * F.col("n_words")
+    out = out.withColumn("removed", F.when(every, F.col("_lines")).otherwise(F.col("_wide_lines")))
+    out = out.withColumn("removed_words", F.coalesce(F.when(every, F.col("_lost")).otherwise(F.col("_wide_lost")), F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (F.col("removed_words") <= most_lost * F.col("n_words"))
     return out.withColumn("kept", kept).select(
         key, host, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words",
@@ -133,9 +142,9 @@ def judged(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """The rows that are kept, all columns, without the lines above the limit. Copies of a text are one vote."""
+    """The rows that are kept, all columns, without the lines above the limit, whatever the host's size. Copies of a text are one vote."""
     own, same, gone = common.free_names(docs, "own", "same", "gone")
-    verdict = judged(docs, key, host, text, per_text=True, **limits).where("kept").dropDuplicates(["identity"])
+    verdict = judged(docs, key, host, text, per_text=True, any_size=True, **limits).where("kept").dropDuplicates(["identity"])
     verdict = verdict.select(F.col("identity").alias(same), F.col("removed").alias(gone))
     rows = docs.withColumn(own, _identity(key, host, text)).join(verdict, F.col(own) == F.col(same))
     left = F.filter(lines(F.col(text)), lambda x: ~F.array_contains(F.col(gone), F.xxhash64(normalised(x))) | (F.size(common.words(x)) == 0))

@@ -185,6 +185,18 @@ def test_copies_are_one_vote(spark):
     assert not any(r.kept for r in quality.judged(docs).collect() if r.doc_id < 300)  # by ids, as the query's SQL counts
 
 
+def test_lines_of_a_large_host(spark):
+    name = lambda k: chr(97 + k // 676) + chr(97 + k // 26 % 26) + chr(97 + k % 26)
+    body = lambda i, n: "\n".join(" ".join(f"w{name(i)}x{name(k)}y{name(j)}" for j in range(10)) for k in range(n))
+    footer = "The same footer stands below every page of this site"
+    rows = [(i, body(i, 6) + (f"\n{footer}" if i < 25 else ""), "a") for i in range(2800)]  # 25 is below 1 % of the host
+    rows += [(5000 + i, f"{body(4000, 6)}\n{body(4001 + i, 1)}", "a") for i in range(25)]  # near copies
+    docs = table(spark, rows)
+    left = {r.doc_id: r.text for r in quality.cleaned(docs).collect()}
+    assert len(left) == len(rows) and left[5] == body(5, 6) and left[5003] == rows[2803][1]
+    assert {r.removed_words for r in quality.judged(docs).collect()} == {0}  # with the share, as the query's SQL has it
+
+
 def test_licences(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
     filler = "plain words of a file " * 20
