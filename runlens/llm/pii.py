@@ -35,7 +35,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+#: Characters of an account number by country.
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -75,6 +80,25 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, end))
 
 
+def _ibans(text: str):
+    """Account numbers that mod 97 confirms, also if a space and further capitals or digits follow: of the country's length,
+    else (a country without a fixed one) the longest that ends where a word does."""
+    m = _IBAN.search(text)
+    while m:
+        start, end, found = m.start(), m.end(), None
+        length = IBAN_LENGTHS.get(m[0][:2])
+        account = m[0].replace(" ", "")
+        while found is None and len(account) >= (length or 15):
+            whole = not text[end : end + 1].isascii() or not text[end : end + 1].isalnum()
+            if whole and len(account) == (length or len(account)) and mod97(account):
+                found = end
+            end -= 2 if text[end - 2] == " " else 1
+            account = account[:-1]
+        if found is not None:
+            yield start, found
+        m = _IBAN.search(text, found if found is not None else start + 4)
+
+
 def _proposals(text: str):
     """Confirmed proposals, base kinds first: kind, start, end."""
     for start, end in _emails(text):
@@ -89,10 +113,8 @@ def _proposals(text: str):
     for m in _PHONE.finditer(text):
         if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
             yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            yield "iban", m.start(), m.end()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for start, end, digits in cards:
         if 13 <= len(digits) <= 15 and len(set(digits)) > 1 and luhn(digits):
             yield "short_card", start, end

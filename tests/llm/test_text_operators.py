@@ -126,6 +126,21 @@ def test_checksums_and_context():
     assert pii.spans_of("a 378282246310005 b 212-555-1234 c 123-45-6789") == []  # nothing nearby says what they are
 
 
+def test_ibans_before_other_words():
+    for account in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for after in ("", " BIC COBADEFFXXX", " 2024 A", " B", ", then", " DE89370400440532013000 X"):
+            text = f"IBAN {account}{after}"
+            spans = [(s.start, s.end) for s in pii.spans_of(text) if s.kind == "iban"]
+            assert spans[0] == (5, 5 + len(account)) and len(spans) == 1 + after.startswith(" DE"), text
+    text = "IBAN DE89 3704 0044 0532 0130 00 BIC X"
+    assert pii.redacted_text(text, pii.spans_of(text)) == "IBAN <IBAN> BIC X"
+    text = "AB12 DE89 3704 0044 0532 0130 00"
+    assert [text[s.start : s.end] for s in pii.spans_of(text) if s.kind == "iban"] == ["DE89 3704 0044 0532 0130 00"]
+    for text in ("DE89 3704 0044 0532 0130 00x", "DE88 3704 0044 0532 0130 00 BIC", "XDE89370400440532013000"):
+        assert not [s for s in pii.spans_of(text) if s.kind == "iban"]
+    pii.spans_of("AB12 " * 60_000), pii.spans_of("DE89 " + "A" * 300_000)
+
+
 def test_spans_and_redaction_rows(spark):
     docs = table(spark, [(1, "mail me: a.b@c.de!", "s"), (2, None, "s"), (None, "", None), (3, "none", "s"), (3, "none", "s")]).withColumn("spans", F.lit("x"))
     rows = pii.spans(docs, ["doc_id"]).collect()
