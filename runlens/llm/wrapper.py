@@ -24,7 +24,7 @@ LEAST_PAGES, SHARE = 5, 0.5
 #: Bytes of references that tasks hold; pages of further groups are joined to theirs, in SALTS parts of each group.
 MOST_BYTES, SALTS = 64 << 20, 32
 KEPT_TREES = 256  # parsed references that a task keeps
-MOST_DEPTH = 200  # deeper elements become siblings, so that recursion is bounded
+MOST_DEPTH = 200  # in tree matching deeper elements become siblings, so that recursion is bounded
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,12 +54,12 @@ _name = re.compile(r"[A-Za-z0-9]+")
 def parse(page: str) -> list[list]:
     """Nodes in page order: [parent, tag, names]; a piece of text is [parent, "#", text]. The first node is the root."""
     nodes: list[list] = [[-1, "", ""]]
-    open_ = [0]
+    open_ = _Open(nodes)
     at, size = 0, len(page)
 
     def text(piece: str) -> None:
         if piece:
-            nodes.append([open_[-1], "#", html.unescape(piece)])
+            nodes.append([open_.stack[-1], "#", html.unescape(piece)])
 
     while at < size:
         m = _token.search(page, at)
@@ -72,50 +72,70 @@ def parse(page: str) -> list[list]:
         if not tag:
             continue
         if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
-                other = nodes[open_[k]][1]
-                if other == tag:
-                    del open_[k:]
-                    break
-                if tag not in BLOCK and other in _scopes:  # an inline end tag doesn't close a block
-                    break
+            k = open_.last(tag)
+            if k > 0 and (tag in BLOCK or k > open_.last_scope()):  # an inline end tag doesn't close a block
+                open_.cut(k)
             continue
         if tag in BLOCK:
-            _close(nodes, open_, {"p"}, _scopes)
+            open_.close(open_.last("p"), open_.last_scope())
         if tag in CLOSES:
-            _close(nodes, open_, *CLOSES[tag])
+            open_.close(*(max(map(open_.last, tags)) for tags in CLOSES[tag]))
         names = " ".join(x.lower() for a in _attribute.finditer(m[3]) for x in _name.findall(a[2] or a[3] or a[4] or "")) if m[3] else ""
-        nodes.append([open_[-1], tag, names])
+        nodes.append([open_.stack[-1], tag, names])
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?").search(page, at)
             at = end.end() if end else size
             continue
-        if len(open_) < MOST_DEPTH:
-            open_.append(len(nodes) - 1)
+        open_.push(tag)
     return nodes
 
 
-def _close(nodes: list[list], open_: list[int], tags, stop) -> None:
-    for k in range(len(open_) - 1, 0, -1):
-        other = nodes[open_[k]][1]
-        if other in tags:
-            del open_[k:]
-            return
-        if other in stop:
-            return
+class _Open:
+    """The open elements, as deep as they are, with the places of each tag, so that no step walks down the stack."""
+
+    def __init__(self, nodes: list[list]):
+        self.nodes, self.stack, self.places, self.scopes = nodes, [0], {}, []
+
+    def push(self, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _scopes:
+            self.scopes.append(len(self.stack))
+        self.stack.append(len(self.nodes) - 1)
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def last_scope(self) -> int:
+        return self.scopes[-1] if self.scopes else 0
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag = self.nodes[self.stack.pop()][1]
+            self.places[tag].pop()
+            if tag in _scopes:
+                self.scopes.pop()
+
+    def close(self, k: int, stop: int) -> None:
+        if k > stop:
+            self.cut(k)
 
 
 def _elements(nodes: list[list]) -> tuple[list[list[int]], list[str], list[str]]:
-    """Child elements, label and own text of each node."""
+    """Child elements, label and own text of each node. Elements deeper than MOST_DEPTH are children of the one at that depth."""
     children: list[list[int]] = [[] for _ in nodes]
     texts = [""] * len(nodes)
+    depth, holder = [0] * len(nodes), list(range(len(nodes)))
     for i, (parent, tag, body) in enumerate(nodes[1:], 1):
         if tag == "#":
             texts[parent] += body
         else:
-            children[parent].append(i)
+            depth[i] = depth[parent] + 1
+            if depth[i] >= MOST_DEPTH:
+                holder[i] = holder[parent]
+            children[holder[parent]].append(i)
     labels = [f"{tag} {names}" if tag != "#" else "#" for _, tag, names in nodes]
     return children, labels, [" ".join(t.split()) for t in texts]
 

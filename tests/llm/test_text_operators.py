@@ -258,6 +258,17 @@ def test_main_text():
     assert wrapper.main_text(wrapper.parse("<div>" * 5000 + "deep")) == "deep"
 
 
+def test_deep_pages():
+    text = lambda page: wrapper.main_text(wrapper.parse(page))
+    assert text("<div><article>" + "<div>" * 250 + "<p>inner</p>" + "</div>" * 250 + "<p>tail</p></article></div><p>after</p>") == "inner tail"
+    assert text("<article>" + "<div>" * 300 + "<nav><p>menu</p></nav><p>body</p>") == "body"
+    deep = "<div>" * 500 + "<p>x" + "</div>" * 500
+    tree = wrapper.Tree(wrapper.parse(deep))
+    assert sum(j >= 0 for j in wrapper.align(tree, tree)) == len(tree.kids) - 1  # all but the piece of text
+    for page in ("<div>" * 100_000 + "</section>" * 100_000, "<p><div>" + "<b>" * 100_000 + "<hr>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000):
+        wrapper.parse(page)  # no step walks down the stack
+
+
 @pytest.mark.parametrize("most_bytes", [0, 300, wrapper.MOST_BYTES])  # none, some and all references broadcast
 def test_template_is_learned(spark, monkeypatch, most_bytes):
     monkeypatch.setattr(wrapper, "MOST_BYTES", most_bytes)
