@@ -2,7 +2,8 @@
 
 Pages of one host with the same layout form a group. The page with the fewest elements is the group's reference; every
 page's tree is aligned to it by simple tree matching. An element of the reference whose text is the same in at least half
-of the group's pages is template; what varies is a slot. A page's text is what stands in its slots: inside its article
+of the group's pages is template; what varies is a slot. Pages with the same longest block in their article (without one,
+with the same text) are near copies and count as one page, digits being equal. A page's text is what stands in its slots: inside its article
 (else its main part, else the whole body), without elements whose tag or class names another role.
 """
 
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -21,6 +21,7 @@ from runlens.llm import common
 
 #: Pages a group needs for a template, and the share of them that has to have the same text in the same place.
 LEAST_PAGES, SHARE = 5, 0.5
+MOST_LOST = 0.5  # share of an article's text that a template may remove
 #: Bytes of references that tasks hold; pages of further groups are joined to theirs, in SALTS parts of each group.
 MOST_BYTES, SALTS = 64 << 20, 32
 KEPT_TREES = 256  # parsed references that a task keeps
@@ -49,6 +50,7 @@ _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>?", re.S)
 _attribute = re.compile(r"(?i)(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _name = re.compile(r"[A-Za-z0-9]+")
+_digit = re.compile(r"[0-9]+")
 
 
 def parse(page: str) -> list[list]:
@@ -199,8 +201,8 @@ def _other(tag: str, names: str, inside: bool) -> bool:
     return bool(names) and tag not in ("html", "body", "article", "main") and not OTHER_NAMES.isdisjoint(names.split()) and not (inside and tag == "header")
 
 
-def main_text(nodes: list[list], template=frozenset()) -> str:
-    """Blocks of the main text, joined by a space. `template` holds nodes whose own text is the same on other pages."""
+def _main(nodes: list[list]):
+    """"article", "main" or "" (the body), the elements that hold its text, and a function from nodes to skip to its blocks."""
     gone, inside, block = [False] * len(nodes), [""] * len(nodes), [0] * len(nodes)
     linked = [False] * len(nodes)
     found = {"article": False, "main": False}
@@ -219,6 +221,10 @@ def main_text(nodes: list[list], template=frozenset()) -> str:
             found[tag] = True
     want = "article" if found["article"] else "main" if found["main"] else ""
 
+    holds = {
+        parent for parent, tag, _ in nodes[1:]
+        if tag == "#" and not (gone[parent] or want and inside[parent] != want and not (want == "main" and inside[parent]))}
+
     def collect(skip) -> list[str]:
         blocks, words, links, last = [], [], [], -1
 
@@ -230,7 +236,7 @@ def main_text(nodes: list[list], template=frozenset()) -> str:
 
         for i, (parent, tag, body) in enumerate(nodes[1:], 1):
             if tag == "#":
-                if gone[parent] or want and inside[parent] != want and not (want == "main" and inside[parent]) or parent in skip:
+                if parent not in holds or parent in skip:
                     continue
                 if block[parent] != last:
                     flush()
@@ -246,7 +252,26 @@ def main_text(nodes: list[list], template=frozenset()) -> str:
         flush()
         return blocks
 
-    return " ".join(collect(template) or (collect(frozenset()) if template else []))
+    return want, holds, collect
+
+
+def main_text(nodes: list[list], template=frozenset()) -> str:
+    """Blocks of the main text, joined by a space. `template` holds nodes whose own text is the same on other pages. It is
+    not applied where nothing would be left, nor to an article (or main part) that would lose over MOST_LOST of its text."""
+    want, _, collect = _main(nodes)
+    text = " ".join(collect(template))
+    if template:
+        whole = " ".join(collect(frozenset()))
+        if not text or want and len(text) < (1 - MOST_LOST) * len(whole):
+            return whole
+    return text
+
+
+def vote(nodes: list[list]) -> int:
+    """The same for near copies: hash of the longest block of the article or main part, else of all text, digits as 0."""
+    want, _, collect = _main(nodes)
+    blocks = collect(frozenset())
+    return _hash(_digit.sub("0", max(blocks, key=lambda b: (len(b), b), default="") if want else " ".join(blocks)))
 
 
 def layout(nodes: list[list]) -> str:
@@ -287,8 +312,8 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     """Key, url, text (empty if there is none) and n_chars of every row.
 
     Null and empty pages have no text. Pages without url form groups of their own by layout; a null key and repeated rows
-    are kept. Groups of fewer than LEAST_PAGES pages have no template. Where a template would leave nothing (a group of
-    copies), it is not applied. An empty table gives an empty result.
+    are kept. Groups of fewer than LEAST_PAGES pages, near copies counted once, have no template. Where a template would
+    leave nothing, or less than half of an article, it is not applied. An empty table gives an empty result.
 
     Pages are read three times (groups, template, text) and are not moved, except those of groups beyond the bound on what
     is broadcast, which are joined to their reference, each group dealt to SALTS tasks.
@@ -304,12 +329,13 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
             nodes = [parse(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([_group(h, n) for h, n in zip(batch.column(1).to_pylist(), nodes)], pa.int64()),
-                pa.array([sum(x[1] != "#" for x in n) for n in nodes], pa.int32())], names=["page", "grp", "size"])
+                pa.array([sum(x[1] != "#" for x in n) for n in nodes], pa.int32()), pa.array([vote(n) for n in nodes], pa.int64())], names=["page", "grp", "size", "vote"])
 
-    heads = common.saved(rows.select(of_page.alias("page"), "host", "html").mapInArrow(head, "page long, grp long, size int"), "heads")
-    best = heads.groupBy("grp").agg(F.min(F.struct("size", "page")).alias("b"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    best = common.saved(best.select("grp", F.col("b.page").alias("page"), "pages"), "best")
-    chosen = rows.select(of_page.alias("_page"), "html").join(best, F.col("_page") == F.col("page")).groupBy("grp", "pages").agg(F.min("html").alias("reference"))
+    heads = common.saved(rows.select(of_page.alias("page"), "host", "html").mapInArrow(head, "page long, grp long, size int, vote long"), "heads")
+    votes = heads.groupBy("grp", "vote").agg(F.min(F.struct("size", "page")).alias("b"), F.count("*").alias("pages"))
+    best = votes.groupBy("grp").agg(F.min("b").alias("b"), F.sum("pages").alias("pages"), F.count("*").alias("votes")).where(F.col("votes") >= LEAST_PAGES)
+    best = common.saved(best.select("grp", F.col("b.page").alias("page"), "pages", "votes"), "best")
+    chosen = rows.select(of_page.alias("_page"), "html").join(best, F.col("_page") == F.col("page")).groupBy("grp", "pages", "votes").agg(F.min("html").alias("reference"))
     groups = common.saved(chosen, "references")
     near = _frequent(groups)
     direct = {r["grp"]: r["reference"] for r in near.select("grp", "reference").toLocalIterator()}  # MOST_BYTES at most
@@ -330,19 +356,19 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
         return own.join(side, (F.col("grp") == F.col("_g")) & (F.col("s") == F.col("_s")), "left")
 
     def count(batches, of):
-        """Slots of a batch with their number; `of` gives group and reference of each row."""
+        """Slots of a batch that hold main text, with the votes for them; `of` gives group and reference of each row."""
         cache: dict[int, Tree] = {}
         for batch in batches:
-            found: Counter = Counter()
+            found: dict[tuple[int, int, int], None] = {}
             for grp, nodes, reference in of(batch):
                 if reference is not None:
                     if grp not in cache:
                         if len(cache) >= KEPT_TREES:
                             cache.clear()
                         cache[grp] = Tree(parse(reference))
-                    found.update((grp, slot) for _, slot in _slots(nodes, cache[grp]))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([g for g, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["grp", "slot", "n"])
+                    holds, own = _main(nodes)[1], vote(nodes)
+                    found.update(((grp, slot, own), None) for i, slot in _slots(nodes, cache[grp]) if i in holds)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["grp", "slot", "vote"])
 
     def direct_rows(batch):
         for host_, html_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -354,12 +380,12 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
         for grp, html_, reference in zip(*(batch.column(i).to_pylist() for i in range(3))):
             yield grp, parse(html_), reference
 
-    same = rows.select("host", "html").mapInArrow(lambda b: count(b, direct_rows), "grp long, slot long, n long")
+    same = rows.select("host", "html").mapInArrow(lambda b: count(b, direct_rows), "grp long, slot long, vote long")
     if some_far:
-        same = same.unionByName(placed(far).select("grp", "html", "reference").mapInArrow(lambda b: count(b, far_rows), "grp long, slot long, n long"))
-    same = same.groupBy("grp", "slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    fixed = same.join(groups.select(F.col("grp").alias("_g"), "pages", "reference"), F.col("grp") == F.col("_g")).where(F.col("n") >= SHARE * F.col("pages"))
-    # At most two texts of each element of the reference can stand on half of the pages.
+        same = same.unionByName(placed(far).select("grp", "html", "reference").mapInArrow(lambda b: count(b, far_rows), "grp long, slot long, vote long"))
+    same = same.distinct().groupBy("grp", "slot").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    fixed = same.join(groups.select(F.col("grp").alias("_g"), "votes", "reference"), F.col("grp") == F.col("_g")).where(F.col("n") >= SHARE * F.col("votes"))
+    # At most two texts of each element of the reference can have half of the votes.
     fixed = common.saved(fixed.groupBy("grp", "reference").agg(F.collect_list("slot").alias("fixed")), "fixed")
     known = fixed.join(near.select(F.col("grp").alias("_g")), F.col("grp") == F.col("_g"), "left_semi")
     templates = spark.sparkContext.broadcast({r["grp"]: frozenset(r["fixed"]) for r in known.select("grp", "fixed").toLocalIterator()})

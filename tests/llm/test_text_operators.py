@@ -285,6 +285,19 @@ def test_template_is_learned(spark, monkeypatch, most_bytes):
     assert wrapper.extracted(pages.limit(0)).count() == 0
 
 
+def test_near_copies_keep_their_article(spark):
+    body = [f"Paragraph {k} of the one article that many pages of the host repeat, {'word ' * (20 + ord(k) - 97)}" for k in "abcdef"]
+    page = lambda parts: "<html><body><article><h1>Head</h1>" + "".join(f"<p>{p}</p>" for p in parts) + "<p>Read more at our site</p></article></body></html>"
+    rows = [(i, "http://h.example.com/", page([f"Seen by {'xyz'[i % 3] * (1 + i)} readers", *body])) for i in range(12)]  # a changing paragraph
+    rows += [(50 + i, "http://h.example.com/", page([f"Story {'abcdefgh'[i] * 40} text {k} of page {i} alone" for k in "uvwxyz"])) for i in range(8)]
+    long = lambda i: "changes " * 60 + "z" * i
+    rows += [(100 + i, "http://long.example.com/", page([long(i), *body])) for i in range(12)]  # the longest block changes, most of the text doesn't
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    squeezed = " ".join(" ".join(body).split())
+    assert all(squeezed in got[i] for i in [*range(12), *range(100, 112)])
+    assert "Read more at our site" not in got[53] and got[53].count("Story") == 6  # what different pages share is template
+
+
 def test_mix(spark):
     rng = random.Random(8)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), rng.choice(["b", "a", "a", "a", "ü", None])) for i in range(600)] + [(600, None, "z"), (601, "", "z"), (7, "w w w", "a"), (7, "w w w", "a")]
