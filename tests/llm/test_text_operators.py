@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -226,6 +227,27 @@ def test_licences(spark):
     assert licences.scanned(files, "id").count() == 10 and licences.scanned(files.limit(0), "id").count() == 0
 
 
+def test_licence_headers_and_files(spark):
+    full = {f.stem: f.read_text() for f in Path(licences.__file__).with_name("licence_texts").glob("*.txt")}
+    code = "\n\nint main() { return compute(3); }\n" * 40
+    gpl = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    boxed = lambda text, mark: "\n".join(f"{mark} {x}" for x in text.split("\n"))
+    texts = [
+        ("MIT", "// SPDX-License-Identifier: MIT" + code), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception" + code), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */" + code),
+        ("GPL-2.0", "/*\n" + boxed(gpl, " *") + "\n */" + code), ("GPL-2.0", boxed(gpl.replace("\n", " "), "#") + code), ("MPL-2.0", boxed(mpl, "//") + code),
+        ("GPL-3.0", full["GPL-3.0"][:1500]), ("Apache-2.0", full["Apache-2.0"][:2000]), ("MIT", full["MIT"].split("\n\n")[1] + code), ("ISC", full["ISC"].split("\n\n")[1]),
+        ("MIT", "# Tool\n\nSome words on it.\n\nThis project is licensed under the MIT License." + code),
+        ("BSD-3-Clause", "Copyright (c) 2019, The Authors\nAll rights reserved.\n\n" + full["BSD-3-Clause"].split("\n\n", 1)[1].replace("COPYRIGHT HOLDERS", "REGENTS")),
+        (None, "The driver showed the licence to the officer and drove on to the next town." + code), (None, code),
+    ] + [(k, "Copyright 2021 Someone\n\n" + v) for k, v in full.items()]
+    files = spark.createDataFrame([(i, f"d{i}/{'LICENSE' if i > 13 else 'a.c'}", t) for i, (_, t) in enumerate(texts)] + [(99, "d20/sub/b.c", code)], "id long, path string, text string")
+    rows = {r.id: r for r in licences.scanned(files, "id").collect()}
+    assert [rows[i].own_licence for i in range(len(texts))] == [k for k, _ in texts]
+    assert rows[99].licence == texts[20][0] and rows[99].from_directory == "d20"
+
+
 def test_tree_matching_is_largest():
     def size(a, b, na, nb, ka, kb):
         if na[a][1:] != nb[b][1:]:
