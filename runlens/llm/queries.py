@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runlens.llm import licences, lm, mixing, packing, pii, quality, simhash, tokens, vectors, wrapper
+from runlens.llm import common, licences, lm, merkle, mixing, packing, periods, pii, positive, quality, simhash, tokens, vectors, wrapper
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +60,48 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op6_licence_scan, op7_embedding_duplicates, op8_html_extraction, op9_language_model, op10_source_mix)} | {"pipeline": corpus_pipeline.run}
+def checked(key: str = "doc_id") -> Column:
+    """Unsigned CRC-32 of the id in decimal; null for a null id."""
+    return F.crc32(F.col(key).cast("string").cast("binary"))
+
+
+def op11_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return positive.scored(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), checked() % 4 == 2)
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf and proof; documents whose checksum 5 divides are presented in lower case."""
+    docs = documents(spark, folder)
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    upper = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+    lower = F.when(checked() % 5 == 0, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    rows = docs.select("doc_id", "source", merkle.leaf([*columns, F.col("text")]).alias("leaf"), merkle.leaf([*columns, lower]).alias("presented"))
+    found = merkle.manifest(common.saved(rows, "digests"), "doc_id", "source", "leaf", "presented")
+    told = lambda c: F.lower(F.hex(c))
+    siblings = F.array_join(F.transform("proof", lambda step: told(step["siblings"])), "")
+    root = F.lit(found.root.hex() if found.root else None).cast("string")
+    return merkle.audited(found).select(
+        F.col("key").alias("doc_id"), told(F.col("leaf")).alias("leaf"), told(F.col("subroot")).alias("subroot"), root.alias("root"),
+        F.sha2(siblings, 256).alias("proof_sha256"), told(F.col("folded_root")).alias("folded_root"), (told(F.col("folded_root")) == root).alias("verified"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document, after the words of those whose checksum 10 divides were made to repeat."""
+    docs = documents(spark, folder).select("doc_id", "text", checked().alias("h"))
+    made = (F.col("h") % 10 == 0) & F.col("doc_id").isNotNull()
+    loops = periods.looped(docs.where(made).withColumn("g", F.expr("h div 10")), "g")
+    found = periods.found_runs(docs.where(~made | F.col("doc_id").isNull()).select("doc_id", "text").unionByName(loops))
+    better = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = F.when(F.size("runs") > 0, F.reduce(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), better))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_token_counts, op5_personal_data, op6_licence_scan, op7_embedding_duplicates, op8_html_extraction, op9_language_model, op10_source_mix,
+    op11_quality_classifier, op12_merkle_manifest, op13_periodic_runs)} | {"pipeline": corpus_pipeline.run}
 
 SEP = r"\x20\x09-\x0D"
 
@@ -115,7 +156,52 @@ select doc_id, path, own_licence, own_score, coalesce(own_licence, inherited) li
   case when own_licence is null then holder end from_directory
 from files left join own using (doc_id) left join up using (dir)"""
 
+#: Unsigned CRC-32, bit by bit with its reversed polynomial.
+CRC_SQL = """
+registers as (select doc_id, list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+  lambda crc, b: list_reduce([xor(crc, b)] || list_transform(range(8), lambda i: 0::bigint),
+    lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) register from documents)"""
+
+#: Trees as recursive aggregation: sixteen nodes become one until one is left; a walk up from each leaf gathers and folds.
+MERKLE_SQL = f"""
+with recursive {CRC_SQL.strip()},
+rows as (select d.doc_id, source, (coalesce(strlen(d.doc_id::varchar) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) head, text,
+    case when xor(register, 4294967295) % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end shown
+  from documents d join registers c on c.doc_id = d.doc_id),
+leaves as (select doc_id, dense_rank() over (order by source nulls first) - 1 tree, row_number() over (partition by source order by doc_id) - 1 pos,
+    sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf, sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) shown from rows),
+nodes(tree, level, pos, digest, n) as (
+  select tree, 0, pos, leaf, count(*) over (partition by tree) from leaves
+  union all
+  select tree, level + 1, pos // 16, sha256(string_agg(digest, '' order by pos)), (max(n) + 15) // 16 from nodes where n > 1 group by tree, level, pos // 16),
+subroots as (select tree, digest from nodes where n = 1),
+upper(level, pos, digest, n) as (
+  select 0, tree, digest, count(*) over () from subroots
+  union all
+  select level + 1, pos // 16, sha256(string_agg(digest, '' order by pos)), (max(n) + 15) // 16 from upper where n > 1 group by level, pos // 16),
+families as (select tree, level, pos // 16 parent, list(digest order by pos) children from nodes where n > 1 group by all),
+upper_families as (select level, pos // 16 parent, list(digest order by pos) children from upper where n > 1 group by all),
+walk(doc_id, tree, level, pos, digest, seen) as (
+  select doc_id, tree, 0, pos, shown, '' from leaves
+  union all
+  select doc_id, tree, level + 1, parent, sha256(array_to_string(children[:pos % 16] || [digest] || children[pos % 16 + 2:], '')),
+    seen || array_to_string(children[:pos % 16] || children[pos % 16 + 2:], '')
+  from walk join families using (tree, level) where parent = pos // 16),
+inner_end as (select doc_id, tree, digest, seen from walk qualify row_number() over (partition by doc_id order by level desc) = 1),
+climb(doc_id, level, pos, digest, seen) as (
+  select doc_id, 0, tree, digest, seen from inner_end
+  union all
+  select doc_id, level + 1, parent, sha256(array_to_string(children[:pos % 16] || [digest] || children[pos % 16 + 2:], '')),
+    seen || array_to_string(children[:pos % 16] || children[pos % 16 + 2:], '')
+  from climb join upper_families using (level) where parent = pos // 16),
+ends as (select doc_id, digest folded_root, sha256(seen) proof_sha256 from climb qualify row_number() over (partition by doc_id order by level desc) = 1),
+top as (select digest root from upper where n = 1)
+select doc_id, leaf, s.digest subroot, root, proof_sha256, folded_root, folded_root = root verified
+from leaves join subroots s using (tree) join ends using (doc_id) cross join top"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": f"with docs as (select * from documents), {QUALITY_SQL} select * from judged",
     "op6_licence_scan": LICENCE_SQL,
+    "op12_merkle_manifest": MERKLE_SQL,
 }
