@@ -91,7 +91,7 @@ def measured(texts: pa.Array) -> np.ndarray:
     out = np.stack([
         np.log1p(count), mean, np.sqrt(np.maximum(per(length.astype(float) ** 2) - mean**2, 0)), np.sqrt(per(length > 15)),
         np.sqrt(per((upper > 1) & (lower == 0))), np.sqrt(per(mark > 0)), np.sqrt(per((lower + upper + wide) == 0)), np.sqrt(short),
-        np.log1p(count / np.maximum(lines, 1)), np.sqrt(again), few, np.sqrt(most / least), rare, np.sqrt(1 - rare)], axis=1)
+        np.log1p(count / np.maximum(lines, 1)), np.sqrt(again), few, np.sqrt(most / least), rare, np.sqrt((count > 0) - rare)], axis=1)
     return np.concatenate([np.sqrt(share), out], axis=1)
 
 
