@@ -227,64 +227,81 @@ def http_archives(spark, sf):
 
 
 def _process_events(spark, sf):
+    """(file, ord, line) of process-create records: a file of one flat object, an array over several lines, and files of
+    one record per line that many orders share, with broken lines between."""
     at = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS")
-    flat = F.to_json(F.struct(F.when(F.col("o_orderkey") % 5 == 0, 3).otherwise(1).alias("EventID"), at.alias("UtcTime"),
-                              F.concat(F.lit("run.exe --order "), F.col("o_orderkey").cast("string")).alias("CommandLine"), F.col("o_orderpriority").alias("User")))
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    flat = F.to_json(F.struct(F.when(key % 5 == 0, 3).otherwise(1).alias("EventID"), at.alias("UtcTime"),
+                              F.concat(F.lit("run.exe --order "), text).alias("CommandLine"), F.col("o_orderpriority").alias("User")))
     pair = lambda name, value: F.struct(F.lit(name).alias("@Name"), value.cast("string").alias("#text"))
     nested = F.to_json(F.struct(F.struct(
         F.struct(F.lit("1").alias("EventID")).alias("System"),
-        F.struct(F.array(pair("UtcTime", at), pair("Image", F.concat(F.lit("run.exe --order "), F.col("o_orderkey").cast("string"))), pair("ParentImage", F.col("o_orderstatus"))).alias("Data")).alias("EventData")).alias("Event")))
-    return table(spark, sf, "orders").select(
-        F.concat(F.lit("/c/log-"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("file"),
-        F.when(F.col("o_orderkey") % 2 == 0, flat).otherwise(F.concat(F.lit("["), nested, F.lit("]"))).alias("body"))
+        F.struct(F.array(pair("UtcTime", at), pair("Image", F.concat(F.lit("run.exe --order "), text)), pair("ParentImage", F.col("o_orderstatus"))).alias("Data")).alias("EventData")).alias("Event")))
+    line = F.when(key % 4 == 0, F.array(flat)).when(key % 4 == 1, F.array(F.lit("["), nested, F.lit("]"))).when(key % 4 == 2, F.array(flat, F.lit("{cut"))).otherwise(F.array(F.lit("{cut"), nested))
+    name = F.when(key % 4 < 2, F.concat(F.lit("/c/log-"), text, F.lit(".json"))).otherwise(F.concat(F.lit("/c/batch-"), (F.col("o_custkey") % 16).cast("string"), F.lit(".ndjson")))
+    rows = table(spark, sf, "orders").select(name.alias("file"), key.alias("_key"), F.posexplode(line).alias("_at", "line"))
+    return rows.select("file", (F.col("_key") * 4 + F.col("_at")).cast("bigint").alias("ord"), "line")
 
 
-@query("process_events", """select 'log-' || o_orderkey session_uuid, 'run.exe --order ' || o_orderkey cmd, epoch_us(o_orderdate) // 1000 started_at_ms,
-  case when o_orderkey % 2 = 0 then 'user ' || o_orderpriority else 'parent ' || o_orderstatus end output_digest from orders where o_orderkey % 10 <> 0""")
+SQL_EVENTS = """ev as (select case when o_orderkey % 4 < 2 then 'log-' || o_orderkey else 'batch-' || (o_custkey % 16) end session_uuid, 'run.exe --order ' || o_orderkey cmd,
+  epoch_us(o_orderdate) // 1000 started_at_ms, case when o_orderkey % 2 = 0 then 'user ' || o_orderpriority else 'parent ' || o_orderstatus end output_digest,
+  o_orderkey % 2 = 0 and o_orderkey % 5 = 0 other from orders)"""
+
+
+@query("process_events", f"with {SQL_EVENTS} select * exclude (other) from ev where not other")
 def process_events(spark, sf):
-    return captures.parse_process_events(_process_events(spark, sf)).select(SESSION, "cmd", "started_at_ms", "output_digest")
+    records = captures.from_lines(_process_events(spark, sf)).records
+    return captures.parse_event_records(records).select(SESSION, "cmd", "started_at_ms", "output_digest")
 
 
 def _transcripts(spark, sf):
-    """Each conversation turn pair as a shell call and its result, one line each."""
-    talk = table(spark, sf, "conversations").where("role in ('user', 'assistant')")
-    call = F.struct(F.struct(F.array(F.struct(
-        F.lit("tool_use").alias("type"), F.lit("Bash").alias("name"), F.concat(F.lit("t"), F.floor(F.col("turn") / 2).cast("string")).alias("id"),
-        F.struct(F.concat(F.lit("run "), F.col("turn").cast("string")).alias("command")).alias("input"))).alias("content")).alias("message"),
-        F.concat(F.lit("2024-01-01T00:00:0"), (F.col("turn") % 10).cast("string"), F.lit("Z")).alias("timestamp"))
-    result = F.struct(F.struct(F.array(F.struct(
-        F.lit("tool_result").alias("type"), F.concat(F.lit("t"), F.floor(F.col("turn") / 2).cast("string")).alias("tool_use_id"),
-        (F.col("turn") % 4 == 3).alias("is_error"), F.col("text").alias("content"))).alias("content")).alias("message"),
-        F.concat(F.lit("2024-01-01T00:00:0"), (F.col("turn") % 10).cast("string"), F.lit("Z")).alias("timestamp"))
-    line = F.when(F.col("role") == "user", F.to_json(call)).otherwise(F.to_json(result))
-    # A conversation is one file by construction of the format.
-    return talk.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("body")).select(
-        F.concat(F.lit("/c/talk-"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), "body")
-
-
-@query("agent_transcripts", f"""with p as (select u.conv_id, u.turn, min(a.turn) r from conversations u join conversations a on a.conv_id = u.conv_id and a.role = 'assistant' and a.turn > u.turn and a.turn // 2 = u.turn // 2
-  where u.role = 'user' group by 1, 2)
-select 'talk-' || p.conv_id session_uuid, 'run ' || p.turn cmd, (p.r % 4 = 3)::int exit_code, len(string_split(a.text, chr(10))) output_line_count, md5({SQL_REDACT.replace('X', 'a.text')}) digest
-from p join conversations a on a.conv_id = p.conv_id and a.turn = p.r""")
+    """(file, ord, line): user turns as shell calls, assistant turns as results, all other turns as plain messages."""
+    slot = F.concat(F.lit("t"), F.floor(F.col("turn") / 2).cast("string"))
+    at = F.concat(F.lit("2024-01-01T00:00:0"), (F.col("turn") % 10).cast("string"), F.lit("Z")).alias("timestamp")
+    message = lambda content: F.to_json(F.struct(F.struct(content.alias("content")).alias("message"), at))
+    call = message(F.array(F.struct(F.lit("tool_use").alias("type"), F.lit("Bash").alias("name"), slot.alias("id"), F.struct(F.concat(F.lit("run "), F.col("turn").cast("string")).alias("command")).alias("input"))))
+    result = message(F.array(F.struct(F.lit("tool_result").alias("type"), slot.alias("tool_use_id"), (F.col("turn") % 4 == 3).alias("is_error"), F.col("text").alias("content"))))
+    line = F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(message(F.col("text")))
+    return table(spark, sf, "conversations").select(F.concat(F.lit("/c/talk-"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), F.col("turn").cast("bigint").alias("ord"), line.alias("line"))
+
+
+SQL_CALLS = f"""call as (select conv_id, turn, "text", role, lag(role) over w before, lag(turn) over w asked from conversations where role in ('user', 'assistant')
+  window w as (partition by conv_id, turn // 2 order by turn)),
+tr as (select 'talk-' || conv_id session_uuid, 'run ' || asked cmd, 1704067200000 + (asked % 10) * 1000 started_at_ms, 1704067200000 + (turn % 10) * 1000 ended_at_ms, (turn % 4 = 3)::int exit_code,
+  len(string_split("text", chr(10))) output_line_count, md5({SQL_REDACT.replace('X', '"text"')}) digest from call where role = 'assistant' and before = 'user')"""
+
+
+@query("agent_transcripts", f"with {SQL_CALLS} select * from tr")
 def agent_transcripts(spark, sf):
-    df = captures.parse_agent_transcript(_transcripts(spark, sf))
-    return df.select(SESSION, "cmd", "exit_code", "output_line_count", F.md5("output_digest").alias("digest"))
+    df = captures.parse_transcript_lines(_transcripts(spark, sf))
+    return df.select(SESSION, "cmd", "started_at_ms", "ended_at_ms", "exit_code", "output_line_count", F.md5("output_digest").alias("digest"))
+
+
+def _mixed(spark, sf):
+    """Files of every format by line; the archives are documents over three lines."""
+    har = _har(spark, sf).select("file", F.posexplode(F.array(F.lit("{"), F.expr("substr(body, 2, length(body) - 2)"), F.lit("}"))).alias("ord", "line"))
+    return har.withColumn("ord", F.col("ord").cast("bigint")).unionByName(_process_events(spark, sf)).unionByName(_transcripts(spark, sf))
 
 
-@query("routed_captures", """select 'http-proxy' capture_kind, count(*) commands, count(*) files from pages union all
-select 'sysmon', count(*), count(*) from orders where o_orderkey % 10 <> 0 union all
-select 'rejected', 0, count(*) from orders where o_orderkey % 10 = 0""")
+@query("routed_captures", f"""with {SQL_EVENTS}, {SQL_CALLS}, every as (select 'page-' || page_id f from pages union select session_uuid from ev union select 'talk-' || conv_id from conversations),
+chosen as (select 'http-proxy' capture_kind, 'page-' || page_id f from pages union all select 'sysmon', session_uuid from ev where not other union all select 'claude-code', session_uuid from tr)
+select capture_kind, count(*) commands, count(distinct f) files from chosen group by 1
+union all select 'rejected', 0, count(*) from every where f not in (select f from chosen)""")
 def routed_captures(spark, sf):
-    files = _har(spark, sf).unionByName(_process_events(spark, sf))
-    chosen, rejected = captures.route_captures(files)
+    chosen, rejected = captures.route(captures.from_lines(_mixed(spark, sf)))
     counts = chosen.groupBy("capture_kind").agg(F.count(F.lit(1)).alias("commands"), F.countDistinct("file").alias("files"))
     return counts.unionByName(rejected.agg(F.count(F.lit(1)).alias("files")).select(F.lit("rejected").alias("capture_kind"), F.lit(0).cast("bigint").alias("commands"), "files"))
 
 
-@query("imported_sessions", r"""select 'page-' || page_id session_uuid, 'HTTP proxy :: ' || regexp_extract(url, '://([^/?#]+)', 1) target_scope, 'web' golden_id from pages""")
+@query("imported_sessions", rf"""with {SQL_EVENTS}, {SQL_CALLS}
+select 'page-' || page_id session_uuid, 'HTTP proxy :: ' || regexp_extract(url, '://([^/?#]+)', 1) target_scope, 'web' golden_id, 'web' context_path, 'http-proxy' shell, 'plugin' "source",
+  1704067200250 + (page_id % 60) * 1000 start_ms, 1704067200250 + (page_id % 60) * 1000 + floor(page_id * 1.5 + 0.5)::bigint end_ms from pages
+union all select session_uuid, 'Sysmon capture', 'host', 'host', 'sysmon', 'plugin', min(started_at_ms), max(started_at_ms) from ev where not other group by 1
+union all select session_uuid, 'Claude Code :: ' || session_uuid, 'host', 'host', 'claude-code', 'plugin', min(started_at_ms), arg_max(ended_at_ms, started_at_ms) from tr group by 1""")
 def imported_sessions(spark, sf):
-    chosen, _r = captures.route_captures(_har(spark, sf))
-    return captures.derive_sessions(chosen).select(SESSION, "target_scope", "golden_id")
+    chosen, _r = captures.route(captures.from_lines(_mixed(spark, sf)))
+    out = captures.derive_sessions(chosen)
+    return out.select(SESSION, "target_scope", "golden_id", "context_path", "shell", "source", F.unix_millis("started_at").alias("start_ms"), F.unix_millis("ended_at").alias("end_ms"))
 
 
 @query("unseen_exchanges", r"""select distinct (page_id % 10)::varchar session_uuid, regexp_extract(url, '://([^/:?#]+)', 1) pair_id from pages where regexp_extract(url, '://([^/:?#]+)', 1) like '%.com'""")

@@ -1,14 +1,21 @@
-"""Foreign capture formats: HTTP archives, process-create events and agent transcripts."""
+"""Foreign capture formats: HTTP archives, process-create events and agent transcripts.
+
+Captures are read by line: a line is addressed by its file and a number that rises along the file, so a file of many blocks
+is read by many tasks. Only a file that is one JSON document over several lines is put together again, and only such a file.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import text as t
+from runlens.operators import ordered
 from runlens.schemas import RAW_COLUMNS, SESSION, WEB
+from runlens.session import stage
 
 HAR = (
     "struct<log:struct<entries:array<struct<startedDateTime:string,time:double,"
@@ -17,11 +24,77 @@ HAR = (
 )
 
 
+#: Characters of a file that is one document. One value holds it, so a larger one fails with a message that names it.
+MOST_DOCUMENT = 1 << 30
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, body): formats that are one JSON document per file have to be read whole."""
+    """(file, body), each file whole."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ord, line). A block's lines are counted from where the block starts in its file, so ``ord`` rises along the
+    file whichever tasks read its blocks: a block has fewer lines than bytes."""
+    counted = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + counted).alias("ord"), F.col("value").alias("line"))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(file, ord, line) of files that are at hand as (file, body)."""
+    lines = files.select("file", F.posexplode(F.split("body", "\n")).alias("ord", "line"))
+    return lines.withColumn("ord", F.col("ord").cast("bigint"))
+
+
+def _is_json(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
+@dataclass
+class Capture:
+    """Files as the formats want them. ``lines`` (file, ord, line) has every line of every file; ``documents`` (file, body)
+    the files that are one JSON value; ``records`` (file, ord, doc) JSON objects one by one: the elements of a document
+    that is an array, a document that is an object, and the lines of all other files."""
+
+    lines: DataFrame
+    documents: DataFrame
+
+    @property
+    def records(self) -> DataFrame:
+        body = t.trim(F.col("body"))
+        items = F.when(body.startswith("["), F.from_json(body, "array<string>")).otherwise(F.array(body))
+        inside = self.documents.select("file", F.posexplode(items).alias("ord", "doc")).withColumn("ord", F.col("ord").cast("bigint"))
+        by_line = self.lines.where(F.trim("line") != "").join(self.documents.select("file"), "file", "left_anti")
+        return inside.unionByName(by_line.select("file", "ord", F.col("line").alias("doc")))
+
+
+def from_lines(lines: DataFrame) -> Capture:
+    """A capture out of (file, ord, line).
+
+    A first line that is complete by itself, with more lines after it, means one record per line: no JSON document goes on
+    after its end. Files of one line, and files whose first line is not complete, may be documents and are put together;
+    those that do not parse are files of lines with a broken first line.
+    """
+    filled = lines.where(F.trim("line") != "")
+    first = F.min_by(F.struct(_is_json(F.col("line")).alias("whole"), F.substr(t.trim(F.col("line")), F.lit(1), F.lit(1)).alias("sign")), "ord")
+    facts = filled.groupBy("file").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.length("line") + 1).alias("size"))
+    maybe = facts.where(F.col("first.sign").isin("[", "{") & (~F.col("first.whole") | (F.col("n") == 1)))
+    held = F.when(F.col("size") > MOST_DOCUMENT, F.raise_error(F.concat(F.lit("one JSON document is too long for a value: "), F.col("file")))).otherwise(True)
+    maybe = maybe.where(held).select("file")
+    bodies = lines.join(maybe, "file").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("all"))
+    bodies = bodies.select("file", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body"))
+    return Capture(lines, bodies.where(_is_json(t.trim(F.col("body")))))
+
+
+def from_files(files: DataFrame) -> Capture:
+    """A capture out of (file, body)."""
+    body = t.trim(F.col("body"))
+    lines = F.filter(F.split(body, "\n"), lambda ln: F.trim(ln) != "")
+    per_line = (F.size(lines) > 1) & _is_json(F.get(lines, 0))
+    return Capture(lines_of(files), files.where((body.startswith("[") | body.startswith("{")) & ~per_line & _is_json(body)).select("file", "body"))
+
+
 def file_session(file: Column) -> Column:
     return F.regexp_extract(file, r"([^/]+?)(?:\.[^./]+)?\z", 1)
 
@@ -75,15 +148,13 @@ def _pick(fields: Column, *names: str) -> Column:
 
 
 def parse_process_events(files: DataFrame, context: str = "edr:sysmon") -> DataFrame:
-    """Process-create records, flat or nested, as an array, one object or one object per line."""
-    body = t.trim(F.col("body"))
-    whole = F.from_json(body, "array<string>")
-    lines = F.filter(F.split(body, "\n"), lambda ln: F.trim(ln) != "")
-    # A parser may stop after the first of many records, so a first line that is complete by itself means one per line.
-    per_line = (F.size(lines) > 1) & F.try_parse_json(F.get(lines, 0)).isNotNull()
-    single = F.when(~per_line & F.try_parse_json(body).isNotNull(), F.array(body))
-    docs = F.when(body.startswith("[") & F.try_parse_json(body).isNotNull(), whole).otherwise(F.coalesce(single, lines))
-    rows = files.select("file", F.posexplode(docs).alias("ord", "doc"))
+    """Process-create records of (file, body): an array, one object, or one object per line."""
+    return parse_event_records(from_files(files).records, context)
+
+
+def parse_event_records(records: DataFrame, context: str = "edr:sysmon") -> DataFrame:
+    """Process-create records, flat or nested, one JSON object per row of (file, ord, doc); other rows are passed over."""
+    rows = records
     nested = "struct<Event:struct<System:map<string,string>,EventData:struct<Data:array<struct<`@Name`:string,`#text`:string>>>>>"
     rows = rows.withColumn("_n", F.from_json("doc", nested)["Event"]).withColumn("_flat", F.from_json("doc", "map<string,string>"))
     pairs = F.transform(
@@ -129,34 +200,37 @@ PART = (
 
 
 def parse_agent_transcript(files: DataFrame, max_digest: int | None = None, tool: str = "Bash", redact_cmd: bool = True) -> DataFrame:
-    """Shell calls of an agent transcript paired with the first result that follows them; unpaired calls are dropped."""
-    lines = files.select("file", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
-    records = lines.select("file", "line_no", F.from_json(t.trim(F.col("line")), RECORD).alias("r"))
+    """Shell calls of agent transcripts that are at hand as (file, body); see ``parse_transcript_lines``."""
+    return parse_transcript_lines(lines_of(files), max_digest, tool, redact_cmd)
+
+
+def parse_transcript_lines(lines: DataFrame, max_digest: int | None = None, tool: str = "Bash", redact_cmd: bool = True) -> DataFrame:
+    """Shell calls of agent transcripts, one message per line of (file, ord, line), paired with the first result that follows
+    them; unpaired calls are dropped.
+
+    A result answers the call of its id right before it: calls and results of an id are one sequence, in which a forward
+    scan tells each result what stands before it. A call that is repeated replaces the one before, a second result finds
+    a result before it and answers nothing.
+    """
+    records = lines.select("file", "ord", F.from_json(t.trim(F.col("line")), RECORD).alias("r")).where("r.message.content is not null")
     parts = records.select(
-        "file", "line_no", iso_ms(F.col("r.timestamp")).alias("at_ms"), F.posexplode("r.message.content").alias("part_no", "doc")
+        "file", "ord", iso_ms(F.col("r.timestamp")).alias("at_ms"), F.posexplode("r.message.content").alias("part_no", "doc")
     ).withColumn("p", F.from_json("doc", PART))
-    place = (F.col("line_no").cast("bigint") * (1 << 20) + F.col("part_no")).alias("place")
     command = t.trim(F.coalesce("p.input.command", F.lit("")))
-    calls = parts.where(
-        (F.col("p.type") == "tool_use") & (F.col("p.name") == tool) & F.col("p.id").isNotNull() & (command != "") & F.col("at_ms").isNotNull()
-    ).select("file", F.col("p.id").alias("tool_id"), command.alias("cmd"), F.col("at_ms").alias("started"), place)
-    results = parts.where((F.col("p.type") == "tool_result") & F.col("p.tool_use_id").isNotNull()).select(
-        "file", F.col("p.tool_use_id").alias("tool_id"), F.col("at_ms").alias("ended"),
-        F.coalesce("p.is_error", F.lit(False)).alias("failed"), F.col("p.content").alias("content"), place.alias("result_place"),
-    )
+    is_call = F.coalesce((F.col("p.type") == "tool_use") & (F.col("p.name") == tool) & F.col("p.id").isNotNull() & (command != "") & F.col("at_ms").isNotNull(), F.lit(False))
+    is_result = F.coalesce((F.col("p.type") == "tool_result") & F.col("p.tool_use_id").isNotNull(), F.lit(False))
+    events = parts.where(is_call | is_result).select(
+        "file", F.when(is_call, F.col("p.id")).otherwise(F.col("p.tool_use_id")).alias("tool_id"),
+        (F.col("ord") * (1 << 20) + F.col("part_no")).alias("place"), is_call.alias("is_call"), "at_ms",
+        F.when(is_call, command).alias("cmd"), F.coalesce("p.is_error", F.lit(False)).alias("failed"), F.when(is_result, F.col("p.content")).alias("content"))
+    keys = ["file", "tool_id"]
+    events = ordered.scan(ordered.with_slices(events, keys, "place"), keys, ["place"], {"before": ordered.previous(*[F.col(c) for c in ("is_call", "place", "cmd", "at_ms")])})
     pieces = F.from_json("content", "array<struct<text:string>>")
     text = F.when(F.col("content").startswith("["), F.coalesce(
         F.array_join(F.transform(pieces, lambda x: F.coalesce(x["text"], F.lit(""))), ""), F.lit(""))).otherwise(F.coalesce("content", F.lit("")))
-    # A result answers the latest call of its id before it; a call keeps its first such result.
-    answered = (
-        calls.join(results, ["file", "tool_id"]).where(F.col("result_place") > F.col("place"))
-        .groupBy("file", "tool_id", "result_place")
-        .agg(F.max_by(F.struct("place", "cmd", "started"), "place").alias("c"), F.first("ended").alias("ended"),
-             F.first("failed").alias("failed"), F.first(text).alias("text"))
-        .groupBy("file", "tool_id", F.col("c.place").alias("place"))
-        .agg(F.min_by(F.struct(F.col("c.cmd").alias("cmd"), F.col("c.started").alias("started"), "ended", "failed", "text"), "result_place").alias("x"))
-        .select("file", "place", "x.*")
-    )
+    answered = events.where(~F.col("is_call") & F.coalesce("before.is_call", F.lit(False))).select(
+        "file", F.col("before.place").alias("place"), F.col("before.cmd").alias("cmd"), F.col("before.at_ms").alias("started"),
+        F.col("at_ms").alias("ended"), "failed", text.alias("text"))
     cleaned = t.normalize_typography(t.redact_text(F.col("text")))
     return _web(
         answered, ord=F.col("place"), cmd=t.redact_text(F.col("cmd")) if redact_cmd else F.col("cmd"),
@@ -166,36 +240,60 @@ def parse_agent_transcript(files: DataFrame, max_digest: int | None = None, tool
     )
 
 
+def _archives(capture: Capture) -> DataFrame:
+    return parse_har(capture.documents)
+
+
+def _events(capture: Capture) -> DataFrame:
+    return parse_event_records(capture.records)
+
+
+def _transcripts(capture: Capture) -> DataFrame:
+    return parse_transcript_lines(capture.lines)
+
+
 # fixed values: adapters in routing order: (name, parser, context of the session, scope when nothing better is known)
-_ADAPTERS: dict[str, tuple[Callable[[DataFrame], DataFrame], str, str]] = {
-    "http-proxy": (parse_har, "web", "HTTP proxy capture"),
-    "sysmon": (parse_process_events, "host", "Sysmon capture"),
-    "claude-code": (parse_agent_transcript, "host", "Claude Code session"),
+_ADAPTERS: dict[str, tuple[Callable[[Capture], DataFrame], str, str]] = {
+    "http-proxy": (_archives, "web", "HTTP proxy capture"),
+    "sysmon": (_events, "host", "Sysmon capture"),
+    "claude-code": (_transcripts, "host", "Claude Code session"),
 }
 
 
-def register_adapter(name: str, parse: Callable[[DataFrame], DataFrame], context: str = "host", scope: str | None = None) -> None:
-    """Add a format: a function from (file, body) to (file, raw command columns). Later formats are tried later."""
+def register_adapter(name: str, parse: Callable[[Capture], DataFrame], context: str = "host", scope: str | None = None) -> None:
+    """Add a format: a function from a ``Capture`` to (file, raw command columns). Later formats are tried later."""
     _ADAPTERS[name] = (parse, context, scope or name)
 
 
-def route_captures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def forget_adapter(name: str) -> None:
+    """Take a format out again."""
+    _ADAPTERS.pop(name, None)
+
+
+def route(capture: Capture) -> tuple[DataFrame, DataFrame]:
     """Raw commands with their format, and the files no format recognized.
 
-    Every format is tried on every file; the first one that finds commands owns the file.
+    The first format that finds commands in a file owns it; each later one sees only the commands of files that are still
+    free. Formats look at their own shape of data: documents, records or lines. What a format finds is written once.
     """
-    every = None
-    for rank, (name, (parse, _context, _scope)) in enumerate(_ADAPTERS.items()):
-        found = parse(files).withColumn("capture_kind", F.lit(name)).withColumn("_rank", F.lit(rank))
-        every = found if every is None else every.unionByName(found)
-    owner = every.groupBy("file").agg(F.min("_rank").alias("_rank"))
-    chosen = every.join(owner, ["file", "_rank"]).drop("_rank")
-    rejected = files.select("file").join(owner.select("file"), "file", "left_anti")
-    return chosen, rejected
+    chosen, owned = None, None
+    for name, (parse, _context, _scope) in _ADAPTERS.items():
+        found = stage(parse(capture).withColumn("capture_kind", F.lit(name)), "commands")
+        if chosen is not None:
+            found = found.join(owned, "file", "left_anti")
+        chosen = found if chosen is None else chosen.unionByName(found)
+        owned = chosen.select("file").distinct()
+    return chosen, capture.lines.select("file").distinct().join(owned, "file", "left_anti")
+
+
+def route_captures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``route`` for files that are at hand as (file, body)."""
+    return route(from_files(files))
 
 
 def read_captures(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return route_captures(read_files(spark, path))
+    """``route`` for a folder of captures, read by line."""
+    return route(from_lines(read_lines(spark, path)))
 
 
 def derive_sessions(raw: DataFrame) -> DataFrame:
