@@ -1,26 +1,153 @@
 """Which texts of a group contain which values, without pairing everything in the group.
 
-Each value is represented by one of its own short grams: the one that the fewest texts of the group
-contain. Texts are indexed by their grams, the two sides meet in an equi-join on (group, gram), and only
-those candidates are checked. A value none of whose grams occurs is dropped at once. The result is exact.
+Texts and values are compared through short grams of their bytes. A value of at least GRAM + WINDOW - 1 bytes is found by
+winnowing: of the grams in every window of WINDOW places the one with the least hash is kept, on both sides by the same
+rule, so all kept grams of a value are kept in a text that contains it. Shorter values are represented by all their grams of
+GRAM bytes, or by themselves. A bitmap of fixed size, made from the values' grams, is looked at where a text is cut: only
+grams that a value of the same group may have leave the task. They are written once; each value then takes the gram that
+the fewest texts have (a value with a gram that no text has is in none), both meet in an equi-join on (group, gram), and
+those few candidates are checked. The result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 8
+from runlens.session import stage
 
+GRAM, WINDOW = 8, 8  # bytes of a gram (as many as a 64-bit number holds); places of which one gram is kept
+FILTER_BITS = 1 << 25
+BATCH_BYTES = 4 << 20
+_PAGE = 1 << 15  # bits of one row of the filter
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+#: Ways to cut: by length for values shorter than a gram, every gram, and winnowed grams.
+EVERY, WINNOWED = GRAM, GRAM + 1
 
-def _grams(text: Column, width: Column) -> Column:
-    last = F.length(text) - width + 1
-    return F.when(
-        last >= 1,
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, width)),
-    ).otherwise(F.array().cast("array<string>"))
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        for odd in _ODD:
+            x = x * odd
+            x ^= x >> np.uint64(32)
+    return x
+
+
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes with a gram of zeros after them, and where each text starts and ends. Nulls are empty."""
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return np.concatenate([raw, np.zeros(GRAM, np.uint8)]), bounds - bounds[0]
+
+
+def cut(texts: pa.Array, ways: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each way the rows and codes of the texts' grams; a code may come several times for a row."""
+    data, bounds = _bytes(texts)
+    size = len(data) - GRAM
+    wide = np.ndarray(size, "<u8", buffer=data, strides=(1,))
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    left = bounds[1:][owner] - np.arange(size)  # bytes from here to the end of the text
+    for way in ways:
+        length = min(way, GRAM)
+        part = wide if length == GRAM else wide & np.uint64((1 << 8 * length) - 1)
+        with np.errstate(over="ignore"):
+            code = _mixed(part + np.uint64(way) * _ODD[0])
+        if way != WINNOWED:
+            at = np.flatnonzero(left >= length)
+            yield owner[at], code[at]
+            continue
+        step = 1
+        while step < WINDOW:
+            code[:-step] = np.minimum(code[:-step], code[step:])
+            step *= 2
+        at = np.flatnonzero(left >= GRAM + WINDOW - 1)
+        if len(at):
+            new = np.ones(len(at), bool)
+            new[1:] = (code[at[1:]] != code[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
+            at = at[new]
+        yield owner[at], code[at]
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + BATCH_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _in_group(batch: pa.RecordBatch, column: int, rows: np.ndarray, code: np.ndarray) -> np.ndarray:
+    group = batch.column(column).to_numpy().view(np.uint64)
+    return _mixed(code ^ group[rows])
+
+
+def _distinct(rows: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((code, rows))
+    rows, code = rows[order], code[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (code[1:] != code[:-1])
+    return rows[new], code[new]
+
+
+def _way(size: np.ndarray) -> np.ndarray:
+    return np.where(size >= GRAM + WINDOW - 1, WINNOWED, np.minimum(size, GRAM))
+
+
+def value_grams(values: DataFrame, kept: list[str], value: str) -> DataFrame:
+    """The columns `kept`, way and gram: every gram of each value, cut in the way that its length asks for."""
+    types = ", ".join(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in kept)
+
+    def grams(batches):
+        for batch in batches:
+            size = pc.binary_length(batch.column(1)).to_numpy()
+            ways = _way(size)
+            for way in np.unique(ways):
+                own = batch.filter(pa.array(ways == way))
+                rows, code = next(cut(own.column(1), [int(way)]))
+                rows, code = _distinct(rows, _in_group(own, 0, rows, code))
+                told = own.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*told.columns[2:], pa.array(np.full(len(rows), way, np.int32)), pa.array(code.view(np.int64))], names=[*kept, "way", "gram"])
+
+    return values.select("_g", value, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)]).mapInArrow(grams, f"{types}, way int, gram long")
+
+
+def text_grams(texts: DataFrame, kept: list[str], text: str, ways: list[int], filter_: np.ndarray) -> DataFrame:
+    """The columns `kept` and gram: the grams of each text that the filter lets through, each once."""
+    types = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in kept)
+    shared = texts.sparkSession.sparkContext.broadcast(filter_)
+
+    def grams(batches):
+        bits = shared.value
+        for batch in batches:
+            for part in _parts(batch, 1):
+                found = []
+                for rows, code in cut(part.column(1), ways):
+                    code = _in_group(part, 0, rows, code)
+                    at = code & np.uint64(FILTER_BITS - 1)
+                    hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    found.append(_distinct(rows[hit], code[hit]))
+                rows, code = (np.concatenate(x) for x in zip(*found))
+                told = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*told.columns[2:], pa.array(code.view(np.int64))], names=[*kept, "gram"])
+
+    return texts.select("_g", text, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)]).mapInArrow(grams, f"{types}, gram long")
+
+
+def _filter(options: DataFrame) -> np.ndarray:
+    """A bit for each gram; at most FILTER_BITS / 8 bytes come to the driver, whatever the number of values."""
+    at = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1))
+    pages = options.groupBy((at / _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(at % _PAGE).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in pages.collect():
+        out[row["page"] * _PAGE // 8 : (row["page"] + 1) * _PAGE // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
 
 
 def containing(
@@ -28,25 +155,16 @@ def containing(
 ) -> DataFrame:
     """Rows (keys, value_id, value, ref, text) where the text contains the value. Values must not be empty."""
     keys = list(keys)
-    width = F.least(F.length(value), F.lit(GRAM))
-    wanted = values.where(F.length(value) > 0).withColumn("_w", width)
-    widths = wanted.groupBy(*keys).agg(F.collect_set("_w").alias("_ws"))
-    indexed = (
-        texts.join(widths, keys)
-        .select(
-            *keys, ref,
-            F.explode(
-                F.array_distinct(F.flatten(F.transform("_ws", lambda w: _grams(F.col(text), w))))
-            ).alias("_gram"),
-        )
-    )
-    frequency = indexed.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_df"))
-    options = wanted.select(
-        *keys, value_id, value, F.explode(F.array_distinct(_grams(F.col(value), F.col("_w")))).alias("_gram")
-    )
-    known = options.join(frequency, [*keys, "_gram"], "left")
-    rare = known.groupBy(*keys, value_id, value).agg(
-        F.min_by("_gram", F.coalesce("_df", F.lit(0))).alias("_gram"), F.min(F.coalesce("_df", F.lit(0))).alias("_df")
-    ).where("_df > 0").drop("_df")
-    near = indexed.join(rare, [*keys, "_gram"]).drop("_gram")
+    group = F.xxhash64(*keys).alias("_g")
+    own = list(dict.fromkeys([*keys, value_id, value]))
+    wanted = values.where(F.length(value) > 0).select(*own, group)
+    options = stage(value_grams(wanted, own, value), "value_grams")
+    ways = [r["way"] for r in options.select("way").distinct().collect()]  # at most GRAM + 1
+    if not ways:
+        return values.select(*own).limit(0).join(texts.select(*keys, ref, text).limit(0), keys)
+    indexed = stage(text_grams(texts.select(*keys, ref, text, group), [*keys, ref], text, sorted(ways), _filter(options)), "text_grams")
+    frequency = indexed.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("_df"))
+    known = options.join(frequency, [*keys, "gram"], "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+    rare = known.groupBy(*own).agg(F.min_by("gram", F.struct("_df", "gram")).alias("gram"), F.min("_df").alias("_df")).where("_df > 0").drop("_df")
+    near = indexed.join(rare, [*keys, "gram"]).drop("gram")
     return near.join(texts, [*keys, ref]).where(F.col(text).contains(F.col(value)))

@@ -128,6 +128,40 @@ def test_containment_equals_pairs(spark):
     assert sorted(map(tuple, got)) == sorted(want) and len(set(want)) == len(want)
 
 
+def test_containment_of_all_lengths(spark, monkeypatch):
+    """Values cut out of texts, near misses and values of other groups; shorter than a gram, than a window, and longer."""
+    monkeypatch.setattr(substring, "BATCH_BYTES", 500)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abé/世") for _ in range(n))
+    texts = [("g%d" % (i % 3), i, word(rng.choice([0, 3, 30, 400]))) for i in range(90)] + [("g0", 90, None), (None, 91, "abc"), ("g0", 92, "ab" * 200)]
+    values = []
+    for k in range(300):
+        g, _n, text = rng.choice(texts[:90])
+        at, n = rng.randrange(len(text) + 1), rng.choice([1, 2, 5, 7, 8, 9, 14, 15, 16, 40])
+        own = text[at : at + n]
+        values.append((rng.choice([g, "g0", "none"]), f"v{k}", own if rng.random() < 0.7 else own[:-1] + "z"))
+    values += [("g0", "periodic", "ab" * 20), ("g0", "once", "ab" * 20 + "c"), ("g0", "empty", ""), ("g0", "null", None)]
+    got = substring.containing(
+        spark.createDataFrame(texts, "g string, n int, text string"), spark.createDataFrame(values, "g string, id string, value string"),
+        ["g"], "n", "text", "id", "value").select("g", "n", "id").collect()
+    want = [(g, n, i) for g, n, x in texts for h, i, v in values if g is not None and g == h and x and v and v in x]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 300
+    none = spark.createDataFrame([], "g string, id string, value string")
+    assert substring.containing(spark.createDataFrame(texts, "g string, n int, text string"), none, ["g"], "n", "text", "id", "value").count() == 0
+
+
+def test_grams_that_leave_a_task(spark):
+    """Only grams that values may have are handed on: far fewer than bytes, and of the value's windows all."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
+    value = text[5000:5060]
+    frame = spark.createDataFrame([("g", 1, text)], "g string, n int, text string").withColumn("_g", F.xxhash64("g"))
+    options = substring.value_grams(spark.createDataFrame([("g", value)], "g string, value string").withColumn("_g", F.xxhash64("g")), ["g"], "value")
+    kept = {r.gram for r in options.collect()}
+    found = {r.gram for r in substring.text_grams(frame, ["g"], "text", [substring.WINNOWED], substring._filter(options)).collect()}
+    assert 5 <= len(kept) <= 30 and kept <= found and len(found) < len(kept) + 20
+
+
 def test_findings_and_uses(spark):
     eps = episodes(spark, [
         dict(cmd="nmap h", output_digest="22/tcp open ssh\n8080/tcp open 9090/tcp open http"), dict(cmd="curl http://h:8080/a"), dict(cmd="curl h:80801"),
