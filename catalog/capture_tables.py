@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog.bindings import CMD, OUTPUT, SQL_EPISODES, SQL_RAW, Run, raw_commands, table
-from catalog.kit import WEB_CLAIMS, registry
+from catalog.bindings import CMD, CONFIG, OUTPUT, SQL_EPISODES, SQL_RAW, Run, raw_commands, table
+from catalog.kit import ALIGNED, CLAIMS, WASTE, WEB_CLAIMS, registry
+from catalog.session_metrics import RADAR
 from catalog.text_tables import SQL_REDACT
+from catalog.timeline import FOLD
 from runlens.functions import text as t
 from runlens.operators import golden, grade, ordered, progress, segment
 from runlens.plans import debrief
@@ -513,7 +515,7 @@ def _in_batches(spark, sf, use):
     """Hands the telemetry to use(batch, number) in three batches, as a stream would."""
     rows = telemetry(spark, sf).withColumn("_b", (F.col("payload.line_count") / 2).cast("int") % 3)
     for number in range(3):
-        use(rows.where(F.col("_b") == number).drop("_b"), number)
+        use(rows.where(F.col("_b") == number).drop("_b").orderBy("ts_utc_us"), number)
 
 
 @query("stored_in_batches", f"""with {SQL_ENV}, b as (select *, line_count // 2 % 3 n from env),
@@ -522,8 +524,8 @@ o as (select session_uuid, seq, arg_max(ts_utc_us, (n, ts_utc_us)) ended_at, cou
 select session_uuid, seq, raw_command, started_at, ended_at, coalesce(blocks, 0) blocks from f left join o using (session_uuid, seq)""")
 def stored_in_batches(spark, sf):
     folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    _in_batches(spark, sf, store.batch_writer(folder))
-    tables = store.normalize(store.read_batches(spark, folder))
+    _in_batches(spark, sf, store.batch_writer(folder, 4))
+    tables = store.normalize(store.read_batches(spark, folder, buckets=4))
     blocks = tables["output_blocks"].groupBy(SESSION, "seq").agg(F.count(F.lit(1)).alias("blocks"))
     return tables["commands"].join(blocks, [SESSION, "seq"], "left").select(
         SESSION, "seq", "raw_command", "started_at", "ended_at", F.coalesce("blocks", F.lit(0)).alias("blocks"))
@@ -535,23 +537,48 @@ a as (select session_uuid, pair_id, arg_max(ts_utc_us, (n, ts_utc_us)) ended_at,
 select session_uuid, pair_id, url, case when a.n >= q.n then ended_at end ended_at from q left join a using (session_uuid, pair_id)""")
 def stored_exchanges_in_batches(spark, sf):
     folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
-    _in_batches(spark, sf, store.batch_writer(folder))
-    return store.normalize(store.read_batches(spark, folder))["http_exchanges"].select(SESSION, "pair_id", "url", "ended_at")
-
-
-@query("refreshed_sessions", f"""with {SQL_ENV}, t as (select session_uuid, session_uuid::int % 2 batch, count(distinct seq) filter (kind = 'command') + count(distinct pair_id) filter (kind = 'http_request') commands from env group by 1)
-select * from t where commands > 0""")
+    _in_batches(spark, sf, store.batch_writer(folder, 4))
+    store.compact(spark, folder, 1, 4)  # the first two batches as one generation, the third as it came
+    return store.normalize(store.read_batches(spark, folder, buckets=4))["http_exchanges"].select(SESSION, "pair_id", "url", "ended_at")
+
+
+#: Segmentation and alignment without a path, of commands and exchanges out of telemetry instead of events.
+REFRESHED = f"""{SQL_ENV}, fc as (select session_uuid, seq, min(ts_utc_us) ts, arg_min(cmd, ts_utc_us) cmd from env where kind = 'command' group by 1, 2),
+fo as (select session_uuid, seq, min(ts_utc_us) ts, arg_min("text", ts_utc_us) as "text", arg_min(line_count, ts_utc_us) n from env where kind in ('output', 'stdin_masked') group by 1, 2),
+fq as (select session_uuid, pair_id, min(ts_utc_us) ts, arg_min(url, ts_utc_us) url from env where kind = 'http_request' group by 1, 2),
+fa as (select session_uuid, pair_id, min(ts_utc_us) ts from env where kind = 'http_response' group by 1, 2),
+raw as (select session_uuid, seq ord, {SQL_REDACT.replace('X', 'cmd')} cmd, c.ts // 1000 started_at_ms, greatest(c.ts // 1000, coalesce(o.ts // 1000, c.ts // 1000)) ended_at_ms, 0 exit_code, coalesce(n, 0) output_line_count,
+    {SQL_REDACT.replace('X', '"text"')} output_digest, 'host' context_path, 1 volume, false web from fc c left join fo o using (session_uuid, seq)
+  union all select session_uuid, 1099511627776 + q.ts % 1000, 'GET ' || regexp_extract(url, '(/p.*)', 1), q.ts // 1000, greatest(q.ts // 1000, coalesce(a.ts // 1000, q.ts // 1000)), 0, 0, null, 'web', 1, true
+  from fq q left join fa a using (session_uuid, pair_id)){SQL_EPISODES[len(SQL_RAW):].replace("case" + chr(10) + "   when regexp_matches(lc, '", "case when web then 'TA0007|T1595|0.4'" + chr(10) + "   when regexp_matches(lc, '")},
+claims as (select session_uuid, seq, 0 method_idx from ep where false), board as (select session_uuid, [''] depends_on, '' objective, seq user_satisfied_by_seq from ep where false){ALIGNED[len(CLAIMS):]}, {WASTE}"""
+
+
+@query("refreshed_sessions", f"""with {REFRESHED}, m as (select session_uuid, {FOLD} from w group by 1), s as (select session_uuid, case tactic {RADAR} else 'exploit' end k from ep),
+r as (select session_uuid, {', '.join(f"least(100, 25 * count(*) filter (k = '{k}'))::bigint {k}" for k in ('recon', 'web', 'exploit', 'privesc', 'opsec'))} from s group by 1),
+c as (select session_uuid, count(*) episodes, count(*) filter (alignment = 'detour') detours, count(*) filter (alignment = 'alternative') alternatives, count(loop_of_seq) loops, count(distinct tactic) phases,
+  count(distinct technique) filter (technique <> '') technique_breadth from al group by 1)
+select session_uuid, session_uuid::int % 2 batch, c.* exclude (session_uuid), m.* exclude (session_uuid), r.* exclude (session_uuid),
+  'Recording: ' || episodes || ' commands so far, techniques: ' || technique_breadth || '.' recap from c join m using (session_uuid) join r using (session_uuid)""")
 def refreshed_sessions(spark, sf):
     """Batch 0 holds even sessions, batch 1 odd ones; what a batch writes holds the sessions that it touched only."""
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
-    refresh = debrief.live_refresh(spark, folder, lambda name, df, number: df.write.mode("overwrite").parquet(f"{folder}/{name}/{number}") if name in ("episodes", "metrics") else None)
+    refresh = debrief.live_refresh(spark, folder, lambda name, df, number: df.write.mode("overwrite").parquet(f"{folder}/{name}/{number}"), config=CONFIG, buckets=4)
     rows = telemetry(spark, sf)
     for number in range(2):
-        refresh(rows.where(F.col(SESSION).cast("int") % 2 == number), number)
+        refresh(rows.where(F.col(SESSION).cast("int") % 2 == number).orderBy("ts_utc_us"), number)
+
     def written(number):
-        metrics = spark.read.parquet(f"{folder}/metrics/{number}").select(SESSION)
-        steps = spark.read.parquet(f"{folder}/episodes/{number}").where("cmd <> ''").join(metrics, SESSION)
-        return steps.groupBy(SESSION, F.lit(number).alias("batch")).agg(F.count(F.lit(1)).alias("commands"))
+        read = lambda name: spark.read.parquet(f"{folder}/{name}/{number}")
+        count = lambda what: F.count(F.when(what, 1))
+        steps = read("episodes").groupBy(SESSION).agg(
+            F.count(F.lit(1)).alias("episodes"), count(F.col("alignment") == "detour").alias("detours"), count(F.col("alignment") == "alternative").alias("alternatives"), F.count("loop_of_seq").alias("loops"))
+        phases = read("phases").groupBy(SESSION).agg(F.count(F.lit(1)).alias("phases"))
+        row = read("metrics").select(SESSION, "technique_breadth", "productive_ms", "detour_ms", "stuck_ms", "loop_ms", "active_ms", F.round("efficiency_pct", 6).alias("efficiency_pct"))
+        out = steps.withColumn("batch", F.lit(number))
+        for part in (phases, row, read("radar"), read("recap").select(SESSION, F.col("action").alias("recap"))):
+            out = out.join(part, SESSION, "left")
+        return out
 
     return written(0).unionByName(written(1))
 

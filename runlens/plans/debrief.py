@@ -128,9 +128,11 @@ def finalize_live(
 def live_refresh(
     spark: SparkSession, folder: str, write: Callable[[str, DataFrame, int], None], objectives: DataFrame | None = None,
     tapped: DataFrame | None = None, config: segment.SegmentConfig = segment.SegmentConfig(), recording: bool = True,
+    buckets: int = store.BUCKETS,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function from envelopes to finished tables: the batch joins the store in ``folder``, and every
-    session it touched is segmented, given its tapped episodes, finalized and written under its batch number."""
+    session it touched is segmented, given its tapped episodes, finalized and written under its batch number. Of the store
+    only the buckets of touched sessions are opened."""
     def run(batch: DataFrame, number: int) -> None:
         def keep(df: DataFrame, name: str) -> DataFrame:
             df.write.mode("overwrite").parquet(f"{folder}/work/{name}/{number}")
@@ -143,8 +145,9 @@ def live_refresh(
                 episodes = segment.append_episodes(episodes, own)
             return finalize_live(keep(episodes, "segmented"), objectives, recording, keep)
 
-        store.write_batch(batch, folder, number)
-        live.refresh_touched(lambda: envelopes.raw_commands(store.read_batches(spark, folder), "first"), recompute, write)(batch, number)
+        store.write_batch(batch, folder, number, buckets)
+        touched = batch.select(SESSION).distinct()
+        live.refresh_touched(lambda: envelopes.raw_commands(store.read_batches(spark, folder, touched, buckets), "first"), recompute, write)(batch, number)
 
     return run
 

@@ -1,10 +1,15 @@
-"""The normalized store: Parquet tables written from envelopes, and envelopes rebuilt from them."""
+"""The normalized store: Parquet tables written from envelopes, and envelopes rebuilt from them.
+
+Live envelopes are kept in generations: each micro-batch is one, and ``compact`` merges the older ones. A generation is laid
+out by bucket of the session, and a manifest tells for each generation which buckets it has and in which folder. A reader
+that wants some sessions opens the files of their buckets alone, however many batches there are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,22 +73,93 @@ def write_store(envelopes: DataFrame, folder: str, mode: str = "overwrite") -> N
         clustered.write.mode(mode).partitionBy("session_date").parquet(f"{folder}/{name}")
 
 
-def write_batch(envelopes: DataFrame, folder: str, number: int) -> None:
-    """Keeps the envelopes of one micro-batch. A batch that is replayed overwrites itself, and no earlier one is touched."""
-    names = [f.name for f in T._parse_datatype_string(ENVELOPE).fields]
-    envelopes.select(*names).write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+BUCKETS = 64  # of sessions, a file each in a batch; all generations of a store have the same number
+_MANIFEST = "bucket int, rows bigint, first_us bigint, last_us bigint, kind string, upto bigint"
+
+
+def _schema(*more: str) -> T.StructType:
+    """An envelope, its batch and its order of arrival within the batch."""
+    return T._parse_datatype_string(", ".join([ENVELOPE, "batch bigint", "row bigint", *more]))
+
+
+def _kept() -> list[str]:
+    return _schema().fieldNames()[:-2]
+
+
+def bucket_of(session: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(buckets)).cast("int")
+
+
+def _write_generation(rows: DataFrame, folder: str, kind: str, upto: int, buckets: int) -> None:
+    """The rows by bucket, then their entry in the manifest: without it nobody reads them."""
+    place = f"{folder}/{kind}/upto={upto}"
+    rows = rows.withColumn("bucket", bucket_of(F.col(SESSION), buckets)).repartition("bucket").sortWithinPartitions("bucket", SESSION, "batch", "row")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(place)
+    written = rows.sparkSession.read.schema(_schema("bucket int")).parquet(place)
+    facts = written.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("ts_utc_us").alias("first_us"), F.max("ts_utc_us").alias("last_us"))
+    facts.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/kind={kind}/upto={upto}")
 
 
-def batch_writer(folder: str) -> Callable[[DataFrame, int], None]:
+def write_batch(envelopes: DataFrame, folder: str, number: int, buckets: int = BUCKETS) -> None:
+    """Keeps the envelopes of one micro-batch, numbered as they arrived. A batch that is replayed overwrites itself, and no
+    earlier one is touched."""
+    numbered = envelopes.select(*_kept(), F.lit(number).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("row"))
+    _write_generation(numbered, folder, "batch", number, buckets)
+
+
+def batch_writer(folder: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that fills the store."""
-    return lambda batch, number: write_batch(batch, folder, number)
+    return lambda batch, number: write_batch(batch, folder, number, buckets)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The generations in force, a row for each of their buckets: the latest merged one and the batches after it."""
+    found = spark.read.schema(_MANIFEST).option("basePath", f"{folder}/manifest").parquet(f"{folder}/manifest")
+    merged = found.where("kind = 'merged'").agg(F.coalesce(F.max("upto"), F.lit(-1)).alias("_upto"))
+    return found.join(F.broadcast(merged)).where("case kind when 'merged' then upto = _upto else upto > _upto end").drop("_upto")
 
 
-def read_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """All envelopes kept so far, with the batch they came in and their place of arrival."""
-    schema = T._parse_datatype_string(ENVELOPE).add("batch", T.LongType())
-    rows = spark.read.schema(schema).option("basePath", f"{folder}/batches").parquet(f"{folder}/batches")
-    return rows.withColumn("line_at", F.struct("batch", "ts_utc_us", F.xxhash64("kind", "payload").alias("row")))
+def read_batches(spark: SparkSession, folder: str, sessions: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The envelopes kept so far, with the batch they came in and their place of arrival; with ``sessions`` only theirs, and
+    only files of their buckets are opened."""
+    parts = manifest(spark, folder).select("kind", "upto", "bucket")
+    if sessions is not None:
+        touched = sessions.select(bucket_of(F.col(SESSION), buckets).alias("bucket")).distinct()
+        parts = parts.join(touched, "bucket", "left_semi")
+    # At most a row for each bucket of the merged generation and of each batch after it.
+    paths = sorted(f"{folder}/{r['kind']}/upto={r['upto']}/bucket={r['bucket']}" for r in parts.collect())
+    rows = spark.read.schema(_schema()).parquet(*paths) if paths else spark.createDataFrame([], _schema())
+    rows = rows.withColumn("line_at", F.struct("batch", "row"))
+    return rows if sessions is None else rows.join(sessions.select(SESSION).distinct(), SESSION, "left_semi")
+
+
+def compact(spark: SparkSession, folder: str, upto: int, buckets: int = BUCKETS) -> None:
+    """Merges everything up to batch ``upto`` into one generation, bucket by bucket.
+
+    Repeats that no reader can see any more are left out: a command or request after the first of its key, and a response
+    that is neither the first nor the last of its pair. Rows keep their batch and place of arrival, so tables made from
+    the store stay the same. Files of earlier generations stay until ``vacuum``.
+    """
+    rows = read_batches(spark, folder, None, buckets).where(F.col("batch") <= upto)
+    key = F.when(F.col("kind") == "command", F.col("seq").cast("string")).when(F.col("kind").isin("http_request", "http_response"), F.coalesce("payload.pair_id", F.lit("")))
+    single = F.col("kind").isin("command", "http_request", "http_response")
+    bounds = rows.where(single).groupBy(F.col(SESSION).alias("_s"), F.col("kind").alias("_kind"), key.alias("_key")).agg(F.min("line_at").alias("_first"), F.max("line_at").alias("_last"))
+    marked = rows.where(single).withColumn("_key", key).join(bounds.withColumnRenamed("_key", "_k"), (F.col(SESSION) == F.col("_s")) & (F.col("kind") == F.col("_kind")) & (F.col("_key") == F.col("_k")))
+    kept = marked.where((F.col("line_at") == F.col("_first")) | ((F.col("kind") == "http_response") & (F.col("line_at") == F.col("_last"))))
+    out = kept.select(*_kept(), "batch", "row").unionByName(rows.where(~single).select(*_kept(), "batch", "row"))
+    _write_generation(out, folder, "merged", upto, buckets)
+
+
+def vacuum(spark: SparkSession, folder: str) -> None:
+    """Removes the generations that a merged one has replaced, and their entries in the manifest. Run it when no reader
+    that started before ``compact`` is left."""
+    every = spark.read.schema(_MANIFEST).option("basePath", f"{folder}/manifest").parquet(f"{folder}/manifest").select("kind", "upto").distinct()
+    current = manifest(spark, folder).select("kind", "upto").distinct()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for row in every.join(current, ["kind", "upto"], "left_anti").collect():  # a row for each generation
+        for place in (f"{folder}/manifest/kind={row['kind']}/upto={row['upto']}", f"{folder}/{row['kind']}/upto={row['upto']}"):
+            path = jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def read_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
