@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog.bindings import CMD, CONFIG, OUTPUT, SQL_EPISODES, SQL_RAW, Run, raw_commands, table
-from catalog.kit import ALIGNED, CLAIMS, WASTE, WEB_CLAIMS, registry
+from catalog.kit import ALIGNED, CLAIMS, FINDINGS, WASTE, WEB_CLAIMS, registry
 from catalog.session_metrics import RADAR
 from catalog.text_tables import SQL_REDACT
 from catalog.timeline import FOLD
@@ -340,6 +340,26 @@ def report_parts(spark, sf):
     return parts.groupBy(SESSION, "section").agg(F.sum(F.expr("json_array_length(rows)")).cast("bigint").alias("n"), F.count(F.lit(1)).alias("parts"))
 
 
+DOCUMENTS = f"""with {SQL_EPISODES} {FINDINGS}, cl as (select session_uuid, seq as pos, '{{"seq":' || seq || ',"cmd":"' || cmd || '","binary":"' || "binary" || '","exit_code":' || coalesce(exit_code::varchar, 'null') || ',"tactic":"' || tactic || '"}}' j from ep),
+fl as (select session_uuid, source_seq as pos, '{{"id":"' || id || '","kind":"' || kind || '","source_seq":' || source_seq || '}}' j from found),
+c as (select session_uuid, string_agg(j, ',' order by pos, j) j from cl group by 1), f as (select session_uuid, string_agg(j, ',' order by pos, j) j from fl group by 1),
+d as (select session_uuid, '{{"schema_version":"1.4","session":{{"session_uuid":"' || session_uuid || '","target_name":"Box ' || session_uuid || '","difficulty":null}},"commands":[' || c.j || '],"findings":[' || coalesce(f.j, '') || '],"hints":[]}}' body
+  from c left join f using (session_uuid))"""
+
+
+@query("report_documents", f"{DOCUMENTS} select session_uuid, md5(body) digest, length(body) chars from d")
+def report_documents(spark, sf):
+    """Whole documents, put together here only to be compared; a session's lines lie in many slices and files."""
+    run = Run(spark, sf)
+    sessions_ = run.sessions.select(SESSION, F.concat(F.lit("Box "), SESSION).alias("target_name"), F.lit(None).cast("string").alias("difficulty"))
+    sections = {"commands": (run.staged.select(SESSION, "seq", "cmd", "binary", "exit_code", "tactic"), "seq"),
+                "findings": (run.findings.select(SESSION, "id", "kind", "source_seq"), "source_seq"), "hints": (run.findings.where("false").select(SESSION, "source_seq"), "source_seq")}
+    lines = sinks.report_documents(sections, sessions_)
+    order = F.struct("section", "at", F.ltrim(F.col("line"), F.lit(",")).alias("text"), "line")
+    whole = lines.groupBy(SESSION).agg(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["line"]), "").alias("body"))
+    return whole.select(SESSION, F.md5("body").alias("digest"), F.length("body").cast("bigint").alias("chars"))
+
+
 # --- taps -------------------------------------------------------------------------------------------
 
 
