@@ -115,7 +115,7 @@ class Run:
 
     @cached_property
     def board(self) -> DataFrame:
-        claimed = align.claims(self.staged, self.objectives)
+        claimed = align.claims(self.staged, self.objectives, self.golden)
         return stage(align.board(self.objectives, claimed), "board")
 
     @cached_property

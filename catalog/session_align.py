@@ -15,13 +15,13 @@ QUERIES, query = registry()
 @query("objective_candidates", f"with {CLAIMS} select session_uuid, ordinal, objective, seq, method_idx from cand")
 def candidates(spark, sf):
     run = Run(spark, sf)
-    return align.candidates(run.segmented, run.objectives)
+    return align.candidates(run.segmented, run.objectives, run.golden)
 
 
 @query("objective_claims", f"with {CLAIMS} select session_uuid, ordinal, objective, seq, method_idx from claims")
 def claims(spark, sf):
     run = Run(spark, sf)
-    return align.claims(run.staged, run.objectives)
+    return align.claims(run.staged, run.objectives, run.golden)
 
 
 @query("objective_order_breaks", f"with {ALIGNED} select session_uuid, seq from early")

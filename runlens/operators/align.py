@@ -35,13 +35,22 @@ def session_objectives(session_golden: DataFrame, golden: DataFrame) -> DataFram
     return session_golden.select(SESSION, "golden_id").join(golden, "golden_id").drop("golden_id")
 
 
-def candidates(episodes: DataFrame, objectives: DataFrame) -> DataFrame:
+#: Distinct objectives of all ladders up to which they are broadcast; more are met through an index of their tokens.
+MOST_BROADCAST = 10_000
+_DEFINITION = ["tactic", "satisfied_by", "techniques"]
+
+
+def candidates(episodes: DataFrame, objectives: DataFrame, ladders: DataFrame | None = None, most: int = MOST_BROADCAST) -> DataFrame:
     """Episodes that could satisfy each objective, with the position of the matching method.
 
-    A listed technique counts as position 0. Keyed by session and tactic.
+    A listed technique counts as position 0. Commands meet the distinct objectives of all ladders (``ladders``; without it
+    those of ``objectives``) first, where they are: the ladders are counted and broadcast, or, if there are more than
+    ``most``, joined on (tactic, token) through the tools and techniques that they name. Only the pairs that fit go on to
+    the sessions' own objectives.
     """
-    steps = objectives.select(
-        SESSION, "tactic", "ordinal", "objective", methods(F.col("satisfied_by")).alias("_methods"),
+    known = (objectives if ladders is None else ladders).select(*_DEFINITION).distinct()
+    steps = known.select(
+        F.struct(*_DEFINITION).alias("_of"), "tactic", methods(F.col("satisfied_by")).alias("_methods"),
         F.transform(F.coalesce("techniques", F.array().cast("array<string>")), F.upper).alias("_techniques"),
     )
     words = t.tokens(F.lower("cmd"))
@@ -49,17 +58,28 @@ def candidates(episodes: DataFrame, objectives: DataFrame) -> DataFrame:
         SESSION, "seq", "tactic", F.upper(F.coalesce("technique", F.lit(""))).alias("_technique"), words.alias("_words"),
         F.array_append(F.transform(words, t.strip_path), F.lower("binary")).alias("_names"),
     )
-    joined = commands.join(steps, [SESSION, "tactic"])
+    if known.limit(most + 1).count() <= most:
+        joined = commands.join(F.broadcast(steps), "tactic")
+    else:
+        marked = lambda mark, names: F.transform(names, lambda x: F.concat(F.lit(mark), x))
+        index = steps.select("*", F.explode(F.array_distinct(F.concat(marked("m", F.col("_methods.tool")), marked("t", F.col("_techniques"))))).alias("_token"))
+        tokens = F.array_distinct(F.filter(F.concat(marked("m", F.col("_names")), F.array(F.concat(F.lit("t"), "_technique"))), lambda x: x.isNotNull()))
+        joined = commands.withColumn("_token", F.explode(tokens)).join(index, ["tactic", "_token"])
     by_technique = (F.col("_technique") != "") & F.array_contains(F.col("_techniques"), F.col("_technique"))
     fitting = F.filter(
         "_methods",
         lambda m: F.array_contains(F.col("_names"), m["tool"]) & (F.size(F.array_except(m["flags"], F.col("_words"))) == 0),
     )
     idx = F.when(by_technique, 0).otherwise(F.array_min(F.transform(fitting, lambda m: m["idx"])))
-    return joined.select(SESSION, "ordinal", "objective", "seq", idx.alias("method_idx")).where("method_idx is not null")
+    fits = joined.select(F.col(SESSION).alias("_session"), "seq", "_of", idx.alias("method_idx")).where("method_idx is not null").distinct()
+    own = objectives.select(SESSION, "ordinal", "objective", *_DEFINITION)
+    same = F.col(SESSION) == F.col("_session")
+    for name in _DEFINITION:
+        same = same & F.col(name).eqNullSafe(F.col(f"_of.{name}"))
+    return fits.join(own, same).select(SESSION, "ordinal", "objective", "seq", "method_idx")
 
 
-def claims(episodes: DataFrame, objectives: DataFrame) -> DataFrame:
+def claims(episodes: DataFrame, objectives: DataFrame, ladders: DataFrame | None = None) -> DataFrame:
     """Greedy claims: objectives in order each take their earliest episode that is still free.
 
     At most ``ordinal`` episodes are taken before an objective, so its first ``ordinal + 1`` candidates
@@ -67,7 +87,7 @@ def claims(episodes: DataFrame, objectives: DataFrame) -> DataFrame:
     """
     rank = F.row_number().over(Window.partitionBy(SESSION, "ordinal").orderBy("seq"))
     near = (
-        candidates(episodes, objectives)
+        candidates(episodes, objectives, ladders)
         .withColumn("_rank", rank)
         .where(F.col("_rank") <= F.col("ordinal") + 1)
     )
@@ -112,9 +132,9 @@ def mark(episodes: DataFrame, objectives_board: DataFrame) -> DataFrame:
     return _fill_alignment(df)
 
 
-def align(episodes: DataFrame, objectives: DataFrame) -> tuple[DataFrame, DataFrame]:
+def align(episodes: DataFrame, objectives: DataFrame, ladders: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Aligned episodes and the objective board."""
-    objectives_board = board(objectives, claims(episodes, objectives))
+    objectives_board = board(objectives, claims(episodes, objectives, ladders))
     return mark(episodes, objectives_board), objectives_board
 
 

@@ -81,7 +81,7 @@ def debrief(
         golden = paths_of.with_lineage(golden)
     objectives = align.session_objectives(session_golden, golden)
     segmented = keep(segment.segment_episodes(raw, config), "segmented")
-    board = keep(align.board(objectives, align.claims(segmented, objectives)), "board")
+    board = keep(align.board(objectives, align.claims(segmented, objectives, golden)), "board")
     episodes = keep(classify.with_frameworks(align.mark(segmented, board)), "episodes")
     found = keep(ledger.extract(episodes), "findings")
     uses = keep(ledger.link_uses(episodes, found), "uses")
@@ -166,7 +166,7 @@ def realign(
     only the time split and what depends on the path is replaced.
     """
     objectives = align.session_objectives(session_golden, golden)
-    aligned, board = align.align(episodes.drop("alignment", "loop_of_seq"), objectives)
+    aligned, board = align.align(episodes.drop("alignment", "loop_of_seq"), objectives, golden)
     aligned = classify.with_frameworks(aligned)
     if findings is not None and uses is not None:
         board = align.objective_status(aligned, board, findings, uses)
