@@ -4,7 +4,9 @@ Pages of one host with the same layout form a group. The page with the fewest el
 page's tree is aligned to it by simple tree matching. An element of the reference whose text is the same in at least half
 of the group's pages is template; what varies is a slot. Pages with the same longest block in their article (without one,
 with the same text) are near copies and count as one page, digits being equal. A page's text is what stands in its slots: inside its article
-(else its main part, else the whole body), without elements whose tag or class names another role.
+(else its main part, else the whole body), without elements whose tag or class names another role. A name never removes what
+holds the largest article or main part, nor most of the text around it; inside an article only whole class names that are
+sure count, and slots decide about the rest.
 """
 
 from __future__ import annotations
@@ -46,6 +48,13 @@ OTHER_NAMES = frozenset(
     "notice notices cookie cookies consent popup modal overlay comment comments disqus respond reply replies form search login signup subscribe newsletter share "
     "sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget complementary contentinfo alert".split())
 
+#: Class names that say so inside an article too, where parts of a name, or a header, say nothing; and compounds that do.
+INSIDE_NAMES = (OTHER_NAMES - {"header", "masthead", "form", "search", "alert", "related", "respond", "reply", "replies", "modal", "menu"}) | frozenset(
+    "ad-slot ad-container ad-banner ad-unit share-buttons share-bar social-share social-links newsletter-signup related-posts related-articles related-links "
+    "recommended-articles comment-list comments-area comment-form cookie-notice cookie-banner post-navigation nav-links breadcrumb-list".split())
+#: Beginnings of class names that tell of a layout, not of the element's own role.
+LAYOUT_NAMES = ("no-", "has-", "with-", "without-", "hide-", "not-", "is-")
+
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>?", re.S)
 _attribute = re.compile(r"(?i)(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -82,7 +91,7 @@ def parse(page: str) -> list[list]:
             open_.close(open_.last("p"), open_.last_scope())
         if tag in CLOSES:
             open_.close(*(max(map(open_.last, tags)) for tags in CLOSES[tag]))
-        names = " ".join(x.lower() for a in _attribute.finditer(m[3]) for x in _name.findall(a[2] or a[3] or a[4] or "")) if m[3] else ""
+        names = " ".join(x.lower() for a in _attribute.finditer(m[3]) for x in (a[2] or a[3] or a[4] or "").split()) if m[3] else ""
         nodes.append([open_.stack[-1], tag, names])
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -194,29 +203,62 @@ def align(x: Tree, y: Tree) -> list[int]:
     return match
 
 
-def _other(tag: str, names: str, inside: bool) -> bool:
-    """Whether an element has another role than main text. Inside an article a header holds its title."""
-    if tag in OTHER_TAGS or tag == "header" and not inside:
-        return True
-    return bool(names) and tag not in ("html", "body", "article", "main") and not OTHER_NAMES.isdisjoint(names.split()) and not (inside and tag == "header")
+def _named(tag: str, names: str, inside: bool) -> bool:
+    """Whether an element's class, id or role gives it another role than main text."""
+    if not names or tag in ("html", "body", "article", "main") or inside and tag == "header":
+        return False
+    if inside:
+        return not INSIDE_NAMES.isdisjoint(names.split())
+    return any(not OTHER_NAMES.isdisjoint(_name.findall(n)) for n in names.split() if not n.startswith(LAYOUT_NAMES))
+
+
+def _amounts(nodes: list[list]) -> list[int]:
+    """Characters of text below each node, white space aside."""
+    out = [0] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        parent, tag, body = nodes[i]
+        if tag == "#":
+            out[i] = len("".join(body.split()))
+        if tag not in OTHER_TAGS:
+            out[parent] += out[i]
+    return out
+
+
+def _shielded(nodes: list[list], amount: list[int]) -> set[int]:
+    """The elements that hold the largest article, and those that hold the largest main part: no name removes them."""
+    best: dict[str, int] = {}
+    for i, (_parent, tag, names) in enumerate(nodes):
+        if tag in ("article", "main") and not {"comment", "comments"} & set(names.split()) and (tag not in best or amount[i] > amount[best[tag]]):
+            best[tag] = i
+    out = set()
+    for i in best.values():
+        while i >= 0:
+            out.add(i)
+            i = nodes[i][0]
+    return out
 
 
 def _main(nodes: list[list]):
     """"article", "main" or "" (the body), the elements that hold its text, and a function from nodes to skip to its blocks."""
     gone, inside, block = [False] * len(nodes), [""] * len(nodes), [0] * len(nodes)
-    linked = [False] * len(nodes)
+    linked, around = [False] * len(nodes), [0] * len(nodes)
     found = {"article": False, "main": False}
+    amount = _amounts(nodes)
+    shielded = _shielded(nodes, amount)
     for i, (parent, tag, names) in enumerate(nodes):
         if parent < 0:
             continue
-        inside[i], gone[i], linked[i] = inside[parent], gone[parent], linked[parent] or tag == "a"
+        inside[i], gone[i], linked[i], around[i] = inside[parent], gone[parent], linked[parent] or tag == "a", around[parent]
         block[i] = i if tag in BLOCK else block[parent]
         if tag == "#":
             continue
-        role = "comment" in names.split() or "comments" in names.split()
+        role = bool({"comment", "comments"} & set(names.split()))
         if tag in found and not role:
             inside[i] = tag if inside[i] != "article" else "article"
-        gone[i] = gone[i] or role or _other(tag, names, bool(inside[i]))
+            around[i] = i
+        wide = amount[i] > MOST_LOST * amount[around[parent]]
+        named = (role or not wide and _named(tag, names, bool(inside[i]))) and i not in shielded
+        gone[i] = gone[i] or tag in OTHER_TAGS or tag == "header" and not inside[i] or named
         if tag in found and not gone[i]:
             found[tag] = True
     want = "article" if found["article"] else "main" if found["main"] else ""

@@ -291,6 +291,64 @@ def test_deep_pages():
         wrapper.parse(page)  # no step walks down the stack
 
 
+def test_names_do_not_remove_the_article():
+    text = lambda page: wrapper.main_text(wrapper.parse(page))
+    story = "<article><div class='article-header'><h1>Title</h1></div><p>First part of the story.</p><div class='related-work'><p>Earlier results.</p></div><p class='form-factor'>Shape.</p></article>"
+    want = "Title First part of the story. Earlier results. Shape."
+    for wrap in ("layout no-sidebar", "has-sidebar", "sidebar-right", "with-menu", "menu", "content ad-free", "widget"):
+        assert text(f"<body class='{wrap}'><div class='{wrap}'><div id='{wrap}'>{story}</div></div></body>") == want
+        assert text(f"<div class='{wrap}'>{story.replace('article>', 'main>').replace('<article', '<main')}</div>") == want
+    # Sure names go, nested ones too; beside the article everything with another role goes.
+    inner = story.replace("<p>First", "<div class='box'><div class='share-buttons'><span>Share</span></div><div class='ad'>Buy</div></div><div class='sidebar'><p>Side</p></div><p>First")
+    assert text(f"<div class='has-sidebar'><div class='related'><article class='card'><p>Other story</p></article></div>{inner}<div class='site-footer'>Imprint</div><div id='comments'>{'<p>Nice!</p>' * 40}</div></div>") == want
+    # Without an article: what holds most of the text stays whatever it is called, the rest goes by its name.
+    assert text("<div class='sidebar-layout'><p>" + "Body text. " * 9 + "</p><div class='sidebar'>Side</div></div><div class='page-footer'>Imprint</div>") == ("Body text. " * 9).strip()
+    assert text("<article><div class='notice'>" + "The whole story is in here. " * 5 + "</div><p>End.</p></article>").startswith("The whole story")
+
+
+def plain_extraction(rows):
+    """Template and slots by dictionaries: what half of a group's different pages have in one place of the reference goes."""
+    groups, out = {}, {}
+    for i, host, page in rows:
+        nodes = wrapper.parse(page)
+        groups.setdefault((host, wrapper.layout(nodes)), []).append((i, page, nodes))
+    for (host, _layout), members in groups.items():
+        votes = {}
+        for _i, page, nodes in members:
+            own = (sum(n[1] != "#" for n in nodes), page)
+            votes[wrapper.vote(nodes)] = min(votes.get(wrapper.vote(nodes), own), own)
+        template = set()
+        if len(votes) >= wrapper.LEAST_PAGES:
+            least = min(n for n, _p in votes.values())
+            (reference,) = {p for n, p in votes.values() if n == least}  # the fixtures have one smallest page
+            place = lambda nodes: [(k, j, wrapper.Tree(nodes).texts[k]) for k, j in enumerate(wrapper.align(wrapper.Tree(nodes), wrapper.Tree(wrapper.parse(reference)))) if j >= 0]
+            seen = {}
+            for _i, _page, nodes in members:
+                for k, j, text in place(nodes):
+                    if text and k in wrapper._main(nodes)[1]:
+                        seen.setdefault((j, text), set()).add(wrapper.vote(nodes))
+            template = {slot for slot, by in seen.items() if len(by) >= max(wrapper.LEAST_PAGES, wrapper.SHARE * len(votes))}
+        for i, _page, nodes in members:
+            skip = {k for k, j, text in place(nodes) if (j, text) in template} if template else set()
+            out[i] = wrapper.main_text(nodes, frozenset(skip))
+    return out
+
+
+def test_extraction_equals_dictionaries(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) + str(rng.randrange(50)) for _ in range(n))
+    rows = []
+    for host, shell in (("a", "<main>{}</main>"), ("b", "<div class='no-sidebar'>{}</div>"), ("c", "<article>{}</article>")):
+        for k in range(14):
+            parts = ["<p>Constant line of the site</p>" if rng.random() < 0.7 else f"<p>{words(3)}</p>", f"<h2>{words(4)}</h2>"]
+            parts += [f"<p>{words(rng.randint(5, 20))}</p>" for _ in range(rng.randint(1, 4))] + ["<ul>" + "".join(f"<li>{words(2)}</li>" for _ in range(rng.randint(1, 3))) + "</ul>"]
+            rows.append((len(rows), host, f"<html><body><div class='top'><p>Welcome {host}</p></div>" + shell.format("".join(parts) + "<p>Written for you</p>" * (k % 3 > 0)) + "</body></html>"))
+        rows.append((len(rows), host, f"<html><body><div class='top'><p>Welcome {host}</p></div>" + shell.format(f"<h2>{words(2)}</h2>") + "</body></html>"))  # the smallest
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame([(i, f"http://{h}/x", p) for i, h, p in rows], "page_id long, url string, html string")).collect()}
+    want = plain_extraction(rows)
+    assert got == want and any("Constant line" not in t for t in want.values()) and any("Written" not in t for t in want.values())
+
+
 @pytest.mark.parametrize("most_bytes", [0, 300, wrapper.MOST_BYTES])  # none, some and all references broadcast
 def test_template_is_learned(spark, monkeypatch, most_bytes):
     monkeypatch.setattr(wrapper, "MOST_BYTES", most_bytes)
