@@ -119,16 +119,14 @@ def test_alignment_matches_walk(spark):
 def test_candidates_by_broadcast_and_by_index(spark):
     """The same rows whichever way, sessions with different ladders, and no exchange of episodes where ladders are broadcast."""
     eps = episodes(spark, [dict(session_uuid=s, cmd=c, tactic=tac, technique=tech) for s in ("s", "u") for c, tac, tech in (
-        ("nmap -sV h", "TA0007", "T1046"), ("/usr/bin/nmap h", "TA0007", "T1046"), ("x", "TA0007", "t1046"), ("curl a", "TA0007", "T1"), ("nmap -sV", "TA0001", "T1046"), ("", "TA0007", "T1046"))])
+        ("nmap -sV h", "TA0007", "T1"), ("/usr/bin/nmap h", "TA0007", "T1046"), ("x", "TA0007", "t1046"), ("curl a", "TA0007", "T1"), ("nmap -sV", "TA0001", "T1046"), ("", "TA0007", "T1046"))])
     own = board(spark, [dict(session_uuid="s", satisfied_by=["nmap -sV", "nmap"]), dict(session_uuid="s", ordinal=1, objective="p", techniques=["T1046"], satisfied_by=[]),
-                        dict(session_uuid="u", satisfied_by=["curl"], objective="q")]).drop("user_satisfied_by_seq")
-    want = [("s", 0, 1, 0), ("s", 0, 2, 1), ("s", 1, 1, 0), ("s", 1, 2, 0), ("s", 1, 3, 0), ("s", 1, 6, 0), ("u", 0, 4, 0)]
-    seqs = {(r.session_uuid, r.cmd): r.seq for r in eps.collect()}
-    place = {n: k + 1 for k, n in enumerate(["nmap -sV h", "/usr/bin/nmap h", "x", "curl a", "nmap -sV", ""])}
-    back = {(s, seq): place.get(c) for (s, c), seq in seqs.items()}
+                        dict(session_uuid="u", ordinal=0, satisfied_by=["curl"], objective="q")]).drop("user_satisfied_by_seq")
+    want = [("s", 0, 1, 0), ("s", 0, 2, 1), ("s", 1, 2, 0), ("s", 1, 3, 0), ("s", 1, 6, 0), ("u", 0, 4, 0)]
+    back = {(r.session_uuid, r.seq): (r.seq - 1) % 6 + 1 for r in eps.collect()}
     for most in (align.MOST_BROADCAST, 0):
         got = align.candidates(eps, own, most=most).collect()
-        assert sorted((r.session_uuid, r.ordinal, back[r.session_uuid, r.seq], r.method_idx) for r in got) == want
+        assert sorted((r.session_uuid, r.ordinal, back[r.session_uuid, r.seq], r.method_idx) for r in got) == want, most
 
 
 def test_containment_equals_pairs(spark):
