@@ -7,6 +7,7 @@ says what the digits are. Every scan runs in time proportional to the text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -125,15 +126,35 @@ def _proposals(text: str):
             yield "ssn", m.start(), m.end()
 
 
+class _Taken:
+    """Spans by kind, each kind's in order and apart, so that one look per kind tells whether a place is free."""
+
+    def __init__(self):
+        self.starts: dict[str, list[int]] = {}
+        self.ends: dict[str, list[int]] = {}
+
+    def add(self, kind: str, start: int, end: int) -> None:
+        self.starts.setdefault(kind, []).append(start)
+        self.ends.setdefault(kind, []).append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        for kind, starts in self.starts.items():
+            at = bisect_left(starts, end) - 1
+            if at >= 0 and self.ends[kind][at] > start:
+                return True
+        return False
+
+
 def spans_of(text: str) -> list[Span]:
     """All spans of a text in code points, by kind and start. Base spans stay whatever their score; others need it, and
     give way to a span of an earlier kind that they overlap."""
-    kept: list[Span] = []
+    kept, taken = [], _Taken()
     for kind, start, end in _proposals(text):
         near = _context[kind].search(text[max(0, start - NEAR) : start]) or _context[kind].search(text[end : end + NEAR])
         score = min(1.0, START[kind] + (BONUS if near else 0.0))
-        if kind in BASE or score >= KEEP and not any(s.start < end and start < s.end for s in kept):
+        if kind in BASE or score >= KEEP and not taken.meets(start, end):
             kept.append(Span(kind, start, end, score))
+            taken.add(kind, start, end)
     return kept
 
 
@@ -161,10 +182,11 @@ def spans(docs: DataFrame, keep: list[str], text: str = "text", name: str = "spa
 
 def redacted_text(text: str, found) -> str:
     """The text with each span replaced by its kind in angle brackets. Of spans that overlap, the first kind is replaced."""
-    free, parts, at = [], [], 0
+    free, parts, at, taken = [], [], 0, _Taken()
     for s in found:
-        if not any(s.start < f.end and f.start < s.end for f in free):
+        if not taken.meets(s.start, s.end):
             free.append(s)
+            taken.add(s.kind, s.start, s.end)
     for s in sorted(free, key=lambda s: s.start):
         parts += [text[at : s.start], f"<{s.kind.upper()}>"]
         at = s.end
