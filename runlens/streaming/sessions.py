@@ -295,6 +295,104 @@ def join_live(envelopes: DataFrame, watermark: str = "10 minutes", wait: str = "
         F.coalesce("line_count", F.lit(0)).alias("output_line_count"), t.redact_text(F.col("text")).alias("output_digest"), "context_path")
 
 
+_COMMAND = "at_us bigint, cmd string, exit_code bigint, context_path string"
+_OUTPUT = "at_us bigint, text string, line_count bigint"
+REVISION = (f"{SESSION} string, ord bigint, command struct<at_us:bigint,cmd:string,exit_code:bigint,context_path:string>, "
+            "output struct<at_us:bigint,text:string,line_count:bigint>")
+
+
+class CommandProcessor(StatefulProcessor):
+    """One command and its output as keyed state with two timers.
+
+    A command is told as soon as its output is there. If none comes within ``wait`` it is told without; the key is held on for
+    ``hold``, and whatever comes until then is told as a correction. A key that is given up tells what it has not told yet,
+    and one that wakes again after that starts anew: its rows are corrections too, which ``commands_of`` puts together.
+    """
+
+    def __init__(self, wait_us: int, hold_us: int):
+        self.wait_us, self.hold_us = wait_us, hold_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.command = handle.getValueState("command", _COMMAND)
+        self.output = handle.getValueState("output", _OUTPUT)
+        self.told = handle.getValueState("told", "command_us bigint, output_us bigint")
+
+    @staticmethod
+    def _of(state) -> tuple | None:
+        return tuple(state.get()) if state.exists() else None
+
+    def _tell(self, key, command: tuple | None, output: tuple | None) -> Iterator[pd.DataFrame]:
+        self.told.update((command[0] if command else -1, output[0] if output else -1))
+        names = [[f.split()[0] for f in kind.split(", ")] for kind in (_COMMAND, _OUTPUT)]
+        parts = [dict(zip(n, x)) if x else None for n, x in zip(names, (command, output))]
+        yield pd.DataFrame({SESSION: [key[0]], "ord": [int(key[1])], "command": [parts[0]], "output": [parts[1]]})
+
+    def _wake(self, command: tuple | None, output: tuple | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        last = max(x[0] for x in (command, output) if x)
+        due = [last + self.hold_us]
+        if command and not output and not self.told.exists():
+            due.append(command[0] + self.wait_us)
+        self.handle.registerTimer(min(due) // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        command, output = self._of(self.command), self._of(self.output)
+        number = lambda x: None if pd.isna(x) else int(x)
+        word = lambda x: None if x is None or isinstance(x, float) else x
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                if r.kind == "command":
+                    command = max(filter(None, (command, (int(r.at_us), word(r.cmd), number(r.exit_code), word(r.context_path)))), key=lambda x: x[0])
+                else:
+                    output = max(filter(None, (output, (int(r.at_us), word(r.text), number(r.line_count)))), key=lambda x: x[0])
+        if command:
+            self.command.update(command)
+        if output:
+            self.output.update(output)
+        told = self._of(self.told)
+        now = (command[0] if command else -1, output[0] if output else -1)
+        if told != now and (told or command and output):
+            yield from self._tell(key, command, output)
+        self._wake(command, output)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        command, output = self._of(self.command), self._of(self.output)
+        if not self.told.exists():
+            yield from self._tell(key, command, output)
+        if timerValues.getCurrentWatermarkInMs() * 1000 >= max(x[0] for x in (command, output) if x) + self.hold_us:
+            for state in (self.command, self.output, self.told):
+                state.clear()
+        else:
+            self._wake(command, output)
+
+    def close(self) -> None:
+        pass
+
+
+def command_revisions(envelopes: DataFrame, watermark: str = "10 minutes", wait: str = "1 hour", hold: str = "24 hours") -> DataFrame:
+    """A stream of (session, ord, command, output): commands as far as they are known, and corrections of them. Sinks append
+    the rows; ``commands_of`` reads them."""
+    us = lambda text: int(pd.Timedelta(text).total_seconds() * 1_000_000)
+    own = envelopes.where("kind in ('command', 'output', 'stdin_masked')").select(
+        SESSION, "seq", "kind", F.col("ts_utc_us").alias("at_us"), F.timestamp_micros("ts_utc_us").alias("ts"), "payload.cmd", "payload.exit_code",
+        "provenance.context_path", "payload.text", "payload.line_count").withWatermark("ts", watermark)
+    return own.groupBy(SESSION, "seq").transformWithStateInPandas(
+        CommandProcessor(us(wait), us(hold)), outputStructType=T._parse_datatype_string(REVISION), outputMode="append", timeMode="EventTime")
+
+
+def commands_of(revisions: DataFrame) -> DataFrame:
+    """Raw commands out of revisions: the latest command and the latest output that any revision of a key knows. The same
+    rows as the batch join of commands to their output, however late the output came."""
+    last = revisions.groupBy(SESSION, "ord").agg(F.max_by("command", "command.at_us").alias("c"), F.max_by("output", "output.at_us").alias("o")).where("c is not null")
+    started, ended = F.floor(F.col("c.at_us") / 1000).cast("bigint"), F.floor(F.col("o.at_us") / 1000).cast("bigint")
+    return last.select(
+        SESSION, "ord", t.redact_text(F.coalesce("c.cmd", F.lit(""))).alias("cmd"), started.alias("started_at_ms"),
+        F.greatest(started, F.coalesce(ended, started)).alias("ended_at_ms"), F.col("c.exit_code").cast("int").alias("exit_code"),
+        F.coalesce("o.line_count", F.lit(0)).cast("bigint").alias("output_line_count"), t.redact_text(F.col("o.text")).alias("output_digest"), F.col("c.context_path").alias("context_path"))
+
+
 def bracket(envelopes: DataFrame, label: str = "") -> DataFrame:
     """Add start, end and first-flag markers around each recorded session."""
     flagged = F.col("kind").isin("output", "stdin_masked") & t.contains_flag(F.coalesce("payload.text", F.lit("")))

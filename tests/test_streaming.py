@@ -96,6 +96,31 @@ def test_live_join_and_tally(spark, tmp_path):
     assert (last.commands, last.outputs, last.redactions) == (21, 11, 30)
 
 
+def test_late_output_corrects_its_command(spark, tmp_path):
+    """Output before its command, within the wait, after it and after the key was given up: the table is that of the batch join."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(7)
+    rows, second = [], 1_000_000
+    for i in range(40):
+        at = (1000 + 5 * i) * second
+        rows.append(("a", "s", i, at, "command", f"cmd {i} 10.0.0.{i}", None))
+        late = rng.choice([None, -2, 1, 30, 200, 900])  # seconds; wait is 20, hold 400
+        if late is not None:
+            rows.append(("a", "s", i, at + late * second, rng.choice(["output", "stdin_masked"]), f"out {i}", None))
+        if rng.random() < 0.2:
+            rows.append(("a", "s", i, at + 40 * second, "command", f"again {i}", None))
+    rows.append(("a", "s", 99, 1100 * second, "output", "of no command", None))
+    rows += [("tail", "end", k, (10**5 + 10**5 * k) * second, "output", "x", None) for k in range(3)]
+    df = _envelopes(spark, rows)
+    stream = _replay(spark, df, tmp_path, "late", files=12)
+    told = _drain(sessions.command_revisions(stream, "1 second", "20 seconds", "400 seconds"), "late_out", tmp_path).where("session_uuid = 's'")
+    got, want = sessions.commands_of(told), envelopes.join_command_output(df.where("session_uuid = 's'"))
+    columns = ["ord", "cmd", "started_at_ms", "ended_at_ms", "exit_code", "output_line_count", "output_digest", "context_path"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect())) and got.count() == 40
+    counts = {r.ord: r.n for r in told.groupBy("ord").agg(F.count("*").alias("n")).collect()}
+    assert max(counts.values()) >= 2 and told.where("command is null").count() >= 1  # corrections, also of keys given up
+
+
 def test_web_dedupe_stream(spark, tmp_path):
     rows = [(f"s{i % 2}", f"p{i % 5}", f"http://{'in' if i % 2 else 'out'}.h/x", i) for i in range(40)]
     df = spark.createDataFrame(rows, "session_uuid string, pair_id string, url string, n bigint").withColumn("ts", F.timestamp_seconds("n"))
