@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog.bindings import CMD, CONFIG, OUTPUT, SQL_EPISODES, SQL_RAW, Run, raw_commands, table
-from catalog.kit import ALIGNED, CLAIMS, FINDINGS, WASTE, WEB_CLAIMS, registry
-from catalog.session_metrics import RADAR
+from catalog.kit import ALIGNED, CLAIMS, FINDINGS, NOISE, WASTE, WEB_CLAIMS, registry
+from catalog.session_metrics import HOLES, RADAR
 from catalog.text_tables import SQL_REDACT
-from catalog.timeline import FOLD
+from catalog.timeline import FOLD, LABELS
 from runlens.functions import text as t
 from runlens.operators import golden, grade, ordered, progress, segment
 from runlens.plans import debrief
@@ -494,7 +494,18 @@ def joined_live_commands(spark, sf):
     return sessions.join_live(telemetry(spark, sf), wait="10 days").select(SESSION, "ord", "started_at_ms", "ended_at_ms", "output_line_count")
 
 
-@query("live_status")
+@query("live_status", f"""with {ALIGNED} {FINDINGS}, {HOLES},
+lst as (select session_uuid, max(seq) seq, arg_max(tactic, seq) tactic, arg_max(started_at_ms, seq) last_ms, count(*) commands from al group by 1),
+usd as (select distinct session_uuid, id, true u from used), src as (select session_uuid, seq source_seq, started_at_ms from ep),
+fc as (select session_uuid, count(*) findings, count(*) filter (kind = 'port') ports_found, count(*) filter (kind = 'port' and u) ports_engaged, count(*) filter (kind = 'cred' and u is null) creds,
+  count(*) filter (kind in ('url', 'path') and u is null) paths, max(coalesce(started_at_ms, 0)) found_ms from found left join usd using (session_uuid, id) left join src using (session_uuid, source_seq) group by 1),
+hl as (select session_uuid, max(end_seq) end_seq, arg_max("binary", (end_seq, "binary")) b from holes group by 1), nz as (select session_uuid, sum({NOISE}) total from ep group by 1),
+st as (select *, case when coalesce(found_ms, 0) <> 0 and last_ms <> 0 then greatest(0, last_ms - found_ms) end since from lst join nz using (session_uuid) left join fc using (session_uuid) left join hl using (session_uuid))
+select session_uuid, case tactic {LABELS} else tactic end phase, 2592000000 elapsed_ms, floor(greatest(0, 100 - least(100, total / 400 * 100)) + 0.5) stealth, coalesce(ports_found, 0) ports_found,
+  coalesce(ports_engaged, 0) ports_engaged, coalesce(findings, 0) findings, concat_ws(' ', case when creds = 1 then 'An unused credential is sitting in your loot.' when creds > 1 then creds || ' unused credentials are sitting in your loot.' end,
+    case when paths = 1 then 'A path you found was never revisited.' when paths > 1 then paths || ' paths you found were never revisited.' end) threads,
+  case when end_seq = seq then 'Long run on ' || b || ' with little to show. Step back and re-enumerate?' when since > 600000 then 'Nothing new in ' || floor(since / 60000 + 0.5)::bigint || 'm. Widen the search?' end nudge,
+  commands, since since_last_find_ms from st""")
 def live_status(spark, sf):
     from runlens.operators import metrics, timeline
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.bindings import SQL_EPISODES, Run, table
 from catalog.kit import ALIGNED, CWE, FINDINGS, NOISE, UKC, WASTE, registry
 from catalog.session_metrics import CHECKS, ESCALATION, HOLES, ITEMS, RECOVERIES, SLOW
-from catalog.timeline import FOLD, TIMED
+from catalog.timeline import FOLD, LABELS, TIMED
 from runlens import rules
 from runlens.operators import analysis, audits, classify, coaching, defense, grade, metrics, progress, report, timeline
 from runlens.plans import debrief
@@ -384,19 +384,45 @@ def report_lines(spark, sf):
     return report.report_lines(sessions, eps, stage(timeline.phases(run.aligned), "phases"), status, reports, evidence, run.findings)
 
 
+WALK = f"""with {ALIGNED} {FINDINGS}, {TIMED}, lb as (select al.*, case tactic {LABELS} else tactic end "label" from al), wk as (select *, lag("label") over (partition by session_uuid order by seq) before from lb),
+ph as (select session_uuid, string_agg("label", ' → ' order by first_seq) p from (select session_uuid, "label", tactic, min(seq) first_seq from lb group by 1, 2, 3) group by 1),
+se as (select distinct session_uuid, 'Box ' || session_uuid n from al), kd as (select session_uuid, kind, "value", source_seq, min(source_seq) over (partition by session_uuid, kind) k from found where kind in ('port', 'service', 'cred')),
+gr as (select session_uuid, "binary" b, count(*) n, min(seq) q from al group by 1, 2), lines("section", place, sub, session_uuid, line) as (
+select 1, 0, 0, session_uuid, '# ' || n || ': session report' || chr(10) || chr(10) || '**Target:** ' || n || ' (htb)  ' || chr(10) || '**From, to:** 2024-01-01 → 2024-01-31  ' || chr(10) || '> Profile `full`: secrets are shown as recorded. Mask them before passing this on.' from se
+union all select 4, 0, 0, session_uuid, '## Scope' || chr(10) || chr(10) || '- **Target:** ' || n || chr(10) || '- **Platform:** htb' || chr(10) || '- **Context:** host' || chr(10) || '- **Window:** 2024-01-01 → 2024-01-31' from se
+union all select 5, 0, 0, session_uuid, '## Methodology' || chr(10) || 'Commands were tagged with ATT&CK techniques, kill-chain phases and CWE classes.' || chr(10) || 'Phases exercised: ' || p || '.' from ph
+union all select 7, -1, 0, session_uuid, '## Walkthrough' || chr(10) from se
+union all select 7, seq, 0, session_uuid, '### ' || "label" || chr(10) from wk where before is distinct from "label"
+union all select 7, seq, 1, session_uuid, '- `#' || seq || '` `' || cmd || '`' || case when coalesce(output_digest, '') <> '' then ': ' || output_digest else '' end from al
+union all select 8, -1, 0, session_uuid, '## Appendix' || chr(10) || chr(10) || '### Command log' || chr(10) || chr(10) || '| # | Time | Command |' || chr(10) || '| --- | --- | --- |' from se
+union all select 8, seq, 0, session_uuid, '| ' || seq || ' | ' || (ms // 60000) || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || ' | `' || cmd || '` |' from (select *, started_at_ms - arg_min(started_at_ms, seq) over (partition by session_uuid) ms from al)
+union all select 9, -1, 0, session_uuid, chr(10) || '### Findings ledger' || chr(10) || chr(10) || '| Kind | Value |' || chr(10) || '| --- | --- |' from se
+union all select 9, k, source_seq, session_uuid, '| ' || kind || ' | ' || case when kind = 'cred' then '••••' else "value" end || ' |' from kd
+union all select 9, 0, 0, session_uuid, '| — | — |' from se where session_uuid not in (select session_uuid from kd)
+union all select 10, -1152921504606846976, 0, session_uuid, chr(10) || '### Tool loadout' || chr(10) || chr(10) || '| Tool | Count |' || chr(10) || '| --- | --- |' from se
+union all select 10, -n, q, session_uuid, '| `' || b || '` | ' || n || ' |' from gr)"""
+
+
+@query("report_walkthrough", f"{WALK} select session_uuid, \"section\", place::bigint \"at\", sub::bigint sub, line from lines")
+def report_walkthrough(spark, sf):
+    """Header, scope, methodology, walkthrough and appendix of the written report, line by line; findings have their own queries."""
+    return report_lines(spark, sf).where(F.col("section").isin(1, 4, 5, 7, 8, 9, 10))
+
+
 @query("session_metric_rows", f"""{ITEMS}, {UKC}, {CWE}, {WASTE}, {HOLES}, {RECOVERIES}, wz as (select session_uuid, {FOLD} from w group by 1),
 n as (select session_uuid, sum({NOISE}) total from ep group by 1), rm as (select session_uuid, floor(median(latency_ms) + 0.5)::bigint recovery_median_ms from rec group by 1),
 gt as (select session_uuid, sum(case when verdict = 'late_pivot' then lag_ms else 0 end)::bigint ghost_time_lost_ms, count(*) filter (verdict in ('ahead', 'off_path_win')) ghost_human_wins from items group by 1),
 cv as (select session_uuid, floor(count(user_satisfied_by_seq) * 100.0 / count(*) + 0.5) objective_coverage_pct from board group by 1)
-select session_uuid, floor(efficiency_pct + 0.5) efficiency_pct, floor(greatest(0, 100 - least(100, total / 400 * 100)) + 0.5) stealth_score, objective_coverage_pct, recovery_median_ms, ghost_time_lost_ms, ghost_human_wins
-from wz join n using (session_uuid) join cv using (session_uuid) left join rm using (session_uuid) left join gt using (session_uuid)""")
+select session_uuid, floor(efficiency_pct + 0.5) efficiency_pct, floor(greatest(0, 100 - least(100, total / 400 * 100)) + 0.5) stealth_score, objective_coverage_pct, recovery_median_ms, ghost_time_lost_ms, ghost_human_wins,
+  productive_ms, detour_ms, stuck_ms, loop_ms, active_ms, technique_breadth
+from wz join (select session_uuid, count(distinct technique) filter (technique <> '') technique_breadth from al group by 1) tb using (session_uuid) join n using (session_uuid) join cv using (session_uuid) left join rm using (session_uuid) left join gt using (session_uuid)""")
 def session_metric_rows(spark, sf):
     from runlens.operators import ghost
 
     run = Run(spark, sf)
     row = debrief.metric_row(run.aligned, run.board, ghost.totals(run.ghost))
     return row.select(SESSION, "efficiency_pct", "stealth_score", "objective_coverage_pct", F.col("recovery_median_ms").cast("bigint").alias("recovery_median_ms"),
-                      "ghost_time_lost_ms", "ghost_human_wins")
+                      "ghost_time_lost_ms", "ghost_human_wins", "productive_ms", "detour_ms", "stuck_ms", "loop_ms", "active_ms", "technique_breadth")
 
 
 @query("session_grades")
