@@ -214,7 +214,7 @@ def found_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     Null and empty texts have no words, no run and an empty collapsed text. Null keys and repeated rows are kept, each on
     its own; other columns are not read, whatever their names; an empty table gives an empty result. Nothing is shuffled. A text is
-    held whole by one task, with some 150 bytes a word, also a very long one.
+    held whole by one task, by estimate 150 bytes a word, also a very long one.
     """
     kind = docs.schema[key].dataType.simpleString()
     fields = pa.struct([(c, pa.int64()) for c in ("start", "length", "period")])
