@@ -55,6 +55,21 @@ def parsed_envelopes(spark, sf):
     return envelopes.parse_lines(json_lines(spark, sf, broken=True)).select("source", SESSION, "seq", "ts_utc_us", "kind", F.col("payload.cmd").alias("cmd"))
 
 
+@query("handshakes_in_force", f"""with {SQL_ENV}, ln as (select event_id, event_id % 5 f, case when event_id % 50 = 0 then event_id end h from ev),
+fo as (select event_id, max(h) over (partition by f order by event_id) h from ln), e as (select event_id, user_id::varchar session_uuid, epoch_us(ts) ts_utc_us from ev)
+select session_uuid, ts_utc_us, event_id seq, 'p' || (h % 7) platform, 'ctx' || (h % 3) context_path, case when h is null then null when h % 100 = 0 then 1.0 else 0.7 end::double boundary_confidence
+from e join fo using (event_id)""")
+def handshakes_in_force(spark, sf):
+    """Five files of telemetry lines; before every tenth line of a file its sender may shake hands anew."""
+    e = table(spark, sf, "events")
+    line = F.to_json(F.struct(F.lit("a").alias("source"), F.col("user_id").cast("string").alias(SESSION), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_utc_us"), F.lit("command").alias("kind")))
+    hello = F.to_json(F.struct(F.lit("1").alias("x_handshake"), F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")).alias("plugin"), F.concat(F.lit("ctx"), (F.col("event_id") % 3).cast("string")).alias("context_template"),
+                               F.struct(F.when(F.col("event_id") % 100 == 0, "exact").otherwise("heuristic").alias("boundary_confidence")).alias("capabilities")))
+    both = e.select(F.concat(F.lit("/c/"), (F.col("event_id") % 5).cast("string")).alias("file"), "event_id", F.posexplode(F.when(F.col("event_id") % 50 == 0, F.array(hello, line)).otherwise(F.array(line))).alias("n", "line"))
+    filled = envelopes.with_handshakes(both.select("file", (F.col("event_id") * 2 + F.col("n")).cast("bigint").alias("ord"), "line"))
+    return filled.select(SESSION, "ts_utc_us", "seq", "provenance.platform", "provenance.context_path", "provenance.boundary_confidence")
+
+
 LAST = """
 c as (select session_uuid, seq, max(ts_utc_us) ts, arg_max(cmd, ts_utc_us) cmd from env where kind = 'command' group by 1, 2),
 o as (select session_uuid, seq, max(ts_utc_us) ts, arg_max("text", ts_utc_us) as "text", arg_max(line_count, ts_utc_us) n from env where kind in ('output', 'stdin_masked') group by 1, 2)"""

@@ -61,7 +61,11 @@ def apply_handshake(envelopes: DataFrame, handshakes: DataFrame, key: str = "sou
         key, F.col("context_template").alias("_context"), F.col("plugin").alias("_plugin"),
         F.when(F.col("capabilities.boundary_confidence") == "exact", 1.0).otherwise(0.7).alias("_confidence"),
     )
-    joined = envelopes.join(side, key, "left")
+    return _filled(envelopes.join(side, key, "left"))
+
+
+def _filled(joined: DataFrame) -> DataFrame:
+    """Provenance out of _plugin, _context and _confidence where a row's own leaves it out."""
     known = F.col("_plugin").isNotNull()
     p = F.col("provenance")
     filled = F.struct(
@@ -73,10 +77,29 @@ def apply_handshake(envelopes: DataFrame, handshakes: DataFrame, key: str = "sou
     return joined.withColumn("provenance", filled).drop("_context", "_plugin", "_confidence")
 
 
+def with_handshakes(lines: DataFrame) -> DataFrame:
+    """Envelopes out of (file, ord, line), each filled from the handshake in force where it stands: the last one of its file
+    before it. Lines before the first handshake stay as they are. One sliced scan per file."""
+    from runlens.operators import ordered
+
+    marked = F.col("line").rlike(r'"\w+_handshake"\s*:')
+    told = F.when(marked, F.from_json("line", HANDSHAKE))
+    told = F.when(told["plugin"].isNotNull() & told["capabilities"].isNotNull(), F.struct(
+        told["plugin"].alias("plugin"), told["context_template"].alias("context"), told["capabilities"]["boundary_confidence"].alias("confidence")))
+    rows = ordered.with_slices(lines.withColumn("_told", told), ["file"], "ord")
+    rows = ordered.scan(rows, ["file"], ["ord"], {"_h": ordered.last_seen(F.col("_told"))})
+    at = F.struct("file", F.lit(0).cast("bigint").alias("block"), F.col("ord").alias("row")).alias("line_at")
+    parsed = parse_lines(rows.where("_told is null").select("line", at, "_h"), "line")
+    return _filled(parsed.select(
+        *[c for c in parsed.columns if c != "_h"], F.col("_h.plugin").alias("_plugin"), F.col("_h.context").alias("_context"),
+        F.when(F.col("_h.confidence") == "exact", 1.0).otherwise(0.7).alias("_confidence")))
+
+
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
-    """Envelopes of capture files, each file's own handshake filling what its lines leave out."""
-    lines = read_envelopes(spark, path).withColumn("file", F.col("line_at.file"))
-    return apply_handshake(lines, read_handshakes(spark, path), "file").drop("file")
+    """Envelopes of capture files, each line filled from the handshake in force where it stands."""
+    from runlens.sources import captures
+
+    return with_handshakes(captures.read_lines(spark, path))
 
 
 def _at(df: DataFrame) -> list[str]:

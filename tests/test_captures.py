@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runlens.sources import captures
+from runlens.sources import captures, envelopes
 
 HAR = {"log": {"entries": [{"startedDateTime": "2024-01-01T00:00:01Z", "time": 5, "request": {"method": "GET", "url": "http://h/a"}, "response": {"status": 200, "content": {"text": "x"}}}]}}
 EVENT = {"EventID": 1, "UtcTime": "2024-01-01 00:00:02", "CommandLine": "dir"}
@@ -135,3 +135,16 @@ def test_document_too_long(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(captures, "MOST_DOCUMENT", 100)
     with pytest.raises(Exception, match="too long for a value"):
         captures.read_captures(spark, str(tmp_path))
+
+
+def test_handshake_in_force(spark, tmp_path):
+    """Lines take the last handshake before them, in files of many blocks; their own provenance goes first."""
+    hello = lambda name, sure: json.dumps({"x_handshake": "1", "plugin": name, "class": "shell", "context_template": f"at-{name}", "capabilities": {"has_exit_codes": True, "has_stdin": False, "boundary_confidence": sure, "redaction": "none"}})
+    line = lambda n, **more: json.dumps({"source": "a", "session_uuid": "s", "seq": n, "ts_utc_us": n, "kind": "command", "payload": {"cmd": f"c{n}"}, **more})
+    (tmp_path / "a.ndjson").write_text("\n".join([line(0), hello("one", "exact"), *[line(n) for n in range(1, 40)], "{cut", hello("two", "heuristic"), *[line(n) for n in range(40, 60)], line(60, provenance={"context_path": "own"})]))
+    (tmp_path / "b.ndjson").write_text("\n".join([line(100), line(101)]))
+    with small_blocks(spark, 512):
+        rows = {r.seq: (r.provenance.platform, r.provenance.context_path, r.provenance.boundary_confidence) if r.provenance else None for r in envelopes.read_capture(spark, str(tmp_path)).collect()}
+    assert len(rows) == 63 and rows[0] == rows[100] == (None, None, None)
+    assert all(rows[n] == ("one", "at-one", 1.0) for n in range(1, 40)) and all(rows[n] == ("two", "at-two", 0.7) for n in range(40, 60))
+    assert rows[60] == ("two", "own", 0.7)
