@@ -96,16 +96,12 @@ def with_slices(
     if like is not None and is_whole(like):
         return _whole(df)
     key = F.col(order_key)
-    large = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx(key, [i / CUTS for i in range(1, CUTS)], ACCURACY).alias("_at"),
-        )
-        .where(F.col("_n") > target)
-    )
-    if like is None and not df.isStreaming and large.isEmpty():
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
+    if like is None and not df.isStreaming and sizes.isEmpty():
         return _whole(df)
+    # Only rows of large groups come to the quantiles, which hold up to ACCURACY values for each group.
+    at = F.percentile_approx(key, [i / CUTS for i in range(1, CUTS)], ACCURACY)
+    large = df.select(*keys, order_key).join(sizes, list(keys)).groupBy(*keys, "_n").agg(at.alias("_at"))
     every = F.greatest(F.floor(CUTS * target / (2 * F.col("_n"))), F.lit(1))
     cuts = F.array_distinct(F.filter("_at", lambda _c, i: (i + 1) % every == 0))
     large = large.select(*keys, cuts.alias("_cuts"))
