@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import common, mixing, packing, pii, quality, simhash
+from runlens.llm import common, mixing, packing, pii, quality, simhash_wide
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -26,16 +26,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: that with the smallest id, then the smallest hashes of its text
-    and of its whole row.
+    """One document of each group of texts with a similarity of about 0.8 in five-word shingles stays: that with the smallest id,
+    then the smallest hashes of its text and of its whole row.
 
-    Null and empty texts have fingerprint zero and are linked like any other; a null id counts as the smallest. Of repeated rows one stays;
+    Null and empty texts have fingerprint zero and are linked with each other; a null id counts as the smallest. Of repeated rows one stays;
     of rows with the same id and text but other columns it is the same one in every run.
     """
     identity = F.struct(F.col("doc_id"), F.xxhash64(F.col("text").isNull(), "text").alias("h"))
     own, same, n = common.free_names(docs, "own", "same", "n")
     rows = docs.withColumn(own, identity)
-    groups = simhash.near_duplicates(rows, own).where(F.col(own) == F.col("component_id"))
+    groups = simhash_wide.similar_documents(rows, own).where(F.col(own) == F.col("component_id"))
     chosen = common.saved(groups.groupBy(F.col(own).alias(same)).agg(F.count("*").alias(n)), "chosen")
     once = rows.join(chosen.where(F.col(n) == 1), F.col(own).eqNullSafe(F.col(same))).select(*docs.columns)
     several = rows.join(chosen.where(F.col(n) > 1), F.col(own).eqNullSafe(F.col(same)))
