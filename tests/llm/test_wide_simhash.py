@@ -7,9 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
-import corpus_pipeline
 from runlens.llm import graph, simhash, simhash_wide
 
 MASK = (1 << 64) - 1
@@ -146,11 +144,11 @@ def test_similar_documents_edge_cases(spark):
     assert simhash_wide.similar_documents(docs.limit(0)).count() == 0
 
 
-def test_pipeline_stage_keeps_one_of_each_group(spark):
+def test_large_group_is_one_component(spark):
     rng = random.Random(3)
     base = rng.choices(VOCABULARY, k=300)
     rows = [(i, " ".join(edited(rng, base, 0.005))) for i in range(400)] + [(1000 + i, " ".join(rng.choices(VOCABULARY, k=100))) for i in range(50)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.lit(1)).repartition(7)
-    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
-    assert kept == {0, *range(1000, 1050)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in simhash_wide.similar_documents(docs).collect()}
+    assert got == {**dict.fromkeys(range(400), 0), **{i: i for i in range(1000, 1050)}}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
