@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import text as t
-from runlens.operators import ordered
+from runlens.operators import ordered, substring
 from runlens.schemas import SESSION, WEB
 
 # fixed values: terminal control sequences
@@ -87,15 +87,23 @@ def strip_alt_screen(taps: DataFrame) -> DataFrame:
 
 
 def scrub_unechoed(commands: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Drop input the terminal never echoed (typed secrets); very short lines and sessions without output are kept."""
+    """Drop input the terminal never echoed (typed secrets); very short lines and sessions without output are kept.
+
+    A command is one line, so it is looked for in the lines of the log, through the index of grams. Commands that hold a
+    line break are looked for in the whole log.
+    """
     echoed = outputs.where("output_log is not null and output_log <> ''").select(
         SESSION, F.regexp_replace("output_log", f"{CSI}|{ESC}", "").alias("_echo")
     )
-    # The commands of a session were one input log; they meet the output log in one row instead of a copy of it each.
-    held = commands.groupBy(SESSION).agg(F.collect_list(F.struct(*commands.columns)).alias("_c")).join(echoed, SESSION, "left")
-    needle = lambda x: t.trim(x["cmd"])
-    kept = F.filter("_c", lambda x: F.col("_echo").isNull() | (F.length(needle(x)) < 3) | F.col("_echo").contains(needle(x)))
-    return held.select(F.explode(kept).alias("x")).select("x.*")
+    needle, broken = t.trim(F.col("cmd")), F.col("_needle").rlike("[\r\n]")
+    needles = commands.select(SESSION, needle.alias("_needle")).where(F.length("_needle") >= 3).distinct()
+    lines = echoed.select(SESSION, F.posexplode(F.split("_echo", "[\r\n]+")).alias("_n", "_line"))
+    found = substring.containing(lines, needles.where(~broken), [SESSION], "_n", "_line", "_needle", "_needle").select(SESSION, "_needle")
+    whole = needles.where(broken).join(echoed, SESSION).where(F.col("_echo").contains(F.col("_needle"))).select(SESSION, "_needle")
+    found = found.union(whole).distinct().withColumn("_found", F.lit(True))
+    logged = echoed.select(SESSION).distinct().withColumn("_logged", F.lit(True))
+    held = commands.withColumn("_needle", needle).join(found, [SESSION, "_needle"], "left").join(logged, SESSION, "left")
+    return held.where("_logged is null or length(_needle) < 3 or _found").select(*commands.columns)
 
 
 def pair_tap_files(files: DataFrame) -> DataFrame:

@@ -75,6 +75,15 @@ def test_keystrokes_and_screen(spark):
     commands = spark.createDataFrame([("s", "ls -la"), ("s", "hunter2"), ("s", "id"), ("n", "zzz")], "session_uuid string, cmd string")
     echo = spark.createDataFrame([("s", "$ l\x1b[0ms -la")], "session_uuid string, output_log string")
     assert {r.cmd for r in taps.scrub_unechoed(commands, echo).collect()} == {"ls -la", "id", "zzz"}
+    # Several lines, repeated commands, a command over two lines, a log without text, further columns.
+    rows = [("s", " cat  x ", 1), ("s", "cat  x", 2), ("s", "cat  x", 2), ("s", "catx", 3), ("s", "one\ntwo", 4), ("s", "one\nsix", 5),
+            ("e", "secret", 6), ("t", "cat  x", 7), ("t", "a longer command line, with words", 8)]
+    commands = spark.createDataFrame(rows, "session_uuid string, cmd string, line_no int")
+    echo = spark.createDataFrame([("s", "$ cat  x\r\none\ntwo\r$ "), ("e", ""), ("t", "> a longer command line, with words\r\n")], "session_uuid string, output_log string")
+    kept = sorted(tuple(r) for r in taps.scrub_unechoed(commands, echo).collect())
+    logs = {r.session_uuid: r.output_log for r in echo.collect()}
+    assert kept == sorted(r for r in rows if not logs[r[0]] or r[1].strip() in logs[r[0]]) and len(kept) == 6
+    assert taps.scrub_unechoed(commands.limit(0), echo).count() == 0 and taps.scrub_unechoed(commands, echo.limit(0)).count() == len(rows)
 
 
 def test_tap_files(spark, tmp_path):
