@@ -92,8 +92,9 @@ def wide_fingerprints(docs: DataFrame, key: str, text: str, width: int = 5) -> D
 def wide_links(nodes: DataFrame, most: int = MOST) -> DataFrame:
     """a, b: links between ids of distinct fingerprints (id, f0 to f7) that meet at an anchor and differ in at most `most` bits.
 
-    Each task reduces what it finds to a forest, and rows that are near one of an anchor's first few rows are not compared
-    with each other, so a large group of near copies costs rows, not pairs. A crowded anchor is split into classes by a hash.
+    Each task reduces what it finds to a forest, and rows that are near the same of a block's first few rows are not compared
+    with each other. A crowded anchor is split into classes by a hash and every pair of classes is a block, so blocks stay
+    small, but the copies of one anchor's rows grow with the square of their number, divided by ANCHOR_ROWS / 2.
     """
     parts = 64 // PART_BITS
 
