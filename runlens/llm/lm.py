@@ -6,8 +6,8 @@ its longer contexts, which fixes how much weight each depth gets; a decision is
 training has seen. Counts of six-byte sequences hold all of this.
 
 Work is split by the last three bytes of the context: of one such group there are at most 2^24 sequences, and depths 3 to 5
-are worked out inside it. Depths 0 to 2 have at most 2^16 contexts of 255 decisions in all; they are worked out on the
-driver and go to the tasks. A first pass over the texts counts sequences and words, a second adds up their scores. Frequent
+are worked out inside it. Depth 2 (at most 2^16 contexts of 255 decisions) is a table, each group is joined with the at most
+255 decisions that lead to it. Only depths 0 and 1 (at most 2^8 contexts, about 2 MB) pass the driver. A first pass over the texts counts sequences and words, a second adds up their scores. Frequent
 entries (bounded numbers of them) are looked up where the text is; every other occurrence is joined to its entry.
 """
 
@@ -50,7 +50,7 @@ def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Level:
     """The decisions of one depth: sorted codes (context and bits so far), the estimate of a one, and the depth's share."""
 
-    def __init__(self, code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+    def __init__(self, code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None = None):
         own = estimate(zeros, ones)
         self.code, self.zeros, self.ones = code, zeros, ones
         self.weighted = own if below is None else np.logaddexp(_HALF + own, _HALF + below)
@@ -89,25 +89,36 @@ def local_levels(key: np.ndarray, n: np.ndarray) -> list[Level]:
     return levels[::-1]
 
 
-def top_levels(code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> list[Level]:
-    """Depths 0 to LOCAL - 1 from the sums of depth LOCAL."""
+def top_levels(code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, depths: int = LOCAL) -> list[Level]:
+    """Depths 0 to `depths` - 1 from the sums of the deepest of them."""
     order = np.argsort(code)
     levels = [Level(code[order], zeros[order], ones[order], below[order])]
-    while len(levels) < LOCAL:
+    while len(levels) < depths:
         levels.append(Level(*levels[-1].shorter()))
     return levels[::-1]
 
 
-def log_probability(key: np.ndarray, levels: list[Level]) -> np.ndarray:
+class Joined:
+    """Decisions of depth LOCAL - 1 as they stand beside each group of sequences: sorted codes (the group's bytes and bits so
+    far), with the estimate of a one and the depth's share."""
+
+    def __init__(self, code: np.ndarray, one: np.ndarray, share: np.ndarray):
+        self.code, self.one, self.share = code, one, share
+
+    find = Level.find
+
+
+def log_probability(key: np.ndarray, levels: list[Level | Joined]) -> np.ndarray:
     """log10 of each sequence's last byte after the others. A context that training never met ends the mixture above it."""
     before, bit = decisions(key & 255)
     before, bit = before.ravel(), bit.ravel()
     context = np.repeat(key >> 8, 8)
     p, mixed, left = np.full(len(bit), 0.5), np.zeros(len(bit)), np.ones(len(bit))
     for depth, level in enumerate(levels):
-        at, seen = level.find((context >> (8 * (DEPTH - depth)) << 8) | before)
+        held = LOCAL if isinstance(level, Joined) else depth
+        at, seen = level.find((context >> (8 * (DEPTH - held)) << 8) | before)
         if not len(level.code):
-            break
+            continue
         one = level.one[at]
         p = np.where(seen, mixed + left * one, p)
         share = np.where(seen, level.share[at], 0.0)
@@ -224,21 +235,23 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.select("training", "text").mapInArrow(count, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def grouped(sequences: DataFrame) -> DataFrame:
-    """Sequences with those of the same last three bytes of context together, sorted."""
-    return sequences.select("key", "n").repartition(F.shiftright("key", 8 * (DEPTH + 1 - LOCAL))).sortWithinPartitions("key")
+_GROUP = 8 * (DEPTH + 1 - LOCAL)  # bits of a sequence behind those that name its group
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Rows of the same group (the last three bytes of context) together, sorted by the other columns too."""
+    return rows.repartition("group").sortWithinPartitions(*rows.columns[:3])
 
 
 def _whole_groups(batches):
-    """Keys and counts, cut only between groups."""
+    """The columns of a batch, cut only between groups."""
     held = None
     for batch in batches:
-        now = [batch.column(i).to_numpy() for i in (0, 1)]
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         if not len(now[0]):
             continue
-        group = now[0] >> 8 * (DEPTH + 1 - LOCAL)
-        last = int(np.searchsorted(group, group[-1]))
+        last = int(np.searchsorted(now[0], now[0][-1]))
         held = [x[last:] for x in now]
         if last:
             yield [x[:last] for x in now]
@@ -246,26 +259,48 @@ def _whole_groups(batches):
         yield held
 
 
-def model(sequences: DataFrame) -> DataFrame:
-    """key, n, logp: log10 probability of the last byte of every listed sequence. Give it a written table."""
+def joined_depth(sequences: DataFrame) -> DataFrame:
+    """code, zeros, ones, weighted, one, share of every decision of depth LOCAL - 1."""
     def upward(batches):
-        for key, n in _whole_groups(batches):
+        for _, key, n in _whole_groups(batches):
             code, zeros, ones, below = local_levels(key, n)[0].shorter()
             yield pa.RecordBatch.from_arrays([pa.array(code), *(pa.array(x, pa.float64()) for x in (zeros, ones, below))], names=["code", "zeros", "ones", "below"])
 
-    sums = grouped(sequences).mapInArrow(upward, "code long, zeros double, ones double, below double")
-    sums = sums.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()  # at most 2^16 contexts of 255 decisions
-    top = sums.column("code").to_numpy(), *(sums.column(c).to_numpy() for c in ("zeros", "ones", "below"))
-    shared = sequences.sparkSession.sparkContext.broadcast(top)
+    def weigh(batches):
+        for batch in batches:
+            level = Level(*(c.to_numpy() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level.code, level.zeros, level.ones, level.weighted, level.one, level.share)], names=["code", "zeros", "ones", "weighted", "one", "share"])
+
+    found = grouped(sequences.select("group", "key", "n")).mapInArrow(upward, "code long, zeros double, ones double, below double")
+    sums = found.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+    return sums.mapInArrow(weigh, "code long, zeros double, ones double, weighted double, one double, share double")
+
+
+def model(sequences: DataFrame) -> DataFrame:
+    """key, n, logp: log10 probability of the last byte of every listed sequence. Give it a written table."""
+    sequences = sequences.select(F.shiftright("key", _GROUP).alias("group"), "key", "n")
+    deepest = common.saved(joined_depth(sequences), "depth")
+    shorter = F.shiftleft(F.shiftright("code", 16), 8).bitwiseOR(F.col("code").bitwiseAND(255))
+    sums = deepest.groupBy(shorter.alias("code")).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")]).toArrow()  # at most 2^8 contexts of 255 decisions
+    shared = sequences.sparkSession.sparkContext.broadcast(tuple(c.to_numpy() for c in sums.columns))
+
+    # Each group beside the decisions of its context without the last byte: at most 256 groups meet 255 decisions.
+    groups = sequences.select("group").distinct().withColumn("context", F.shiftright("group", 8))
+    beside = groups.join(deepest.select(F.shiftright("code", 8).alias("of"), "code", "one", "share"), F.col("context") == F.col("of"))
+    bits = F.shiftleft("group", 8).bitwiseOR(F.col("code").bitwiseAND(255))
+    none = F.lit(None).cast("double")
+    beside = beside.select("group", F.lit(False).alias("listed"), bits.alias("key"), F.lit(0).cast("long").alias("n"), "one", "share")
+    listed = sequences.select("group", F.lit(True).alias("listed"), "key", "n", none.alias("one"), none.alias("share"))
 
     def downward(batches):
         upper = None
-        for key, n in _whole_groups(batches):
-            upper = upper or top_levels(*shared.value)
-            logp = log_probability(key, upper + local_levels(key, n))
+        for _, own, key, n, one, share in _whole_groups(batches):
+            upper = upper or top_levels(*shared.value, LOCAL - 1)
+            beside, key, n = Joined(key[~own], one[~own], share[~own]), key[own], n[own]
+            logp = log_probability(key, [*upper, beside, *local_levels(key, n)])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(logp, pa.float64())], names=["key", "n", "logp"])
 
-    return grouped(sequences).mapInArrow(downward, "key long, n long, logp double")
+    return grouped(listed.unionByName(beside)).mapInArrow(downward, "key long, n long, logp double")
 
 
 def frequent(table: DataFrame, most: int, *columns: str):
