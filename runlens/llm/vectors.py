@@ -2,7 +2,8 @@
 
 Vectors are turned into the axes of the principal components, largest variance first. For unit vectors the products of the
 leading axes plus the product of what is left of both norms bound the cosine, so most pairs are given up after a few axes.
-Tiles are ranges of the first axis: two vectors further apart there than a linked pair can be are never brought together.
+Tiles are cut at medians along the leading axes. Each has a box: its extent on the first BOX_AXES axes and in what is left of
+the norm. A vector goes only to those tiles whose box can hold a partner of it.
 Copies take part once, with their number. A tile pair gives sums of links per vector and a forest of its links, not pairs.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from runlens.llm import common, graph
 
 TILE, STRIP = 4096, 1024  # vectors that are shuffled as one, and compared as one
+CUT_AXES, BOX_AXES = 8, 32  # leading axes along which tiles are cut, and on which their extent is known
+MOST_CELLS = 1 << 15  # bounds what is broadcast (about 35 MB of boxes); in tables beyond it, a cell is several tiles, cut by a hash
 SHARES = (0.2, 0.6)  # of the variance that the leading axes hold when pairs may be given up
 SLACK = 1e-4  # more than single precision loses; what passes is computed in double precision
 
@@ -94,13 +97,145 @@ def _near(x: Turned, a: np.ndarray, b: np.ndarray, unit: np.ndarray, steps: list
     return i[exact], j[exact]
 
 
+class Cells:
+    """A tree of cuts: each node has an axis and a cut with two nodes behind it, or is a cell."""
+
+    def __init__(self):
+        self.axis, self.cut, self.child = [0], [0.0], [-1]
+
+    def split(self, node: int, axis: int, cut: float) -> tuple[int, int]:
+        self.axis[node], self.cut[node], self.child[node] = axis, cut, len(self.axis)
+        self.axis += [0, 0]
+        self.cut += [0.0, 0.0]
+        self.child += [-1, -1]
+        return self.child[node], self.child[node] + 1
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        axis, cut, child = np.array(self.axis), np.array(self.cut), np.array(self.child)
+        at, going = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(going := going[child[at[going]] >= 0]):
+            node = at[going]
+            at[going] = child[node] + (x[going, axis[node]] > cut[node])
+        return at
+
+
+def cells_of(leads: DataFrame, width: int, target: int) -> Cells:
+    """Cuts at the median of the axis that spreads a cell most, until cells hold about `target` vectors. A cell whose
+    vectors agree on the axes stays whole. One aggregate per level; the driver gets some numbers per cell."""
+    cells, open_ = Cells(), {0}
+    axes = min(CUT_AXES, width)
+    while open_:
+        def located(batches, cells=cells, open_=np.array(sorted(open_))):
+            for batch in batches:
+                x = _matrix(batch.column(0), width)[:, :axes]
+                cell = cells.find(x)
+                mine = np.isin(cell, open_)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[mine]), *(pa.array(c) for c in x[mine].T)], names=["cell", *(f"x{k}" for k in range(axes))])
+
+        rows = leads.select("lead").mapInArrow(located, "cell long, " + ", ".join(f"x{k} double" for k in range(axes)))
+        figures = [f(f"x{k}") for k in range(axes) for f in (F.stddev_pop, lambda c: F.percentile_approx(c, 0.5, 1000), F.max)]
+        found = rows.groupBy("cell").agg(F.count("*"), *figures).collect()
+        open_ = set()
+        for cell, n, *rest in sorted(found):
+            spread = [(sd, k, median) for k, (sd, median, most) in enumerate(zip(rest[::3], rest[1::3], rest[2::3])) if median < most]
+            if n > target and spread:
+                _, k, median = max(spread)
+                halves = cells.split(cell, k, median)
+                open_.update(halves if n > 2 * target else ())
+    return cells
+
+
+class Boxes:
+    """Extent of each cell on the leading axes and in what is left of the norm (the last column), with its tiles."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, tiles: np.ndarray, least: float):
+        self.low, self.high, self.tiles, self.least = low, high, tiles, least
+        self.first = np.cumsum(tiles) - tiles
+        self.apart = max(0.0, 2 - 2 * least) + SLACK
+
+    def near(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Cells that are no further from this box than a linked pair can be."""
+        gap = np.maximum(0.0, np.maximum(self.low - high, low - self.high))
+        return np.flatnonzero(((gap * gap).sum(axis=1) <= self.apart) & (self.tiles > 0))
+
+    def reached(self, x: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a row of x and a cell that can hold a vector linked to it, by distance and by product."""
+        rows, found = [], []
+        for c in cells:
+            low, high = self.low[c], self.high[c]
+            gap = np.maximum(0.0, np.maximum(low - x, x - high))
+            product = np.maximum(x * low, x * high).sum(axis=1)
+            at = np.flatnonzero(((gap * gap).sum(axis=1) <= self.apart) & (product >= self.least - SLACK))
+            rows.append(at), found.append(np.full(len(at), c))
+        return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def paired(distinct: DataFrame, total: int, axes: np.ndarray, least: float) -> DataFrame:
+    """a, b (a pair of tiles, or one with itself), left (the row is in a), node, copies, vector: each vector once for every
+    tile that can hold a partner of it. `distinct` has `total` rows of node, copies and vector; give it a written table."""
+    size, width = len(axes), min(BOX_AXES, len(axes))
+    kind = distinct.schema["vector"].dataType.simpleString()
+
+    def turn(batches):
+        for batch in batches:
+            x = _unit(_matrix(batch.column(2), size)) @ axes[:, :width] if batch.num_rows else np.zeros((0, width))
+            left = np.sqrt(np.maximum(0.0, 1 - (x * x).sum(axis=1)))
+            lead = np.column_stack([x, left]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(np.arange(len(lead) + 1, dtype=np.int32) * (width + 1), lead.ravel())], names=["node", "copies", "vector", "lead"])
+
+    turned = common.saved(distinct.select("node", "copies", "vector").mapInArrow(turn, f"node long, copies long, vector {kind}, lead array<float>"), "turned")
+    cells = cells_of(turned, width + 1, max(TILE, -(-total // MOST_CELLS)))
+
+    def place(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.find(_matrix(batch.column(3), width + 1)))], names=[*batch.schema.names, "cell"])
+
+    placed = turned.mapInArrow(place, f"node long, copies long, vector {kind}, lead array<float>, cell long")
+    placed = common.saved(placed.repartitionByRange("cell", "node"), "placed")
+
+    def extents(batches):
+        for batch in batches:
+            x, cell = _matrix(batch.column(0), width + 1), batch.column(1).to_numpy()
+            order = np.argsort(cell, kind="stable")
+            each, start, n = np.unique(cell[order], return_index=True, return_counts=True)
+            low, high = (f.reduceat(x[order], start, axis=0) if len(each) else x for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(each, width + 1)), pa.array(np.tile(np.arange(width + 1), len(each))), pa.array(low.ravel()), pa.array(high.ravel()),
+                                              pa.array(np.repeat(n, width + 1))], names=["cell", "axis", "low", "high", "n"])
+
+    found = placed.select("lead", "cell").mapInArrow(extents, "cell long, axis long, low double, high double, n long")
+    found = found.groupBy("cell", "axis").agg(F.min("low"), F.max("high"), F.sum("n")).toArrow()  # some BOX_AXES numbers for each cell
+    cell, axis, lowest, highest, n = (c.to_numpy() for c in found.columns)
+    low, high = (np.zeros((len(cells.axis), width + 1), np.float32) for _ in range(2))  # exact: the table holds single precision
+    tiles = np.zeros(len(cells.axis), np.int64)
+    low[cell, axis], high[cell, axis], tiles[cell] = lowest, highest, -(-n // TILE)
+    shared = distinct.sparkSession.sparkContext.broadcast(Boxes(low, high, tiles, least))
+
+    def replicate(batches):
+        boxes = shared.value
+        for batch in batches:
+            x, node, cell = _matrix(batch.column(3), width + 1), batch.column(0).to_numpy(), batch.column(4).to_numpy()
+            tile = boxes.first[cell] + (node ^ (node >> 33)) % np.maximum(boxes.tiles[cell], 1)  # a cell that ties make large is cut by a hash
+            for c in np.unique(cell):
+                mine = np.flatnonzero(cell == c)
+                at, other = boxes.reached(x[mine], boxes.near(x[mine].min(axis=0), x[mine].max(axis=0)))
+                n = boxes.tiles[other]
+                at = mine[np.repeat(at, n)]
+                other = np.repeat(boxes.first[other] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                for s in range(0, len(at), 1 << 15):
+                    rows, t, u = at[s : s + (1 << 15)], tile[at[s : s + (1 << 15)]], other[s : s + (1 << 15)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(t, u)), pa.array(np.maximum(t, u)), pa.array(t <= u), *(batch.column(k).take(pa.array(rows)) for k in (0, 1, 2))],
+                                                     names=["a", "b", "left", "node", "copies", "vector"])
+
+    return placed.mapInArrow(replicate, f"a long, b long, left boolean, node long, copies long, vector {kind}")
+
+
 def compared(table: pa.Table, axes: np.ndarray, steps: list[int], least: float) -> pa.Table:
     """Of one pair of tiles: node, n (weighted links of it) and other (a node of its group here, or null)."""
     left = table.column("left").to_numpy()
     node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
     unit = _unit(_matrix(table.column("vector").combine_chunks(), len(axes)))
     turned = Turned(unit, axes, steps)
-    alone = left.all()
+    alone = table.column("a")[0] == table.column("b")[0]
     sides = [np.flatnonzero(left)] * 2 if alone else [np.flatnonzero(left), np.flatnonzero(~left)]
     sides = [s[np.argsort(turned.first[s], kind="stable")] for s in sides]
     apart = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
@@ -134,7 +269,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     counts as filled up with zeros. Repeated rows and equal vectors are rows of their own and linked. A null key is never
     smallest and never kept. An empty table gives an empty result.
     """
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    exact = "float" if rows.schema[vector].dataType.simpleString() == "array<float>" else "double"  # as given, which halves the shuffle
+    v = F.transform(F.col(vector), lambda x: x.cast(exact))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.col(vector).isNotNull() & finite & F.exists(v, lambda x: x != 0)
     base = rows.select(F.col(key), F.when(F.coalesce(fit, F.lit(False)), v).alias("vector"))
@@ -143,52 +279,11 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     distinct = own.where("vector is not null").groupBy("h1", "h2").agg(F.min(key).alias("smallest"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
     distinct = common.saved(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
     size, total = distinct.agg(F.max(F.size("vector")), F.count("*")).first()
-    kind = rows.schema[key].dataType.simpleString()
     if not total:
         return own.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.col(key).isNotNull().alias("kept"))
     axes, variance = principal_axes(distinct, size)
     steps = steps_of(variance)
-
-    def first_axis(batches):
-        for batch in batches:
-            x = _unit(_matrix(batch.column(3), size)) @ axes[:, 0] if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=[*batch.schema.names, "first"])
-
-    placed = distinct.select("node", "smallest", "copies", "vector").mapInArrow(first_axis, f"node long, smallest {kind}, copies long, vector array<double>, first double")
-    ranges = max(1, math.ceil(total / TILE))
-    cuts = sorted(set(placed.approxQuantile("first", [k / ranges for k in range(1, ranges)], 1 / (8 * ranges)))) if ranges > 1 else []
-
-    def in_range(batches):
-        for batch in batches:
-            at = np.searchsorted(np.array(cuts), batch.column(4).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(at.astype(np.int32))], names=["node", "copies", "vector", "range"])
-
-    placed = common.saved(placed.mapInArrow(in_range, "node long, copies long, vector array<double>, range int"), "placed")
-    # One number per range: how many tiles it has. A range that ties make large is cut by a hash.
-    tiles = {r["range"]: -(-r["n"] // TILE) for r in placed.groupBy("range").agg(F.count("*").alias("n")).collect()}
-    tiles = np.array([tiles.get(r, 0) for r in range(len(cuts) + 1)])
-    first_tile = np.cumsum(tiles) - tiles
-    low, high = np.array([-math.inf, *cuts]), np.array([*cuts, math.inf])
-    apart = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
-    from_range = np.searchsorted(high, low - apart, side="left")
-    to_range = np.searchsorted(low, high + apart, side="right") - 1
-
-    def replicate(batches):
-        for batch in batches:
-            r = batch.column(3).to_numpy()
-            node = batch.column(0).to_numpy()
-            tile = first_tile[r] + (node ^ (node >> 33)) % np.maximum(tiles[r], 1)
-            begin, stop = first_tile[from_range[r]], first_tile[to_range[r]] + tiles[to_range[r]]
-            n = stop - begin
-            at = np.repeat(np.arange(len(r)), n)
-            other = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            for s in range(0, len(at), 1 << 15):
-                a, t, u = at[s : s + (1 << 15)], tile[at[s : s + (1 << 15)]], other[s : s + (1 << 15)]
-                pick = pa.array(a)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(t, u)), pa.array(np.maximum(t, u)), pa.array(t <= u), *(batch.column(c).take(pick) for c in (0, 1, 2))],
-                                                 names=["a", "b", "left", "node", "copies", "vector"])
-
-    pairs = placed.mapInArrow(replicate, "a long, b long, left boolean, node long, copies long, vector array<double>")
+    pairs = paired(distinct, total, axes, least)
     found = pairs.groupBy("a", "b").applyInArrow(lambda t: compared(t, axes, steps, least), "node long, n long, other long")
     found = common.saved(found, "found")
     linked = found.groupBy("node").agg(F.sum("n").alias("n")).select(F.col("node").alias("_n"), "n")

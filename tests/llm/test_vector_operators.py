@@ -139,6 +139,30 @@ def test_embeddings(spark, monkeypatch):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_in_clusters(spark, monkeypatch):
+    """Five times the clusters: a vector goes to about as many tiles, and no link is lost."""
+    monkeypatch.setattr(vectors, "TILE", 50)
+    rng = np.random.default_rng(9)
+    per_vector = []
+    for clusters in (20, 100):
+        centres = rng.normal(size=(clusters, 8)) @ np.eye(8, 64)
+        x = (np.repeat(centres, 50, axis=0) + rng.normal(scale=0.02, size=(clusters * 50, 64))).astype(np.float32)
+        frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+        unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        link = unit @ unit.T >= 0.99
+        np.fill_diagonal(link, False)
+        got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame, least=0.99).collect()}
+        assert got == dict(enumerate(link.sum(axis=1)))
+        rows = frame.selectExpr("vec_id as node", "1L as copies", "embedding as vector")
+        axes, _ = vectors.principal_axes(rows, 64)
+        per_vector.append(vectors.paired(rows, len(x), axes, 0.99).count() / len(x))
+        if clusters == 20:  # few cells, each of many tiles
+            monkeypatch.setattr(vectors, "MOST_CELLS", 3)
+            assert {r.vec_id: r.n_links for r in vectors.near_duplicates(frame, least=0.99).collect()} == got
+            monkeypatch.setattr(vectors, "MOST_CELLS", 1 << 15)
+    assert per_vector[1] < 1.5 * per_vector[0] and per_vector[1] < 6, per_vector
+
+
 def test_language_model(spark, monkeypatch):
     rng = random.Random(5)
     vocabulary = ["the", "of", "é", "There", "thing", "x", "日本"]
