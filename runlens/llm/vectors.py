@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm import common, graph
 
-TILE, STRIP = 4096, 1024  # vectors that are shuffled as one, and compared as one
+TILE, STRIP = 8192, 1024  # vectors that are shuffled as one, and compared as one
 CUT_AXES, BOX_AXES = 8, 32  # leading axes along which tiles are cut, and on which their extent is known
 MOST_CELLS = 1 << 15  # bounds what is broadcast (about 35 MB of boxes); in tables beyond it, a cell is several tiles, cut by a hash
 SHARES = (0.2, 0.6)  # of the variance that the leading axes hold when pairs may be given up
