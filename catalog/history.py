@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.bindings import SQL_EPISODES, Run, table
-from catalog.kit import ALIGNED, CWE, FINDINGS, NOISE, UKC, WASTE, registry
+from catalog.kit import ACTIVE, ALIGNED, CWE, FINDINGS, NOISE, UKC, WASTE, registry
 from catalog.session_metrics import CHECKS, ESCALATION, HOLES, ITEMS, RECOVERIES, SLOW
 from catalog.timeline import FOLD, LABELS, TIMED
 from runlens import rules
@@ -425,7 +425,25 @@ def session_metric_rows(spark, sf):
                       "ghost_time_lost_ms", "ghost_human_wins", "productive_ms", "detour_ms", "stuck_ms", "loop_ms", "active_ms", "technique_breadth")
 
 
-@query("session_grades")
+_LOW = "case when {c} < 50 then 'Low {name} (' || {c}::bigint || ').' end"
+GRADED = f"""{ALIGNED}, found as (select null::varchar session_uuid, null::bigint source_seq, null::varchar kind, null::varchar "value" where false), {CHECKS}, {UKC}, {WASTE}, {HOLES},
+wz as (select session_uuid, {FOLD} from w group by 1), nz as (select session_uuid, sum({NOISE}) total from ep group by 1),
+tb as (select session_uuid, count(distinct technique) filter (technique <> '') breadth from al group by 1),
+cv as (select session_uuid, floor(count(user_satisfied_by_seq) * 100.0 / count(*) + 0.5) coverage from board group by 1),
+ranked as (select session_uuid, ukc_rank, lag(ukc_rank) over (partition by session_uuid order by seq) p from ep join ukc using (tactic)),
+pr as (select session_uuid, floor(case when count(p) = 0 then 100 else count(*) filter (ukc_rank >= p) * 100.0 / count(p) end + 0.5) progression from ranked group by 1),
+me as (select session_uuid, floor(count(*) filter (done) * 100.0 / count(*) filter (applicable) + 0.5) methodology from chk group by 1),
+spent as (select session_uuid, sum({ACTIVE}) t from al group by 1), sunk as (select session_uuid, sum(wasted_ms) x from holes group by 1),
+fo as (select session_uuid, floor(greatest(0, least(100, 100 - coalesce(x, 0) / greatest(t, 1)::double * 100)) + 0.5) focus from spent left join sunk using (session_uuid)),
+c as (select session_uuid, false meas, coverage::double r1, least(100, breadth / {rules.BREADTH_TARGET}.0 * 100)::double r2, floor(efficiency_pct + 0.5)::double r3,
+  coalesce(progression, 100)::double r4, floor(greatest(0, 100 - least(100, total / 400 * 100)) + 0.5)::double r5, 0::double r6, methodology::double r7, focus::double r8
+  from wz join nz using (session_uuid) join tb using (session_uuid) join cv using (session_uuid) join me using (session_uuid) join fo using (session_uuid) left join pr using (session_uuid)),
+g as (select *, floor(({_score(rules.RUBRIC_V2)}) * 10 + 0.5) / 10 score,
+  concat_ws(' ', {", ".join(_LOW.format(c=RAWS[name], name=name) for name in ("coverage", "efficiency", "progression", "discipline", "methodology", "focus"))}) said from c)"""
+
+
+@query("session_grades", f"""with {GRADED} select session_uuid, score, case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end letter, 2 "version",
+  'grade' routed_to, case when said = '' then 'All parts of the rubric are met and the integrity gate is passed.' else said end rationale from g""")
 def session_grades(spark, sf):
     run = Run(spark, sf)
     return grade.grade(debrief.metric_row(run.aligned, run.board)).select(SESSION, "score", "letter", "version", "routed_to", F.array_join("rationale", " ").alias("rationale"))
