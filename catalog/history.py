@@ -321,7 +321,51 @@ def phase_lead(spark, sf):
     return audits.phase_lead(_phase_audits(Run(spark, sf))[1])
 
 
-@query("audit_items")
+_TEXT = "replace(b.objective, '_', ' ')"
+_LABELS = " ".join(f"when regexp_matches({_TEXT} || ' ' || g.methods[1], '{pattern}') then '{name}'" for pattern, name in rules.COACHING_RULES)
+_HOMES = " ".join(f"when '{category}' then '{tactic}'" for category, tactic in rules.CATEGORY_TACTIC.items())
+_PHASES = " ".join(f"when '{tactic}' then '{name}'" for tactic, name in rules.TACTIC_CATEGORY.items())
+_CHECKS = ", ".join(f"('{check}', '{tactic}', '{label}', '{hint}')" for _order, check, tactic, label, hint in rules.METHODOLOGY_CHECKS)
+AUDIT_ITEMS = f"""with {ALIGNED} {FINDINGS}, {ESCALATION}, {SLOW}, {CHECKS}, {HOLES}, {RECOVERIES}, {WASTE}, present as (select distinct session_uuid, tactic from ep),
+wz as (select session_uuid, sum(detour) detour_ms from w group by 1), plain as (select session_uuid, tactic, seq, noise_weight * (1 + log10(greatest(1, volume))) n from ep where noise_weight > 0),
+loudest as (select session_uuid, arg_max(tactic, (n, -f, tactic)) loud from (select session_uuid, tactic, max(n) n, min(seq) f from plain group by 1, 2) group by 1),
+nz as (select session_uuid, seq, "binary", {NOISE} noise from ep), top as (select session_uuid, arg_min(seq, (-noise, seq)) seq, arg_min("binary", (-noise, seq)) b from nz where noise > 0 group by 1),
+told as (select b.session_uuid, b.ordinal step_order, 'Attempt **' || {_TEXT} || '**' title, 'No command of the session fits; the path lists `' || g.methods[1] || '` for it.' detail, case {_LABELS} else 'Tactics' end category, null::bigint e
+    from board b join gold g using (ordinal) where b.user_satisfied_by_seq is null
+  union all select session_uuid, 10000, 'Quiet down `' || b || '`', 'This step made more noise than any other of the session.', 'OpSec', seq from top
+  union all select session_uuid, 10001, 'Trim ~' || floor(detour_ms / 60000.0 + 0.5)::bigint || ' min spent on detours', 'These steps met no objective; look for new leads before repeating them.', 'Tactics', null
+    from wz where floor(detour_ms / 60000.0 + 0.5) >= 1),
+step as (select told.*, row_number() over (partition by told.session_uuid order by step_order) - 1 i, coalesce(ep.tactic, case category {_HOMES} end) want from told left join ep on ep.session_uuid = told.session_uuid and ep.seq = told.e),
+placed as (select step.*, coalesce(present.tactic, case when category = 'OpSec' then loud end) place from step left join loudest using (session_uuid)
+  left join present on present.session_uuid = step.session_uuid and present.tactic = step.want),
+losses as (select session_uuid, tactic, count(*) filter (alignment = 'detour') d, sum(a) filter (alignment = 'detour') dm, min(seq) filter (alignment = 'detour') df, arg_min(cmd, seq) filter (alignment = 'detour') dc,
+  count(loop_of_seq) l, sum(a) filter (loop_of_seq is not null) lm, min(seq) filter (loop_of_seq is not null) lf, sum(stuck) st from w group by 1, 2),
+shell as (select session_uuid, min(seq) filter ("binary" = 'ssh' and duration_ms >= 60000) e, bool_or(coalesce(regexp_matches(context_path, '(?i)ssh:'), false)) landed from ep group by 1),
+rule(check_id, tactic, label, hint) as (values {_CHECKS}),
+worst as (select session_uuid, max(wasted_ms) wasted_ms, arg_max(start_seq, (wasted_ms, -start_seq)) e, arg_max("binary", (wasted_ms, -start_seq)) b, arg_max(attempts, (wasted_ms, -start_seq)) n from holes group by 1),
+late as (select session_uuid, floor(median(latency_ms) + 0.5)::bigint ms from rec group by 1 having floor(median(latency_ms) + 0.5) > 300000),
+first_path as (select session_uuid, arg_min(replace(path_id, ':', ' '), (evidence_seq, path_id)) title from pth where severity = 'confirmed' group by 1),
+led as (select slow.*, first_path.title, present.tactic have, case when slow_line then 'privesc-slow-line' when confirmed > 0 and rooted_seq is null then 'privesc-unrealized' when confirmed > 0 then 'privesc-clean-take' end line,
+    (select sum(duration_ms + gap_before_ms) from al where al.session_uuid = slow.session_uuid and seq > first_confirmed_seq and seq < rooted_seq) between_ms
+  from slow left join first_path using (session_uuid) left join present on present.session_uuid = slow.session_uuid and present.tactic = 'TA0004')
+select session_uuid, place tactic, 10 item_order, coalesce(place, 'general') || '-coach-' || i item_id, 'insight' kind, title, detail, null::bigint savings_ms, e evidence_seq, category from placed
+union all select session_uuid, tactic, 20, tactic || '-detour', 'insight', d || ' dead-end ' || case when d = 1 then 'command' else 'commands' end || ' during the phase',
+  case when d = 1 then '`' || dc || '` met no objective.' else 'None of these steps met an objective or revealed anything.' end, dm::bigint, df, null from losses where d > 0
+union all select session_uuid, tactic, 21, tactic || '-loop', 'insight', l || ' repeated ' || case when l = 1 then 'attempt' else 'attempts' end || ' (loops)', 'Each of these repeats a command that had just failed.', lm::bigint, lf, null from losses where l > 0
+union all select session_uuid, tactic, 22, tactic || '-stuck', 'insight', 'Long stalls: ' || floor(st / 60000.0 + 0.5)::bigint || ' min of pauses beyond the usual gap', 'Gaps longer than the session typically has between commands.', st::bigint, null, null from losses where st >= 60000
+union all select session_uuid, tactic, 30, tactic || '-noref', 'manual', 'Compare this phase with a reference path', 'The session has no intended path, so nothing here can be checked off.', null, null, null from present where session_uuid not in (select session_uuid from board)
+union all select session_uuid, null, 40, 'ssh-opaque-block', 'insight', 'The remote shell was recorded as one step', 'Nothing that ran inside the `ssh` session is known. Tap the session to record its commands.', null, e, 'Tactics' from shell where e is not null and not landed
+union all select chk.session_uuid, present.tactic, 50, 'methodology-' || check_id, 'insight', label, hint, null, evidence_seq, case rule.tactic {_PHASES} end
+  from chk join rule using (check_id) left join present on present.session_uuid = chk.session_uuid and present.tactic = rule.tactic where applicable and not done
+union all select worst.session_uuid, ep.tactic, 60, 'focus-rabbit-hole', 'insight', 'Rabbit hole: ' || n || ' low-yield `' || b || '` without progress', 'The same tool ran again and again without a result that led on.', wasted_ms, e, null
+  from worst join ep on ep.session_uuid = worst.session_uuid and ep.seq = worst.e
+union all select session_uuid, null, 70, 'recovery-slow', 'insight', 'Median time to recover: ' || floor(ms / 60000.0 + 0.5)::bigint || ' min', 'Half of the detours and loops took at least this long until a step moved an objective.', null, null, null from late
+union all select session_uuid, have, 80, line, case when line = 'privesc-clean-take' then 'pass' else 'insight' end, case line when 'privesc-slow-line' then 'Confirmed path (' || title || ') visible from step ' || first_confirmed_seq || '; root came at step ' || rooted_seq
+  when 'privesc-unrealized' then 'Confirmed escalation path left unused: ' || title else 'Took the confirmed escalation path (' || title || ') directly' end, null,
+  case when line = 'privesc-slow-line' and between_ms > 0 then between_ms end::bigint, first_confirmed_seq, 'PrivEsc' from led where line is not null"""
+
+
+@query("audit_items", AUDIT_ITEMS)
 def audit_items(spark, sf):
     run = Run(spark, sf)
     steps = coaching.coaching_steps(run.aligned, run.board)
