@@ -15,10 +15,11 @@ REQUIRED = ["source", "session_uuid", "ts_utc_us", "kind"]
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Envelope columns out of JSON lines; lines that do not parse or lack a required field are dropped.
 
-    The requirement is an explicit filter, so pruning columns later cannot bring a bad line back.
+    The requirement is an explicit filter, so pruning columns later cannot bring a bad line back. Fields come out of a
+    generator, which filters do not pass: a plain projection would parse the line again for every condition on a field.
     """
     kept = [c for c in lines.columns if c != column]
-    parsed = lines.select(*kept, F.from_json(column, ENVELOPE).alias("e")).select(*kept, "e.*")
+    parsed = lines.select(*kept, F.inline(F.array(F.from_json(column, ENVELOPE))))
     complete = None
     for name in REQUIRED:
         complete = F.col(name).isNotNull() if complete is None else complete & F.col(name).isNotNull()
