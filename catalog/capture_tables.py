@@ -559,7 +559,7 @@ def paired_taps(spark, sf):
 
 def _in_batches(spark, sf, use):
     """Hands the telemetry to use(batch, number) in three batches, as a stream would."""
-    rows = telemetry(spark, sf).withColumn("_b", (F.col("payload.line_count") / 2).cast("int") % 3)
+    rows = stage(telemetry(spark, sf), "envelopes").withColumn("_b", (F.col("payload.line_count") / 2).cast("int") % 3)
     for number in range(3):
         use(rows.where(F.col("_b") == number).drop("_b").orderBy("ts_utc_us"), number)
 
@@ -610,7 +610,7 @@ def refreshed_sessions(spark, sf):
     """Batch 0 holds even sessions, batch 1 odd ones; what a batch writes holds the sessions that it touched only."""
     folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     refresh = debrief.live_refresh(spark, folder, lambda name, df, number: df.write.mode("overwrite").parquet(f"{folder}/{name}/{number}"), config=CONFIG, buckets=4)
-    rows = telemetry(spark, sf)
+    rows = stage(telemetry(spark, sf), "envelopes")
     for number in range(2):
         refresh(rows.where(F.col(SESSION).cast("int") % 2 == number).orderBy("ts_utc_us"), number)
 

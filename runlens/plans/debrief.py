@@ -139,6 +139,7 @@ def live_refresh(
             return spark.read.schema(df.schema).parquet(f"{folder}/work/{name}/{number}")
 
         def recompute(raw: DataFrame) -> dict[str, DataFrame]:
+            raw = keep(raw, "raw")
             episodes = segment.segment_episodes(raw, config)
             if tapped is not None:
                 own = tapped.join(raw.select(SESSION).distinct(), SESSION, "left_semi")
@@ -146,8 +147,9 @@ def live_refresh(
             return finalize_live(keep(episodes, "segmented"), objectives, recording, keep)
 
         store.write_batch(batch, folder, number, buckets)
-        touched = batch.select(SESSION).distinct()
-        live.refresh_touched(lambda: envelopes.raw_commands(store.read_batches(spark, folder, touched, buckets), "first"), recompute, write)(batch, number)
+        # Whom it touched is read from what was just written, so the batch itself is computed once.
+        touched = keep(store.read_batch(spark, folder, number).select(SESSION).distinct(), "touched")
+        live.refresh_touched(lambda: envelopes.raw_commands(store.read_batches(spark, folder, touched, buckets), "first"), recompute, write)(touched, number)
 
     return run
 

@@ -107,6 +107,11 @@ def write_batch(envelopes: DataFrame, folder: str, number: int, buckets: int = B
     _write_generation(numbered, folder, "batch", number, buckets)
 
 
+def read_batch(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """The envelopes of one batch as it was written."""
+    return spark.read.schema(_schema()).parquet(f"{folder}/batch/upto={number}")
+
+
 def batch_writer(folder: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that fills the store."""
     return lambda batch, number: write_batch(batch, folder, number, buckets)
