@@ -6,12 +6,13 @@ Java's ``\\b`` treats accented letters as word characters and ``\\s`` leaves out
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 B = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-WS = f"[{SPACES}]"
+# The same class; ASCII text is told apart by two tests instead of one for each space there is.
+WS = rf"[\s[\u0080-\uffff&&[{SPACES}]]]"
 NOT_WS = f"[^{SPACES}]"
 
 # fixed values: redaction rules in the order they must run, then typographic replacements
@@ -47,6 +48,18 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
 
 
+def trim_ends(text: Column) -> Column:
+    """``trim`` of a column that is at hand: only a text that begins or ends with a space is searched for them."""
+    edge = F.substr(text, F.lit(1), F.lit(1)).rlike(WS) | F.right(text, F.lit(1)).rlike(WS)
+    return F.when(edge, trim(text)).otherwise(text)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once a row: filters on it stay above the generator, where a projection would let
+    each of them compute it again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def tokens(text: Column) -> Column:
     """Whitespace tokens, no empties."""
     return F.filter(F.split(text, f"{WS}+"), lambda t: t != "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions import text as t
 from runlens.operators import ordered
 from runlens.schemas import SESSION, WEB
+from runlens.session import stage
 
 # fixed values: terminal control sequences
 CSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
@@ -18,13 +19,15 @@ ALT_LEAVE = r"\x1b\[\?(?:1049|1047|47)l"
 
 BACKSPACE = "[\x7f\x08]"
 PAIR_PASSES = 4
+CONTROL = "[\x00-\x1f\x7f]"
 
 
 def replay_line(line: Column) -> Column:
     """The text left after escape sequences are removed and backspaces are applied.
 
     A character followed by a backspace cancels out, which a few pattern passes do for whole lines at once. Only
-    longer runs of backspaces, and backspaces on an empty line, are left to a fold over the remaining pieces.
+    longer runs of backspaces, and backspaces on an empty line, are left to a fold over the remaining pieces. A line
+    without control characters has nothing to replay.
     """
     plain = F.regexp_replace(F.regexp_replace(line, CSI, ""), ESC, "")
     text = F.regexp_replace(F.replace(plain, F.lit("\t"), F.lit(" ")), "[\x00-\x07\x09-\x1f]", "")
@@ -35,15 +38,15 @@ def replay_line(line: Column) -> Column:
         F.slice(pieces, F.lit(2), F.size(pieces)), F.get(pieces, 0),
         lambda held, piece: F.concat(F.left(held, F.greatest(F.length(held) - 1, F.lit(0))), piece),
     )
-    return t.trim(F.when(text.rlike(BACKSPACE), folded).otherwise(text))
+    replayed = F.when(text.rlike(BACKSPACE), folded).otherwise(text)
+    return F.when(line.rlike(CONTROL), t.trim(replayed)).otherwise(t.trim_ends(line))
 
 
 def parse_keystrokes(logs: DataFrame, column: str = "input_log") -> DataFrame:
     """(session_uuid, line_no, cmd): entered lines, aborted and empty ones dropped."""
     lines = logs.select(SESSION, F.posexplode(F.split(F.col(column), "\r\n|\r|\n")).alias("line_no", "line"))
-    return (
-        lines.where(~F.col("line").contains("\x03")).select(SESSION, "line_no", replay_line(F.col("line")).alias("cmd")).where("cmd <> ''")
-    )
+    replayed = t.once(lines.where(~F.col("line").contains("\x03")), "cmd", replay_line(F.col("line")))
+    return replayed.select(SESSION, "line_no", "cmd").where("cmd <> ''")
 
 
 def strip_alt_screen(taps: DataFrame) -> DataFrame:
@@ -93,7 +96,7 @@ def scrub_unechoed(commands: DataFrame, outputs: DataFrame) -> DataFrame:
     )
     # The commands of a session were one input log; they meet the output log in one row instead of a copy of it each.
     held = commands.groupBy(SESSION).agg(F.collect_list(F.struct(*commands.columns)).alias("_c")).join(echoed, SESSION, "left")
-    needle = lambda x: t.trim(x["cmd"])
+    needle = lambda x: t.trim_ends(x["cmd"])
     kept = F.filter("_c", lambda x: F.col("_echo").isNull() | (F.length(needle(x)) < 3) | F.col("_echo").contains(needle(x)))
     return held.select(F.explode(kept).alias("x")).select("x.*")
 
@@ -124,7 +127,7 @@ def read_taps(spark: SparkSession, path: str) -> DataFrame:
 def tap_to_raw(taps: DataFrame, step_ms: int = 1000) -> DataFrame:
     """Commands of tapped shells; a plain log has no timing, so they are spaced by a fixed step."""
     shell = strip_alt_screen(taps)
-    commands = scrub_unechoed(parse_keystrokes(shell), taps.select(SESSION, "output_log"))
+    commands = stage(scrub_unechoed(parse_keystrokes(shell), taps.select(SESSION, "output_log")), "commands")
     placed = ordered.scan(ordered.with_slices(commands, [SESSION], "line_no"), [SESSION], ["line_no"], {"i": ordered.position()})
     df = placed.withColumn("i", F.col("i") - 1).join(taps.select(SESSION, "target", F.col("started_at_ms").alias("_t0")), SESSION)
     at = F.col("_t0") + F.col("i") * step_ms

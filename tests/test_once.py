@@ -18,3 +18,20 @@ def test_a_line_is_parsed_once(spark):
     assert df.select("source", "ts_utc_us").collect() == [("a", 0)]
     broken = spark.createDataFrame([("{cut",), (None,), ("{}",)], "value string")
     assert envelopes.parse_lines(broken).count() == 0
+
+
+def test_spaces_are_the_same_class(spark):
+    chars = spark.range(1, 0xD800).select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    listed = f"[{t.SPACES}]"
+    assert chars.where(F.col("c").rlike(t.WS) != F.col("c").rlike(listed)).count() == 0
+    assert chars.where(F.col("c").rlike(t.WS)).count() >= 20
+    edge = chars.select(F.concat("c", F.lit("a b"), "c").alias("x")).unionByName(spark.createDataFrame([("",), (None,)], "x string"))
+    assert edge.where(~t.trim("x").eqNullSafe(t.trim_ends(F.col("x")))).count() == 0
+
+
+def test_a_keystroke_line_is_replayed_once(spark):
+    logs = spark.createDataFrame([("s", " plain  \nab\x7fc\n　\n\tx\n\x1b[31mred")], "session_uuid string, input_log string")
+    df = taps.parse_keystrokes(logs)
+    marks = plan(df.where("length(cmd) > 0")).count("@-Z")  # the pattern of escapes, once a replay
+    assert marks <= plan(logs.select(taps.replay_line(F.col("input_log")))).count("@-Z")
+    assert [r["cmd"] for r in df.orderBy("line_no").collect()] == ["plain", "ac", "x", "red"]
