@@ -156,7 +156,7 @@ def parse_event_records(records: DataFrame, context: str = "edr:sysmon") -> Data
     """Process-create records, flat or nested, one JSON object per row of (file, ord, doc); other rows are passed over."""
     rows = records
     nested = "struct<Event:struct<System:map<string,string>,EventData:struct<Data:array<struct<`@Name`:string,`#text`:string>>>>>"
-    rows = rows.withColumn("_n", F.from_json("doc", nested)["Event"]).withColumn("_flat", F.from_json("doc", "map<string,string>"))
+    rows = t.once(rows, "_n", F.from_json("doc", nested)["Event"])
     pairs = F.transform(
         F.filter(F.col("_n.EventData.Data"), lambda x: x["@Name"].isNotNull()),
         lambda x: F.struct(x["@Name"].alias("key"), F.coalesce(x["#text"], F.lit("")).alias("value")),
@@ -168,8 +168,8 @@ def parse_event_records(records: DataFrame, context: str = "edr:sysmon") -> Data
         F.coalesce(F.col("_n.System"), empty),
         lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _v: k != x["key"]), F.create_map(x["key"], x["value"])),
     )
-    fields = F.when(F.col("_n").isNotNull(), last).otherwise(F.col("_flat"))
-    rows = rows.withColumn("f", fields)
+    fields = F.when(F.col("_n").isNotNull(), last).otherwise(F.from_json("doc", "map<string,string>"))
+    rows = t.once(rows, "f", fields)
     f = F.col("f")
     event_id = F.regexp_extract(F.coalesce(f["EventID"], f["Event ID"], f["Id"], f["event_id"]), r"^\s*([+-]?\d+)", 1)
     stamp = F.coalesce(f["UtcTime"], f["SystemTime"], f["TimeCreated"], F.lit(""))
@@ -212,10 +212,10 @@ def parse_transcript_lines(lines: DataFrame, max_digest: int | None = None, tool
     scan tells each result what stands before it. A call that is repeated replaces the one before, a second result finds
     a result before it and answers nothing.
     """
-    records = lines.select("file", "ord", F.from_json(t.trim(F.col("line")), RECORD).alias("r")).where("r.message.content is not null")
-    parts = records.select(
+    records = t.once(lines.select("file", "ord", "line"), "r", F.from_json(t.trim(F.col("line")), RECORD)).where("r.message.content is not null")
+    parts = t.once(records.select(
         "file", "ord", iso_ms(F.col("r.timestamp")).alias("at_ms"), F.posexplode("r.message.content").alias("part_no", "doc")
-    ).withColumn("p", F.from_json("doc", PART))
+    ), "p", F.from_json("doc", PART))
     command = t.trim(F.coalesce("p.input.command", F.lit("")))
     is_call = F.coalesce((F.col("p.type") == "tool_use") & (F.col("p.name") == tool) & F.col("p.id").isNotNull() & (command != "") & F.col("at_ms").isNotNull(), F.lit(False))
     is_result = F.coalesce((F.col("p.type") == "tool_result") & F.col("p.tool_use_id").isNotNull(), F.lit(False))
@@ -276,6 +276,8 @@ def route(capture: Capture) -> tuple[DataFrame, DataFrame]:
     The first format that finds commands in a file owns it; each later one sees only the commands of files that are still
     free. Formats look at their own shape of data: documents, records or lines. What a format finds is written once.
     """
+    # Put together once: archives are read from the documents, records from them and from the files that are none.
+    capture = Capture(capture.lines, stage(capture.documents, "documents"))
     chosen, owned = None, None
     for name, (parse, _context, _scope) in _ADAPTERS.items():
         found = stage(parse(capture).withColumn("capture_kind", F.lit(name)), "commands")

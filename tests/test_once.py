@@ -35,3 +35,10 @@ def test_a_keystroke_line_is_replayed_once(spark):
     marks = plan(df.where("length(cmd) > 0")).count("@-Z")  # the pattern of escapes, once a replay
     assert marks <= plan(logs.select(taps.replay_line(F.col("input_log")))).count("@-Z")
     assert [r["cmd"] for r in df.orderBy("line_no").collect()] == ["plain", "ac", "x", "red"]
+
+
+def test_a_record_is_parsed_once(spark):
+    docs = spark.createDataFrame([("/c/a.json", 0, '{"EventID":1,"UtcTime":"2024-01-01 00:00:00","CommandLine":"x"}'), ("/c/b.json", 0, "{cut")], "file string, ord bigint, doc string")
+    df = captures.parse_event_records(docs)
+    assert plan(df).count("from_json(") == 2  # nested, and flat where it is not nested
+    assert [r["cmd"] for r in df.collect()] == ["x"]
