@@ -115,7 +115,7 @@ def from_task_lists(texts: DataFrame, key: str, text: str, most_chars: int | Non
     lines = ordered.with_slices(lines, [key], "line_no")
     lines = ordered.scan(lines, [key], ["line_no"], {"task_no": ordered.running_sum(F.col("_head").cast("int"))})
     title = F.when(F.col("_head"), t.trim(F.regexp_extract("line", pattern, 1)))
-    body = F.when(~F.col("_head"), F.concat(F.lit(" "), t.trim(F.col("line"))))
+    body = F.when(~F.col("_head"), F.concat(F.lit(" "), t.trim_ends(F.col("line"))))
     # The tactic looks at title and body together; a keyword never spans lines, so testing each line alone is enough.
     spoken = F.coalesce(title, body)
     tests = [F.max(F.col("_said").rlike(t.rx(p)).cast("int")).alias(f"_k{i}") for i, (p, _t, _m) in enumerate(rules.TASK_TACTICS)]
