@@ -71,7 +71,7 @@ def candidates(episodes: DataFrame, objectives: DataFrame, ladders: DataFrame |
         lambda m: F.array_contains(F.col("_names"), m["tool"]) & (F.size(F.array_except(m["flags"], F.col("_words"))) == 0),
     )
     idx = F.when(by_technique, 0).otherwise(F.array_min(F.transform(fitting, lambda m: m["idx"])))
-    fits = joined.select(F.col(SESSION).alias("_session"), "seq", "_of", idx.alias("method_idx")).where("method_idx is not null").distinct()
+    fits = t.once(joined, "method_idx", idx).where("method_idx is not null").select(F.col(SESSION).alias("_session"), "seq", "_of", "method_idx").distinct()
     own = objectives.select(SESSION, "ordinal", "objective", *_DEFINITION)
     same = F.col(SESSION) == F.col("_session")
     for name in _DEFINITION:

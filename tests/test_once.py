@@ -42,3 +42,11 @@ def test_a_record_is_parsed_once(spark):
     df = captures.parse_event_records(docs)
     assert plan(df).count("from_json(") == 2  # nested, and flat where it is not nested
     assert [r["cmd"] for r in df.collect()] == ["x"]
+
+
+def test_methods_are_matched_once(spark):
+    steps = spark.createDataFrame([("s", 1, "nmap -sV x", "nmap", "TA0007", "T1", "human_active")], "session_uuid string, seq bigint, cmd string, binary string, tactic string, technique string, actor string")
+    own = spark.createDataFrame([("s", 0, "scan", "TA0007", ["nmap -sV"], ["T9"])], "session_uuid string, ordinal int, objective string, tactic string, satisfied_by array<string>, techniques array<string>")
+    df = align.candidates(steps, own)
+    assert plan(df).count("array_except") == 1
+    assert [tuple(r) for r in df.collect()] == [("s", 0, "scan", 1, 0)]
