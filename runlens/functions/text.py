@@ -70,8 +70,11 @@ def strip_path(word: Column) -> Column:
 
 
 def extract_binary(cmd: Column) -> Column:
-    words = F.filter(tokens(cmd), lambda t: ~t.rlike("^[A-Z_][A-Z0-9_]*="))
-    return strip_path(F.coalesce(F.get(words, 0), F.lit("")))
+    """The first word that sets no variable, without its path. A text is cut whole only if it begins with a variable."""
+    setting = "^[A-Z_][A-Z0-9_]*="
+    first = F.regexp_extract(cmd, f"^{WS}*+({NOT_WS}*+)", 1)
+    later = F.get(F.filter(tokens(cmd), lambda t: ~t.rlike(setting)), 0)
+    return strip_path(F.coalesce(F.when(first.rlike(setting), later).otherwise(first), F.lit("")))
 
 
 def mask_ips(text: Column) -> Column:
@@ -116,17 +119,17 @@ def mask_secret(value: Column) -> Column:
 
 def rolling_hash(text: Column) -> Column:
     """32-bit ×31 hash over UTF-16 units, as an unsigned bigint."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    count = F.length(units) / 4
-    positions = F.when(count >= 1, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.aggregate(
-        positions,
-        F.lit(0).cast("bigint"),
-        lambda acc, i: (
-            acc * 31 + F.conv(F.substr(units, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint")
-        ).bitwiseAND(F.lit(0xFFFFFFFF)),
+    def folded(parts: Column, unit) -> Column:
+        return F.aggregate(
+            parts, F.lit(0).cast("bigint"), lambda acc, x: (acc * 31 + unit(x)).bitwiseAND(F.lit(0xFFFFFFFF))
+        )
+
+    # The text is cut once; a unit of ASCII text is its character. A null counts as empty.
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.length(text)
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), 0)
+    return F.when(ascii_only, folded(F.split(text, ""), F.ascii)).otherwise(
+        folded(units, lambda x: F.conv(x, 16, 10).cast("bigint"))
     )
 
 
@@ -168,7 +171,7 @@ def is_web(context: Column) -> Column:
 
 
 def on_target(context: Column) -> Column:
-    return F.coalesce(context.rlike("(?i)ssh:"), F.lit(False))
+    return F.coalesce(F.lower(context).contains("ssh:"), F.lit(False))
 
 
 def ssh_target(cmd: Column) -> Column:
@@ -179,18 +182,23 @@ def ssh_target(cmd: Column) -> Column:
     return F.when(cmd.rlike(pattern), F.regexp_extract(cmd, pattern, 1))
 
 
-def token_contains(haystack: Column, needle: Column) -> Column:
-    """Case-insensitive containment whose first occurrence does not cut through a word.
+def wordish(char: Column) -> Column:
+    """Whether a text of one character is in [a-z0-9]."""
+    return char.between("a", "z") | char.between("0", "9")
+
+
+def token_contains(haystack: Column, needle: Column, lowered: bool = False) -> Column:
+    """Case-insensitive containment whose first occurrence does not cut through a word. ``lowered``: both are in lower case.
 
     Only the first occurrence is tested at its edges.
     """
-    text, word = F.lower(haystack), F.lower(needle)
+    text, word = (haystack, needle) if lowered else (F.lower(haystack), F.lower(needle))
     at = F.position(word, text)
     before = F.when(at > 1, F.substr(text, at - 1, F.lit(1))).otherwise(" ")
     after = F.substr(text, at + F.length(word), F.lit(1))
-    wordish = "^[a-z0-9]$"
-    cut_left = before.rlike(wordish) & F.left(word, F.lit(1)).rlike(wordish)
-    cut_right = after.rlike(wordish) & F.right(word, F.lit(1)).rlike(wordish)
+
+    cut_left = wordish(F.left(word, F.lit(1))) & wordish(before)
+    cut_right = wordish(F.right(word, F.lit(1))) & wordish(after)
     return (at > 0) & ~cut_left & ~cut_right
 
 

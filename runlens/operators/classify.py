@@ -83,11 +83,16 @@ def on_target_prior(cmd: Column, binary: Column) -> Column:
 
 
 def is_file_staging(cmd: Column) -> Column:
-    return F.lower(cmd).rlike(r"python[0-9]?\s+-m\s+http\.server|http\.server|updog|simplehttpserver")
+    lowered = F.lower(cmd)
+    return lowered.contains("http.server") | lowered.contains("updog") | lowered.contains("simplehttpserver")
 
 
 def is_shell_upgrade(cmd: Column) -> Column:
-    return F.lower(cmd).rlike(t.rx(r"\b(bash|sh)\s+-i|/dev/tcp/|rm\s+/tmp/f;.*mkfifo|nc.*-e"))
+    lowered = F.lower(cmd)
+    may = (lowered.contains("sh") & lowered.contains("-i")) | lowered.contains("/dev/tcp/") | lowered.contains("mkfifo") | (
+        lowered.contains("nc") & lowered.contains("-e")
+    )
+    return may & lowered.rlike(t.rx(r"\b(bash|sh)\s+-i|/dev/tcp/|rm\s+/tmp/f;.*mkfifo|nc.*-e"))
 
 
 def web_prior(web: Column) -> Column:

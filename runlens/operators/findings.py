@@ -9,7 +9,9 @@ from runlens.functions import text as t
 from runlens.operators import substring
 from runlens.schemas import SESSION
 
-# fixed values: detector patterns, in order
+# fixed values: detector patterns, in order, and texts one of which every match holds (any text of 32 bytes may hold a digest)
+LONG = 32
+HELD = {"port": ["/tcp", "/udp"], "url": ["http"], "hash": ["$"], "cred": [":", "="], "vuln": ["CVE-"], "flag": ["{"]}
 DETECTORS = [
     ("port", r"(\d{1,5})/(tcp|udp)\s+open(?:\s+(\S+))?"),
     ("url", r"""https?://[^\s"'<>]+"""),
@@ -23,6 +25,14 @@ FLAG_SENTINEL = "[redacted-flag]"
 SECRET_KINDS = ["cred", "hash", "flag"]
 
 
+def _may_hold(kind: str, text: Column) -> Column:
+    """Whether the pattern of this kind has to be tried at all."""
+    may = F.octet_length(text) >= LONG if kind in ("hash", "flag") else F.lit(False)
+    for part in HELD[kind]:
+        may = may | text.contains(part)
+    return may
+
+
 def _row(kind: str, found: Column, pos: Column) -> Column:
     if kind == "port":
         pattern = r"^(\d{1,5})/(tcp|udp)"
@@ -42,10 +52,10 @@ def _row(kind: str, found: Column, pos: Column) -> Column:
 def _flag_row() -> Column:
     text = F.coalesce("output_digest", F.lit(""))
     name = F.when(
-        F.col("cmd").rlike(r"(?i)(?:user|root|proof)\.txt"),
+        F.col("cmd").contains(".") & F.col("cmd").rlike(r"(?i)(?:user|root|proof)\.txt"),
         F.when(F.col("cmd").rlike("(?i)root|proof"), "root").otherwise("user"),
     )
-    token = F.nullif(F.regexp_extract(text, t.rx(FLAG_TOKEN), 0), F.lit(""))
+    token = F.when(_may_hold("flag", text), F.nullif(F.regexp_extract(text, t.rx(FLAG_TOKEN), 0), F.lit("")))
     sentinel = text.contains(FLAG_SENTINEL)
     shown = F.coalesce(token, F.lit(FLAG_SENTINEL))
     value = F.coalesce(token, F.when(sentinel, F.lit(FLAG_SENTINEL)), F.concat(name, F.lit(".txt")))
@@ -61,7 +71,9 @@ def extract(episodes: DataFrame) -> DataFrame:
     """One row per distinct finding of a session; the first occurrence decides value and source."""
     text = F.coalesce("output_digest", F.lit(""))
     def rows(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(t.rx(pattern)), 0), lambda m, i: _row(kind, m, i))
+        found = F.regexp_extract_all(text, F.lit(t.rx(pattern)), 0)
+        held = F.when(_may_hold(kind, text), found).otherwise(F.array().cast("array<string>"))
+        return F.transform(held, lambda m, i: _row(kind, m, i))
 
     parts = [rows(kind, pattern) for kind, pattern in DETECTORS]
     flag = F.filter(F.array(_flag_row()), lambda f: f.isNotNull())
