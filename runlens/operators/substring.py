@@ -3,7 +3,7 @@
 Texts and values are compared through short grams of their bytes. A value of at least GRAM + WINDOW - 1 bytes is found by
 winnowing: of the grams in every window of WINDOW places the one with the least hash is kept, on both sides by the same
 rule, so all kept grams of a value are kept in a text that contains it. Shorter values are represented by all their grams of
-GRAM bytes, or by themselves. A bitmap of fixed size, made from the values' grams, is looked at where a text is cut: only
+GRAM bytes, or by themselves. A bitmap of bounded size, made from the values' grams, is looked at where a text is cut: only
 grams that a value of the same group may have leave the task. They are written once; each value then takes the gram that
 the fewest texts have (a value with a gram that no text has is in none), both meet in an equi-join on (group, gram), and
 those few candidates are checked. The result is exact.
