@@ -26,6 +26,8 @@ HAR = (
 
 #: Characters of a file that is one document. One value holds it, so a larger one fails with a message that names it.
 MOST_DOCUMENT = 1 << 30
+#: Characters from which a file is put together only after all its lines were looked at. A matter of speed, not of results.
+LARGE_DOCUMENT = 1 << 20
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +53,47 @@ def _is_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
+# fixed values: what a file's first line tells: one record of many, or a document; the begin of a document; neither
+WHOLE, OPEN, NO_DOCUMENT = 1, 2, 0
+# fixed values: signs that don't follow each other in any JSON text; 0 is a string, a number or a literal
+NEVER_NEXT = r"(?<=[0\]}])(?=[0\[{])|(?<=[,:])(?=[,:\]}])|(?<=\[)(?=[,:}])|(?<=\{)(?=[,:\[{\]])"
+
+
+def _shape(line: Column) -> Column:
+    """What a line is in a JSON text of many lines: its signs up to where such a text can't go on, whether they are all
+    (``broken`` if not), how far they change the depth of brackets, and the least depth on the way (null without brackets).
+
+    No string, number or literal goes on in the next line, so signs are told line by line. Escapes, digits and kinds of
+    brackets are not looked at: what is broken is no JSON, but not all that is no JSON is broken.
+    """
+    plain = F.regexp_replace(t.trim(line), r"(?s)\\.", "_")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"-?[0-9][0-9.eE+-]*|true|false|null", "0"), '"[^"]*"', "0")
+    plain = F.regexp_replace(plain, r"\s", "")
+    signs = F.get(F.split(plain, rf"[^\[\]{{}}:,0]|{NEVER_NEXT}", 2), F.lit(0))
+    brackets = F.filter(F.split(F.regexp_replace(signs, r"[^\[\]{}]", ""), ""), lambda c: c != "")
+    none = F.struct(F.lit(0).cast("bigint").alias("net"), F.lit(None).cast("bigint").alias("low"))
+
+    def step(acc: Column, c: Column) -> Column:
+        net = acc["net"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(net.alias("net"), F.least(acc["low"], net).alias("low"))
+
+    return F.struct(signs.alias("signs"), (F.length(signs) < F.length(plain)).alias("broken"), F.aggregate(brackets, none, step).alias("depth"))
+
+
+def _documents_by_lines(lines: DataFrame) -> DataFrame:
+    """(file, document): whether the lines (file, ord, line) of a file reach the end of a JSON document before anything that
+    can't be in one. Lines are looked at where they are, and long files in slices; no file is put together."""
+    rows = t.once(lines, "s", _shape(F.col("line"))).select(
+        "file", "ord", "line", F.col("s.broken").alias("broken"), F.col("s.depth.net").alias("net"), F.col("s.depth.low").alias("low"),
+        F.substring("s.signs", 1, 1).alias("first"), F.nullif(F.substring("s.signs", -1, 1), F.lit("")).alias("last"))
+    rows = ordered.scan(ordered.with_slices(rows, ["file"], "ord", like=rows), ["file"], ["ord", "line"], {
+        "depth": ordered.running_sum(F.col("net"), inclusive=False), "before": ordered.last_seen(F.col("last"), inclusive=False)})
+    apart = F.coalesce(F.concat("before", "first").rlike(NEVER_NEXT), F.lit(False))
+    ends = ~apart & (F.coalesce("depth", F.lit(0)) + F.col("low") <= 0)
+    found = rows.groupBy("file").agg(F.min(F.when(ends, F.col("ord"))).alias("end"), F.min(F.when(apart | F.col("broken"), F.col("ord"))).alias("bad"))
+    return found.select("file", (F.col("end").isNotNull() & F.coalesce(F.col("end") <= F.col("bad"), F.lit(True))).alias("document"))
+
+
 @dataclass
 class Capture:
     """Files as the formats want them. ``lines`` (file, ord, line) has every line of every file; ``documents`` (file, body)
@@ -73,15 +116,24 @@ def from_lines(lines: DataFrame) -> Capture:
     """A capture out of (file, ord, line).
 
     A first line that is complete by itself, with more lines after it, means one record per line: no JSON document goes on
-    after its end. Files of one line, and files whose first line is not complete, may be documents and are put together;
-    those that do not parse are files of lines with a broken first line.
+    after its end. A first line that no document has means the same. Files of one line, and files whose first line can go
+    on, may be documents and are put together, large ones only if all their lines can be one; those that do not parse are
+    files of lines with a broken first line.
     """
     filled = lines.where(F.trim("line") != "")
-    first = F.min_by(F.struct(_is_json(F.col("line")).alias("whole"), F.substr(t.trim(F.col("line")), F.lit(1), F.lit(1)).alias("sign")), "ord")
-    facts = filled.groupBy("file").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.length("line") + 1).alias("size"))
-    maybe = facts.where(F.col("first.sign").isin("[", "{") & (~F.col("first.whole") | (F.col("n") == 1)))
-    held = F.when(F.col("size") > MOST_DOCUMENT, F.raise_error(F.concat(F.lit("one JSON document is too long for a value: "), F.col("file")))).otherwise(True)
-    maybe = maybe.where(held).select("file")
+    line = F.col("line")
+    shape = _shape(line)
+    broken = shape["broken"] & F.coalesce(shape["depth"]["low"] > 0, F.lit(True))
+    # Numbers, not structs: their aggregate needs no sort.
+    first = F.when(~line.rlike(rf"^{t.WS}*[\[{{]"), NO_DOCUMENT).when(_is_json(line), WHOLE).when(broken, NO_DOCUMENT).otherwise(OPEN)
+    facts = filled.groupBy("file").agg(F.min_by(first, "ord").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.length("line") + 1).alias("size"))
+    maybe = facts.where((F.col("first") == OPEN) | (F.col("first") == WHOLE) & (F.col("n") == 1))
+    # Few files are large: at most one for each LARGE_DOCUMENT characters of input.
+    large = maybe.where((F.col("first") == OPEN) & (F.col("n") > 1) & (F.col("size") > LARGE_DOCUMENT)).select("file")
+    checked = _documents_by_lines(lines.join(F.broadcast(large), "file"))
+    maybe = maybe.join(F.broadcast(checked), "file", "left").withColumn("document", F.coalesce("document", F.lit(True)))
+    held = F.when(F.col("document") & (F.col("size") > MOST_DOCUMENT), F.raise_error(F.concat(F.lit("one JSON document is too long for a value: "), F.col("file"))))
+    maybe = maybe.where(held.otherwise(F.col("document"))).select("file")
     bodies = lines.join(maybe, "file").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("all"))
     bodies = bodies.select("file", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("body"))
     return Capture(lines, bodies.where(_is_json(t.trim(F.col("body")))))
