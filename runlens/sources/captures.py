@@ -53,6 +53,12 @@ def _is_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
+def _may_hold(text: Column, pattern: str) -> Column:
+    """Whether JSON may hold the names or values of a pattern: as they are, or with letters written as code points. Parsing
+    a text costs far more than a look for what a format can't be without, above all a text that is no JSON."""
+    return text.rlike(rf"{pattern}|\\u")
+
+
 # fixed values: what a file's first line tells: one record of many, or a document; the begin of a document; neither
 WHOLE, OPEN, NO_DOCUMENT = 1, 2, 0
 # fixed values: signs that don't follow each other in any JSON text; 0 is a string, a number or a literal
@@ -125,7 +131,7 @@ def from_lines(lines: DataFrame) -> Capture:
     shape = _shape(line)
     broken = shape["broken"] & F.coalesce(shape["depth"]["low"] > 0, F.lit(True))
     # Numbers, not structs: their aggregate needs no sort.
-    first = F.when(~line.rlike(rf"^{t.WS}*[\[{{]"), NO_DOCUMENT).when(_is_json(line), WHOLE).when(broken, NO_DOCUMENT).otherwise(OPEN)
+    first = F.when(~line.rlike(rf"^{t.WS}*[\[{{]"), NO_DOCUMENT).when(line.rlike(r"[\]}]") & _is_json(line), WHOLE).when(broken, NO_DOCUMENT).otherwise(OPEN)
     facts = filled.groupBy("file").agg(F.min_by(first, "ord").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.length("line") + 1).alias("size"))
     maybe = facts.where((F.col("first") == OPEN) | (F.col("first") == WHOLE) & (F.col("n") == 1))
     # Few files are large: at most one for each LARGE_DOCUMENT characters of input.
@@ -170,6 +176,7 @@ def _web(df: DataFrame, **values: Column) -> DataFrame:
 def parse_har(files: DataFrame, max_body: int | None = None, context: str = "web:har") -> DataFrame:
     """Entries of HTTP archives as web commands; entries without a url or a readable date are skipped. ``max_body``
     shortens response bodies."""
+    files = files.where(_may_hold(F.col("body"), "entries"))
     entries = files.select("file", F.posexplode(F.from_json("body", HAR)["log"]["entries"]).alias("ord", "e"))
     e = F.col("e")
     content = e["response"]["content"]
@@ -206,9 +213,9 @@ def parse_process_events(files: DataFrame, context: str = "edr:sysmon") -> DataF
 
 def parse_event_records(records: DataFrame, context: str = "edr:sysmon") -> DataFrame:
     """Process-create records, flat or nested, one JSON object per row of (file, ord, doc); other rows are passed over."""
-    rows = records
+    rows = records.where(_may_hold(F.col("doc"), "Event ?ID|Id|event_id"))
     nested = "struct<Event:struct<System:map<string,string>,EventData:struct<Data:array<struct<`@Name`:string,`#text`:string>>>>>"
-    rows = t.once(rows, "_n", F.from_json("doc", nested)["Event"])
+    rows = t.once(rows, "_n", F.when(_may_hold(F.col("doc"), "Event[\"']"), F.from_json("doc", nested)["Event"]))
     pairs = F.transform(
         F.filter(F.col("_n.EventData.Data"), lambda x: x["@Name"].isNotNull()),
         lambda x: F.struct(x["@Name"].alias("key"), F.coalesce(x["#text"], F.lit("")).alias("value")),
@@ -264,7 +271,8 @@ def parse_transcript_lines(lines: DataFrame, max_digest: int | None = None, tool
     scan tells each result what stands before it. A call that is repeated replaces the one before, a second result finds
     a result before it and answers nothing.
     """
-    records = t.once(lines.select("file", "ord", "line"), "r", F.from_json(t.trim(F.col("line")), RECORD)).where("r.message.content is not null")
+    lines = lines.select("file", "ord", "line").where(_may_hold(F.col("line"), "content"))
+    records = t.once(lines, "r", F.from_json(t.trim(F.col("line")), RECORD)).where("r.message.content is not null")
     parts = t.once(records.select(
         "file", "ord", iso_ms(F.col("r.timestamp")).alias("at_ms"), F.posexplode("r.message.content").alias("part_no", "doc")
     ), "p", F.from_json("doc", PART))

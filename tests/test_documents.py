@@ -44,6 +44,36 @@ def test_a_large_document_stays_one(spark, monkeypatch):
     assert {r.file: r.n for r in captures.parse_event_records(got.records).groupBy("file").agg(F.countDistinct("cmd").alias("n")).collect()} == dict.fromkeys(bodies, 70)
 
 
+def test_sessions_of_files_with_a_cut_record(spark, monkeypatch):
+    """Each is larger than a value may be; files of other formats lie beside them."""
+    monkeypatch.setattr(captures, "MOST_DOCUMENT", 500)
+    monkeypatch.setattr(captures, "LARGE_DOCUMENT", 100)
+    part = lambda k, kind, **more: json.dumps({"timestamp": f"2024-01-01T00:00:{k:02}Z", "message": {"content": [{"type": kind, **more}]}})
+    talk = [x for k in range(9) for x in (part(k, "tool_use", name="Bash", id=f"i{k}", input={"command": f"run {k}"}), part(k + 20, "tool_result", tool_use_id=f"i{k}", content="x"))]
+    har = {"log": {"entries": [{"startedDateTime": "2024-01-01T00:00:01Z", "time": 5, "request": {"url": "http://h/a"}}]}}
+    events = [json.dumps({**EVENT, "UtcTime": f"2024-01-01 00:00:{k:02}"}) for k in range(9)]
+    bodies = {"/c/e.ndjson": "\n".join(['{"EventID":1,', *events]), "/c/t.jsonl": "\n".join(["{cut", *talk]), "/c/a.har": json.dumps(har, indent=1), "/c/x.ndjson": '["\n' * 200}
+    chosen, rejected = captures.route(captures.from_lines(frame(spark, bodies)))
+    got = {r.session_uuid: (r.shell, r.start, r.end) for r in captures.derive_sessions(chosen).select("session_uuid", "shell", F.second("started_at").alias("start"), F.second("ended_at").alias("end")).collect()}
+    assert got == {"e": ("sysmon", 0, 8), "t": ("claude-code", 0, 28), "a": ("http-proxy", 1, 1)} and [r.file for r in rejected.collect()] == ["/c/x.ndjson"]
+
+
+def test_names_written_as_code_points(spark):
+    """Formats are found by names that JSON may write with escapes, or in single quotes."""
+    escaped = lambda value, name: json.dumps(value).replace(f'"{name}"', f'"\\u{ord(name[0]):04x}{name[1:]}"')
+    nested = {"Event": {"System": {"EventID": "1"}, "EventData": {"Data": [{"@Name": "UtcTime", "#text": "2024-01-01 00:00:01"}, {"@Name": "Image", "#text": "n.exe"}]}}}
+    docs = [escaped(EVENT, "EventID"), escaped(nested, "Event"), escaped(nested, "EventID"), json.dumps(EVENT).replace('"', "'"), json.dumps(nested).replace('"', "'"), json.dumps({**EVENT, "EventID": 2, "Id": 1}), json.dumps({"event_id": "1", **{k: v for k, v in EVENT.items() if k != "EventID"}}), "{cut", "{}"]
+    rows = spark.createDataFrame([("/c/a", k, d) for k, d in enumerate(docs)], "file string, ord bigint, doc string")
+    assert [(r.ord, r.cmd) for r in captures.parse_event_records(rows).orderBy("ord").collect()] == [(0, "dir"), (1, "n.exe"), (2, "n.exe"), (3, "dir"), (4, "n.exe"), (6, "dir")]
+    use = {"timestamp": "2024-01-01T00:00:01Z", "message": {"content": [{"type": "tool_use", "name": "Bash", "id": "a", "input": {"command": "ls"}}]}}
+    result = {"timestamp": "2024-01-01T00:00:02Z", "message": {"content": [{"type": "tool_result", "tool_use_id": "a", "content": "one"}]}}
+    lines = spark.createDataFrame([("/c/t", 0, escaped(use, "content")), ("/c/t", 1, escaped(result, "content"))], "file string, ord bigint, line string")
+    assert [(r.cmd, r.output_digest) for r in captures.parse_transcript_lines(lines).collect()] == [("ls", "one")]
+    har = {"log": {"entries": [{"startedDateTime": "2024-01-01T00:00:01Z", "request": {"url": "http://h/a"}}]}}
+    files = spark.createDataFrame([("/c/a.har", escaped(har, "entries")), ("/c/b.har", json.dumps({"log": {}}))], "file string, body string")
+    assert [r.cmd for r in captures.parse_har(files).collect()] == ["GET /a"]
+
+
 def any_text(rng):
     def value(d):
         k = rng.random()
